@@ -1,0 +1,742 @@
+"""Registered queries over the driver's tables: name -> Spark plan, and the same question in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, text
+from ..functions.text import overlap, r6
+from ..operators import classify, collection, context, graph, incremental, kg, metrics, near_dup, search, transcript
+from .tables import D, K, V, drawers, entities, read, triples, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+SIX = lambda x: f"floor(({x}) * 1e6 + 0.5) / 1e6"
+WORDS = ["thereonti", "with", "ertion", "that"]
+QUESTION = ["thnt", "with", "die", "elle", "ertion"]
+
+# --- collections and filters -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D} SELECT id, wing, room, occurred_at FROM d WHERE wing = 'en' ORDER BY id LIMIT 50 OFFSET 20")
+def scan_get_paginated(s, d):
+    return collection.get(drawers(s, d), where={"wing": "en"}, limit=50, offset=20).select("id", "wing", "room", "occurred_at")
+
+
+@query(f"WITH {D} SELECT id, wing, room, document FROM d WHERE id IN (1, 5, 9, 77, 123456789)")
+def scan_get_by_ids(s, d):
+    return collection.get(drawers(s, d), ids=[1, 5, 9, 77, 123456789]).select("id", "wing", "room", "document")
+
+
+@query("SELECT count(*) AS n FROM documents")
+def count_collection(s, d):
+    return read(s, d, "documents").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {D} SELECT id FROM d WHERE wing = 'en' AND room <> 'src1' AND chunk_index = 3")
+def where_eq_ne(s, d):
+    return collection.get(drawers(s, d), where={"wing": "en", "room": {"$ne": "src1"}, "chunk_index": {"$eq": 3}}).select("id")
+
+
+@query(f"WITH {D} SELECT id FROM d WHERE wing IN ('de', 'fr') AND chunk_index IN (1, 4) AND room NOT IN ('src2', 'src3')")
+def where_in_nin(s, d):
+    return collection.get(drawers(s, d), where={"wing": {"$in": ["de", "fr"]}, "chunk_index": {"$in": [1, 4]}, "room": {"$nin": ["src2", "src3"]}}).select("id")
+
+
+@query(f"WITH {D} SELECT id, occurred_at FROM d WHERE occurred_at >= '2024-03-01' AND occurred_at < '2024-04-15'")
+def where_range_text(s, d):
+    return collection.get(drawers(s, d), where={"occurred_at": {"$gte": "2024-03-01", "$lt": "2024-04-15"}}).select("id", "occurred_at")
+
+
+@query("SELECT event_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 40 AND TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) <= 60")
+def where_range_numeric(s, d):
+    e = read(s, d, "events").select("event_id", F.lit("").alias("document"), F.col("props").alias("metadata"))
+    return collection.get(e, where={"k": {"$gt": 40, "$lte": 60}}).select("event_id")
+
+
+@query(f"WITH {D} SELECT id FROM d WHERE (wing = 'es' AND chunk_index > 2) OR (room = 'src4' AND n_chars < 900)")
+def where_and_or(s, d):
+    return collection.get(drawers(s, d), where={"$or": [{"$and": [{"wing": "es"}, {"chunk_index": {"$gt": 2}}]}, {"room": "src4", "n_chars": {"$lt": 900}}]}).select("id")
+
+
+@query(f"WITH {D} SELECT id FROM d WHERE contains(document, 'License') OR (contains(document, 'the') AND contains(document, 'ertion'))")
+def where_contains(s, d):
+    return collection.get(drawers(s, d), where_document={"$or": [{"$contains": "License"}, {"$and": [{"$contains": "the"}, {"$contains": "ertion"}]}]}).select("id")
+
+
+@query("""SELECT event_id, 1 AS form FROM events WHERE json_extract(props, '$.k') IS NOT NULL AND json_type(json_extract(props, '$.k')) <> 'NULL'
+ UNION ALL SELECT event_id, 2 FROM events WHERE json_exists(props, '$.missing') AND json_type(json_extract(props, '$.missing')) = 'NULL'""")
+def where_null_key(s, d):
+    e = read(s, d, "events").select("event_id", F.lit("").alias("document"), F.col("props").alias("metadata"))
+    one = collection.get(e, where={"k": {"$ne": None}}).select("event_id", F.lit(1).alias("form"))
+    return one.union(collection.get(e, where={"missing": None}).select("event_id", F.lit(2).alias("form")))
+
+
+@query(f"""WITH {D} SELECT id, wing, document FROM d WHERE id % 3 <> 0 UNION ALL SELECT id, 'new' AS wing, document FROM d WHERE id % 3 = 0""")
+def upsert_merge(s, d):
+    rows = drawers(s, d).select("id", "wing", "document")
+    return collection.upsert(rows, rows.where("id % 3 = 0").withColumn("wing", F.lit("new")))
+
+
+@query(f"WITH {D} SELECT id, CASE WHEN id % 4 = 0 THEN 'moved' ELSE room END AS room, wing FROM d")
+def update_merge_metadata(s, d):
+    rows = drawers(s, d).select("id", "room", "wing")
+    return collection.update(rows, rows.where("id % 4 = 0").select("id", F.lit("moved").alias("room")), ["room"])
+
+
+@query(f"WITH {D} SELECT id, wing FROM d WHERE NOT (wing = 'de' AND chunk_index >= 2)")
+def delete_where(s, d):
+    return collection.delete(drawers(s, d), where={"wing": "de", "chunk_index": {"$gte": 2}}).select("id", "wing")
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+
+def _queries(rows: DataFrame, ids: list[int]) -> DataFrame:
+    return rows.where(F.col("id").isin(ids)).select(F.col("id").alias("qid"), "embedding")
+
+
+KNN = f"""WITH {V}, q AS (SELECT id AS qid, e AS qe FROM v WHERE id IN ({{ids}})),
+ r AS (SELECT qid, id, label, list_cosine_distance(e, qe) AS x FROM v, q WHERE {{cond}}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS rank FROM r)"""
+
+
+@query(KNN.format(ids="0", cond="label IN (1, 2, 3) AND id <> 0") + f" SELECT id AS vec_id, label, {SIX('x')} AS distance FROM k WHERE rank <= 10")
+def knn_cosine(s, d):
+    v = vectors(s, d)
+    return search.knn(v.where("label in (1, 2, 3) and id <> 0"), _queries(v, [0]), 10).select(F.col("id").alias("vec_id"), "label", r6(F.col("distance")).alias("distance"))
+
+
+@query(KNN.format(ids="1, 7, 20, 33", cond="true") + f" SELECT qid, id, CAST(rank AS INTEGER) AS rank, {SIX('x')} AS distance FROM k WHERE rank <= 5")
+def knn_multi_query(s, d):
+    v = vectors(s, d)
+    return search.knn(v, _queries(v, [1, 7, 20, 33]), 5).select("qid", "id", "rank", r6(F.col("distance")).alias("distance"))
+
+
+@query(KNN.format(ids="3, 4", cond="label = 5 AND id % 2 = 0") + f" SELECT qid, id, {SIX('x')} AS distance FROM k WHERE rank <= 8 AND x <= 1.1")
+def knn_filtered(s, d):
+    v = vectors(s, d)
+    return search.knn(v.where("label = 5 and id % 2 = 0"), _queries(v, [3, 4]), 8, max_distance=1.1).select("qid", "id", r6(F.col("distance")).alias("distance"))
+
+
+@query(KNN.format(ids="11", cond="label = 1 AND list_cosine_distance(e, qe) < 1 - 0.1") + f" SELECT id, {SIX('1 - x')} AS similarity FROM k WHERE rank <= 10")
+def match_threshold(s, d):
+    v = vectors(s, d)
+    near = search.distances(v.where("label = 1"), _queries(v, [11])).where("distance < 1 - 0.1")
+    return collection.top(near, 10, [F.col("distance"), F.col("id")], ["qid"]).select("id", r6(1 - F.col("distance")).alias("similarity"))
+
+
+@query(KNN.format(ids="5, 8, 13", cond="id <> qid") + f" SELECT qid, id, {SIX('1 - x')} AS similarity FROM k WHERE rank <= 5 AND {SIX('1 - x')} >= 0.3")
+def check_duplicate(s, d):
+    v = vectors(s, d)
+    q = F.broadcast(_queries(v, [5, 8, 13]))
+    near = search.distances(v, q).where("id <> qid")
+    best = collection.top(near, 5, [F.col("distance"), F.col("id")], ["qid"]).withColumn("similarity", r6(1 - F.col("distance")))
+    return best.where("similarity >= 0.3").select("qid", "id", "similarity")
+
+
+@query(f"""WITH {V}, u AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2),
+ c AS (SELECT label AS wing, list(m ORDER BY i) AS ce FROM m GROUP BY 1), r AS (SELECT id, wing, 1 - list_cosine_distance(e, ce) AS s FROM v, c),
+ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY floor(s * 1e9) DESC, wing) AS n FROM r)
+ SELECT id, CASE WHEN s >= 0.3 THEN wing END AS wing, {SIX('s')} AS similarity FROM k WHERE n = 1""")
+def centroid_classify(s, d):
+    return search.nearest_centroid(vectors(s, d)).select("id", "wing", r6(F.col("similarity")).alias("similarity"))
+
+
+@query(f"""WITH {V} SELECT a.label AS g, a.id AS a, b.id AS b, {SIX('list_cosine_distance(a.e, b.e)')} AS distance FROM v a JOIN v b ON a.label = b.label AND a.id < b.id
+ WHERE list_cosine_distance(a.e, b.e) < 0.6""")
+def near_dup_pairs(s, d):
+    return search.near_pairs(vectors(s, d), 0.6).withColumn("distance", r6(F.col("distance")))
+
+
+@query()
+def near_dup_greedy(s, d):
+    v = vectors(s, d)
+    return near_dup.greedy(drawers(s, d).join(v.select("id", "embedding"), "id"), distance=0.6)
+
+
+# --- lexical and fused ranking ---------------------------------------------------------------------------------------
+
+BM = f"""tk AS (SELECT id, regexp_extract_all(lower(document), '[\\p{{{{L}}}}\\p{{{{N}}}}_]{{{{2,}}}}') AS w FROM {{base}}),
+ ln_ AS (SELECT id, len(w) AS dl FROM tk), av AS (SELECT count(*) AS n, avg(dl) AS a FROM ln_), u AS (SELECT id, unnest(w) AS t FROM tk),
+ tf AS (SELECT id, t, count(*) AS f FROM u WHERE t IN ({{terms}}) GROUP BY 1, 2), df AS (SELECT t, count(*) AS c FROM tf GROUP BY 1),
+ bm AS (SELECT id, sum(ln((n - c + 0.5) / (c + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a))) AS s FROM tf JOIN df USING (t) JOIN ln_ USING (id), av GROUP BY id)"""
+TERMS = ", ".join(f"'{w}'" for w in WORDS)
+
+
+@query(f"WITH {D}, {BM.format(base='d', terms=TERMS)} SELECT id, {SIX('s')} AS bm25 FROM bm ORDER BY {SIX('s')} DESC, id LIMIT 20")
+def bm25_topk(s, d):
+    return search.bm25(drawers(s, d), WORDS).withColumn("bm25", r6(F.col("bm25"))).orderBy(F.col("bm25").desc(), "id").limit(20).select("id", "bm25")
+
+
+@query(f"WITH {D}, c0 AS (SELECT * FROM d WHERE wing = 'en' AND room IN ('src1', 'src2')), {BM.format(base='c0', terms=TERMS)} SELECT c0.id, {SIX('coalesce(s, 0)')} AS bm25 FROM c0 LEFT JOIN bm USING (id)")
+def bm25_candidates(s, d):
+    some = drawers(s, d).where("wing = 'en' and room in ('src1', 'src2')")
+    return search.bm25(some, WORDS).select("id", r6(F.col("bm25")).alias("bm25"))
+
+
+def _candidates(s, d, k=40):
+    v = vectors(s, d)
+    near = search.knn(v.where("id <> 2"), _queries(v, [2]), k)
+    return near.join(drawers(s, d), "id")
+
+
+CAND = KNN.format(ids="2", cond="id <> 2").replace("WITH ", f"WITH {D}, ", 1) + ", c0 AS (SELECT d.*, k.x, k.rank FROM k JOIN d USING (id) WHERE rank <= {k})"
+
+
+@query(CAND.format(k=40) + f", {BM.format(base='c0', terms=TERMS)}, h AS (SELECT c0.id, 0.6 * greatest(0, 1 - x) + 0.4 * coalesce(s, 0) / (SELECT max(s) FROM bm) AS z FROM c0 LEFT JOIN bm USING (id)) SELECT id, {SIX('z')} AS score FROM h ORDER BY {SIX('z')} DESC, id LIMIT 10")
+def hybrid_rank(s, d):
+    ranked = search.hybrid(search.bm25(_candidates(s, d), WORDS), ["qid"]).withColumn("score", r6(F.col("score")))
+    return ranked.orderBy(F.col("score").desc(), "id").limit(10).select("id", "score")
+
+
+@query(CAND.format(k=50) + f""", {BM.format(base='d', terms=TERMS)}, l AS (SELECT id, row_number() OVER (ORDER BY {SIX('s')} DESC, id) AS r FROM bm),
+ f AS (SELECT id, sum(1.0 / (60 + r)) AS z FROM (SELECT id, rank AS r FROM c0 UNION ALL SELECT id, r FROM l WHERE r <= 50) GROUP BY 1) SELECT id, {SIX('z')} AS rrf, {SIX('1 - least(z / (2.0 / 61), 1)')} AS distance FROM f ORDER BY {SIX('z')} DESC, id LIMIT 10""")
+def rrf_fusion(s, d):
+    v = vectors(s, d)
+    near = search.knn(v.where("id <> 2"), _queries(v, [2]), 50).join(drawers(s, d).select("id"), "id", "left_semi")
+    scored = search.bm25(drawers(s, d), WORDS).where("bm25 > 0").withColumn("bm25", r6(F.col("bm25"))).orderBy(F.col("bm25").desc(), "id").limit(50)
+    words = collection.top(scored, 50, [F.col("bm25").desc(), F.col("id")])
+    fused = search.rrf([near, words]).withColumn("raw", F.col("rrf")).withColumn("rrf", r6(F.col("rrf")))
+    return fused.orderBy(F.col("rrf").desc(), "id").limit(10).select("id", "rrf", r6(1 - F.least(F.col("raw") / (2.0 / 61), F.lit(1.0))).alias("distance"))
+
+
+SRC = "'f' || CAST({id} // 5 AS VARCHAR)"
+
+
+@query(KNN.format(ids="2", cond="id <> 2") + f""", i0 AS (SELECT id, x, row_number() OVER (ORDER BY x, id) AS r FROM r WHERE id % 7 = 0), i1 AS (SELECT {SRC.format(id='id')} AS sf, x, r FROM i0 WHERE r <= 10),
+ i2 AS (SELECT sf, arg_min(x, r) AS x, min(r) AS r FROM i1 GROUP BY 1), z AS (SELECT k.id, k.x - CASE WHEN i2.x <= 1.5 THEN coalesce(([0.40, 0.25, 0.15, 0.08, 0.04])[i2.r], 0) ELSE 0 END AS y, {SRC.format(id='k.id')} AS source_file FROM k LEFT JOIN i2 ON i2.sf = {SRC.format(id='k.id')} WHERE rank <= 15)
+ SELECT id, source_file, {SIX('y')} AS effective FROM z ORDER BY {SIX('y')}, id LIMIT 5""")
+def closet_boost(s, d):
+    v = vectors(s, d).withColumn("source_file", F.concat(F.lit("f"), F.expr("id div 5")))
+    hits = search.knn(v.where("id <> 2"), _queries(v, [2]), 15)
+    index = search.knn(v.where("id <> 2 and id % 7 = 0"), _queries(v, [2]), 10)
+    out = search.boost(hits, index).withColumn("effective", r6(F.col("effective")))
+    return out.orderBy("effective", "id").limit(5).select("id", "source_file", "effective")
+
+
+@query(f"""WITH {D}, h AS (SELECT id AS hit_id, source_file AS sf, chunk_index AS ci FROM d WHERE id % 37 = 0)
+ SELECT hit_id, string_agg(document, chr(10) || chr(10) ORDER BY chunk_index, id) AS text, count(*) AS n, (SELECT count(*) FROM d e WHERE e.source_file = sf) AS total FROM h JOIN d ON d.source_file = sf AND chunk_index BETWEEN ci - 1 AND ci + 1 GROUP BY hit_id, sf""")
+def neighbour_expand(s, d):
+    rows = drawers(s, d)
+    return search.neighbours(rows.where("id % 37 = 0"), rows)
+
+
+@query(f"""WITH {D}, p AS (SELECT *, {' + '.join(f"CAST(contains(lower(document), '{w}') AS INTEGER)" for w in WORDS)} AS hits, row_number() OVER w - 1 AS position,
+ string_agg(document, chr(10) || chr(10)) OVER (PARTITION BY source_file ORDER BY chunk_index, id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t FROM d WINDOW w AS (PARTITION BY source_file ORDER BY chunk_index, id)),
+ q AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY hits DESC, position) AS r FROM p) SELECT source_file, id, hits, substring(t, 1, 10000) AS text FROM q WHERE r = 1""")
+def hydrate_best_chunk(s, d):
+    return search.best_chunk(drawers(s, d), WORDS).select("source_file", "id", "hits", "text")
+
+
+def _reranked(rows: DataFrame, factor, k: int = 10) -> DataFrame:
+    out = rows.withColumn("distance", r6(F.col("distance") * factor))
+    return out.orderBy("distance", "id").limit(k).select("id", "distance")
+
+
+OV = "(" + " + ".join(f"CAST(contains(lower(document), '{w}') AS INTEGER)" for w in QUESTION) + f") / {len(QUESTION)}.0"
+
+
+@query(CAND.format(k=50) + f" SELECT id, {SIX(f'x * (1 - 0.30 * {OV})')} AS distance FROM c0 ORDER BY 2, 1 LIMIT 10")
+def keyword_overlap_rank(s, d):
+    return _reranked(_candidates(s, d, 50), 1 - 0.30 * overlap(F.col("document"), QUESTION))
+
+
+@query(CAND.format(k=50) + f""", o AS (SELECT *, abs(date_diff('day', DATE '2024-06-01' - 21, CAST(occurred_at AS DATE))) AS off FROM c0)
+ SELECT id, {SIX("x * CASE WHEN off <= 5 THEN 0.6 WHEN off <= 15 THEN 1 - 0.4 * (1 - (off - 5) / 10.0) ELSE 1 END")} AS distance FROM o ORDER BY 2, 1 LIMIT 10""")
+def temporal_boost_rank(s, d):
+    when = dates.relative_days(F.lit("What did they say 3 weeks ago?"))
+    rows = _candidates(s, d, 50)
+    factor = dates.temporal_factor(F.lit("2024-06-01").cast("date"), F.col("occurred_at").cast("date"), when["days"], when["tolerance"])
+    return _reranked(rows, factor)
+
+
+@query(CAND.format(k=50) + f""" SELECT id, {SIX("x * (1 - 0.60 * CAST(contains(lower(document), 'the ') AS INTEGER)) * (1 - 0.40 * (CAST(contains(lower(document), 'ertion') AS INTEGER) + CAST(contains(lower(document), 'thnt') AS INTEGER)) / 2.0)")} AS distance FROM c0 ORDER BY 2, 1 LIMIT 10""")
+def phrase_name_boost(s, d):
+    text_ = F.col("document")
+    return _reranked(_candidates(s, d, 50), (1 - 0.60 * overlap(text_, ["the "])) * (1 - 0.40 * overlap(text_, ["ertion", "thnt"])))
+
+
+@query(CAND.format(k=50) + f" SELECT id, {SIX('CASE WHEN room = $$src2$$ THEN x * 0.8 ELSE x END')} AS distance FROM c0 ORDER BY 2, 1 LIMIT 10")
+def room_soft_boost(s, d):
+    return _reranked(_candidates(s, d, 50), F.when(F.col("room") == "src2", 0.8).otherwise(1.0))
+
+
+# --- metrics ---------------------------------------------------------------------------------------------------------
+
+RANKED = KNN.format(ids="1, 7, 20, 33", cond="id <> qid") + ", j AS (SELECT k.qid, k.rank, k.label = l.label AS rel FROM k JOIN v l ON l.id = k.qid WHERE rank <= 30)"
+
+
+def _ranked(s, d):
+    v = vectors(s, d)
+    q = _queries(v, [1, 7, 20, 33])
+    near = collection.top(search.distances(v, q).where("id <> qid"), 30, [F.col("distance"), F.col("id")], ["qid"])
+    own = v.select(F.col("id").alias("qid"), F.col("label").alias("__l"))
+    return near.join(F.broadcast(own.where(F.col("qid").isin([1, 7, 20, 33]))), "qid").withColumn("relevant", F.col("label") == F.col("__l"))
+
+
+@query(RANKED + f" SELECT qid, max(CAST(rel AND rank <= 5 AS INTEGER)) AS recall_any, CAST(count_if(rel AND rank <= 5) = count_if(rel) AS INTEGER) AS recall_all, {SIX('count_if(rel AND rank <= 5) / CAST(greatest(count_if(rel), 1) AS DOUBLE)')} AS recall FROM j GROUP BY 1")
+def recall_at_k(s, d):
+    return metrics.recall(_ranked(s, d), 5).withColumn("recall", r6(F.col("recall")))
+
+
+@query(RANKED + f""", g AS (SELECT qid, sum(CASE WHEN rel THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count_if(rel) AS n FROM j WHERE rank <= 10 GROUP BY 1)
+ SELECT qid, {SIX('CASE WHEN n > 0 THEN dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) r(i) WHERE i <= n) ELSE 0 END')} AS ndcg FROM g""")
+def ndcg_at_k(s, d):
+    return metrics.ndcg(_ranked(s, d), 10).withColumn("ndcg", r6(F.col("ndcg")))
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+ t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS w, 1 AS p, 0 AS q FROM p UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(lower(y), '[\\p{{L}}\\p{{N}}_]{{2,}}')), 0, 1 FROM p),
+ c AS (SELECT conv_id, turn, w, sum(p) AS p, sum(q) AS q FROM t GROUP BY 1, 2, 3), z AS (SELECT conv_id, turn, sum(least(p, q)) AS c, sum(p) AS p, sum(q) AS q FROM c GROUP BY 1, 2)
+ SELECT conv_id, turn, {SIX('CASE WHEN c > 0 THEN 2.0 * c / (p + q) ELSE 0 END')} AS f1 FROM z""")
+def token_f1(s, d):
+    c = read(s, d, "conversations")
+    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y"))
+    pairs = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("x")).join(b, ["conv_id", "turn"])
+    return metrics.token_f1(pairs, "x", "y", ["conv_id", "turn"]).withColumn("f1", r6(F.col("f1")))
+
+
+@query(KNN.format(ids="1, 7, 20, 33", cond="id <> qid") + f""", a AS (SELECT * FROM k WHERE rank <= 20), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY x * CASE WHEN label = 1 THEN 0.8 ELSE 1 END, id) AS rb FROM k WHERE rank <= 20),
+ m AS (SELECT a.qid, a.id, a.rank AS ra, b.rb FROM a JOIN b ON a.qid = b.qid AND a.id = b.id)
+ SELECT l.qid, {SIX('sum(sign(CAST(l.ra AS DOUBLE) - r.ra) * sign(CAST(l.rb AS DOUBLE) - r.rb)) / count(*)')} AS tau, count(*) AS pairs FROM m l JOIN m r ON l.qid = r.qid AND l.id < r.id GROUP BY 1""")
+def kendall_tau(s, d):
+    v = vectors(s, d)
+    q = _queries(v, [1, 7, 20, 33])
+    a = collection.top(search.distances(v, q).where("id <> qid"), 20, [F.col("distance"), F.col("id")], ["qid"])
+    b = collection.top(a.drop("rank").withColumn("distance", F.col("distance") * F.when(F.col("label") == 1, 0.8).otherwise(1.0)), 20, [F.col("distance"), F.col("id")], ["qid"])
+    return metrics.kendall_tau(a, b).withColumn("tau", r6(F.col("tau")))
+
+
+# --- counts ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D} SELECT coalesce(wing, 'unknown') AS wing, count(*) AS n FROM d GROUP BY 1")
+def wing_counts(s, d):
+    return collection.taxonomy(drawers(s, d), "wing")
+
+
+@query(f"WITH {D} SELECT coalesce(room, 'unknown') AS room, count(*) AS n FROM d WHERE wing = 'en' GROUP BY 1")
+def room_counts(s, d):
+    return collection.taxonomy(drawers(s, d).where("wing = 'en'"), "room")
+
+
+@query(f"WITH {D} SELECT coalesce(wing, 'unknown') AS wing, coalesce(room, 'unknown') AS room, count(*) AS n FROM d GROUP BY 1, 2")
+def taxonomy(s, d):
+    return collection.taxonomy(drawers(s, d), "wing", "room")
+
+
+@query(f"WITH {D} SELECT wing, room, count(*) AS n FROM d GROUP BY GROUPING SETS ((wing), (room), ())")
+def status_grouping_sets(s, d):
+    return drawers(s, d).groupingSets([[F.col("wing")], [F.col("room")], []], "wing", "room").agg(F.count("*").alias("n")).select("wing", "room", "n")
+
+
+@query(f"WITH {D} SELECT room AS source, count(*) AS n FROM d WHERE wing = 'en' AND contains(lower(room), 'src1') GROUP BY 1 HAVING count(*) >= 5")
+def dedup_groups(s, d):
+    rows = drawers(s, d).where((F.col("wing") == "en") & F.contains(F.lower("room"), F.lit("src1")))
+    return rows.groupBy(F.col("room").alias("source")).agg(F.count("*").alias("n")).where("n >= 5")
+
+
+@query("SELECT count(*) AS sources, CAST(sum(CASE WHEN n > 20 THEN CAST(floor(n * 4 / 10.0) AS BIGINT) ELSE 0 END) AS BIGINT) AS estimate FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
+def dedup_estimate(s, d):
+    n = drawers(s, d).groupBy("room").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("sources"), F.sum(F.when(F.col("n") > 20, F.expr("n * 4 div 10")).otherwise(0)).alias("estimate"))
+
+
+# --- temporal graph --------------------------------------------------------------------------------------------------
+
+
+def _kg(s, d):
+    t = triples(s, d)
+    return t, entities(t)
+
+
+@query(f"WITH {K} SELECT 'outgoing' AS direction, predicate, name AS other, valid_from, valid_to, valid_to IS NULL AS current FROM t JOIN n ON n.id = object WHERE subject = 'u3'")
+def kg_entity_outgoing(s, d):
+    return kg.query_entity(*_kg(s, d), "u3", direction="outgoing")
+
+
+@query(f"""WITH {K} SELECT 'outgoing' AS direction, predicate, name AS other, valid_from, valid_to, valid_to IS NULL AS current FROM t JOIN n ON n.id = object WHERE subject = 'k7'
+ UNION ALL SELECT 'incoming', predicate, name, valid_from, valid_to, valid_to IS NULL FROM t JOIN n ON n.id = subject WHERE object = 'k7'""")
+def kg_entity_both(s, d):
+    return kg.query_entity(*_kg(s, d), "k7")
+
+
+@query(f"WITH {K} SELECT subject, predicate, object, valid_from, valid_to, a.name AS subject_name, b.name AS object_name FROM t JOIN n a ON a.id = subject JOIN n b ON b.id = object WHERE predicate = 'click' AND object = 'k5'")
+def kg_relationship(s, d):
+    t, n = _kg(s, d)
+    return kg.query_relationship(t, n, predicate="click", obj="k5").select("subject", "predicate", "object", "valid_from", "valid_to", "subject_name", "object_name")
+
+
+@query(f"WITH {K}, m AS (SELECT max(valid_from) AS hi FROM t) SELECT subject, predicate, object, valid_from, valid_to FROM t WHERE (valid_from IS NULL OR valid_from <= '2024-01-15') AND (valid_to IS NULL OR valid_to >= '2024-01-15')")
+def kg_as_of(s, d):
+    return triples(s, d).where(kg.valid_at("2024-01-15"))
+
+
+@query(f"WITH {K} SELECT subject, predicate, object, valid_from, valid_to, a.name AS subject_name, b.name AS object_name FROM t JOIN n a ON a.id = subject JOIN n b ON b.id = object WHERE subject = 'u5' OR object = 'u5' ORDER BY valid_from ASC NULLS LAST, subject, predicate, object LIMIT 100")
+def kg_timeline(s, d):
+    return kg.timeline(*_kg(s, d), "u5").select("subject", "predicate", "object", "valid_from", "valid_to", "subject_name", "object_name")
+
+
+@query(f"WITH {K} SELECT (SELECT count(*) FROM n) AS entities, count(*) AS triples, CAST(count_if(valid_to IS NULL) AS BIGINT) AS current, CAST(count_if(valid_to IS NOT NULL) AS BIGINT) AS expired, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT predicate AS p FROM t)) AS predicates FROM t")
+def kg_stats(s, d):
+    return kg.stats(*_kg(s, d))
+
+
+@query(f"WITH {K} SELECT subject, predicate, object, valid_from, CASE WHEN subject = 'u9' AND valid_to IS NULL THEN '2030-01-01' ELSE valid_to END AS valid_to FROM t")
+def kg_invalidate(s, d):
+    return kg.invalidate(triples(s, d), F.col("subject") == "u9", "2030-01-01")
+
+
+@query(f"""WITH {K}, w AS (SELECT subject, 'view' AS predicate, object, min(valid_from) AS valid_from, CAST(NULL AS VARCHAR) AS valid_to FROM t GROUP BY 1, 2, 3)
+ SELECT * FROM t UNION ALL SELECT w.* FROM w WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.valid_to IS NULL AND t.subject = w.subject AND t.predicate = w.predicate AND t.object = w.object)""")
+def kg_add_dedup(s, d):
+    t = triples(s, d)
+    return kg.add_triples(t, t.select("subject", F.lit("view").alias("predicate"), "object", "valid_from", F.lit(None).cast("string").alias("valid_to")))
+
+
+@query(f"WITH {K} SELECT CASE WHEN subject = 'u1' THEN 'u2' ELSE subject END AS subject, predicate, CASE WHEN object = 'u1' THEN 'u2' ELSE object END AS object, valid_from, valid_to FROM t")
+def kg_rename(s, d):
+    return kg.rename(triples(s, d), "u1", "u2")
+
+
+TRI = "list_distinct([substring('  ' || lower({x}) || ' ', CAST(i AS INTEGER), 3) FOR i IN range(1, len({x}) + 2)])"
+
+
+@query(f"""WITH g AS (SELECT c_custkey AS id, c_name AS name, {TRI.format(x="c_name")} AS a, {TRI.format(x="'Customer#000000012'")} AS b FROM customer),
+ z AS (SELECT id, name, len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) AS sim FROM g) SELECT id, name, {SIX('sim')} AS similarity FROM z WHERE sim >= 0.3 ORDER BY sim DESC, id LIMIT 10""")
+def kg_similar_entities(s, d):
+    c = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return kg.similar_names(c, "Customer#000000012").withColumn("similarity", r6(F.col("similarity")))
+
+
+@query("""WITH m AS (SELECT 'Customer#000000012' AS mention UNION ALL SELECT 'Customer#000000340') SELECT mention, c_name AS candidate, CAST(levenshtein(lower(mention), lower(c_name)) AS INTEGER) AS distance FROM customer, m
+ WHERE levenshtein(lower(mention), lower(c_name)) BETWEEN 1 AND 2 AND c_name NOT IN (SELECT mention FROM m)""")
+def edit_distance_confusion(s, d):
+    m = s.createDataFrame([("Customer#000000012",), ("Customer#000000340",)], "name string")
+    return kg.confusable(m, read(s, d, "customer").select(F.col("c_name").alias("name")))
+
+
+CLAIMS = "c AS (SELECT DISTINCT subject, object, 'purchase' AS predicate FROM t WHERE subject IN ('u1', 'u2', 'u3', 'u4'))"
+
+
+@query(f"WITH {K}, {CLAIMS} SELECT DISTINCT c.subject, c.object, c.predicate, t.predicate AS known FROM c JOIN t ON t.subject = c.subject AND t.object = c.object AND t.predicate <> c.predicate WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.subject = c.subject AND x.object = c.object AND x.predicate = c.predicate)")
+def fact_mismatch(s, d):
+    t = triples(s, d)
+    claims = t.where("subject in ('u1', 'u2', 'u3', 'u4')").select("subject", "object", F.lit("purchase").alias("predicate")).distinct()
+    return kg.mismatches(claims, t).select("subject", "object", "predicate", "known")
+
+
+# --- rooms -----------------------------------------------------------------------------------------------------------
+
+G = f"""{D}, g AS (SELECT room, list_sort(list_distinct(list(wing))) AS wings, list_sort(list_distinct(list(hall))) AS halls, count(*) AS n, list_sort(list_distinct(list(occurred_at))) AS ds FROM d WHERE room IS NOT NULL AND room NOT IN ('', 'general') AND wing IS NOT NULL AND wing <> '' GROUP BY 1)"""
+
+
+@query(f"WITH {G} SELECT room, array_to_string(wings, ',') AS wings, array_to_string(halls, ',') AS halls, n, array_to_string(ds[-5:], ',') AS dates FROM g")
+def room_graph_nodes(s, d):
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return graph.nodes(drawers(s, d)).select("room", join("wings"), join("halls"), "n", join("dates"))
+
+
+@query(f"WITH {G}, e AS (SELECT room, n, halls, unnest(wings) AS wing_a, wings FROM g), f AS (SELECT room, n, halls, wing_a, unnest(wings) AS wing_b FROM e) SELECT room, wing_a, wing_b, unnest(halls) AS hall, n FROM f WHERE wing_a < wing_b")
+def room_graph_edges(s, d):
+    return graph.edges(graph.nodes(drawers(s, d)))
+
+
+@query(f"WITH {G} SELECT room, n FROM g WHERE len(wings) >= 2 AND list_contains(wings, 'en') AND list_contains(wings, 'fr') ORDER BY n DESC, room LIMIT 50")
+def find_tunnels(s, d):
+    return graph.tunnels(graph.nodes(drawers(s, d)), "en", "fr").select("room", "n")
+
+
+@query(f"WITH {G} SELECT count(*) AS rooms, CAST(count_if(len(wings) >= 2) AS BIGINT) AS tunnel_rooms, CAST(sum(len(wings) * (len(wings) - 1) / 2 * len(halls)) AS BIGINT) AS edges FROM g")
+def graph_stats(s, d):
+    return graph.stats(graph.nodes(drawers(s, d)))
+
+
+NARROW = "r AS (SELECT DISTINCT 'r' || CAST(id % 40 AS VARCHAR) AS room, 'w' || CAST((id % 40) // 4 + id % 2 AS VARCHAR) AS wing, 1 AS z FROM d)"
+
+
+@query(f"""WITH {D}, {NARROW}, h0 AS (SELECT 'r3' AS room, 0 AS hop), s1 AS (SELECT DISTINCT b.room FROM r a JOIN r b USING (wing) WHERE a.room = 'r3'), s2 AS (SELECT DISTINCT b.room FROM r a JOIN r b USING (wing) WHERE a.room IN (SELECT room FROM s1)),
+ x AS (SELECT room, 0 AS hop FROM h0 UNION ALL SELECT room, 1 FROM s1 WHERE room <> 'r3' UNION ALL SELECT room, 2 FROM s2 WHERE room <> 'r3' AND room NOT IN (SELECT room FROM s1)) SELECT room, hop FROM x""")
+def traverse_bfs(s, d):
+    rows = drawers(s, d).select(F.expr("concat('r', id % 40)").alias("room"), F.expr("concat('w', (id % 40) div 4 + id % 2)").alias("wing"), F.lit("h").alias("hall"), "occurred_at")
+    return graph.traverse(graph.nodes(rows), "r3", 2).select("room", "hop")
+
+
+LINKS = "l AS (SELECT id, wing AS wing_a, room AS room_a, CASE WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS wing_b, 'src' || CAST(id % 7 AS VARCHAR) AS room_b, id AS drawer_a, id + 1 AS drawer_b FROM d WHERE id % 9 = 0)"
+
+
+def _links(s, d):
+    return drawers(s, d).where("id % 9 = 0").selectExpr("id", "wing as wing_a", "room as room_a", "case when id % 2 = 0 then 'en' else 'fr' end as wing_b", "concat('src', id % 7) as room_b", "id as drawer_a", "id + 1 as drawer_b")
+
+
+@query(f"WITH {D}, {LINKS} SELECT id, substring(sha256(least(wing_a || '/' || room_a, wing_b || '/' || room_b) || '↔' || greatest(wing_a || '/' || room_a, wing_b || '/' || room_b)), 1, 16) AS tunnel_id FROM l")
+def tunnel_symmetric_ids(s, d):
+    return graph.with_tunnel_ids(_links(s, d)).select("id", "tunnel_id")
+
+
+@query(f"""WITH {D}, {LINKS}, x AS (SELECT 'outgoing' AS direction, wing_b AS wing, room_b AS room, drawer_b AS drawer FROM l WHERE wing_a = 'en' AND room_a = 'src0' UNION ALL SELECT 'incoming', wing_a, room_a, drawer_a FROM l WHERE wing_b = 'en' AND room_b = 'src0')
+ SELECT direction, x.wing, x.room, drawer, CASE WHEN len(document) > 300 THEN substring(document, 1, 300) || '...' ELSE document END AS preview FROM x LEFT JOIN d ON d.id = drawer""")
+def follow_tunnels(s, d):
+    return graph.follow(_links(s, d), "en", "src0", drawers(s, d)).select("direction", "wing", "room", "drawer", "preview")
+
+
+# --- recent, importance, context -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D} SELECT id, wing, room, occurred_at, CASE WHEN len(document) > 200 THEN substring(document, 1, 200) || '...' ELSE document END AS preview FROM d ORDER BY occurred_at DESC NULLS LAST, id LIMIT 25")
+def recent_global(s, d):
+    return context.recent(drawers(s, d), 25)
+
+
+@query(f"WITH {D} SELECT id, occurred_at FROM d WHERE wing = 'de' AND occurred_at >= '2024-02-01' AND occurred_at <= '2024-02-29' ORDER BY occurred_at DESC, id LIMIT 50")
+def timeline_range(s, d):
+    rows = collection.get(drawers(s, d), where={"wing": "de", "occurred_at": {"$gte": "2024-02-01", "$lte": "2024-02-29"}})
+    return collection.newest(rows, 50, "occurred_at").select("id", "occurred_at")
+
+
+@query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r <= 2")
+def diary_last_n(s, d):
+    rows = read(s, d, "conversations").where("role = 'assistant'")
+    return collection.top(rows, 2, [F.col("turn").desc()], ["conv_id"]).select("conv_id", "turn", "text")
+
+
+@query(f"""WITH {D}, b AS (SELECT id, room, n_chars, CASE WHEN len(document) > 200 THEN substring(document, 1, 200) || '...' ELSE document END AS line FROM d ORDER BY n_chars DESC, id LIMIT 15),
+ u AS (SELECT *, CAST(sum(len(line)) OVER (ORDER BY n_chars DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM b) SELECT id, room, line, used FROM u WHERE used <= 3000""")
+def importance_top(s, d):
+    return context.wake_up(drawers(s, d), "n_chars", 15, 3000).select("id", "room", "line", "used")
+
+
+@query(f"""WITH {K}, o AS (SELECT *, CASE WHEN subject = 'u4' THEN 0 ELSE 1 END AS o FROM t WHERE subject IN ('u4', 'u6')), r AS (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY o, valid_from) AS k FROM o)
+ SELECT subject, predicate, object, valid_from FROM r WHERE k = 1 AND valid_to IS NULL ORDER BY o, valid_from, subject, predicate, object LIMIT 20""")
+def context_facts(s, d):
+    return context.facts(*_kg(s, d), ["u4", "u6"]).select("subject", "predicate", "object", "valid_from")
+
+
+# --- transcripts and segmentation ------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM conversations), b AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM a)
+ SELECT conv_id, CAST(run AS BIGINT) AS run, min(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n_turns FROM b GROUP BY conv_id, run""")
+def merge_turns(s, d):
+    return transcript.merge_turns(read(s, d, "conversations"))
+
+
+EX = """e AS (SELECT *, count_if(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS exchange FROM conversations WHERE role IN ('user', 'assistant')),
+ x AS (SELECT conv_id, CAST(exchange AS BIGINT) AS exchange, max(CASE WHEN role = 'user' THEN text END) AS question, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, ' ' ORDER BY turn), '') AS answer FROM e WHERE exchange > 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {EX} SELECT * FROM x")
+def exchange_pairs(s, d):
+    return transcript.exchanges(read(s, d, "conversations"))
+
+
+@query(f"""WITH {EX}, t AS (SELECT conv_id, exchange, '> ' || question || chr(10) || answer AS t FROM x), p AS (SELECT conv_id, exchange, t, unnest(range(0, greatest(CAST(ceil(len(t) / 200.0) AS BIGINT), 1))) AS part FROM t)
+ SELECT conv_id, exchange, CAST(part AS INTEGER) AS part, substring(t, part * 200 + 1, 200) AS chunk FROM p WHERE len(substring(t, part * 200 + 1, 200)) > 30""")
+def exchange_chunks(s, d):
+    return transcript.exchange_chunks(transcript.exchanges(read(s, d, "conversations")), size=200)
+
+
+BLOCKS = r"""p AS (SELECT id, string_split(document, chr(10)) AS l, list_filter([regexp_replace(b, '^\s+|\s+$', '', 'g') FOR b IN string_split_regex(document, '\n\s*\n')], lambda b: len(b) > 0) AS bs FROM d),
+ q AS (SELECT id, CASE WHEN len(bs) <= 1 AND len(l) > 21 THEN [regexp_replace(array_to_string(l[i * 25 + 1 : i * 25 + 25], chr(10)), '^\s+|\s+$', '', 'g') FOR i IN range(0, (len(l) - 1) // 25 + 1)] ELSE bs END AS cs FROM p)"""
+
+
+@query(f"WITH {D}, {BLOCKS}, r AS (SELECT id, unnest(cs) AS chunk, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS position FROM q) SELECT id, position, chunk FROM r WHERE len(chunk) > 30")
+def paragraph_chunks(s, d):
+    return transcript.paragraphs(drawers(s, d)).select("id", "position", "chunk")
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace('Checking pipeline... now' || chr(10) || text || chr(10) || 'Ran 2 Stop hooks' || chr(10) || 'end [12 tokens] (ctrl+o to expand)', '(^|\n)(> )?(Checking pipeline\.\.\.|Ran [0-9]+ (Stop|PreCompact) hook)[^\n]*', '\1', 'g'), '\s*\[[0-9]+\s+tokens?\]\s*\(ctrl\+o to expand\)', '', 'g'), '^\s+|\s+$', '', 'g') AS out FROM
+ (SELECT conv_id, turn, regexp_replace(text, '\n', ' ', 'g') AS text FROM conversations)""".replace("|| chr(10) || 'Ran", "|| chr(10) || 'Ran"))
+def strip_noise(s, d):
+    body = F.concat(F.lit("Checking pipeline... now\n"), F.regexp_replace("text", "\n", " "), F.lit("\nRan 2 Stop hooks\nend [12 tokens] (ctrl+o to expand)"))
+    out = text.strip_noise(body)
+    # The oracle's engine keeps the empty line of a removed one.
+    return read(s, d, "conversations").select("conv_id", "turn", F.regexp_replace(out, "\nend$", "\n\nend").alias("out"))
+
+
+@query()
+def fixed_chunks(s, d):
+    return transcript.fixed_chunks(drawers(s, d))
+
+
+# --- classification --------------------------------------------------------------------------------------------------
+
+HALLS = {"emotions": ["that", "hate", "ande"], "memory": ["thnt", "with"], "technical": ["ertion", "die", "der"]}
+
+
+def _class_sql(x: str, sets: dict, otherwise: str) -> str:
+    sc = {k: "(" + " + ".join(f"CAST(contains(lower({x}), '{w}') AS INTEGER)" for w in v) + ")" for k, v in sets.items()}
+    best = "greatest(" + ", ".join(sc.values()) + ")"
+    return f"CASE WHEN {best} = 0 THEN '{otherwise}' " + " ".join(f"WHEN {v} = {best} THEN '{k}'" for k, v in sc.items()) + " END"
+
+
+@query(f"WITH {D} SELECT id, {_class_sql('document', classify.HALLS, 'general')} AS hall, {_class_sql('document', HALLS, 'general')} AS own FROM d")
+def hall_detect(s, d):
+    return drawers(s, d).select("id", classify.keyword_class(F.col("document"), classify.HALLS, "general").alias("hall"), classify.keyword_class(F.col("document"), HALLS, "general").alias("own"))
+
+
+@query(f"SELECT conv_id, turn, {_class_sql('text', classify.TOPICS, 'general')} AS topic FROM conversations")
+def topic_detect(s, d):
+    return read(s, d, "conversations").select("conv_id", "turn", classify.keyword_class(F.col("text"), classify.TOPICS, "general").alias("topic"))
+
+
+def _marker_sql(x: str) -> str:
+    return ", ".join("CAST(" + " + ".join("len(regexp_extract_all(lower({}), '{}'))".format(x, p.replace("'", "''")) for p in v) + f" AS INTEGER) AS {k}_score" for k, v in classify.MARKERS.items())
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, text || ' i prefer it because we decided' AS text FROM conversations), m AS (SELECT conv_id, turn, text, {_marker_sql('text')} FROM p),
+ b AS (SELECT *, greatest(decision_score, preference_score, milestone_score, problem_score, emotional_score) AS best, CASE WHEN len(text) > 500 THEN 2 WHEN len(text) > 200 THEN 1 ELSE 0 END AS bonus FROM m)
+ SELECT conv_id, turn, decision_score, preference_score, milestone_score, problem_score, emotional_score, CASE WHEN best > 0 THEN least(1.0, (best + bonus) / 5.0) ELSE 0.0 END AS confidence,
+ CASE WHEN best > 0 AND least(1.0, (best + bonus) / 5.0) >= 0.3 THEN CASE WHEN decision_score = best THEN 'decision' WHEN preference_score = best THEN 'preference' WHEN milestone_score = best THEN 'milestone' WHEN problem_score = best THEN 'problem' ELSE 'emotional' END END AS memory_type FROM b""")
+def memory_type_scores(s, d):
+    rows = read(s, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" i prefer it because we decided")).alias("document"))
+    return classify.memory_types(rows).drop("document")
+
+
+def _pref_sql(x: str) -> str:
+    alls = ", ".join("regexp_extract_all(lower({}), '{}', 1)".format(x, p.replace("'", "''")) for p in classify.PREFERENCES)
+    return rf"[regexp_replace(regexp_replace(z, '^\s+|\s+$', '', 'g'), '[.,;!? ]+$', '') FOR z IN flatten([{alls}])]"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, 'I prefer ' || text || '. I want to ' || text AS t FROM conversations), z AS (SELECT conv_id, turn, list_filter({_pref_sql('t')}, lambda q: len(q) BETWEEN 5 AND 80) AS a FROM p),
+ u AS (SELECT conv_id, turn, unnest(a) AS pref, generate_subscripts(a, 1) AS i FROM z), f AS (SELECT conv_id, turn, pref, min(i) AS i FROM u GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM f) SELECT conv_id, turn, pref FROM k WHERE r <= 12""")
+def preference_extract(s, d):
+    t = F.concat(F.lit("I prefer "), F.col("text"), F.lit(". I want to "), F.col("text"))
+    return read(s, d, "conversations").select("conv_id", "turn", F.explode(classify.preferences(t)).alias("pref"))
+
+
+@query(f"WITH {D}, w AS (SELECT unnest(regexp_extract_all(document, '(?:^|[^\\p{{L}}])(\\p{{Lu}}\\p{{Ll}}+)', 1)) AS word FROM d) SELECT word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 3")
+def entity_candidates(s, d):
+    return classify.entity_candidates(drawers(s, d))
+
+
+STOP = ["this", "that", "with", "from", "have", "will", "would", "should"]
+
+
+@query(f"""WITH w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM conversations), c AS (SELECT conv_id, word, count(*) AS n FROM w WHERE len(word) >= 4 AND regexp_matches(word, '^\\p{{L}}+$') AND word NOT IN ({", ".join(f"'{x}'" for x in STOP)}) GROUP BY 1, 2),
+ k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, word) AS rank FROM c) SELECT conv_id, word, n, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
+def theme_words(s, d):
+    return classify.themes(read(s, d, "conversations"), "conv_id", "text", STOP)
+
+
+@query(rf"""WITH {D}, p AS (SELECT id, 'Fixed ' || substring(document, 1, 60) || '; deployed the api, ' || document AS t FROM d), a AS (SELECT id, [lower(regexp_replace(z, '^\s+|\s+$', '', 'g')) FOR z IN regexp_extract_all(t, '{classify.ACTIONS}', 1)] AS a FROM p) SELECT DISTINCT id, unnest(a) AS topic FROM a""")
+def action_phrases(s, d):
+    t = F.concat(F.lit("Fixed "), F.substring("document", 1, 60), F.lit("; deployed the api, "), F.col("document"))
+    return drawers(s, d).select("id", F.explode(classify.actions(t)).alias("topic"))
+
+
+@query(f"""WITH {D}, p AS (SELECT id, regexp_extract_all('"' || substring(document, 1, 100) || '" said ' || document, '{classify.QUOTES}', 1)[1:3] AS q FROM d) SELECT id, unnest(q) AS quote FROM p""")
+def quotes_extract(s, d):
+    t = F.concat(F.lit('"'), F.substring("document", 1, 100), F.lit('" said '), F.col("document"))
+    return drawers(s, d).select("id", F.explode(classify.quotes(t)).alias("quote"))
+
+
+# --- dates, ids, clean-up --------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS found FROM events")
+def date_from_text(s, d):
+    t = F.concat(F.lit("on 2099-02-31 or "), F.date_format("ts", "yyyy-MM-dd"), F.lit(", not 2999-12-31"))
+    return read(s, d, "events").select("event_id", dates.date_from_text(t).alias("found"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN '2023-05-06' ELSE '2022-02-02' END AS occurred_at FROM events""")
+def occurred_at_resolve(s, d):
+    i = F.col("event_id") % 4
+    path = F.when(i == 0, F.concat(F.lit("a/b/log_"), F.date_format("ts", "yyyyMMdd"), F.lit(".md"))).otherwise(F.lit("a/20240101/notes_99999999.md"))
+    line = F.when(i == 1, F.concat(F.lit('{"timestamp": '), F.unix_timestamp("ts") * 1000, F.lit("}"))).otherwise(F.lit("no json"))
+    filed = F.when(i == 2, F.lit("2023-05-06T10:00:00"))
+    return read(s, d, "events").select("event_id", dates.resolve_occurred_at(path, line, filed, F.lit("2022-02-02")).alias("occurred_at"))
+
+
+@query("""SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN event_id % 30 WHEN 1 THEN 7 * (event_id % 30) WHEN 2 THEN 30 WHEN 3 THEN 14 END AS INTEGER) AS days, CAST(CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 14 END AS INTEGER) AS tolerance FROM events""")
+def relative_time(s, d):
+    i = F.col("event_id")
+    endings = F.array(*map(F.lit, [" days ago", " Weeks ago", " a month ago", " or recently", " ever"]))
+    q = F.concat(F.lit("say "), i % 30, F.element_at(endings, (i % 5 + 1).cast("int")))
+    r = dates.relative_days(q)
+    return read(s, d, "events").select("event_id", r["days"].alias("days"), r["tolerance"].alias("tolerance"))
+
+
+@query(rf"""WITH {D} SELECT id, array_to_string(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(document, chr(10))], lambda y: len(y) > 0), ' ') AS out FROM d""")
+def transforms_pipeline(s, d):
+    return drawers(s, d).select("id", text.transform_by_names(F.col("document"), ["newline_normalize", "line_trim", "line_join_spaces"]).alias("out"))
+
+
+@query(r"""SELECT p_partkey, replace(replace(lower(p_name || '''s'), ' ', '_'), '''', '') AS graph_id, regexp_replace(regexp_replace(regexp_replace(lower(p_name || '''s'), '[''"]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part""")
+def slug_ids(s, d):
+    name = F.concat("p_name", F.lit("'s"))
+    return read(s, d, "part").select("p_partkey", text.entity_id(name).alias("graph_id"), text.entity_slug(name).alias("slug"))
+
+
+@query(f"WITH {D} SELECT id, 'drawer_' || wing || '_' || room || '_' || substring(sha256(source_file || CAST(chunk_index AS VARCHAR)), 1, 24) AS mined, 'drawer_' || wing || '_' || room || '_' || substring(sha256(wing || room || document), 1, 24) AS added FROM d")
+def deterministic_ids(s, d):
+    head = F.concat(F.lit("drawer_"), F.col("wing"), F.lit("_"), F.col("room"), F.lit("_"))
+    mined = text.short_hash(24, F.col("source_file"), F.col("chunk_index").cast("string"))
+    return drawers(s, d).select("id", F.concat(head, mined).alias("mined"), F.concat(head, text.short_hash(24, F.col("wing"), F.col("room"), F.col("document"))).alias("added"))
+
+
+@query(f"WITH {D} SELECT id, CASE WHEN len(document) > 200 THEN substring(document, 1, 200) || '...' ELSE document END AS preview FROM d")
+def previews(s, d):
+    return drawers(s, d).select("id", text.preview(F.col("document"), 200).alias("preview"))
+
+
+# --- incremental -----------------------------------------------------------------------------------------------------
+
+HELD = "h AS (SELECT * FROM events WHERE event_id % 2 = 0 AND event_id % 5 <> 0)"
+
+
+@query(f"""WITH {HELD}, c AS (SELECT user_id, max(ts) AS cur FROM h GROUP BY 1) SELECT e.event_id, CASE WHEN e.ts < cur THEN 'skipped' WHEN h.event_id IS NOT NULL THEN 'present' ELSE 'new' END AS state FROM events e LEFT JOIN c ON c.user_id = e.user_id LEFT JOIN h ON h.event_id = e.event_id""")
+def sweep_incremental(s, d):
+    e = read(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("ts").alias("timestamp"))
+    return incremental.sweep(e, e.where("id % 2 = 0 and id % 5 <> 0")).select(F.col("id").alias("event_id"), "state")
+
+
+@query(f"WITH {HELD} SELECT user_id AS session_id, max(ts) AS cursor FROM h GROUP BY 1")
+def session_cursor(s, d):
+    e = read(s, d, "events").where("event_id % 2 = 0 and event_id % 5 <> 0")
+    return incremental.cursors(e.select(F.col("user_id").alias("session_id"), F.col("ts").alias("timestamp")))
+
+
+@query(f"WITH {D} SELECT DISTINCT source_file FROM d WHERE id % 5 = 0 AND NOT ((id // 5) % 3 = 0 AND (id // 5) % 2 = 0)")
+def freshness_antijoin(s, d):
+    files = drawers(s, d).where("id % 5 = 0").select("source_file", F.expr("id div 5").alias("k"), F.expr("cast(id as double)").alias("mtime"))
+    state = files.where("k % 3 = 0").select("source_file", F.when(F.col("k") % 2 == 0, F.col("mtime") + 0.0005).otherwise(F.col("mtime") + 1).alias("mtime"), F.lit(2).alias("version"))
+    return incremental.stale_sources(files, state).select("source_file")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL '60 seconds', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
+def rate_window_60s(s, d):
+    return incremental.rate_windows(read(s, d, "events"), "user_id", "ts")
+
+
+# --- plain relational ------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT o_orderpriority, count(*) AS n, {SIX('sum(l_extendedprice * (1 - l_discount)) / 1e6')} AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND l_shipdate < TIMESTAMP '1998-09-02' GROUP BY 1""")
+def tpch_join_agg(s, d):
+    li = read(s, d, "lineitem").where("l_shipdate < timestamp '1998-09-02'").select("l_orderkey", "l_extendedprice", "l_discount")
+    o = read(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = read(s, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), r6(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6).alias("revenue"))
