@@ -277,7 +277,14 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, all columns as they came. Repeated rows of a kept document stay once."""
+    """One document of each component, all columns as they came. Rows repeated with id and text stay once."""
     dropped = cut(near_documents(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("id")).distinct())
     few = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    return docs.join(few, docs[id_col] == few["id"], "left_anti")
+    kept = docs.join(few, docs[id_col] == few["id"], "left_anti")
+    repeated = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id"))
+    n = repeated.count()
+    if not n:
+        return kept
+    repeated = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    once = kept.join(repeated, kept[id_col] == repeated["id"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, kept[id_col] == repeated["id"], "left_anti").unionByName(once)
