@@ -195,7 +195,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that score at least *threshold*, all columns as they came."""
-    marked = labels.select(F.col("doc_id").alias("__marked")).where("__marked is not null").distinct()
-    known = docs.join(marked, docs[id_col] == F.col("__marked"), "left_semi").where(~held_out(id_col, 4, 2))
-    fitted = fit(document_statistics(known, id_col, text_col), labels, id_col)
+    # Statistics are joined to the labels, not texts: a text is never shuffled, at the price of scoring from it again.
+    fitted = fit(document_statistics(docs.where(~held_out(id_col, 4, 2)), id_col, text_col), labels, id_col)
     return rewrite_texts(docs, text_col, lambda texts: ((fitted(np.array([statistics(t) for t in texts])) >= threshold).tolist(), None))
