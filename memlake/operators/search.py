@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN
 from ..functions.vectors import cosine_distance, norm
 from .collection import top
 
@@ -31,18 +32,19 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding",
     return top(found, k, [F.col("distance"), F.col(key)], ["qid"])
 
 
-def _is(word: str):
-    return lambda x: x == F.lit(word)
-
-
 def bm25(docs: DataFrame, terms: list[str], text: str = "document", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of the distinct query terms; the statistics are those of *docs*, one row, joined to all."""
+    """Okapi BM25 of the distinct query terms; the statistics are those of *docs*, one row, joined to all.
+
+    Terms are counted in the text itself, so no token arrays or rows are made.
+    """
     terms = sorted(set(terms))
-    words = docs.withColumn("__t", tokens(F.col(text)))
-    counted = words.withColumn("__dl", F.size("__t"))
+    if any(not re.fullmatch(r"\w{2,}", t) for t in terms):
+        raise ValueError("terms must be tokens")
+    low = F.lower(text)
+    counted = docs.withColumn("__dl", F.regexp_count(low, F.lit(TOKEN)))
     for i, t in enumerate(terms):
-        counted = counted.withColumn(f"__tf{i}", F.size(F.filter("__t", _is(t))))
-    counted = counted.drop("__t")
+        whole = F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){t}(?![\p{{L}}\p{{N}}_])"))
+        counted = counted.withColumn(f"__tf{i}", F.when(F.contains(low, F.lit(t)), whole).otherwise(0))
     stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
 
     def part(i: int) -> Column:
