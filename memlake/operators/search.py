@@ -43,7 +43,7 @@ def bm25(docs: DataFrame, terms: list[str], text: str = "document", k1: float =
     low = F.lower(text)
     counted = docs.withColumn("__dl", F.regexp_count(low, F.lit(TOKEN)))
     for i, t in enumerate(terms):
-        whole = F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){t}(?![\p{{L}}\p{{N}}_])"))
+        whole = F.regexp_count(low, F.lit(rf"{t}(?<![\p{{L}}\p{{N}}_]{t})(?![\p{{L}}\p{{N}}_])"))
         counted = counted.withColumn(f"__tf{i}", F.when(F.contains(low, F.lit(t)), whole).otherwise(0))
     stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
 
