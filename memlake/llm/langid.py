@@ -31,6 +31,7 @@ SAMPLE = 3000
 EPOCHS = 5
 RATE = 0.5
 REJECT = 0.001
+AT_ONCE = 1 << 19
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that count as parts of words; all others are word boundaries, turned to spaces.
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -68,6 +69,12 @@ class Model:
         self.table[-1, :BUCKETS] = 1
 
     def logits(self, texts: list[str]) -> np.ndarray:
+        """Scores of every language; the flat arrays hold about AT_ONCE characters at a time, a longer text alone and whole."""
+        group = np.cumsum([len(t) for t in texts]) // AT_ONCE
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        return np.concatenate([self._flat(texts[a:b]) for a, b in zip(bounds, bounds[1:])])
+
+    def _flat(self, texts: list[str]) -> np.ndarray:
         orders, starts = subwords(texts)
         sums = np.zeros((len(self.languages) + 1, len(texts)))
         for bucket in orders:
