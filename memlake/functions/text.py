@@ -143,3 +143,67 @@ def strip_noise(text: Column, banners: tuple[str, ...] = ()) -> Column:
     text = F.regexp_replace(text, rf"(?m)^(?:> )?(?:{lines})[^\n]*\n?", "")
     text = F.regexp_replace(text, r"\s*\[[0-9]+\s+tokens?\]\s*\(ctrl\+o to expand\)", "")
     return strip(F.regexp_replace(text, "\n{4,}", "\n\n\n"))
+
+
+# --- queries and answers ---------------------------------------------------------------------------------------------
+
+#: Lengths up to which a query is taken as it is, is not trimmed, and below which a part is no query.
+SAFE_QUERY, LONGEST_QUERY, SHORTEST_QUERY = 200, 250, 10
+_ENDS = "[.!?。！？\n]+"
+
+
+def _last(parts: Column) -> Column:
+    return F.try_element_at(parts, F.lit(-1))
+
+
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _unwrapped(x: Column) -> Column:
+    return F.when(F.rlike(x, F.lit(r"""(?s)^(["']).*\1$""")) & (F.length(x) >= 2), strip(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+
+
+def unquoted(x: Column) -> Column:
+    """Without wrapping quotes (up to four layers), then without one that is left at either end."""
+    x = F.aggregate(F.array(*map(F.lit, range(4))), strip(x), lambda y, _: _unwrapped(y))
+    return strip(F.regexp_replace(strip(F.regexp_replace(x, r"""^["']""", "")), r"""["']$""", ""))
+
+
+def _trimmed(x: Column) -> Column:
+    def cut(y: Column) -> Column:
+        parts = F.filter(F.transform(F.split(y, _ENDS), unquoted), lambda p: F.length(p).between(SHORTEST_QUERY, LONGEST_QUERY))
+        return F.when(F.length(y) <= LONGEST_QUERY, y).otherwise(F.coalesce(_last(parts), strip(F.right(y, F.lit(LONGEST_QUERY)))))
+
+    return let(unquoted(x), cut)
+
+
+def sanitize_query(raw: Column) -> Column:
+    """struct(clean_query, method): short ones as they are, else the last question, else the last part, else the end."""
+    made = lambda x, method: F.struct(x.alias("clean_query"), F.lit(method).alias("method"))
+
+    def chosen(v: Column) -> Column:
+        q, question, tail = v["q"], v["question"], v["tail"]
+        return (
+            F.when(F.length(q) <= SAFE_QUERY, made(q, "passthrough"))
+            .when(F.length(question) >= SHORTEST_QUERY, F.when(F.length(question) > LONGEST_QUERY, made(_trimmed(question), "question_extraction")).otherwise(made(question, "question_extraction")))
+            .when(tail.isNotNull(), made(tail, "tail_sentence"))
+            .otherwise(made(strip(F.right(q, F.lit(LONGEST_QUERY))), "tail_truncation"))
+        )
+
+    def parts(q: Column) -> Column:
+        def of(lines: Column) -> Column:
+            question = _last(F.filter(lines, lambda s: F.rlike(s, F.lit(r"""[?？]\s*["']?\s*$"""))))
+            tail = _last(F.filter(F.transform(F.filter(lines, lambda s: F.length(s) >= SHORTEST_QUERY), _trimmed), lambda s: F.length(s) >= SHORTEST_QUERY))
+            return F.struct(q.alias("q"), question.alias("question"), tail.alias("tail"))
+
+        return let(F.filter(F.transform(F.split(q, "\n"), strip), lambda s: F.length(s) > 0), of)
+
+    return let(let(strip(F.coalesce(raw, F.lit(""))), parts), chosen)
+
+
+def normalised_answer(answer: Column) -> Column:
+    """Without commas, articles and ASCII punctuation, one space between words, lower case."""
+    words = F.regexp_replace(F.regexp_replace(F.replace(answer, F.lit(","), F.lit("")), r"\b(?:a|an|the|and)\b", " "), r"\s+", " ")
+    return F.trim(F.lower(F.regexp_replace(words, r"[!-/:-@\[-`{-~]", "")))

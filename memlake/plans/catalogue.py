@@ -730,6 +730,49 @@ def rate_window_60s(s, d):
     return incremental.rate_windows(read(s, d, "events"), "user_id", "ts")
 
 
+# --- queries, answers, sessions --------------------------------------------------------------------------------------
+
+TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""WITH {D}, p AS (SELECT id, {TRIM.format(x="document || CASE WHEN id % 2 = 0 THEN chr(10) || 'Where is it kept?' ELSE '' END")} AS q FROM d),
+ l AS (SELECT id, q, list_filter([{TRIM.format(x='z')} FOR z IN string_split(q, chr(10))], lambda y: len(y) >= 10)[-1] AS s FROM p),
+ f AS (SELECT id, q, s, list_filter([{TRIM.format(x='z')} FOR z IN string_split_regex(s, '[.!?。！？' || chr(10) || ']+')], lambda y: len(y) BETWEEN 10 AND 250)[-1] AS frag FROM l)
+ SELECT id, CASE WHEN len(q) <= 200 THEN q WHEN id % 2 = 0 THEN 'Where is it kept?' WHEN s IS NULL THEN {TRIM.format(x='right(q, 250)')} WHEN len(s) <= 250 THEN s ELSE coalesce(frag, {TRIM.format(x='right(s, 250)')}) END AS clean_query,
+ CASE WHEN len(q) <= 200 THEN 'passthrough' WHEN id % 2 = 0 THEN 'question_extraction' WHEN s IS NULL THEN 'tail_truncation' ELSE 'tail_sentence' END AS method FROM f WHERE NOT regexp_matches(q, '["''?？]') OR id % 2 = 0""")
+def query_sanitize(s, d):
+    # Quotes and questions within the texts are left to the unit tests.
+    rows = drawers(s, d).where((F.col("id") % 2 == 0) | ~F.rlike("document", F.lit("[\"'?？]")))
+    raw = F.concat("document", F.when(F.col("id") % 2 == 0, "\nWhere is it kept?").otherwise(""))
+    c = text.sanitize_query(raw)
+    return rows.select("id", c["clean_query"].alias("clean_query"), c["method"].alias("method"))
+
+
+@query(r"""SELECT conv_id, turn, trim(lower(regexp_replace(regexp_replace(regexp_replace(replace(text, ',', ''), '\b(?:a|an|the|and)\b', ' ', 'g'), '\s+', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g'))) AS answer FROM conversations WHERE regexp_matches(text, '^[ -~\n]*$')""")
+def answer_normalise(s, d):
+    rows = read(s, d, "conversations").where(F.rlike("text", F.lit(r"\A[ -~\n]*\z")))
+    return rows.select("conv_id", "turn", text.normalised_answer(F.col("text")).alias("answer"))
+
+
+@query(f"WITH {G} SELECT room, CASE WHEN contains(room, 'src1') THEN 1.0 ELSE 0.5 END AS score FROM g WHERE contains(room, 'src1') ORDER BY score DESC, room LIMIT 5")
+def fuzzy_rooms(s, d):
+    return graph.fuzzy_rooms(graph.nodes(drawers(s, d)), "src1").select("room", "score")
+
+
+@query(f"""WITH {K}, c AS (SELECT DISTINCT subject, predicate, object FROM t WHERE subject IN ('u1', 'u2', 'u3')), e AS (SELECT subject, predicate, object, max(coalesce(valid_to, '9999-12-31')) AS valid_to FROM t GROUP BY 1, 2, 3)
+ SELECT c.*, e.valid_to FROM c JOIN e USING (subject, predicate, object) WHERE e.valid_to < '2024-06-01'""")
+def fact_stale(s, d):
+    t = triples(s, d)
+    claims = t.where("subject in ('u1', 'u2', 'u3')").select("subject", "predicate", "object").distinct()
+    return kg.stale(claims, t, "2024-06-01").select("subject", "predicate", "object", "valid_to")
+
+
+@query("SELECT conv_id, turn, CAST(count_if(text LIKE 'T%') OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS session FROM conversations")
+def session_split(s, d):
+    rows = transcript.sessions(read(s, d, "conversations"), "^T", "conv_id", "turn", "text")
+    return rows.select("conv_id", "turn", "session")
+
+
 # --- plain relational ------------------------------------------------------------------------------------------------
 
 

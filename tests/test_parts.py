@@ -102,3 +102,17 @@ def test_text_functions(spark):
         classify.keyword_class(F.lit("the code is alive and real"), classify.HALLS, "general").alias("h"),
     ).first()
     assert (row.n, row.s, row.i, row.d, row.e, row.h) == ("a\nb", "obrien_co", "obrien_co", None, "2024-02-29", "consciousness")
+
+
+def test_sanitize_query(spark):
+    def clean(q):
+        r = spark.range(1).select(text.sanitize_query(F.lit(q)).alias("c")).first().c
+        return r.clean_query, r.method
+
+    assert clean("  short?  ") == ("short?", "passthrough")
+    assert clean(None) == ("", "passthrough")
+    assert clean("x " * 150 + "\nWhat is \"it\" called?\nthanks") == ('What is "it" called?', "question_extraction")
+    assert clean("word " * 60 + "\n'\"the last line here\"'") == ("the last line here", "tail_sentence")
+    assert clean("ab\n" * 90)[1] == "tail_truncation"
+    row = spark.range(1).select(text.normalised_answer(F.lit("The cat, and a Dog's  tail.")).alias("a")).first()
+    assert row.a == "the cat dogs tail"
