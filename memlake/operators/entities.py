@@ -1,0 +1,121 @@
+"""Names in texts: whether a capitalised word is a person or a project."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Signals of English texts, {name} stands for the candidate.
+DIALOGUE = [r"^>\s*{name}[:\s]", r"^{name}:\s", r"^\[{name}\]", r'"{name}\s+said']
+PERSON_VERBS = [
+    r"\b{name}\s+said\b",
+    r"\b{name}\s+asked\b",
+    r"\b{name}\s+told\b",
+    r"\b{name}\s+replied\b",
+    r"\b{name}\s+laughed\b",
+    r"\b{name}\s+smiled\b",
+    r"\b{name}\s+cried\b",
+    r"\b{name}\s+felt\b",
+    r"\b{name}\s+thinks?\b",
+    r"\b{name}\s+wants?\b",
+    r"\b{name}\s+loves?\b",
+    r"\b{name}\s+hates?\b",
+    r"\b{name}\s+knows?\b",
+    r"\b{name}\s+decided\b",
+    r"\b{name}\s+pushed\b",
+    r"\b{name}\s+wrote\b",
+    r"\bhey\s+{name}\b",
+    r"\bthanks?\s+{name}\b",
+    r"\bhi\s+{name}\b",
+    r"\bdear\s+{name}\b",
+]
+DIRECT = [r"\bhey\s+{name}\b|\bthanks?\s+{name}\b|\bhi\s+{name}\b"]
+PRONOUNS = r"\b(she|her|hers|he|him|his|they|them|their)\b"
+PROJECT_VERBS = [
+    r"\bbuilding\s+{name}\b",
+    r"\bbuilt\s+{name}\b",
+    r"\bship(?:ping|ped)?\s+{name}\b",
+    r"\blaunch(?:ing|ed)?\s+{name}\b",
+    r"\bdeploy(?:ing|ed)?\s+{name}\b",
+    r"\binstall(?:ing|ed)?\s+{name}\b",
+    r"\bthe\s+{name}\s+architecture\b",
+    r"\bthe\s+{name}\s+pipeline\b",
+    r"\bthe\s+{name}\s+system\b",
+    r"\bthe\s+{name}\s+repo\b",
+    r"\b{name}\s+v\d+\b",
+    r"\b{name}\.py\b",
+    r"\b{name}-core\b",
+    r"\b{name}-local\b",
+    r"\bimport\s+{name}\b",
+    r"\bpip\s+install\s+{name}\b",
+]
+VERSIONED = [r"\b{name}[-v]\w+"]
+CODE = [r"\b{name}\.(py|js|ts|yaml|yml|json|sh)\b"]
+#: Signals by kind; the other locale's lists can take their place.
+ENGLISH = {"dialogue": DIALOGUE, "action": PERSON_VERBS, "addressed": DIRECT, "verb": PROJECT_VERBS, "versioned": VERSIONED, "code": CODE}
+#: Points a match gives.
+POINTS = {"dialogue": 3, "action": 2, "pronoun": 2, "addressed": 4, "verb": 2, "versioned": 3, "code": 3}
+PERSON, PROJECT = ("dialogue", "action", "pronoun", "addressed"), ("verb", "versioned", "code")
+#: Lines before and after a name in which a pronoun counts.
+NEAR = 2
+#: The report's length by type.
+MOST = {"person": 15, "project": 10, "uncertain": 8}
+
+
+def signals(docs: DataFrame, names: DataFrame, key: str = "id", text: str = "document", patterns: dict[str, list[str]] = ENGLISH) -> DataFrame:
+    """(word, one count for each kind of signal) over the documents that hold a name of *names* (word).
+
+    Documents meet names by their own capitalised words, an equality join; patterns then run on such pairs alone. A
+    pronoun counts once for each line that holds the name. Names without a document have no row.
+    """
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}])(\p{Lu}\p{Ll}+)"), 1))
+    met = docs.select(key, F.explode(words).alias("word")).join(names.select("word").distinct(), "word")
+    pairs = met.join(docs.select(key, F.col(text).alias("__t")), key)
+
+    def count(template: str, flags: str) -> Column:
+        head, *rest = template.split("{name}")
+        parts = [F.lit(flags + head)]
+        for r in rest:
+            parts += [F.col("word"), F.lit(r)]
+        return F.regexp_count("__t", F.concat(*parts))
+
+    counts = {k: reduce(lambda a, b: a + b, [count(t, "(?im)" if k == "dialogue" else "(?i)") for t in ts]) for k, ts in patterns.items()}
+    lines = F.split("__t", "\n")
+    has = lambda x: F.contains(F.lower(x), F.lower(F.col("word")))
+    flags = F.transform(lines, lambda x: F.rlike(x, F.lit("(?i)" + PRONOUNS)))
+    near = F.filter(F.transform(lines, lambda x, i: F.struct(has(x).alias("a"), F.exists(F.slice(F.col("__p"), F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR)) + NEAR + 1), lambda y: y).alias("b"))), lambda x: x["a"] & x["b"])
+    each = pairs.withColumn("__p", flags).select("word", *[c.alias(k) for k, c in counts.items()], F.size(near).alias("pronoun"))
+    return each.groupBy("word").agg(*[F.sum(k).alias(k) for k in POINTS])
+
+
+def classify(candidates: DataFrame, of: DataFrame) -> DataFrame:
+    """(word, n, person_score, project_score, type, confidence) of candidates (word, n) with their signals.
+
+    A person needs seven tenths of the points, five points and two kinds of signals; a project at most three tenths for
+    a person. Without any signal confidence grows with the count up to 0.4.
+    """
+    rows = candidates.join(of, "word", "left").fillna(0, list(POINTS))
+    total = lambda kinds: reduce(lambda a, b: a + b, [F.col(k) * POINTS[k] for k in kinds])
+    kinds = reduce(lambda a, b: a + b, [(F.col(k) > 0).cast("int") for k in PERSON])
+    rows = rows.select("word", "n", total(PERSON).alias("person_score"), total(PROJECT).alias("project_score"), kinds.alias("__kinds"))
+    ratio = F.col("person_score") / (F.col("person_score") + F.col("project_score"))
+    none = F.col("person_score") + F.col("project_score") == 0
+    sure = (F.col("__kinds") >= 2) & (F.col("person_score") >= 5)
+    kind = F.when(none, "uncertain").when((ratio >= 0.7) & sure, "person").when(ratio >= 0.7, "uncertain").when(ratio <= 0.3, "project").otherwise("uncertain")
+    confidence = (
+        F.when(none, F.least(F.lit(0.4), F.col("n") / 50))
+        .when((ratio >= 0.7) & sure, F.least(F.lit(0.99), 0.5 + ratio * 0.5))
+        .when(ratio >= 0.7, F.lit(0.4))
+        .when(ratio <= 0.3, F.least(F.lit(0.99), 0.5 + (1 - ratio) * 0.5))
+        .otherwise(0.5)
+    )
+    return rows.withColumn("type", kind).withColumn("confidence", F.floor(confidence * 100 + 0.5) / 100).drop("__kinds")
+
+
+def report(classified: DataFrame) -> DataFrame:
+    """The surest of each type: at most 15 people, 10 projects and 8 uncertain names, ties by count and name."""
+    w = Window.partitionBy("type").orderBy(F.col("confidence").desc(), F.col("n").desc(), "word")
+    most = F.create_map(*[F.lit(x) for pair in MOST.items() for x in pair])
+    return classified.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most[F.col("type")])
