@@ -75,3 +75,12 @@ def newest(df: DataFrame, k: int, by: str, tie: str = "id") -> DataFrame:
 def taxonomy(df: DataFrame, *levels: str) -> DataFrame:
     """Counts by levels; a missing name counts as unknown."""
     return df.groupBy(*[F.coalesce(level, F.lit("unknown")).alias(level) for level in levels]).agg(F.count("*").alias("n"))
+
+
+def unreadable(ids: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """Ids on record without a readable row: absent, or with a null document."""
+    return ids.select(key).distinct().join(rows.where("document is not null").select(key), key, "left_anti")
+
+
+def prune(rows: DataFrame, bad: DataFrame, key: str = "id") -> DataFrame:
+    return rows.join(bad.select(key), key, "left_anti")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import strip, tokens
 
 
 def recall(ranked: DataFrame, k: int) -> DataFrame:
@@ -39,3 +39,29 @@ def kendall_tau(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     pairs = left.join(right, (F.col("l.qid") == F.col("r.qid")) & (F.col(f"l.{key}") < F.col(f"r.{key}")))
     sign = F.signum((F.col("l.ra") - F.col("r.ra")).cast("double")) * F.signum((F.col("l.rb") - F.col("r.rb")).cast("double"))
     return pairs.groupBy(F.col("l.qid").alias("qid")).agg((F.sum(sign) / F.count("*")).alias("tau"), F.count("*").alias("pairs"))
+
+
+def evidence_recall(evidence: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(qid, recall): the share of each question's evidence ids (qid, evidence array) among the retrieved rows (qid, id); 1 without evidence."""
+    want = evidence.select("qid", F.explode(F.array_distinct("evidence")).alias("id"))
+    met = want.join(retrieved.select("qid", "id").distinct().withColumn("__hit", F.lit(1)), ["qid", "id"], "left").groupBy("qid").agg(F.avg(F.coalesce("__hit", F.lit(0))).alias("r"))
+    return evidence.select("qid").join(met, "qid", "left").select("qid", F.coalesce("r", F.lit(1.0)).alias("recall"))
+
+
+def evidence_sessions(evidence: Column) -> Column:
+    """Sessions of dialog ids such as D3:7."""
+    numbers = F.transform(evidence, lambda e: F.regexp_extract(e, r"^D(\d+):", 1))
+    return F.array_distinct(F.transform(F.filter(numbers, lambda n: n != ""), lambda n: F.concat(F.lit("session_"), n)))
+
+
+def message_recall(evidence: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(qid, recall): the share of evidence texts that hold, or lie within, a retrieved text of the question, case aside."""
+    clean = lambda df, name: df.select("qid", F.lower(strip(F.col("text"))).alias(name)).distinct()
+    found = F.contains("e", F.col("t")) | F.contains("t", F.col("e"))
+    pairs = clean(evidence, "e").join(clean(retrieved, "t"), "qid", "left").groupBy("qid", "e").agg(F.max(F.coalesce(found, F.lit(False)).cast("int")).alias("hit"))
+    return pairs.groupBy("qid").agg(F.avg("hit").alias("recall"))
+
+
+def held_out(key: Column, share: int = 10) -> Column:
+    """Whether a key belongs to the held-out nine of ten (1 - 1/share), by its digest; the same at any size and order."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % share != 0

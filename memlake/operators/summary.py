@@ -88,6 +88,8 @@ June July August September October November December""".split()
 #: Characters of a text that topic lines look at, and of one closet.
 WINDOW, CLOSET = 5000, 1500
 TOPIC_WORD = r"[a-zA-Z][a-zA-Z_-]{2,}"
+#: Whole words of any script, and those that may be names; engines differ in what they take for a word's boundary.
+WORD, NAME = r"[\p{L}\p{N}_]+", "^[A-Z][a-z]{1,19}$"
 HEADER = r"(?m)^#{1,3}\s+(.{5,60})$"
 
 
@@ -180,7 +182,7 @@ def topic_lines(docs: DataFrame, key: str = "id", text: str = "document", drawer
     more, the first among equals. All this looks at the first 5,000 characters, as the feature says.
     """
     rows = docs.withColumn("__t", F.substring(F.coalesce(F.col(text), F.lit("")), 1, WINDOW))
-    words = rows.select(key, F.posexplode(F.regexp_extract_all("__t", F.lit(r"\b([A-Z][a-z]{1,19})\b"), 1)).alias("i", "w")).where(~F.col("w").isin(NO_NAMES))
+    words = rows.select(key, F.posexplode(F.regexp_extract_all("__t", F.lit(WORD), 0)).alias("i", "w")).where(F.rlike("w", F.lit(NAME)) & ~F.col("w").isin(NO_NAMES))
     frequent = top(words.groupBy(key, "w").agg(F.count("*").alias("n"), F.min("i").alias("i")).where("n >= 2"), 5, [F.col("n").desc(), F.col("i")], [key])
     named = frequent.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "w"))), lambda t: t["w"]), ";").alias("__names"))
     heads = F.transform(F.regexp_extract_all("__t", F.lit(HEADER), 1), lambda x: F.lower(strip(x)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, graph, incremental, kg, metrics, near_dup, search, transcript
+from ..operators import classify, collection, context, entities as naming, graph, incremental, kg, metrics, near_dup, search, summary, transcript
+from ..sources import rooms
 from .tables import D, K, V, drawers, entities, read, triples, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -436,13 +437,13 @@ def edit_distance_confusion(s, d):
     return kg.confusable(m, read(s, d, "customer").select(F.col("c_name").alias("name")))
 
 
-CLAIMS = "c AS (SELECT DISTINCT subject, object, 'purchase' AS predicate FROM t WHERE subject IN ('u1', 'u2', 'u3', 'u4'))"
+CLAIMS = "c AS (SELECT DISTINCT subject, object, 'purchase' AS predicate FROM t)"
 
 
 @query(f"WITH {K}, {CLAIMS} SELECT DISTINCT c.subject, c.object, c.predicate, t.predicate AS known FROM c JOIN t ON t.subject = c.subject AND t.object = c.object AND t.predicate <> c.predicate WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.subject = c.subject AND x.object = c.object AND x.predicate = c.predicate)")
 def fact_mismatch(s, d):
     t = triples(s, d)
-    claims = t.where("subject in ('u1', 'u2', 'u3', 'u4')").select("subject", "object", F.lit("purchase").alias("predicate")).distinct()
+    claims = t.select("subject", "object", F.lit("purchase").alias("predicate")).distinct()
     return kg.mismatches(claims, t).select("subject", "object", "predicate", "known")
 
 
@@ -759,11 +760,11 @@ def fuzzy_rooms(s, d):
     return graph.fuzzy_rooms(graph.nodes(drawers(s, d)), "src1").select("room", "score")
 
 
-@query(f"""WITH {K}, c AS (SELECT DISTINCT subject, predicate, object FROM t WHERE subject IN ('u1', 'u2', 'u3')), e AS (SELECT subject, predicate, object, max(coalesce(valid_to, '9999-12-31')) AS valid_to FROM t GROUP BY 1, 2, 3)
+@query(f"""WITH {K}, c AS (SELECT DISTINCT subject, predicate, object FROM t), e AS (SELECT subject, predicate, object, max(coalesce(valid_to, '9999-12-31')) AS valid_to FROM t GROUP BY 1, 2, 3)
  SELECT c.*, e.valid_to FROM c JOIN e USING (subject, predicate, object) WHERE e.valid_to < '2024-06-01'""")
 def fact_stale(s, d):
     t = triples(s, d)
-    claims = t.where("subject in ('u1', 'u2', 'u3')").select("subject", "predicate", "object").distinct()
+    claims = t.select("subject", "predicate", "object").distinct()
     return kg.stale(claims, t, "2024-06-01").select("subject", "predicate", "object", "valid_to")
 
 
@@ -773,6 +774,155 @@ def session_split(s, d):
     return rows.select("conv_id", "turn", "session")
 
 
+# --- names, summaries, topic lines ----------------------------------------------------------------------------------
+
+#: Sentences put before a text by its id, so that signals occur.
+SAID = ["Anna said she was late.\nThanks Anna, hey Anna\nfor Anna:\n", "we built Vesper\nVesper v2 is out\nsee Vesper.py and Vesper-core\n", "Tully: hm\n> Tully asked them\nTully and the Tully system\n", ""]
+MORE = ["We decided on the api because it was important. I love it.\n# Plan of the week\n", 'fixed the broken thing; "it is a turning point for us all" he told\n', ""]
+
+
+def _before(i: str, x: str, texts: list[str]) -> str:
+    q = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"CASE {i} % {len(texts)} " + " ".join(f"WHEN {k} THEN {q(t)}" for k, t in enumerate(texts)) + f" END || {x}"
+
+
+def _put_before(i, x, texts: list[str]):
+    return F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.col(i) % len(texts) + 1).cast("int")), F.col(x))
+
+
+def _counts() -> str:
+    def one(kind: str, t: str) -> str:
+        flags = "(?im)" if kind == "dialogue" else "(?i)"
+        body = (flags + t).replace("'", "''").replace("{name}", "' || word || '")
+        return f"len(regexp_extract_all(t, '{body}'))"
+
+    return ", ".join("sum(" + " + ".join(one(k, t) for t in ts) + f") AS {k}" for k, ts in naming.ENGLISH.items())
+
+
+NAMES_SQL = f"""p AS (SELECT conv_id, turn, {_before('conv_id', 'text', SAID)} AS t FROM conversations),
+ w AS (SELECT conv_id, turn, t, unnest(regexp_extract_all(t, '(?:^|[^\\p{{L}}])(\\p{{Lu}}\\p{{Ll}}+)', 1)) AS word FROM p), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 3),
+ m AS (SELECT DISTINCT conv_id, turn, t, word, string_split(t, chr(10)) AS l FROM w JOIN c USING (word)),
+ g AS (SELECT word, {_counts()}, sum(len(list_filter(l, lambda x, i: contains(lower(x), lower(word)) AND len(list_filter(l[greatest(i - 2, 1):i + 2], lambda y: regexp_matches(y, '(?i){naming.PRONOUNS}'))) > 0))) AS pronoun FROM m GROUP BY 1)"""
+
+
+@query(f"WITH {NAMES_SQL} SELECT word, dialogue, action, pronoun, addressed, verb, versioned, code FROM g")
+def entity_signals(s, d):
+    rows = read(s, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), _put_before("conv_id", "text", SAID).alias("document"))
+    return naming.signals(rows, classify.entity_candidates(rows))
+
+
+@query(f"""WITH {NAMES_SQL}, z AS (SELECT c.word, c.n, 3 * dialogue + 2 * action + 2 * pronoun + 4 * addressed AS ps, 2 * verb + 3 * versioned + 3 * code AS js, CAST(dialogue > 0 AS INT) + CAST(action > 0 AS INT) + CAST(pronoun > 0 AS INT) + CAST(addressed > 0 AS INT) AS k FROM c JOIN g USING (word)),
+ y AS (SELECT *, CASE WHEN ps + js = 0 THEN NULL ELSE ps / CAST(ps + js AS DOUBLE) END AS r FROM z)
+ SELECT word, n, ps AS person_score, js AS project_score, CASE WHEN r IS NULL THEN 'uncertain' WHEN r >= 0.7 THEN CASE WHEN k >= 2 AND ps >= 5 THEN 'person' ELSE 'uncertain' END WHEN r <= 0.3 THEN 'project' ELSE 'uncertain' END AS type,
+ floor(CASE WHEN r IS NULL THEN least(0.4, n / 50.0) WHEN r >= 0.7 THEN CASE WHEN k >= 2 AND ps >= 5 THEN least(0.99, 0.5 + r * 0.5) ELSE 0.4 END WHEN r <= 0.3 THEN least(0.99, 0.5 + (1 - r) * 0.5) ELSE 0.5 END * 100 + 0.5) / 100 AS confidence FROM y""")
+def entity_types(s, d):
+    rows = read(s, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), _put_before("conv_id", "text", SAID).alias("document"))
+    candidates = classify.entity_candidates(rows)
+    return naming.classify(candidates, naming.signals(rows, candidates))
+
+
+def _first_codes_sql(x: str, words: dict[str, str]) -> str:
+    pos = {v: "CASE " + " ".join(f"WHEN contains(lower({x}), '{k}') THEN {i}" for i, (k, w) in enumerate(words.items()) if w == v) + " END" for v in dict.fromkeys(words.values())}
+    pairs = ", ".join(f"{{'p': {e}, 'v': '{v}'}}" for v, e in pos.items())
+    return f"list_transform(list_sort(list_filter([{pairs}], lambda c: c.p IS NOT NULL)), lambda c: c.v)[1:3]"
+
+
+FILL = ", ".join(f"'{w}'" for w in summary.FILLER)
+WEIGH = " + ".join(f"2 * CAST(contains(lower(x), '{w}') AS INT)" for w in summary.DECISIVE)
+COMPRESS_SQL = rf"""{D}, p AS (SELECT id, wing, room, occurred_at, source_file, {_before('id', 'document', MORE)} AS t FROM d),
+ tw AS (SELECT id, unnest(regexp_extract_all(t, '{summary.TOPIC_WORD}')) AS w, generate_subscripts(regexp_extract_all(t, '{summary.TOPIC_WORD}'), 1) AS i FROM p),
+ tc AS (SELECT id, lower(w) AS w, sum(1 + 2 * CAST(regexp_matches(w, '^[A-Z]') AS INT) + 2 * CAST(regexp_matches(w, '[_-]|^.+[A-Z]') AS INT)) AS x, min(i) AS i FROM tw WHERE lower(w) NOT IN ({FILL}) GROUP BY 1, 2),
+ tr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, i) AS r FROM tc), tt AS (SELECT id, string_agg(w, '_' ORDER BY r) AS topics FROM tr WHERE r <= 3 GROUP BY 1),
+ nm AS (SELECT id, list_filter(list_transform(string_split_regex({TRIM.format(x='t')}, '\s+')[2:], lambda w: regexp_replace(w, '[^a-zA-Z]', '', 'g')), lambda w: regexp_matches(w, '^[A-Z][a-z]+$') AND lower(w) NOT IN ({FILL})) AS ws FROM p),
+ nu AS (SELECT id, upper(substring(unnest(ws), 1, 3)) AS c, generate_subscripts(ws, 1) AS i FROM nm), nd AS (SELECT id, c, min(i) AS i FROM nu GROUP BY 1, 2), nr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM nd),
+ ns AS (SELECT id, string_agg(c, '+' ORDER BY i) AS names FROM nr WHERE r <= 3 GROUP BY 1),
+ ks AS (SELECT id, [{TRIM.format(x='z')} FOR z IN string_split_regex(t, '[.!?\n]+') IF len({TRIM.format(x='z')}) > 10] AS a FROM p), ku AS (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM ks),
+ kr AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY {WEIGH} + CASE WHEN len(x) < 40 THEN 2 WHEN len(x) < 80 THEN 1 WHEN len(x) > 150 THEN -2 ELSE 0 END DESC, i) AS r FROM ku), kk AS (SELECT id, CASE WHEN len(x) > 55 THEN substring(x, 1, 52) || '...' ELSE x END AS x FROM kr WHERE r = 1),
+ fe AS (SELECT id, array_to_string({_first_codes_sql('t', summary.FEELINGS)}, '+') AS f, array_to_string({_first_codes_sql('t', summary.FLAGS)}, '+') AS g FROM p),
+ su AS (SELECT p.id, p.t, wing || '|' || room || '|' || occurred_at || '|' || source_file || chr(10) || concat_ws('|', '0:' || coalesce(names, '???'), coalesce(topics, 'misc'), '"' || x || '"', CASE WHEN f <> '' THEN f END, CASE WHEN g <> '' THEN g END) AS summary
+  FROM p LEFT JOIN tt USING (id) LEFT JOIN ns USING (id) LEFT JOIN kk USING (id) LEFT JOIN fe USING (id))"""
+
+
+def _compressed(s, d):
+    return summary.compress(drawers(s, d).withColumn("document", _put_before("id", "document", MORE)))
+
+
+@query(f"WITH {COMPRESS_SQL} SELECT id, summary FROM su")
+def summary_lines(s, d):
+    return _compressed(s, d).select("id", "summary")
+
+
+def _tokens_sql(x: str) -> str:
+    t = TRIM.format(x=x)
+    return rf"CAST(sum(greatest(1, CAST(floor(CASE WHEN {t} = '' THEN 0 ELSE len(string_split_regex({t}, '\s+')) END * 1.3::DOUBLE) AS INTEGER))) AS BIGINT)"
+
+
+@query(f"WITH {COMPRESS_SQL} SELECT count(*) AS n, {_tokens_sql('t')} AS original_tokens, {_tokens_sql('summary')} AS summary_tokens, CAST(sum(len(t)) AS BIGINT) AS original_chars, CAST(sum(len(summary)) AS BIGINT) AS summary_chars FROM su")
+def summary_totals(s, d):
+    return summary.compression_totals(_compressed(s, d))
+
+
+@query(rf"""WITH {D}, p AS (SELECT id, wing, room, source_file, substring({_before('id', 'document', MORE)}, 1, 5000) AS t FROM d),
+ e AS (SELECT id, unnest(regexp_extract_all(t, '{summary.WORD}')) AS w, generate_subscripts(regexp_extract_all(t, '{summary.WORD}'), 1) AS i FROM p),
+ ec AS (SELECT id, w, count(*) AS n, min(i) AS i FROM e WHERE regexp_matches(w, '{summary.NAME}') AND w NOT IN ({", ".join(f"'{w}'" for w in summary.NO_NAMES)}) GROUP BY 1, 2 HAVING count(*) >= 2), er AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, i) AS r FROM ec),
+ es AS (SELECT id, string_agg(w, ';' ORDER BY r) AS names FROM er WHERE r <= 5 GROUP BY 1),
+ a AS (SELECT id, wing, room, source_file, [lower({TRIM.format(x='z')}) FOR z IN regexp_extract_all(t, '{classify.ACTIONS}', 1) || regexp_extract_all(t, '{summary.HEADER}', 1)] AS a, ['"' || z || '"' FOR z IN regexp_extract_all(t, '{classify.QUOTES}', 1)[1:3]] AS q FROM p),
+ u AS (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM a), f AS (SELECT id, x, min(i) AS i FROM u GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM f), t12 AS (SELECT id, list(x ORDER BY r) AS a FROM k WHERE r <= 12 GROUP BY 1),
+ b AS (SELECT a.id, wing, room, source_file, coalesce(t12.a, []) || q AS b FROM a LEFT JOIN t12 USING (id)), z AS (SELECT id, CASE WHEN len(b) > 0 THEN b ELSE [wing || '/' || room || '/' || source_file] END AS b FROM b),
+ y AS (SELECT id, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS position FROM z) SELECT id, position, x || '|' || coalesce(names, '') || '|→' || id || ',' || (id + 1) AS line FROM y LEFT JOIN es USING (id)""")
+def topic_lines(s, d):
+    rows = drawers(s, d).withColumn("document", _put_before("id", "document", MORE))
+    return summary.topic_lines(rows.withColumn("drawer_ids", F.array("id", F.col("id") + 1)))
+
+
+@query()
+def closet_pack(s, d):
+    rows = drawers(s, d).withColumn("document", _put_before("id", "document", MORE))
+    return summary.closets(summary.topic_lines(rows.withColumn("drawer_ids", F.array("id", F.col("id") + 1))))
+
+
+# --- sessions, rooms of projects, more metrics -----------------------------------------------------------------------
+
+REFUSING = ["I'm sorry, but I can't do that. ", "The request was denied: ", ""]
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_before('conv_id', 'text', REFUSING)} AS t FROM conversations WHERE role = 'assistant' AND text <> ''), l AS (SELECT conv_id, max_by(t, turn) AS t FROM p GROUP BY 1),
+ m AS (SELECT conv_id, t, list_filter([{", ".join("CASE WHEN regexp_matches(t, '(?i){0}') THEN '{0}' END".format(p.replace("'", "''")) for p in transcript.REFUSALS)}], lambda x: x IS NOT NULL) AS m FROM l)
+ SELECT conv_id, array_to_string(m, ' ') AS matched, CASE WHEN len(t) > 500 THEN regexp_replace(substring(t, 1, 500), ' [^ ]*$', '') || ' ...' ELSE t END AS snippet FROM m WHERE len(m) > 0""")
+def refusal_log(s, d):
+    rows = read(s, d, "conversations").where("text <> ''").withColumn("text", _put_before("conv_id", "text", REFUSING))
+    return transcript.refusals(rows).withColumn("matched", F.array_join("matched", " "))
+
+
+PAGE = "regexp_extract(url, '^https?://[^/]+/(.*)$', 1)"
+
+
+@query(f"""WITH n AS (SELECT regexp_replace(lower(string_split({PAGE}, '/')[-1]), '[- ]', '_', 'g') AS name FROM pages UNION ALL SELECT regexp_replace(lower(p_name), '[- ]', '_', 'g') || '_design' FROM part),
+ k AS (SELECT unnest({_list(rooms.KEYWORDS)}) AS k, unnest({_list(rooms.KEYWORDS.values())}) AS room), c AS (SELECT room, count(*) AS n FROM n JOIN k ON contains(name, k) GROUP BY 1 HAVING count(*) >= 2)
+ SELECT room, n FROM (SELECT * FROM c ORDER BY n DESC, room LIMIT 6) UNION ALL SELECT 'general', 0 WHERE NOT EXISTS (SELECT 1 FROM c)""")
+def rooms_from_names(s, d):
+    paths = read(s, d, "pages").select(F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1).alias("path"))
+    return rooms.from_names(paths.union(read(s, d, "part").select(F.concat("p_name", F.lit("_design")))))
+
+
+@query(f"""WITH e AS (SELECT p_partkey AS qid, p_partkey % 3 AS n FROM part), r AS (SELECT l_partkey AS qid, l_linenumber AS id FROM lineitem)
+ SELECT qid, {SIX("CASE WHEN n = 0 THEN 1.0 ELSE (SELECT count(DISTINCT id) FROM r WHERE r.qid = e.qid AND id <= e.n) / CAST(n AS DOUBLE) END")} AS recall, hex8 % 10 <> 0 AS held_out FROM (SELECT *, CAST('0x' || substring(md5(CAST(qid AS VARCHAR)), 1, 8) AS BIGINT) AS hex8 FROM e) e""")
+def evidence_recall(s, d):
+    n = F.col("p_partkey") % 3
+    evidence = read(s, d, "part").select(F.col("p_partkey").alias("qid"), F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), n.cast("int"))).alias("evidence"))
+    found = read(s, d, "lineitem").select(F.col("l_partkey").alias("qid"), F.col("l_linenumber").cast("int").alias("id"))
+    out = metrics.evidence_recall(evidence, found)
+    return out.select("qid", r6(F.col("recall")).alias("recall"), metrics.held_out(F.col("qid")).alias("held_out"))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT conv_id AS qid, lower({TRIM.format(x='text')}) AS e FROM conversations WHERE role = 'user'), t AS (SELECT DISTINCT conv_id AS qid, lower({TRIM.format(x="CASE WHEN role = 'user' THEN substring(text, 1, 40) ELSE text END")}) AS t FROM conversations WHERE turn < 2),
+ h AS (SELECT qid, e, max(CAST(coalesce(contains(e, t) OR contains(t, e), FALSE) AS INT)) AS hit FROM e LEFT JOIN t USING (qid) GROUP BY 1, 2) SELECT qid, {SIX('avg(hit)')} AS recall FROM h GROUP BY 1""")
+def message_recall(s, d):
+    c = read(s, d, "conversations").withColumnRenamed("conv_id", "qid")
+    found = c.where("turn < 2").withColumn("text", F.when(F.col("role") == "user", F.substring("text", 1, 40)).otherwise(F.col("text")))
+    return metrics.message_recall(c.where("role = 'user'"), found).withColumn("recall", r6(F.col("recall")))
+
+
 # --- plain relational ------------------------------------------------------------------------------------------------
 
 

@@ -2,24 +2,74 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash, strip
+from . import ignore
 
-#: File types that are read, folders that are skipped, and the largest file in bytes.
-EXTENSIONS = (".txt", ".md", ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".yaml", ".yml", ".html", ".css", ".java", ".go", ".rs", ".rb", ".sh", ".csv", ".sql", ".toml")
-SKIPPED = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", "coverage")
+#: File types that are read, folders and files that are skipped, and the largest file in bytes.
+EXTENSIONS = (".txt", ".md", ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".jsonl", ".yaml", ".yml", ".html", ".css", ".java", ".go", ".rs", ".rb", ".sh", ".csv", ".sql", ".toml")
+SKIPPED = """.git node_modules __pycache__ .venv venv env dist build .next coverage .ruff_cache .mypy_cache .pytest_cache .cache .tox .nox
+.idea .vscode .ipynb_checkpoints .eggs htmlcov target""".split()
+SKIPPED_FILES = (".gitignore", "package-lock.json")
 LARGEST = 500 * 1024 * 1024
+LISTED = "path string, size long, mtime double"
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path relative to the folder, size, mtime) of every file below it, links aside.
+
+    Spark's own file source leaves out names that begin with "_" or ".", such as ignore files, so the names are listed here.
+    """
+    store, root = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    found = store.get_file_info(fs.FileSelector(root, recursive=True))
+    local = isinstance(store, fs.LocalFileSystem)
+    rows = [(os.path.relpath(f.path, root), f.size, f.mtime.timestamp()) for f in found if f.type == fs.FileType.File and not (local and os.path.islink(f.path))]
+    return spark.createDataFrame(rows, LISTED)
+
+
+def _read(files: DataFrame, path: str) -> DataFrame:
+    """Adds the content (UTF-8, invalid bytes replaced), read where the rows are, a file at a time."""
+    uri = path if "://" in path else os.path.abspath(path)
+
+    def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(uri)
+        for frame in frames:
+            for i in range(len(frame)):
+                one = frame.iloc[i : i + 1].copy()
+                with store.open_input_stream(f"{root}/{one.path.iloc[0]}", compression=None) as f:
+                    one["content"] = [f.read().decode("utf-8", "replace")]
+                yield one
+
+    return files.mapInPandas(mapped, LISTED + ", content string")
+
 
+def project_files(spark: SparkSession, path: str, respect_ignore: bool = True, include: list[str] | None = None) -> DataFrame:
+    """(source_file, mtime, content) of the readable files below a folder.
 
-def project_files(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, mtime, content) of the readable files below a folder."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    Left out are other file types, skipped names and folders, files over 500 MB and what ignore files name; what
+    *include* lists (files or folders, relative) comes back, whatever its type if it is the file itself.
+    """
+    files = listing(spark, path)
+    asked = ignore.force_included(F.col("path"), include or [])
     kind = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
+    exact = F.col("path").isin(*[x.strip().strip("/") for x in include or []])
     parts = F.split("path", "/")
-    kept = rows.where((F.col("length") <= LARGEST) & kind.isin(*EXTENSIONS) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
-    return kept.select(F.col("path").alias("source_file"), F.unix_micros("modificationTime").cast("double").__truediv__(1e6).alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    dull = F.exists(folders, lambda x: x.isin(*SKIPPED) | F.endswith(x, F.lit(".egg-info"))) | F.element_at(parts, -1).isin(*SKIPPED_FILES)
+    kept = files.where((F.col("size") <= LARGEST) & (kind.isin(*EXTENSIONS) | exact) & (~dull | asked))
+    if respect_ignore:
+        named = files.where(F.element_at(parts, -1) == ".gitignore")
+        base = F.regexp_replace("path", "/?[^/]*$", "")
+        kept = kept.join(ignore.ignored(kept, ignore.rules(_read(named, path).select(base.alias("base"), "content")), include), "path", "left_anti")
+    where = (path if "://" in path else os.path.abspath(path)).rstrip("/")
+    return _read(kept, path).select(F.concat(F.lit(where + "/"), F.col("path")).alias("source_file"), "mtime", "content")
 
 
 def diary_entries(files: DataFrame, wing: str) -> DataFrame:
