@@ -119,3 +119,87 @@ def report(classified: DataFrame) -> DataFrame:
     w = Window.partitionBy("type").orderBy(F.col("confidence").desc(), F.col("n").desc(), "word")
     most = F.create_map(*[F.lit(x) for pair in MOST.items() for x in pair])
     return classified.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most[F.col("type")])
+
+
+#: Fixed values: "X is Y's role" and "Y's role is X", with the places of subject, role and object.
+CLAIMS = {
+    r"(?:^|[^\p{L}\p{N}_])([A-Z][\p{L}\p{N}_-]+)\s+is\s+([A-Z][\p{L}\p{N}_-]+)'s\s+([a-z]{3,20})(?:$|[^\p{L}\p{N}_])": (1, 3, 2),
+    r"(?:^|[^\p{L}\p{N}_])([A-Z][\p{L}\p{N}_-]+)'s\s+([a-z]{3,20})\s+is\s+([A-Z][\p{L}\p{N}_-]+)": (3, 2, 1),
+}
+
+
+def claims(text: Column) -> Column:
+    """Array of (subject, predicate, object) that a text states in either form, the first form's claims first."""
+    def found(pattern: str, places: tuple[int, int, int]) -> Column:
+        part = lambda m, i: F.regexp_extract(m, pattern, i)
+        s, p, o = places
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.struct(part(m, s).alias("subject"), part(m, p).alias("predicate"), part(m, o).alias("object")))
+
+    return F.concat(*[found(p, places) for p, places in CLAIMS.items()])
+
+
+#: Contexts of a word that is a name, and of one that isn't.
+NAME_CONTEXTS = [
+    r"\b{name}\s+said\b",
+    r"\b{name}\s+told\b",
+    r"\b{name}\s+asked\b",
+    r"\b{name}\s+laughed\b",
+    r"\b{name}\s+smiled\b",
+    r"\b{name}\s+was\b",
+    r"\b{name}\s+is\b",
+    r"\b{name}\s+called\b",
+    r"\b{name}\s+texted\b",
+    r"\bwith\s+{name}\b",
+    r"\bsaw\s+{name}\b",
+    r"\bcalled\s+{name}\b",
+    r"\btook\s+{name}\b",
+    r"\bpicked\s+up\s+{name}\b",
+    r"\bdrop(?:ped)?\s+(?:off\s+)?{name}\b",
+    r"\b{name}(?:'s|s')\b",
+    r"\bhey\s+{name}\b",
+    r"\bthanks?\s+{name}\b",
+    r"^{name}[:\s]",
+    r"\bmy\s+(?:son|daughter|kid|child|brother|sister|friend|partner|colleague|coworker)\s+{name}\b",
+]
+WORD_CONTEXTS = [
+    r"\bhave\s+you\s+{name}\b",
+    r"\bif\s+you\s+{name}\b",
+    r"\b{name}\s+since\b",
+    r"\b{name}\s+again\b",
+    r"\bnot\s+{name}\b",
+    r"\b{name}\s+more\b",
+    r"\bwould\s+{name}\b",
+    r"\bcould\s+{name}\b",
+    r"\bwill\s+{name}\b",
+    r"(?:the\s+)?{name}\s+(?:of|in|at|for|to)\b",
+]
+
+
+def _contexts(word: Column, context: Column, templates: list[str]) -> Column:
+    def met(template: str) -> Column:
+        head, tail = template.split("{name}")
+        return F.rlike(context, F.concat(F.lit(head), F.lit(r"\Q"), word, F.lit(r"\E" + tail))).cast("int")
+
+    return reduce(lambda a, b: a + b, [met(t) for t in templates])
+
+
+def lookup(words: DataFrame, registry: DataFrame) -> DataFrame:
+    """(word, type, confidence, source, name) for rows (word, context) and a registry (name, kind, alias array, confidence, source, ambiguous).
+
+    Kinds go before each other: person, project, then anything confirmed. A person whose word is ambiguous is taken by
+    its context: a name, or a concept where that has more signs; else the name stands. Words unknown have type "unknown".
+    Names are joined by equality, whatever the case; within a kind the alphabet decides.
+    """
+    order = F.when(F.col("kind") == "person", 0).when(F.col("kind") == "project", 1).otherwise(2)
+    forms = registry.select(F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("alias", F.array().cast("array<string>"))), lambda x: F.lower(x)))).alias("low"), F.struct(order.alias("o"), "name", "kind", "confidence", "source", "ambiguous").alias("r"))
+    best = forms.groupBy("low").agg(F.min("r").alias("r"))
+    low = F.lower("word")
+    met = words.withColumn("low", low).join(best, "low", "left")
+    context = F.lower(F.coalesce("context", F.lit("")))
+    met = met.withColumn("__n", _contexts(F.col("low"), context, NAME_CONTEXTS)).withColumn("__w", _contexts(F.col("low"), context, WORD_CONTEXTS))
+    unsure = F.coalesce((F.col("r.kind") == "person") & F.col("r.ambiguous"), F.lit(False)) & (context != "") & (F.col("__n") != F.col("__w"))
+    name = unsure & (F.col("__n") > F.col("__w"))
+    kind = F.when(unsure & ~name, "concept").otherwise(F.coalesce("r.kind", F.lit("unknown")))
+    confidence = F.when(name, F.least(F.lit(0.95), 0.7 + F.col("__n") * 0.1)).when(unsure, F.least(F.lit(0.90), 0.7 + F.col("__w") * 0.1)).otherwise(F.coalesce("r.confidence", F.lit(0.0)))
+    source = F.when(unsure & ~name, "context").otherwise(F.coalesce("r.source", F.lit("none")))
+    return met.select("word", "context", kind.alias("type"), confidence.alias("confidence"), source.alias("source"), F.when(unsure, F.col("word")).otherwise(F.coalesce("r.name", "word")).alias("name"))

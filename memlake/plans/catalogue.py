@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, graph, incremental, kg, metrics, near_dup, search, summary, transcript
+from ..operators import classify, collection, context, entities as naming, graph, halls, incremental, kg, metrics, near_dup, search, summary, transcript
 from ..sources import rooms
 from .tables import D, K, V, drawers, entities, read, triples, vectors
 
@@ -923,6 +923,60 @@ def message_recall(s, d):
     return metrics.message_recall(c.where("role = 'user'"), found).withColumn("recall", r6(F.col("recall")))
 
 
+# --- halls, claims ---------------------------------------------------------------------------------------------------
+
+SAY = ["I prefer tea. ", "Here are two: I suggest it. ", "My birthday. ", "A job in the city. ", ""]
+
+
+def _holds(x: str, words: list[str]) -> list[str]:
+    return ["contains(lower({}), '{}')".format(x, w.replace("'", "''")) for w in words]
+
+
+def _hall_sql(u: str, a: str) -> str:
+    where = {halls.PREFERENCES: u, halls.ASSISTANT: a, halls.EVENTS: f"{u} || {a}", halls.FACTS: f"{u} || {a}"}
+    count = lambda h, words: " + ".join(f"CAST({c} AS INT)" for c in _holds(where[h], words))
+    return "CASE " + " ".join(f"WHEN {count(h, words)} >= {halls.LEAST[h]} THEN '{h}'" for h, words in halls.SESSION_SIGNALS.items()) + " ELSE 'general' END"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, role, {_before('conv_id', 'text', SAY)} AS t FROM conversations), c AS (SELECT conv_id, coalesce(string_agg(CASE WHEN role = 'user' THEN t END, ' ' ORDER BY turn), '') AS u, coalesce(string_agg(CASE WHEN role = 'assistant' THEN t END, ' ' ORDER BY turn), '') AS a FROM p GROUP BY 1)
+ SELECT conv_id, {_hall_sql('u', 'a')} AS hall FROM c""")
+def session_halls(s, d):
+    return halls.sessions(read(s, d, "conversations").withColumn("text", _put_before("conv_id", "text", SAY))).select("conv_id", "hall")
+
+
+def _question_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(_holds(x, words))} THEN '{'>'.join(halls.TARGETS[h])}'" for h, words in halls.QUESTION_SIGNALS.items()) + " ELSE 'general' END"
+
+
+ASKED = ["What you said on ", "Lately on ", "Three weeks ago on ", "Which school is ", ""]
+
+
+@query(f"WITH p AS (SELECT conv_id, turn, {_before('conv_id', 'text', ASKED)} AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, {_question_sql('t')} AS halls FROM p")
+def question_halls(s, d):
+    rows = read(s, d, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", F.array_join(halls.question_halls(_put_before("conv_id", "text", ASKED)), ">").alias("halls"))
+
+
+TWO = f"h AS (SELECT id, x, document, {_hall_sql(_before('id', 'document', SAY), chr(39) * 2)} AS hall FROM c0)"
+
+
+@query(CAND.format(k=400) + f""", {TWO}, f AS (SELECT id FROM h WHERE hall = 'events' ORDER BY x, id LIMIT 10), n AS (SELECT * FROM h ORDER BY x, id LIMIT 50)
+ SELECT id, hall, {SIX(f"x * (1 - 0.30 * {OV}) * CASE WHEN hall = 'events' THEN 0.75 WHEN hall IN ('facts', 'general') THEN 0.90 ELSE 1 END * CASE WHEN id IN (SELECT id FROM f) THEN 0.85 ELSE 1 END")} AS score FROM n""")
+def two_pass_rank(s, d):
+    rows = _candidates(s, d, 400).withColumn("hall", halls.session_hall(_put_before("id", "document", SAY), F.lit("")))
+    out = halls.two_pass(rows, halls.TARGETS[halls.EVENTS], QUESTION)
+    return out.select("id", "hall", r6(F.col("score")).alias("score"))
+
+
+@query("SELECT c_custkey, 'Cust' || c_custkey AS subject, 'owner' AS predicate, 'Nation' || c_nationkey AS object FROM customer WHERE c_custkey % 3 <> 2")
+def claims_stated(s, d):
+    a, b = F.concat(F.lit("Cust"), "c_custkey"), F.concat(F.lit("Nation"), "c_nationkey")
+    i = F.col("c_custkey") % 3
+    said = F.when(i == 0, F.concat(F.lit("So "), a, F.lit(" is "), b, F.lit("'s owner."))).when(i == 1, F.concat(b, F.lit("'s owner is "), a, F.lit(", they say"))).otherwise(F.concat(a, F.lit(" was "), b, F.lit("'s owner")))
+    rows = read(s, d, "customer").select("c_custkey", F.explode(naming.claims(said)).alias("c"))
+    return rows.select("c_custkey", "c.subject", "c.predicate", "c.object")
+
+
 # --- plain relational ------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash, strip
@@ -22,12 +22,34 @@ LARGEST = 500 * 1024 * 1024
 LISTED = "path string, size long, mtime double"
 
 
+#: Stores that the listing reads itself; the default is the local one.
+DIRECT = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def _direct(path: str) -> bool:
+    return "://" not in path or path.split("://")[0] in DIRECT
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path else os.path.abspath(path)
+
+
+def _below(spark: SparkSession, path: str) -> Column:
+    """A file's path below the folder, as Spark names files."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+    return F.expr("substring(path, instr(path, :root) + length(:root))".replace(":root", "'" + root.replace("'", "\\'") + "'"))
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path relative to the folder, size, mtime) of every file below it, links aside.
 
     Spark's own file source leaves out names that begin with "_" or ".", such as ignore files, so the names are listed here.
+    In a store that only Spark reads they are missing, and with them the ignore files.
     """
-    store, root = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    if not _direct(path):
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return rows.select(_below(spark, path).alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
+    store, root = fs.FileSystem.from_uri(_uri(path))
     found = store.get_file_info(fs.FileSelector(root, recursive=True))
     local = isinstance(store, fs.LocalFileSystem)
     rows = [(os.path.relpath(f.path, root), f.size, f.mtime.timestamp()) for f in found if f.type == fs.FileType.File and not (local and os.path.islink(f.path))]
@@ -36,7 +58,11 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(files: DataFrame, path: str) -> DataFrame:
     """Adds the content (UTF-8, invalid bytes replaced), read where the rows are, a file at a time."""
-    uri = path if "://" in path else os.path.abspath(path)
+    uri = _uri(path)
+    if not _direct(path):
+        spark = files.sparkSession
+        content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return files.join(content.select(_below(spark, path).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")), "path")
 
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(uri)
@@ -68,7 +94,7 @@ def project_files(spark: SparkSession, path: str, respect_ignore: bool = True, i
         named = files.where(F.element_at(parts, -1) == ".gitignore")
         base = F.regexp_replace("path", "/?[^/]*$", "")
         kept = kept.join(ignore.ignored(kept, ignore.rules(_read(named, path).select(base.alias("base"), "content")), include), "path", "left_anti")
-    where = (path if "://" in path else os.path.abspath(path)).rstrip("/")
+    where = _uri(path).rstrip("/")
     return _read(kept, path).select(F.concat(F.lit(where + "/"), F.col("path")).alias("source_file"), "mtime", "content")
 
 

@@ -116,3 +116,16 @@ def test_sanitize_query(spark):
     assert clean("ab\n" * 90)[1] == "tail_truncation"
     row = spark.range(1).select(text.normalised_answer(F.lit("The cat, and a Dog's  tail.")).alias("a")).first()
     assert row.a == "the cat dogs tail"
+
+
+def test_registry_lookup(spark):
+    from memlake.operators import entities
+
+    registry = spark.createDataFrame(
+        [("Grace", "person", ["Gracie"], 1.0, "told", True), ("Max", "person", None, 1.0, "told", False), ("max", "project", [], 1.0, "told", False), ("Vesper", "project", [], 1.0, "told", False), ("Ada", "language", [], 0.8, "cache", False)],
+        "name string, kind string, alias array<string>, confidence double, source string, ambiguous boolean",
+    )
+    asked = [("grace", "I saw Grace, and Grace said hi"), ("grace", "the grace of it"), ("grace", "grace"), ("gracie", None), ("MAX", "x"), ("vesper", ""), ("ada", None), ("c++", "no"), (None, None)]
+    got = [(r.word, r.type, round(r.confidence, 2), r.name) for r in entities.lookup(spark.createDataFrame(asked, "word string, context string"), registry).collect()]
+    want = [("grace", "person", 0.9, "grace"), ("grace", "concept", 0.8, "grace"), ("grace", "person", 1.0, "Grace"), ("gracie", "person", 1.0, "Grace"), ("MAX", "person", 1.0, "Max"), ("vesper", "project", 1.0, "Vesper"), ("ada", "language", 0.8, "Ada"), ("c++", "unknown", 0.0, "c++"), (None, "unknown", 0.0, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)

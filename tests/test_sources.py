@@ -84,3 +84,12 @@ def test_repair(spark):
     bad = collection.unreadable(ids, rows)
     assert sorted(r.id for r in bad.collect()) == [1, 3]
     assert sorted(r.id for r in collection.prune(rows, bad).collect()) == [0, 2, 4]
+
+
+def test_walk_of_a_store_that_only_spark_reads(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("x")
+    (tmp_path / "b.bin").write_text("b")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.walk.link./p", f"file://{tmp_path}")
+    got = {(r.source_file, r.content) for r in projects.project_files(spark, "viewfs://walk/p").collect()}
+    assert got == {("viewfs://walk/p/a/x.py", "x")}
