@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, strip_noise
+from ..functions.text import let, strip, strip_noise
 
 MESSAGES = "source_file string, conversation int, position int, role string, text string"
 
@@ -54,19 +55,76 @@ def sweep_records(rows: DataFrame) -> DataFrame:
     return out.where(good).drop("kind")
 
 
+#: Lines shown of a shell's output at either end, matches shown, and characters of other results and of inputs.
+ENDS, MATCHES, RESULT, INPUT = 20, 20, 2048, 200
+BLOCK = "array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string>>"
+
+
+def tool_use_line(name: Column, arguments: Column) -> Column:
+    """One line for a tool's call: its command, file, pattern, or the start of its arguments (JSON)."""
+    g = lambda k: F.get_json_object(arguments, f"$.{k}")
+    start = lambda x: F.when(F.length(x) > INPUT, F.concat(F.substring(x, 1, INPUT), F.lit("..."))).otherwise(x)
+    empty, path = F.lit(""), F.coalesce(g("file_path"), F.lit("?"))
+    offset, limit = g("offset"), g("limit")
+    end = F.coalesce(F.concat(F.lit("-"), (offset.try_cast("long") + limit.try_cast("long")).cast("string")), F.concat(F.lit("+"), limit))
+    span = F.when(offset.isNotNull() & limit.isNotNull(), F.concat(F.lit(":"), offset, end)).otherwise(empty)
+    target = F.coalesce(F.nullif(g("path"), empty), g("glob"), empty)
+    return (
+        F.when(name == "Bash", F.concat(F.lit("[Bash] "), start(F.coalesce(g("command"), empty))))
+        .when(name == "Read", F.concat(F.lit("[Read "), path, span, F.lit("]")))
+        .when(name == "Grep", F.concat(F.lit("[Grep] "), F.coalesce(g("pattern"), empty), F.lit(" in "), target))
+        .when(name == "Glob", F.concat(F.lit("[Glob] "), F.coalesce(g("pattern"), empty)))
+        .when(name.isin("Edit", "Write"), F.concat(F.lit("["), name, F.lit(" "), path, F.lit("]")))
+        .otherwise(F.concat(F.lit("["), F.coalesce(name, F.lit("Unknown")), F.lit("] "), start(F.coalesce(arguments, F.lit("{}")))))
+    )
+
+
+def tool_result_text(content: Column, tool: Column) -> Column:
+    """A tool's result, each line after an arrow. Files read or written are left out (empty); a shell's output keeps both ends, searches their first matches."""
+    blocks = F.from_json(content, "array<struct<type:string,text:string>>")
+    listed = F.array_join(F.transform(F.filter(blocks, lambda x: x["type"] == "text"), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    text = strip(F.coalesce(F.when(F.startswith(content, F.lit("[")), listed), content, F.lit("")))
+
+    def shown(t: Column) -> Column:
+        rows, arrow = F.split(t, "\n"), lambda x: F.concat(F.lit("→ "), F.array_join(x, "\n→ "))
+        n = F.size(rows)
+        more = lambda x, what: F.array(F.concat(F.lit("... ["), x.cast("string"), F.lit(what)))
+        both = F.concat(F.slice(rows, 1, ENDS), more(n - 2 * ENDS, " lines omitted] ..."), F.slice(rows, -ENDS, ENDS))
+        first = F.concat(F.slice(rows, 1, MATCHES), more(n - MATCHES, " more matches]"))
+        return (
+            F.when((t == "") | tool.isin("Read", "Edit", "Write"), F.lit(""))
+            .when(tool == "Bash", F.when(n <= 2 * ENDS, arrow(rows)).otherwise(arrow(both)))
+            .when(tool.isin("Grep", "Glob"), F.when(n <= MATCHES, arrow(rows)).otherwise(arrow(first)))
+            .otherwise(F.concat(F.lit("→ "), F.substring(t, 1, RESULT), F.when(F.length(t) > RESULT, F.concat(F.lit("... [truncated, "), F.length(t).cast("string"), F.lit(" chars]"))).otherwise("")))
+        )
+
+    return let(text, shown)
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    """(source_file, line_no, kind, text) of session logs: blocks joined by lines; results find their tool by the call's id in the file."""
+    j = lambda p: F.get_json_object("line", p)
+    content = j("$.message.content")
+    blocks = F.when(F.startswith(content, F.lit("[")), F.from_json(content, BLOCK))
+    tool_only = F.coalesce(F.forall(blocks, lambda b: b["type"] == "tool_result"), F.lit(False))
+    kind = F.when(j("$.type").isin("human", "user"), F.when(tool_only, "tool").otherwise("user")).when(j("$.type") == "assistant", "assistant")
+    said = rows.select("source_file", "line_no", kind.alias("kind"), content.alias("content"), blocks.alias("blocks")).where("kind is not null")
+    each = said.select("source_file", "line_no", "kind", "content", F.posexplode_outer("blocks").alias("i", "b"))
+    tools = each.where("kind = 'assistant' and b.type = 'tool_use' and b.id <> ''").groupBy("source_file", F.col("b.id").alias("__id")).agg(F.min(F.coalesce("b.name", F.lit("Unknown"))).alias("__tool"))
+    met = each.withColumn("__id", F.when(F.col("b.type") == "tool_result", F.col("b.tool_use_id"))).join(tools, ["source_file", "__id"], "left")
+    part = (
+        F.when(F.col("b").isNull(), F.when(F.startswith("content", F.lit("{")), F.get_json_object("content", "$.text")).otherwise(F.col("content")))
+        .when(F.col("b.type") == "text", F.col("b.text"))
+        .when(F.col("b.type") == "tool_use", tool_use_line(F.col("b.name"), F.col("b.input")))
+        .when(F.col("b.type") == "tool_result", tool_result_text(F.col("b.content"), F.coalesce("__tool", F.lit("Unknown"))))
+    )
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part != "", F.struct(F.col("i"), part.alias("t"))))), lambda x: x["t"]), "\n")
+    return met.groupBy("source_file", "line_no", "kind").agg(text.alias("text")).withColumn("text", strip_noise(strip(F.col("text")))).where("text <> ''")
+
+
 def session_turns(rows: DataFrame) -> DataFrame:
     """Turns of line-wise session logs: results of tools go to the assistant's turn before, consecutive ones are merged."""
-    j = lambda p: F.get_json_object("line", p)
-    kinds = F.from_json(j("$.message.content"), "array<struct<type:string>>")
-    tool_only = F.startswith(j("$.message.content"), F.lit("[")) & F.forall(kinds, lambda b: b["type"] == "tool_result")
-    results = F.from_json(j("$.message.content"), "array<struct<type:string,content:string>>")
-    result_text = F.array_join(F.filter(F.transform(results, lambda b: b["content"]), lambda t: t.isNotNull()), "\n")
-    typed = rows.select(
-        "source_file",
-        "line_no",
-        F.when(j("$.type").isin("human", "user"), F.when(tool_only, "tool").otherwise("user")).when(j("$.type") == "assistant", "assistant").alias("kind"),
-        strip_noise(F.when(tool_only, result_text).otherwise(_block_text(j("$.message.content")))).alias("text"),
-    ).where("kind is not null and text <> ''")
+    typed = _messages(rows)
     w = Window.partitionBy("source_file").orderBy("line_no")
     role = F.when(F.col("kind") == "user", "user").otherwise("assistant")
     runs = typed.withColumn("role", role).withColumn("__new", F.when(role == "user", 1).otherwise((F.lag("role").over(w) != "assistant").cast("int")))
@@ -184,3 +242,28 @@ def transcripts(messages: DataFrame) -> DataFrame:
     line = F.concat(F.when(F.col("role") == "user", "> ").otherwise(""), F.col("text"), F.when(alone, "\n").otherwise(""))
     rows = messages.withColumn("line", line)
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("document"))
+
+
+QUOTED = 3
+
+
+def normalise(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, conversation, document) of every file below a path: chat exports as transcripts, all else as it is.
+
+    A file with three quoted lines or more is a transcript already. Others that look like JSON are tried as session log,
+    event log, web export, message tree and channel; the first that gives a conversation of two messages counts.
+    """
+    content = files(spark, path)
+    quoted = F.size(F.filter(F.split("content", "\n"), lambda x: F.startswith(strip(x), F.lit(">")))) >= QUOTED
+    jsonlike = F.rlike(F.lower("source_file"), F.lit(r"\.jsonl?$")) | F.substring(strip(F.col("content")), 1, 1).isin("{", "[")
+    tried = content.where(~quoted & jsonlike & (strip(F.col("content")) != ""))
+    rows = tried.select("source_file", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    one = lambda df: df.select("source_file", F.lit(0).alias("conversation"), F.col("position").cast("long").alias("position"), "role", "text")
+    many = lambda df: df.withColumn("position", F.col("position").cast("long"))
+    found = [one(session_turns(rows)), one(event_log_turns(rows)), many(web_export(tried)), many(tree_export(tried)), many(channel_export(tried))]
+    ranked = reduce(lambda a, b: a.unionByName(b), [df.withColumn("format", F.lit(i)) for i, df in enumerate(found)])
+    whole = ranked.withColumn("__n", F.count("*").over(Window.partitionBy("source_file", "format", "conversation"))).where("__n >= 2")
+    first = whole.withColumn("__f", F.min("format").over(Window.partitionBy("source_file"))).where("format = __f")
+    read = transcripts(first.select("source_file", "conversation", "position", "role", "text"))
+    kept = content.join(read.select("source_file").distinct(), "source_file", "left_anti")
+    return read.unionByName(kept.select("source_file", F.lit(0).alias("conversation"), F.col("content").alias("document")))

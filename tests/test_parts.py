@@ -23,11 +23,11 @@ def test_session_logs(spark, tmp_path):
     write(tmp_path, "a.jsonl", [message("user", "hello", 1), message("assistant", [{"type": "text", "text": "one"}], 2), message("user", tool, 3), message("assistant", "two", 4), "broken {", {"type": "progress"}, message("user", "bye", 5)])
     rows = chats.lines(spark, str(tmp_path))
     turns = [(r.role, r.text) for r in chats.session_turns(rows).orderBy("position").collect()]
-    assert turns == [("user", "hello"), ("assistant", "one\nresult\ntwo"), ("user", "bye")]
+    assert turns == [("user", "hello"), ("assistant", "one\n→ result\ntwo"), ("user", "bye")]
     kept = chats.sweep_records(rows).collect()
     assert sorted(r.uuid for r in kept) == ["u1", "u2", "u4", "u5"]
     doc = chats.transcripts(chats.session_turns(rows)).first().document
-    assert doc == "> hello\none\nresult\ntwo\n\n> bye\n"
+    assert doc == "> hello\none\n→ result\ntwo\n\n> bye\n"
 
 
 def test_exports(spark, tmp_path):
@@ -129,3 +129,29 @@ def test_registry_lookup(spark):
     got = [(r.word, r.type, round(r.confidence, 2), r.name) for r in entities.lookup(spark.createDataFrame(asked, "word string, context string"), registry).collect()]
     want = [("grace", "person", 0.9, "grace"), ("grace", "concept", 0.8, "grace"), ("grace", "person", 1.0, "Grace"), ("gracie", "person", 1.0, "Grace"), ("MAX", "person", 1.0, "Max"), ("vesper", "project", 1.0, "Vesper"), ("ada", "language", 0.8, "Ada"), ("c++", "unknown", 0.0, "c++"), (None, "unknown", 0.0, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_tools_in_session_logs(spark, tmp_path):
+    use = lambda i, name, **k: {"type": "tool_use", "id": f"t{i}", "name": name, "input": k}
+    result = lambda i, content: {"type": "tool_result", "tool_use_id": f"t{i}", "content": content}
+    calls = [use(1, "Bash", command="ls"), use(2, "Read", file_path="a.py", offset=3, limit=4), use(3, "Grep", pattern="x", glob="*.py"), use(4, "Other", a=1), use(5, "Edit", file_path="b")]
+    results = [result(1, "\n".join(map(str, range(45)))), result(2, "never"), result(3, [{"type": "text", "text": "\n".join("m" * 25)}]), result(4, "y" * 3000), result(9, "[not json")]
+    write(tmp_path, "a.jsonl", [message("user", "go", 1), message("assistant", calls, 2), message("user", results, 3), message("assistant", "done", 4)])
+    text = [r.text for r in chats.session_turns(chats.lines(spark, str(tmp_path))).orderBy("position").collect()][1]
+    bash = [f"→ {i}" for i in range(20)] + ["→ ... [5 lines omitted] ..."] + [f"→ {i}" for i in range(25, 45)]
+    grep = ["→ m"] * 20 + ["→ ... [5 more matches]"]
+    heads = ["[Bash] ls", "[Read a.py:3-7]", "[Grep] x in *.py", '[Other] {"a":1}', "[Edit b]"]
+    assert text.split("\n") == heads + bash + grep + ["→ " + "y" * 2048 + "... [truncated, 3000 chars]", "→ [not json", "done"]
+
+
+def test_normalise(spark, tmp_path):
+    write(tmp_path, "log.jsonl", [message("user", "q", 1), message("assistant", "a", 2)])
+    write(tmp_path, "events.jsonl", [{"type": "session_meta"}, {"type": "event_msg", "payload": {"type": "user_message", "message": "q"}}, {"type": "event_msg", "payload": {"type": "agent_message", "message": "a"}}])
+    write(tmp_path, "web.json", [[{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]])
+    write(tmp_path, "other.json", [{"x": 1}])
+    write(tmp_path, "quoted.txt", ["> a", "> b", "> c", "[1]"])
+    (tmp_path / "empty.txt").write_text("")
+    got = {r.source_file.rsplit("/", 1)[1]: r.document for r in chats.normalise(spark, str(tmp_path)).collect()}
+    assert {got[k] for k in ("log.jsonl", "events.jsonl", "web.json")} == {"> q\na\n"}
+    assert "empty.txt" not in got or got["empty.txt"] == ""
+    assert got["other.json"] == '{"x": 1}' and got["quoted.txt"] == "> a\n> b\n> c\n[1]"
