@@ -90,3 +90,47 @@ def confusable(mentioned: DataFrame, registry: DataFrame, most: int = 2) -> Data
     m = F.broadcast(mentioned.select(F.col("name").alias("mention")))
     pairs = registry.select(F.col("name").alias("candidate")).join(m, F.levenshtein(F.lower("mention"), F.lower("candidate"), most).between(1, most))
     return pairs.join(F.broadcast(mentioned.select(F.col("name").alias("candidate"))), "candidate", "left_anti").select("mention", "candidate", F.levenshtein(F.lower("mention"), F.lower("candidate")).alias("distance"))
+
+
+def add_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """New rows (id, name, type, properties map) take the place of those of their id; equal ids among the new ones: the last name."""
+    last = new.groupBy("id").agg(F.max(F.struct("name", "type", F.map_entries("properties").alias("p"))).alias("r")).select("id", "r.name", "r.type", F.map_from_entries("r.p").alias("properties"))
+    return entities.join(last.select("id"), "id", "left_anti").select("id", "name", "type", "properties").unionByName(last)
+
+
+def merge_entities(entities: DataFrame, triples: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables with *source* gone into *target*: its name becomes an alias, the target's properties win, facts are renamed.
+
+    Without either row entities stay as they are.
+    """
+    pair = entities.where(F.col("id").isin(source, target))
+    own = F.max_by("properties", (F.col("id") == target).cast("int"))
+    other = F.max_by("properties", (F.col("id") == source).cast("int"))
+    kept = F.map_filter(other, lambda k, v: ~F.coalesce(F.map_contains_key(own, k), F.lit(False)))
+    alias = F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list(F.coalesce("alias", F.array().cast("array<string>")))), F.collect_list(F.when(F.col("id") == source, F.col("name"))))))
+    name, kind = (F.max_by(c, (F.col("id") == target).cast("int")) for c in ("name", "type"))
+    one = pair.groupBy().agg(F.count("*").alias("n"), name.alias("name"), kind.alias("type"), F.map_concat(F.coalesce(own, F.create_map().cast("map<string,string>")), F.coalesce(kept, F.create_map().cast("map<string,string>"))).alias("properties"), alias.alias("alias")).where("n = 2")
+    merged = one.select(F.lit(target).alias("id"), "name", "type", "properties", "alias")
+    ids = merged.select(F.explode(F.array(F.lit(source), F.lit(target))).alias("id"))
+    return entities.join(ids, "id", "left_anti").select(*merged.columns).unionByName(merged), rename(triples, source, target)
+
+
+#: The predicate and the object's field for each kind of relation a fact sheet may name.
+RELATIONS = {"daughter": ("is_child_of", "parent"), "husband": ("is_partner_of", "partner"), "brother": ("is_sibling_of", "sibling"), "dog": ("is_pet_of", "owner")}
+INTERESTS_SINCE = "2025-01-01"
+
+
+def seed_triples(facts: DataFrame) -> DataFrame:
+    """(subject, predicate, object, valid_from) of fact sheets (name, parent, partner, sibling, owner, relationship, birthday, interests).
+
+    Objects are capitalised; a relation without its object leads to the name itself.
+    """
+    cap = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.expr("substring(__x, 2)")))
+    none = F.lit(None).cast("string")
+    row = lambda p, o, since: F.struct(F.lit(p).alias("predicate"), o.alias("o"), since.alias("valid_from"))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    rows = [F.when(some("parent").isNotNull(), row("child_of", some("parent"), F.col("birthday"))), F.when(some("partner").isNotNull(), row("married_to", some("partner"), none))]
+    rows += [F.when(F.col("relationship") == r, row(p, F.coalesce(some(field), F.col("name")), F.col("birthday") if r == "daughter" else none)) for r, (p, field) in RELATIONS.items()]
+    likes = F.transform(F.coalesce("interests", F.array().cast("array<string>")), lambda x: F.struct(F.lit("loves").alias("predicate"), x.alias("o"), F.lit(INTERESTS_SINCE).alias("valid_from")))
+    out = facts.select(F.col("name").alias("subject"), F.explode(F.concat(F.array_compact(F.array(*rows)), likes)).alias("f"))
+    return out.select("subject", "f.predicate", F.col("f.o").alias("__x"), "f.valid_from").select("subject", "predicate", cap(F.col("__x")).alias("object"), "valid_from")

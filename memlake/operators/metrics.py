@@ -65,3 +65,10 @@ def message_recall(evidence: DataFrame, retrieved: DataFrame) -> DataFrame:
 def held_out(key: Column, share: int = 10) -> Column:
     """Whether a key belongs to the held-out nine of ten (1 - 1/share), by its digest; the same at any size and order."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % share != 0
+
+
+def recall_report(recalls: DataFrame, category: str = "category") -> DataFrame:
+    """(category, n, average, perfect, partial, zero) of rows (category, recall); the row without category is over all."""
+    r = F.col("recall")
+    sums = [F.count("*").alias("n"), F.avg(r).alias("average"), F.count_if(r >= 1).alias("perfect"), F.count_if((r > 0) & (r < 1)).alias("partial"), F.count_if(r <= 0).alias("zero")]
+    return recalls.groupingSets([[F.col(category)], []], F.col(category)).agg(*sums)

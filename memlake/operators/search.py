@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN
+from ..functions.text import TOKEN, overlap
 from ..functions.vectors import cosine_distance, norm
 from .collection import top
 
@@ -115,3 +115,13 @@ def near_pairs(rows: DataFrame, threshold: float, group: str = "label", vector:
     m = n.select(F.col("a").alias("b"), F.col("g").alias("h"), F.col("va").alias("vb"), F.col("na").alias("nb"))
     pairs = n.join(m, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")))
     return pairs.withColumn("distance", cosine_distance(F.col("va"), F.col("vb"), F.col("na"), F.col("nb"))).where(F.col("distance") < threshold).select("g", "a", "b", "distance")
+
+
+def route_rooms(summaries: DataFrame, keywords: list[str], rooms: int | None = None) -> DataFrame:
+    """(room, score): the rooms whose summary (room, summary) holds most keywords: so many, or a third of them all but one at least.
+
+    Equal scores go by name. Searches then keep the drawers of these rooms by a semi-join.
+    """
+    scored = summaries.select("room", overlap(F.col("summary"), keywords).alias("score"))
+    most = rooms if rooms is not None else max(1, summaries.count() // 3)
+    return scored.orderBy(F.col("score").desc(), "room").limit(most)

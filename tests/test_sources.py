@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from memlake.operators import collection, summary, transcript
-from memlake.sources import ignore, projects, rooms
+from memlake.operators import collection, kg, metrics, search, summary, transcript
+from memlake.sources import ignore, projects, rooms, stores
 
 TOP = "*.log\nbuild/\n!keep.log\n/top.txt\ndocs/**/x.md\n# comment\n\\#odd\n[!a]z.py\n  \n"
 SUB = "!deep.log\nsecret?.txt\nlocked/\n!locked/in.txt\n"
@@ -93,3 +93,37 @@ def test_walk_of_a_store_that_only_spark_reads(spark, tmp_path):
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.walk.link./p", f"file://{tmp_path}")
     got = {(r.source_file, r.content) for r in projects.project_files(spark, "viewfs://walk/p").collect()}
     assert got == {("viewfs://walk/p/a/x.py", "x")}
+
+
+def test_copies(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "id int, document string")
+    assert (stores.copy_new(rows, path, ["id"]), stores.copy_new(rows, path, ["id"])) == (2, 0)
+    assert stores.copy_new(spark.createDataFrame([(2, "x"), (3, "d")], "id int, document string"), path, ["id"]) == 1
+    old = stores.replace(spark.read.parquet(path).where("id <> 2"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 3]
+    assert sorted(r.id for r in spark.read.parquet(old).collect()) == [1, 2, 3]
+    assert stores.replace(spark.read.parquet(path), path, keep_old=False) is None
+    assert [tuple(r) for r in stores.counts_agree(spark.read.parquet(old), spark.read.parquet(path), ["id"]).collect()] == [(2, 1, 0)]
+
+
+def test_entities_of_the_graph(spark):
+    of = spark.createDataFrame([("a", "A", "x", {"k": "1"}, ["al"]), ("b", "B", "y", {"k": "2", "m": "3"}, None), ("c", "C", "z", None, None)], "id string, name string, type string, properties map<string,string>, alias array<string>")
+    t = spark.createDataFrame([("b", "knows", "b"), ("c", "knows", "a")], "subject string, predicate string, object string")
+    merged, facts = kg.merge_entities(of, t, "b", "a")
+    got = {r.id: (r.name, r.properties, r.alias) for r in merged.collect()}
+    assert got == {"a": ("A", {"k": "1", "m": "3"}, ["B", "al"]), "c": ("C", None, None)}
+    assert sorted(map(tuple, facts.collect())) == [("a", "knows", "a"), ("c", "knows", "a")]
+    assert kg.merge_entities(of, t, "no", "a")[0].count() == 3
+    new = spark.createDataFrame([("a", "A2", "x", {"q": "1"}), ("d", "D", "x", None)], "id string, name string, type string, properties map<string,string>")
+    assert {(r.id, r.name) for r in kg.add_entities(of, new).collect()} == {("a", "A2"), ("b", "B"), ("c", "C"), ("d", "D")}
+    sheets = spark.createDataFrame([("Max", "alice", "", None, None, "daughter", "2015-04-01", ["chess", "MUSIC"]), ("Rex", None, None, None, None, "dog", None, None)], "name string, parent string, partner string, sibling string, owner string, relationship string, birthday string, interests array<string>")
+    assert sorted(map(tuple, kg.seed_triples(sheets).collect()), key=str) == [("Max", "child_of", "Alice", "2015-04-01"), ("Max", "is_child_of", "Alice", "2015-04-01"), ("Max", "loves", "Chess", "2025-01-01"), ("Max", "loves", "Music", "2025-01-01"), ("Rex", "is_pet_of", "Rex", None)]
+
+
+def test_routes_and_reports(spark):
+    rooms_ = spark.createDataFrame([(f"r{i}", "tea cup" if i == 4 else "tea" if i % 2 else "") for i in range(7)], "room string, summary string")
+    assert [r.room for r in search.route_rooms(rooms_, ["tea", "cup"], 3).collect()] == ["r4", "r1", "r3"]
+    assert sorted(r.room for r in search.route_rooms(rooms_, ["tea", "cup"]).collect()) == ["r1", "r4"]
+    recalls = spark.createDataFrame([("a", 1.0), ("a", 0.5), ("b", 0.0)], "category string, recall double")
+    assert {tuple(r) for r in metrics.recall_report(recalls).collect()} == {("a", 2, 0.75, 1, 1, 0), ("b", 1, 0.0, 0, 0, 1), (None, 3, 0.5, 1, 1, 1)}
