@@ -81,10 +81,10 @@ def signals(docs: DataFrame, names: DataFrame, key: str = "id", text: str = "doc
             parts += [F.col("word"), F.lit(r)]
         return F.regexp_count("__t", F.concat(*parts))
 
-    counts = {k: reduce(lambda a, b: a + b, [count(t, "(?im)" if k == "dialogue" else "(?i)") for t in ts]) for k, ts in patterns.items()}
+    counts = {k: reduce(lambda a, b: a + b, [count(t, "(?imU)" if k == "dialogue" else "(?iU)") for t in ts]) for k, ts in patterns.items()}
     lines = F.split("__t", "\n")
     has = lambda x: F.contains(F.lower(x), F.lower(F.col("word")))
-    flags = F.transform(lines, lambda x: F.rlike(x, F.lit("(?i)" + PRONOUNS)))
+    flags = F.transform(lines, lambda x: F.rlike(x, F.lit("(?iU)" + PRONOUNS)))
     near = F.filter(F.transform(lines, lambda x, i: F.struct(has(x).alias("a"), F.exists(F.slice(F.col("__p"), F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR)) + NEAR + 1), lambda y: y).alias("b"))), lambda x: x["a"] & x["b"])
     each = pairs.withColumn("__p", flags).select("word", *[c.alias(k) for k, c in counts.items()], F.size(near).alias("pronoun"))
     return each.groupBy("word").agg(*[F.sum(k).alias(k) for k in POINTS])
@@ -178,7 +178,7 @@ WORD_CONTEXTS = [
 def _contexts(word: Column, context: Column, templates: list[str]) -> Column:
     def met(template: str) -> Column:
         head, tail = template.split("{name}")
-        return F.rlike(context, F.concat(F.lit(head), F.lit(r"\Q"), word, F.lit(r"\E" + tail))).cast("int")
+        return F.rlike(context, F.concat(F.lit("(?U)" + head), F.lit(r"\Q"), word, F.lit(r"\E" + tail))).cast("int")
 
     return reduce(lambda a, b: a + b, [met(t) for t in templates])
 

@@ -790,6 +790,11 @@ def _put_before(i, x, texts: list[str]):
     return F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.col(i) % len(texts) + 1).cast("int")), F.col(x))
 
 
+def _ascii(x: str) -> str:
+    """Lower case, other letters than ASCII spelt out, as the oracle's engine takes them for a word's end."""
+    return f"array_to_string([CASE WHEN ch >= chr(128) AND regexp_matches(ch, '[\\p{{L}}\\p{{N}}]') THEN 'q' || unicode(ch) || 'q' ELSE ch END FOR ch IN string_split(lower({x}), '')], '')"
+
+
 def _counts() -> str:
     def one(kind: str, t: str) -> str:
         flags = "(?im)" if kind == "dialogue" else "(?i)"
@@ -801,8 +806,9 @@ def _counts() -> str:
 
 NAMES_SQL = f"""p AS (SELECT conv_id, turn, {_before('conv_id', 'text', SAID)} AS t FROM conversations),
  w AS (SELECT conv_id, turn, t, unnest(regexp_extract_all(t, '(?:^|[^\\p{{L}}])(\\p{{Lu}}\\p{{Ll}}+)', 1)) AS word FROM p), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 3),
- m AS (SELECT DISTINCT conv_id, turn, t, word, string_split(t, chr(10)) AS l FROM w JOIN c USING (word)),
- g AS (SELECT word, {_counts()}, sum(len(list_filter(l, lambda x, i: contains(lower(x), lower(word)) AND len(list_filter(l[greatest(i - 2, 1):i + 2], lambda y: regexp_matches(y, '(?i){naming.PRONOUNS}'))) > 0))) AS pronoun FROM m GROUP BY 1)"""
+ o AS (SELECT conv_id, turn, {_ascii('t')} AS t FROM p),
+ m AS (SELECT DISTINCT o.conv_id, o.turn, o.t, word AS name, {_ascii('word')} AS word, string_split(o.t, chr(10)) AS l FROM w JOIN c USING (word) JOIN o ON o.conv_id = w.conv_id AND o.turn = w.turn),
+ g AS (SELECT name AS word, {_counts()}, sum(len(list_filter(l, lambda x, i: contains(lower(x), lower(word)) AND len(list_filter(l[greatest(i - 2, 1):i + 2], lambda y: regexp_matches(y, '(?i){naming.PRONOUNS}'))) > 0))) AS pronoun FROM m GROUP BY 1)"""
 
 
 @query(f"WITH {NAMES_SQL} SELECT word, dialogue, action, pronoun, addressed, verb, versioned, code FROM g")
