@@ -1,8 +1,9 @@
 """Near-duplicate documents by MinHash bands and sequential Bayesian verification (operator 9).
 
 A text's words (A-Z lower-cased) give its set of 5-word shingles. Texts with the same words are one class, stood for by
-their smallest id. Each class has HASHES minima in BANDS bands of ROWS; classes that share a band are candidates. A pair
-at the threshold of 0.85 shares no band with probability (1 - 0.85 ** ROWS) ** BANDS, below one in a million.
+their smallest id. Each class has HASHES minima in bands of so many rows as the threshold t allows; classes that share a
+band are candidates. A pair at the threshold shares no band with probability (1 - t ** rows) ** bands, below one in a
+million: 24 bands of 5 at 0.85, the default, and 30 bands of 4 at 0.80.
 
 Candidates are compared by batches of minima. After each batch the posterior of the similarity (uniform prior) given the
 matches so far drops the pair once it reaches the threshold with a probability below MISS. Survivors are verified
@@ -21,6 +22,7 @@ shingle. Repeated rows are copies of each other. An id of null is in no componen
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from math import comb
@@ -34,10 +36,9 @@ from .common import cut, map_texts, mix64, word_hashes
 from .graph import components
 
 SHINGLE = 5
-#: The least similarity as a fraction; compared in whole numbers.
-NUMERATOR, DENOMINATOR = 85, 100
-ROWS, BANDS = 5, 24
-HASHES = ROWS * BANDS
+#: The least similarity in hundredths, if none is given; compared in whole numbers.
+PERCENT = 85
+HASHES = 120
 BATCH = 24
 MISS = 1e-6
 BLOCK = 256
@@ -97,17 +98,23 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    parts = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
-    for k in range(ROWS):
+def band_rows(percent: int = PERCENT) -> int:
+    """The most rows of a band at which a pair at the threshold is missed with a probability below MISS."""
+    return max((r for r in range(1, HASHES + 1) if HASHES % r == 0 and (1 - (percent / 100) ** r) ** (HASHES // r) < MISS), default=1)
+
+
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
+    parts = signature.reshape(len(signature), HASHES // rows, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, HASHES // rows + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(rows):
         h = mix64(h * _STEP + parts[:, :, k])
     return h.view(np.int64)
 
 
-def fewest_matches(n: int, miss: float = MISS) -> int:
+@functools.lru_cache(None)
+def fewest_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
     """The fewest of n matches at which the similarity may still reach the threshold: posterior at least *miss*."""
-    t, total = NUMERATOR / DENOMINATOR, 0.0
+    t, total = percent / 100, 0.0
     for m in range(n + 1):
         total += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
         if total >= miss:
@@ -115,41 +122,40 @@ def fewest_matches(n: int, miss: float = MISS) -> int:
     return n
 
 
-_FEWEST = [fewest_matches(n) for n in range(BATCH, HASHES + 1, BATCH)]
-
-
-def survivors(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def survivors(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Of the index pairs into signatures a and b those that no batch drops, with their matches."""
     matches = np.zeros(len(i), dtype=np.int32)
     alive = np.arange(len(i))
-    for k, least in enumerate(_FEWEST):
+    for k in range(HASHES // BATCH):
         part = slice(k * BATCH, (k + 1) * BATCH)
         for at in range(0, len(alive), 1 << 16):
             own = alive[at : at + (1 << 16)]
             matches[own] += (a[i[own], part] == b[j[own], part]).sum(axis=1, dtype=np.int32)
-        alive = alive[matches[alive] >= least]
+        alive = alive[matches[alive] >= fewest_matches((k + 1) * BATCH, percent)]
     return alive, matches[alive]
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted arrays of distinct elements are similar enough."""
-    if DENOMINATOR * min(len(x), len(y)) < NUMERATOR * max(len(x), len(y)):
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int(np.count_nonzero(large[at] == small))
-    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 # --- the distributed part --------------------------------------------------------------------------------------------
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    rows = band_rows(percent)
+
     def made(texts: list[str | None]) -> list:
         sets, keys = shingles(texts)
         sizes = [len(np.unique(s)) for s in sets]
         signature = signatures(sets)
-        bands = band_keys(signature).tolist()
+        bands = band_keys(signature, rows).tolist()
         return [keys, sizes, [b if n else [] for b, n in zip(bands, sizes)], [s.tobytes() if n else None for s, n in zip(signature, sizes)]]
 
     return map_texts(docs, [id_col], text_col, made, [("key", "binary"), ("n", "long"), ("bands", "array<long>"), ("sig", "binary")]).withColumnRenamed(id_col, "id")
@@ -167,7 +173,7 @@ def _both(pairs: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.join(right, "b").join(left, "a")
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs that sequential verification keeps."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +181,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for k in (2, 3))
                 at = np.arange(batch.num_rows)
-                alive, _ = survivors(x, y, at, at)
+                alive, _ = survivors(x, y, at, at, percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(alive))
 
     return _both(pairs, sketches, ["sig"]).select("a", "b", "a_sig", "b_sig").mapInArrow(kept, "a long, b long")
@@ -187,11 +193,11 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     return map_texts(chosen, ["id"], "text", lambda texts: [[np.unique(s).tobytes() for s in shingles(texts)[0]]], [("members", "binary")]).dropDuplicates(["id"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            good = [linked(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)) for p, q in zip(x, y)]
+            good = [linked(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64), percent) for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return _both(pairs, sets, ["members"]).select("a", "b", "a_members", "b_members").mapInArrow(kept, "a long, b long")
@@ -209,20 +215,20 @@ def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, comp, a[i], b[j]
 
 
-def _surviving(table: pa.Table) -> pa.Table:
+def _surviving(table: pa.Table, percent: int) -> pa.Table:
     ids, comp, i, j = _across(table)
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-    alive, _ = survivors(sig, sig, i, j)
+    alive, _ = survivors(sig, sig, i, j, percent)
     hit = np.unique(np.concatenate([i[alive], j[alive]]))
     return table.select(["bucket", "low", "high", "block", "id", "comp"]).take(pa.array(hit))
 
 
-def _tile_links(table: pa.Table) -> pa.Table:
+def _tile_links(table: pa.Table, percent: int) -> pa.Table:
     """Links within a tile that join different components, likeliest pairs first; enough to connect what is connected."""
     ids, comp, i, j = _across(table)
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("members").to_pylist()]
-    alive, matches = survivors(sig, sig, i, j)
+    alive, matches = survivors(sig, sig, i, j, percent)
     parent = {int(c): int(c) for c in comp}
 
     def find(x: int) -> int:
@@ -234,15 +240,15 @@ def _tile_links(table: pa.Table) -> pa.Table:
     out = []
     for k in alive[np.argsort(-matches, kind="stable")].tolist():
         x, y = find(int(comp[i[k]])), find(int(comp[j[k]]))
-        if x != y and linked(sets[i[k]], sets[j[k]]):
+        if x != y and linked(sets[i[k]], sets[j[k]], percent):
             parent[x] = y
             out.append((int(ids[i[k]]), int(ids[j[k]])))
     return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
 
-def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id and kept."""
-    every = cut(_sketches(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col))
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: id, n_shingles, component_id and kept; *percent* is the least similarity."""
+    every = cut(_sketches(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, percent))
     classes = cut(every.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id")))
     stand = cut(every.join(classes, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "bands", "sig"))
 
@@ -253,9 +259,9 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     involved = cut(members.select("id").distinct())
     sketches = cut(_only(stand.select("id", "sig"), involved))
 
-    likely = cut(_likely(pairs, sketches))
+    likely = cut(_likely(pairs, sketches, percent))
     ends = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    links = cut(_verified(likely, cut(_sets(docs, ends, id_col, text_col))))
+    links = cut(_verified(likely, cut(_sets(docs, ends, id_col, text_col)), percent))
     first = cut(components(links, "a", "b"))
 
     placed = cut(members.select("bucket", "size", "id").join(first, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
@@ -264,10 +270,10 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = placed.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "comp")
     key, schema = ["bucket", "low", "high"], "bucket long, low int, high int, block int, id long, comp long"
-    open_ = cut(tiles.join(sketches, "id").groupBy(*key).applyInArrow(_surviving, schema))
+    open_ = cut(tiles.join(sketches, "id").groupBy(*key).applyInArrow(lambda tile: _surviving(tile, percent), schema))
     ends = cut(open_.select("id").distinct())
     with_sets = open_.join(cut(_sets(docs, ends, id_col, text_col)), "id").join(_only(sketches, ends), "id")
-    more = with_sets.groupBy(*key).applyInArrow(_tile_links, "a long, b long")
+    more = with_sets.groupBy(*key).applyInArrow(lambda tile: _tile_links(tile, percent), "a long, b long")
     joined = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
     known = cut(classes.join(joined, "id", "left").select("key", F.coalesce("component", "id").alias("component")))
@@ -276,9 +282,9 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each component, all columns as they came. Rows repeated with id and text stay once."""
-    dropped = cut(near_documents(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("id")).distinct())
+    dropped = cut(near_documents(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("id")).distinct())
     few = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
     kept = docs.join(few, docs[id_col] == few["id"], "left_anti")
     repeated = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id"))

@@ -37,3 +37,21 @@ def test_registered():
     names = e.queries()
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
     assert set(e.oracle_sql()) <= set(names)
+
+
+def test_near_duplicates_from_080(spark):
+    import corpus_pipeline
+    from memlake.llm import minhash
+    from tests.llm.test_operators import _shingles
+
+    words = [f"w{i}" for i in range(104)]
+    other = [*words[:92], *(f"x{i}" for i in range(12))]  # 88 of 112 shingles: 0.786
+    near = [*words[:95], *(f"y{i}" for i in range(9))]  # 91 of 109: 0.835
+    exact = [*words[:94], "z", *words[95:]]  # 95 of 105: 0.905
+    rows = [(0, " ".join(words)), (1, " ".join(other)), (2, " ".join(near)), (3, " ".join(exact))]
+    likeness = lambda i: len(_shingles(rows[0][1]) & _shingles(rows[i][1])) / len(_shingles(rows[0][1]) | _shingles(rows[i][1]))
+    assert likeness(1) < 0.80 <= likeness(2) < 0.85 <= likeness(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in minhash.keep_first(df).collect()} == {0, 1, 2}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, DIR).collect()} == {0, 1}
+    assert [minhash.band_rows(p) for p in (85, 80)] == [5, 4]
