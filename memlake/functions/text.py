@@ -203,7 +203,12 @@ def sanitize_query(raw: Column) -> Column:
     return let(let(strip(F.coalesce(raw, F.lit(""))), parts), chosen)
 
 
+#: Characters of words and white space of any script, as \b and \s know those of ASCII only.
+_WORD, _SPACE = r"[\p{L}\p{N}_]", r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
 def normalised_answer(answer: Column) -> Column:
     """Without commas, articles and ASCII punctuation, one space between words, lower case."""
-    words = F.regexp_replace(F.regexp_replace(F.replace(answer, F.lit(","), F.lit("")), r"\b(?:a|an|the|and)\b", " "), r"\s+", " ")
+    articles = rf"(?<!{_WORD})(?:a|an|the|and)(?!{_WORD})"
+    words = F.regexp_replace(F.regexp_replace(F.replace(answer, F.lit(","), F.lit("")), articles, " "), f"{_SPACE}+", " ")
     return F.trim(F.lower(F.regexp_replace(words, r"[!-/:-@\[-`{-~]", "")))

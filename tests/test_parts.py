@@ -155,3 +155,21 @@ def test_normalise(spark, tmp_path):
     assert {got[k] for k in ("log.jsonl", "events.jsonl", "web.json")} == {"> q\na\n"}
     assert "empty.txt" not in got or got["empty.txt"] == ""
     assert got["other.json"] == '{"x": 1}' and got["quoted.txt"] == "> a\n> b\n> c\n[1]"
+
+
+def test_answers_of_any_script(spark):
+    import re
+    import string
+    from memlake.plans import catalogue
+
+    def plain(x):
+        x = " ".join(re.sub(r"\b(a|an|the|and)\b", " ", x.replace(",", "")).split())
+        return "".join(c for c in x if c not in string.punctuation).lower().strip()
+
+    told = ["aé the éa an", "The naïve a-ñ and\u00a0the\u2003Ü", "и a и", "2a a2 _a a_"]
+    got = spark.createDataFrame([(x,) for x in told], "x string").select("x", text.normalised_answer(F.col("x")).alias("a")).collect()
+    assert [r.a for r in got] == [plain(r.x) for r in got]
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
+    rows = catalogue.QUERIES["answer_normalise_all"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(turns) and any(not x.isascii() for x in turns.values())
+    assert all(r.answer == plain(turns[r.conv_id, r.turn]) for r in rows)
