@@ -749,6 +749,13 @@ def query_sanitize(s, d):
     return rows.select("id", c["clean_query"].alias("clean_query"), c["method"].alias("method"))
 
 
+@query()
+def query_sanitize_all(s, d):
+    """Every document as it stands; no oracle, as DuckDB's expressions don't peel quotes layer by layer."""
+    c = text.sanitize_query(F.col("document"))
+    return drawers(s, d).select("id", c["clean_query"].alias("clean_query"), c["method"].alias("method"))
+
+
 @query(r"""SELECT conv_id, turn, trim(lower(regexp_replace(regexp_replace(regexp_replace(replace(text, ',', ''), '\b(?:a|an|the|and)\b', ' ', 'g'), '\s+', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g'))) AS answer FROM conversations WHERE regexp_matches(text, '^[ -~\n]*$')""")
 def answer_normalise(s, d):
     rows = read(s, d, "conversations").where(F.rlike("text", F.lit(r"\A[ -~\n]*\z")))

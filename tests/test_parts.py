@@ -173,3 +173,39 @@ def test_answers_of_any_script(spark):
     rows = catalogue.QUERIES["answer_normalise_all"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(turns) and any(not x.isascii() for x in turns.values())
     assert all(r.answer == plain(turns[r.conv_id, r.turn]) for r in rows)
+
+
+def test_sanitize_every_document(spark):
+    import re
+    from memlake.plans import catalogue
+
+    def unquoted(x):
+        x = x.strip()
+        while len(x) >= 2 and x[0] in "'\"" and x[0] == x[-1]:
+            x = x[1:-1].strip()
+        x = x[1:].strip() if x[:1] in ("'", '"') else x
+        return x[:-1].strip() if x[-1:] in ("'", '"') else x
+
+    def trimmed(x):
+        x = unquoted(x)
+        parts = [p for p in map(unquoted, re.split(r"[.!?。！？\n]+", x)) if 10 <= len(p) <= 250]
+        return x if len(x) <= 250 else parts[-1] if parts else x[-250:].strip()
+
+    def plain(q):
+        q = (q or "").strip()
+        if len(q) <= 200:
+            return q, "passthrough"
+        lines = [x.strip() for x in q.split("\n") if x.strip()]
+        asked = [x for x in lines if re.search(r"[?？]\s*[\"']?\s*$", x)]
+        if asked and len(asked[-1]) >= 10:
+            return trimmed(asked[-1]) if len(asked[-1]) > 250 else asked[-1], "question_extraction"
+        tails = [x for x in (trimmed(x) for x in lines if len(x) >= 10) if len(x) >= 10]
+        return (tails[-1], "tail_sentence") if tails else (q[-250:].strip(), "tail_truncation")
+
+    made = ["say. " * 60 + "'What is \"it\" called?'", "word " * 60 + "\nIs it here?\nNo.", "\"" + "A talk. " * 40 + "\"", "'It''s' " * 60]
+    got = spark.createDataFrame([(x,) for x in made], "x string").select("x", text.sanitize_query(F.col("x")).alias("c")).collect()
+    assert [tuple(r.c) for r in got] == [plain(r.x) for r in got]
+    held = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = catalogue.QUERIES["query_sanitize_all"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.id for r in rows} == set(held) and any(i % 2 and re.search("[\"'?？]", x or "") for i, x in held.items())
+    assert [r.id for r in rows if (r.clean_query, r.method) != plain(held[r.id])] == []
