@@ -486,8 +486,8 @@ def traverse_bfs(s, d):
 LINKS = "l AS (SELECT id, wing AS wing_a, room AS room_a, CASE WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS wing_b, 'src' || CAST(id % 7 AS VARCHAR) AS room_b, id AS drawer_a, id + 1 AS drawer_b FROM d WHERE id % 9 = 0)"
 
 
-def _links(s, d):
-    return drawers(s, d).where("id % 9 = 0").selectExpr("id", "wing as wing_a", "room as room_a", "case when id % 2 = 0 then 'en' else 'fr' end as wing_b", "concat('src', id % 7) as room_b", "id as drawer_a", "id + 1 as drawer_b")
+def _links(s, d, some="id % 9 = 0"):
+    return drawers(s, d).where(some).selectExpr("id", "wing as wing_a", "room as room_a", "case when id % 2 = 0 then 'en' else 'fr' end as wing_b", "concat('src', id % 7) as room_b", "id as drawer_a", "id + 1 as drawer_b")
 
 
 @query(f"WITH {D}, {LINKS} SELECT id, substring(sha256(least(wing_a || '/' || room_a, wing_b || '/' || room_b) || '↔' || greatest(wing_a || '/' || room_a, wing_b || '/' || room_b)), 1, 16) AS tunnel_id FROM l")
@@ -1006,3 +1006,48 @@ def tpch_join_agg(s, d):
     c = read(s, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), r6(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6).alias("revenue"))
+
+
+# --- whole tables: the same without the filters on ids ---------------------------------------------------------------
+
+
+def _whole(name: str, some: str) -> str:
+    """The oracle of *name* without the filter *some*."""
+    if some not in ORACLES[name]:
+        raise ValueError(f"{name} has no filter {some}")
+    return ORACLES[name].replace(some, "")
+
+
+@query(_whole("neighbour_expand", " WHERE id % 37 = 0"))
+def neighbour_expand_all(s, d):
+    rows = drawers(s, d)
+    return search.neighbours(rows, rows)
+
+
+@query(_whole("closet_boost", " WHERE id % 7 = 0"))
+def closet_boost_all(s, d):
+    v = vectors(s, d).withColumn("source_file", F.concat(F.lit("f"), F.expr("id div 5"))).where("id <> 2")
+    q = _queries(vectors(s, d), [2])
+    out = search.boost(search.knn(v, q, 15), search.knn(v, q, 10)).withColumn("effective", r6(F.col("effective")))
+    return out.orderBy("effective", "id").limit(5).select("id", "source_file", "effective")
+
+
+@query(_whole("knn_filtered", " AND id % 2 = 0"))
+def knn_filtered_all(s, d):
+    v = vectors(s, d)
+    return search.knn(v.where("label = 5"), _queries(v, [3, 4]), 8, max_distance=1.1).select("qid", "id", r6(F.col("distance")).alias("distance"))
+
+
+@query(_whole("tunnel_symmetric_ids", " WHERE id % 9 = 0"))
+def tunnel_symmetric_ids_all(s, d):
+    return graph.with_tunnel_ids(_links(s, d, "true")).select("id", "tunnel_id")
+
+
+@query(_whole("session_cursor", " WHERE event_id % 2 = 0 AND event_id % 5 <> 0"))
+def session_cursor_all(s, d):
+    return incremental.cursors(read(s, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").alias("timestamp")))
+
+
+@query(_whole("follow_tunnels", " WHERE id % 9 = 0"))
+def follow_tunnels_all(s, d):
+    return graph.follow(_links(s, d, "true"), "en", "src0", drawers(s, d)).select("direction", "wing", "room", "drawer", "preview")

@@ -209,3 +209,15 @@ def test_sanitize_every_document(spark):
     rows = catalogue.QUERIES["query_sanitize_all"](spark, "/root/testdata/sf0.01").collect()
     assert {r.id for r in rows} == set(held) and any(i % 2 and re.search("[\"'?？]", x or "") for i, x in held.items())
     assert [r.id for r in rows if (r.clean_query, r.method) != plain(held[r.id])] == []
+
+
+def test_queries_over_whole_tables(spark):
+    from memlake.plans import catalogue
+    from memlake.plans.tables import read
+
+    d = "/root/testdata/sf0.001"
+    run = lambda name: catalogue.QUERIES[name](spark, d)
+    n = read(spark, d, "documents").count()
+    assert run("neighbour_expand_all").count() == run("tunnel_symmetric_ids_all").count() == n
+    last = {r.user_id: r.ts for r in read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}
+    assert {r.session_id: r.cursor for r in run("session_cursor_all").collect()} == last
