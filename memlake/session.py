@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,3 +18,17 @@ SETTINGS = {
 def session(master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName("memlake").config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that queries build, shared by driver and executors: that of ``spark.checkpoint.dir``.
+
+    Only a session within one process may do without the setting.
+    """
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="memlake-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
