@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 #: Bytes of text that one call of a mapped function sees; a longer text comes alone and whole.
 SLICE_BYTES = 1 << 20
 
@@ -20,17 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise *df* in the folder that the cluster names in ``spark.checkpoint.dir``.
-
-    The checkpoint survives lost executors. Only where no folder is set (as in tests) a local one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="memlake-checkpoint-")
-        context.setCheckpointDir(named)
+    """Materialise *df* in the folder that the cluster names in ``spark.checkpoint.dir``; it survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into row ranges whose text column holds about *most* bytes."""
     if not batch.num_rows:
@@ -89,6 +99,27 @@ def rewrite_texts(df: DataFrame, text_col: str, fn: Callable[[list[str | None]],
     return df.mapInArrow(mapped, schema)
 
 
+# --- spans -----------------------------------------------------------------------------------------------------------
+
+
+def union_of(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches, in order, that the spans cover."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def is_free(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether a:b meets none of the stretches of ``union_of``."""
+    i = bisect_left(taken[0], b)
+    return i == 0 or taken[1][i - 1] <= a
+
+
 # --- hashes of words -------------------------------------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

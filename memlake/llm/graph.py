@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-#: A component of diameter d is done after about log(d) squared rounds; this only stops a program error.
-MOST_ROUNDS = 60
+from .common import cut, drop
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -20,25 +17,22 @@ def _print(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): the smallest id reachable, for every id on an edge between different ids.
 
-    Each round groups with map-side minima and joins them back to the edges. Both sides of those joins are written
+    Rounds go on until one changes nothing, about log(d) squared of them for a component of diameter d. Each round
+    groups with map-side minima and joins them back to the edges. Both sides of those joins are written
     before, so that the edges of a hub lie in shuffle partitions that adaptive execution may split.
     Null ends and loops are left out; repeated edges count once; no edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = cut(e.distinct())
-    seen = _print(e)
-    for _ in range(MOST_ROUNDS):
-        if not seen[0]:
-            break
+    seen, now = None, _print(e)
+    while now[0] and now != seen:
         both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).union(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
         low = cut(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
         large = cut(both.where("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("low")))
         small = large.join(least, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        e = cut(small.union(least.select("u", F.col("low").alias("v"))).distinct())
-        now = _print(e)
-        if now == seen:
-            break
-        seen = now
+        done, e = e, cut(small.union(least.select("u", F.col("low").alias("v"))).distinct())
+        drop(low, large, least, done)
+        seen, now = now, _print(e)
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

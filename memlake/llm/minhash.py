@@ -9,11 +9,16 @@ Candidates are compared by batches of minima. After each batch the posterior of
 matches so far drops the pair once it reaches the threshold with a probability below MISS. Survivors are verified
 exactly on their full sets.
 
-1. In each bucket every class meets the bucket's smallest class. Verified links make components.
-2. Buckets whose classes are all in one component are done: further links there would change nothing.
-   In the others the classes meet all the rest in tiles of two blocks of about BLOCK classes, so that one very large
-   bucket is many tiles. A tile first lists the classes with any surviving partner in another component; the sets of
-   those come to the tile then, and links are verified and joined there until no pair across components is left open.
+1. Stars. In each bucket all classes meet one leader: the class that shares the most with others over all its buckets,
+   so that a group of edits finds its original. Verified links make components, and the leader, which has met all, leaves
+   the bucket. While a round links more than one in STAR_SHARE of the classes that are left in buckets of several
+   components, another follows, led by the best class outside the bucket's largest component. A round is as many rows
+   as there are classes in open buckets.
+2. Tiles. Classes outside a bucket's largest component then meet all others of it; the largest component never meets
+   itself. They are dealt to blocks of about BLOCK by a hash, so that one very large bucket is many tiles, which hold
+   signatures only. A pair that shares several bands counts in the first of them alone. A tile names the classes with a
+   surviving partner in another component; only the full sets of those are fetched, dealt to blocks of about SET_BYTES,
+   and verified. A tile returns a star for each of its components.
 
 So all candidate pairs are looked at but those whose ends are linked already, and pairs are never written out.
 Empty and null texts (no words) have no shingles, link with nothing, and are kept. A text of fewer words than 5 is one
@@ -29,11 +34,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, mix64, word_hashes
+from .common import cut, drop, map_texts, mix64, word_hashes
 from .graph import components
+from .vectors import smallest_reachable
 
 SHINGLE = 5
 #: The least similarity in hundredths, if none is given; compared in whole numbers.
@@ -41,7 +47,10 @@ PERCENT = 85
 HASHES = 120
 BATCH = 24
 MISS = 1e-6
-BLOCK = 256
+#: Another round of stars pays while it links at least one in so many of the classes in open buckets.
+STAR_SHARE = 10
+BLOCK = 1024
+SET_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
 
 _random = np.random.default_rng(9)
@@ -190,7 +199,9 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, members): the sorted distinct hashed shingles of the texts with these ids."""
     chosen = _only(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ids)
-    return map_texts(chosen, ["id"], "text", lambda texts: [[np.unique(s).tobytes() for s in shingles(texts)[0]]], [("members", "binary")]).dropDuplicates(["id"])
+    made = map_texts(chosen, ["id"], "text", lambda texts: [[np.unique(s).tobytes() for s in shingles(texts)[0]]], [("members", "binary")])
+    repeated = chosen.groupBy("id").count().where("count > 1").limit(1).count()
+    return made.distinct() if repeated else made
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,80 +214,157 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _both(pairs, sets, ["members"]).select("a", "b", "a_members", "b_members").mapInArrow(kept, "a long, b long")
 
 
-def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a tile the order by id, and the index pairs to compare: in different components; across blocks unless it is one block."""
-    ids, comp, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Of the pairs those that are similar enough on their full sets; signatures go first, sets only where they leave doubt."""
+    likely = cut(_likely(pairs, sketches, percent))
+    ends = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = cut(_sets(docs, ends, id_col, text_col))
+    links = cut(_verified(likely, sets, percent))
+    drop(likely, ends, sets)
+    return links
+
+
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """The classes of buckets that hold several components, with their own and the bucket's largest (main) component."""
+    placed = members.join(joined, "id", "left").select("bucket", "id", "reach", F.coalesce("component", "id").alias("comp"))
+    placed = cut(placed)
+    main = F.max(F.struct("n", -F.col("comp")))
+    kinds = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("kinds"), (-main["col2"]).alias("main"))
+    found = cut(placed.join(kinds.where("kinds > 1").drop("kinds"), "bucket"))
+    drop(placed)
+    return found
+
+
+def _tiles(members: DataFrame, weight, room: int) -> DataFrame:
+    """Rows (bucket, comp, main, ...) dealt to tiles (low, high) of blocks that weigh about *room*.
+
+    Blocks from 0 to outer hold what is outside the main component and meet all blocks; the others hold the main
+    component and meet only the outer ones. A bucket that fits into one block is one tile.
+    """
+    out = F.col("comp") != F.col("main")
+    sizes = members.groupBy("bucket").agg(F.sum(F.when(out, weight).otherwise(0)).alias("w0"), F.sum(F.when(out, 0).otherwise(weight)).alias("w1"))
+    fits = F.col("w0") + F.col("w1") <= room
+    need = lambda w: F.ceil(F.col(w) / room).cast("int")
+    sizes = sizes.select("bucket", F.when(fits, 1).otherwise(F.greatest(need("w0"), F.lit(1))).alias("outer"), F.when(fits, 0).otherwise(need("w1")).alias("inner"))
+    placed = members.join(sizes, "bucket")
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    outer, inner = F.col("outer"), F.col("inner")
+    block = F.when(out | (inner == 0), deal(outer)).otherwise(outer + deal(F.greatest(inner, F.lit(1))))
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("block") < outer, outer + inner).otherwise(outer) - 1)))
+    return placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "outer", "inner")
+
+
+def _likely_in(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a tile's rows in different components that survive, and share no band before the tile's own."""
+    comp, block = table.column("comp").to_numpy(), table.column("block").to_numpy()
+    low, high, bucket = (table.column(c)[0].as_py() for c in ("low", "high", "bucket"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
     a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    open_ = comp[a][:, None] != comp[b][None, :]
-    if low == high:
-        open_ &= np.tri(len(a), k=-1, dtype=bool)
-    i, j = np.nonzero(open_)
-    return ids, comp, a[i], b[j]
+    fewest, keys, found = fewest_matches(BATCH, percent), band_keys(sig, band_rows(percent)), []
+    columns = np.ascontiguousarray(sig[b, :BATCH].T)
+    for at in range(0, len(a), BLOCK):
+        own = a[at : at + BLOCK]
+        same = np.zeros((len(own), len(b)), dtype=np.uint8)
+        for k in range(BATCH):
+            same += sig[own, k][:, None] == columns[k][None, :]
+        may = (same >= fewest) & (comp[own][:, None] != comp[b][None, :])
+        if low == high:
+            may &= own[:, None] > b[None, :]
+        i, j = np.nonzero(may)
+        alive, _ = survivors(sig, sig, own[i], b[j], percent)
+        i, j = own[i[alive]], b[j[alive]]
+        for part in range(0, len(i), 1 << 16):
+            p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+            first = (keys[p] == keys[q]).argmax(axis=1)
+            mine = keys[p, first] == bucket
+            found.append((p[mine], q[mine]))
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate([none, *(f[k] for f in found)]) for k in (0, 1))
 
 
 def _surviving(table: pa.Table, percent: int) -> pa.Table:
-    ids, comp, i, j = _across(table)
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-    alive, _ = survivors(sig, sig, i, j, percent)
-    hit = np.unique(np.concatenate([i[alive], j[alive]]))
-    return table.select(["bucket", "low", "high", "block", "id", "comp"]).take(pa.array(hit))
+    """The rows of a tile that have a likely partner in another component."""
+    i, j = _likely_in(table, percent)
+    return table.select(["bucket", "id", "comp", "main", "n", "sig"]).take(pa.array(np.unique(np.concatenate([i, j]))))
+
+
+def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements the sets of each index pair share; by products of incidence matrices where pairs are many."""
+    if len(i) <= 8 * len(sets):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())], dtype=np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = counts[column] > 1
+    row, column = row[keep], (np.cumsum(counts > 1) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    # Sums stay below 2 ** 24 for sets up to that size, so they are exact in float32; beyond, in float64.
+    kind = np.float32 if max(map(len, sets)) < 1 << 24 else np.float64
+    total = np.zeros((len(sets), len(sets)), dtype=kind)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        p, q = np.searchsorted(column, [at, at + 1024])
+        part = np.zeros((len(sets), 1024), dtype=kind)
+        part[row[p:q], column[p:q] - at] = 1
+        total += part @ part.T
+    return total[i, j].astype(np.int64)
 
 
 def _tile_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links within a tile that join different components, likeliest pairs first; enough to connect what is connected."""
-    ids, comp, i, j = _across(table)
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+    """A star for each component that the links of a tile make."""
+    ids = table.column("id").to_numpy()
     sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("members").to_pylist()]
-    alive, matches = survivors(sig, sig, i, j, percent)
-    parent = {int(c): int(c) for c in comp}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for k in alive[np.argsort(-matches, kind="stable")].tolist():
-        x, y = find(int(comp[i[k]])), find(int(comp[j[k]]))
-        if x != y and linked(sets[i[k]], sets[j[k]], percent):
-            parent[x] = y
-            out.append((int(ids[i[k]]), int(ids[j[k]])))
-    return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+    i, j = _likely_in(table, percent)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    both = shared(sets, i, j)
+    good = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    root = smallest_reachable(len(ids), i[good], j[good])
+    hit = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[root[hit]], pa.int64()), "b": pa.array(ids[hit], pa.int64())})
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id and kept; *percent* is the least similarity."""
     every = cut(_sketches(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, percent))
     classes = cut(every.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id")))
-    stand = cut(every.join(classes, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "bands", "sig"))
+    stand = cut(every.join(classes, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "n", "bands", "sig"))
 
     banded = stand.select("id", F.explode("bands").alias("bucket"))
-    buckets = cut(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1"))
-    members = cut(banded.join(buckets, "bucket"))
-    pairs = cut(members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    reach = F.sum("size").over(Window.partitionBy("id"))
+    members = cut(banded.join(sizes, "bucket").select("bucket", "id", reach.alias("reach")))
     involved = cut(members.select("id").distinct())
-    sketches = cut(_only(stand.select("id", "sig"), involved))
-
-    likely = cut(_likely(pairs, sketches, percent))
-    ends = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    links = cut(_verified(likely, cut(_sets(docs, ends, id_col, text_col)), percent))
-    first = cut(components(links, "a", "b"))
-
-    placed = cut(members.select("bucket", "size", "id").join(first, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
-    mixed = cut(placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = placed.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "comp")
-    key, schema = ["bucket", "low", "high"], "bucket long, low int, high int, block int, id long, comp long"
-    open_ = cut(tiles.join(sketches, "id").groupBy(*key).applyInArrow(lambda tile: _surviving(tile, percent), schema))
-    ends = cut(open_.select("id").distinct())
-    with_sets = open_.join(cut(_sets(docs, ends, id_col, text_col)), "id").join(_only(sketches, ends), "id")
-    more = with_sets.groupBy(*key).applyInArrow(lambda tile: _tile_links(tile, percent), "a long, b long")
-    joined = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+    sketches = cut(_only(stand.select("id", "n", "sig"), involved))
+    drop(sizes, stand, involved)
+
+    joined = cut(members.select(F.col("id"), F.col("id").alias("component")).where("false"))
+    left = cut(members.withColumn("comp", F.col("id")).withColumn("main", F.lit(None).cast("long")))
+    while True:
+        best = F.max(F.struct(F.coalesce(F.col("comp") != F.col("main"), F.lit(True)).alias("out"), "reach", (-F.col("id")).alias("low"), "comp")).alias("best")
+        leaders = left.groupBy("bucket").agg(best).select("bucket", (-F.col("best.low")).alias("leader"), F.col("best.comp").alias("leads"))
+        met = cut(left.join(leaders, "bucket").where("id != leader"))
+        pairs = cut(met.where("comp != leads").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+        links = _links(pairs, sketches, docs, id_col, text_col, percent)
+        before, joined = joined, cut(components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), "a", "b"))
+        old, left = left, _open(met, joined)
+        fresh, size = links.count(), left.count()
+        drop(met, pairs, links, old, before)
+        if fresh * STAR_SHARE <= size or not size:
+            break
+
+    if size:
+        rows = cut(left.join(sketches, "id"))
+        tile, key = "bucket long, id long, comp long, main long, n long, sig binary", ["bucket", "low", "high"]
+        hits = _tiles(rows, F.lit(1), BLOCK).groupBy(*key).applyInArrow(lambda t: _surviving(t, percent), tile)
+        hits = cut(hits.dropDuplicates(["bucket", "id", "sig"]))
+        ends = cut(hits.select("id").distinct())
+        sets = cut(_sets(docs, ends, id_col, text_col))
+        full = hits.join(sets, "id").withColumn("weight", F.octet_length("members") + 4 * HASHES)
+        more = cut(_tiles(full, F.col("weight"), SET_BYTES).groupBy(*key).applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"))
+        joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+        drop(rows, hits, ends, sets, more)
 
     known = cut(classes.join(joined, "id", "left").select("key", F.coalesce("component", "id").alias("component")))
+    drop(classes, members, sketches, left)
     out = every.select("id", "key", "n").join(known, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

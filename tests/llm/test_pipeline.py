@@ -17,7 +17,7 @@ def test_pipeline(spark):
     assert a.columns == b.columns == docs.columns and docs.count() >= a.count() >= b.count() > 0.5 * docs.count()
     held = b.collect()
     sets = [_shingles(r.text) for r in held]
-    links = [(i, j) for i in range(len(held)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    links = [(i, j) for i in range(len(held)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= corpus_pipeline.NEAR_PERCENT * len(sets[i] | sets[j])]
     order = sorted(range(len(held)), key=lambda i: held[i].doc_id)
     place = {i: k for k, i in enumerate(order)}
     reach = _components(len(held), [(place[i], place[j]) for i, j in links])
