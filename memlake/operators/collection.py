@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .where import Metadata, compile_where
 
-PROMOTED = ("wing", "room", "source_file", "occurred_at", "hall", "chunk_index", "n_chars")
+#: Columns that are no fields of their own.
+PARTS = ("document", "embedding", "metadata")
 
 
 def fields_of(df: DataFrame) -> Metadata:
-    return Metadata({c: df[c] for c in PROMOTED if c in df.columns}, df["metadata"] if "metadata" in df.columns else None)
+    """Every column but the parts is a field; further ones are looked up in the JSON text of ``metadata``."""
+    numeric = frozenset(f.name for f in df.schema if isinstance(f.dataType, T.NumericType))
+    return Metadata({c: df[c] for c in df.columns if c not in PARTS}, df["metadata"] if "metadata" in df.columns else None, numeric)
 
 
 def get(df: DataFrame, ids: list | None = None, where: dict | None = None, where_document: dict | None = None, limit: int | None = None, offset: int = 0, order: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap
+from .search import nearest
 
 PREFERENCES, ASSISTANT, EVENTS, FACTS, GENERAL = "preferences", "assistant", "events", "facts", "general"
 
@@ -61,16 +62,16 @@ def question_halls(question: Column) -> Column:
     return out.otherwise(F.array(F.lit(GENERAL)))
 
 
-def two_pass(rows: DataFrame, halls: list[str], keywords: list[str], k: int = 50, weight: float = 0.30, key: str = "id") -> DataFrame:
-    """The k nearest rows (distance, document, hall) of a question in the order of their weighed distance, as *score*.
+def two_pass(rows: DataFrame, queries: DataFrame, halls: list[str], keywords: list[str], k: int = 50, weight: float = 0.30, key: str = "id") -> DataFrame:
+    """The k nearest rows (embedding, document, hall) of every question with their weighed distance, as *score*.
 
-    The first pass finds the ten nearest rows of the question's first hall, unless that is the general one; its ten ids
-    are broadcast. A row without distance comes last.
+    The first pass finds the ten nearest rows of the questions' first hall, unless that is the general one; the second
+    all rows. A row whose id is the question's own does not count.
     """
-    near = lambda df, n: df.orderBy(F.col("distance").asc_nulls_last(), key).limit(n)
-    first = F.lit(halls[0] != GENERAL)
-    found = near(rows.where(first & (F.col("hall") == halls[0])), PASS).select(key, F.lit(FOUND).alias("__f"))
-    hall = F.when(first & (F.col("hall") == halls[0]), FIRST).when(F.col("hall").isin(*halls), OTHER).otherwise(1.0)
-    scored = near(rows, k).join(F.broadcast(found), key, "left")
+    near = nearest(rows, queries, k, key=key, others=True)
+    first = halls[0] != GENERAL
+    found = nearest(rows.where((F.col("hall") == halls[0]) & F.lit(first)), queries, PASS, key=key, others=True).select("qid", key, F.lit(FOUND).alias("__f"))
+    hall = F.when(F.lit(first) & (F.col("hall") == halls[0]), FIRST).when(F.col("hall").isin(*halls), OTHER).otherwise(1.0)
+    scored = near.join(found, ["qid", key], "left").join(rows.drop("embedding"), key)
     score = F.col("distance") * (1.0 - weight * overlap(F.col("document"), keywords)) * hall * F.coalesce("__f", F.lit(1.0))
-    return scored.withColumn("score", score).drop("__f").orderBy(F.col("score").asc_nulls_last(), key)
+    return scored.withColumn("score", score).drop("__f")

@@ -1,35 +1,147 @@
-"""Vector, lexical and fused ranking."""
+"""Vector, lexical and fused ranking, for many questions at once: ``qid`` goes through all of it."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, overlap
 from ..functions.vectors import cosine_distance, norm
-from .collection import top
+from . import lexical
+from .collection import fields_of, top
+from .where import compile_where
 
 #: Boost by the rank of the best index row of a source, and the distance up to which it counts.
 BOOSTS = (0.40, 0.25, 0.15, 0.08, 0.04)
 BOOST_DISTANCE = 1.5
+#: Question vectors of one product, and the bytes of packed vectors up to which the questions are broadcast.
+BLOCK = 512
+BROADCAST_BYTES = 64 << 20
 
 
-def distances(rows: DataFrame, queries: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(qid, all columns of rows, distance) for every query vector. The queries are few, by contract; they are broadcast."""
-    q = F.broadcast(queries.select("qid", F.col(vector).alias("__q")).withColumn("__qn", norm(F.col("__q"))))
-    r = rows.withColumn("__rn", norm(F.col(vector)))
-    return r.join(q).withColumn("distance", cosine_distance(F.col(vector), F.col("__q"), F.col("__rn"), F.col("__qn"))).drop("__q", "__qn", "__rn", vector)
+def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(ids, dims, data): the vectors of each Arrow batch as one row for each dimension, ordered by key.
 
+    Vectors that are null, zero or hold nulls or non-finite components are left out.
+    """
+    id_type = df.schema[key].dataType.simpleString()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = pc.sort_indices(batch.column(0))
+            ids, lists = batch.column(0).take(order), batch.column(1).take(order)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            for dims in np.unique(sizes[sizes > 0]).tolist():
+                own = np.flatnonzero(sizes == dims)
+                m = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+                good = np.isfinite(m).all(axis=1) & m.any(axis=1)
+                if good.any():
+                    kept = ids.take(pa.array(own[good]))
+                    arrays = [pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), pa.array([dims], pa.int32()), pa.array([m[good].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["ids", "dims", "data"])
+
+    rows = df.where(F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>"))
+    return rows.mapInArrow(packed, f"ids array<{id_type}>, dims int, data binary")
+
+
+def _best(questions: np.ndarray, rows: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Question, row and distance of the k nearest rows of each question; of equal distances the first rows."""
+    scale = np.sqrt((questions**2).sum(axis=1))[:, None] * np.sqrt((rows**2).sum(axis=1))[None]
+    d = np.round(1.0 - (questions @ rows.T) / scale, 12)
+    if same is not None:
+        d[same] = np.inf
+    most = min(k, d.shape[1])
+    q, r = np.nonzero(d <= np.partition(d, most - 1, axis=1)[:, most - 1][:, None])
+    x = d[q, r]
+    order = np.lexsort((x, q))
+    q, r, x = q[order], r[order], x[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = (place < k) & np.isfinite(x)
+    return q[keep], r[keep], x[keep]
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "id", others: bool = False) -> DataFrame:
+    """(qid, key, distance, rank): the exact k nearest rows of every question by (cosine distance, key).
+
+    Both sides are packed to matrices, so a task multiplies blocks and returns k rows for each question and batch.
+    Packed questions are broadcast up to BROADCAST_BYTES, by count; more of them meet the rows block by block, too.
+    With *others* a row whose key is the question's id does not count. Distances are rounded to 12 digits, so that equal
+    vectors are ties wherever they stand.
+    """
+    q = _packed(queries, "qid", vector).select(F.col("ids").alias("qids"), F.col("dims").alias("qdims"), F.col("data").alias("qdata"))
+    size = queries.agg(F.sum(F.size(vector).cast("long") * 8)).first()[0] or 0
+    q = F.broadcast(q) if size <= BROADCAST_BYTES else q
+    q_type, r_type = queries.schema["qid"].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, dims, data, qids, qdims, qdata = (batch.column(c) for c in range(6))
+                if dims[i].as_py() == qdims[i].as_py():
+                    m, n = (np.frombuffer(x[i].as_py(), dtype=np.float64).reshape(-1, dims[i].as_py()) for x in (data, qdata))
+                    own, asked = ids[i].values, qids[i].values
+                    for at in range(0, len(n), BLOCK):
+                        few = asked.slice(at, BLOCK)
+                        same = (pc.index_in(few, own), np.arange(len(few))) if others else None
+                        mask = None
+                        if same is not None:
+                            place = same[0].fill_null(-1).to_numpy(zero_copy_only=False)
+                            mask = np.zeros((len(few), len(own)), dtype=bool)
+                            mask[same[1][place >= 0], place[place >= 0]] = True
+                        a, b, d = _best(n[at : at + BLOCK], m, k, mask)
+                        yield pa.RecordBatch.from_arrays([few.take(pa.array(a)), own.take(pa.array(b)), pa.array(d)], names=["qid", key, "distance"])
+
+    found = _packed(rows, key, vector).crossJoin(q).mapInArrow(met, f"qid {q_type}, `{key}` {r_type}, distance double")
+    return top(found, k, [F.col("distance"), F.col(key)], ["qid"])
+
+
+def knn(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "id", max_distance: float = 0.0, others: bool = False, where: dict | None = None, where_document: dict | None = None) -> DataFrame:
+    """Exact k nearest rows of every query by (distance, key) among those that the filters keep, with their columns.
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "id", max_distance: float = 0.0) -> DataFrame:
-    """Exact k nearest rows of every query by (distance, key)."""
-    found = distances(rows, queries, vector).where("distance is not null")
+    The bound on the distance holds after the cut to k.
+    """
+    if where or where_document:
+        rows = rows.where(compile_where(where, where_document, fields_of(rows), rows["document"] if where_document else F.lit("")))
+    found = nearest(rows, queries, k, vector, key, others)
     if max_distance > 0:
         found = found.where(F.col("distance") <= max_distance)
-    return top(found, k, [F.col("distance"), F.col(key)], ["qid"])
+    return found.join(rows.drop(vector), key)
+
+
+def match(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.7, contains: dict | None = None, vector: str = "embedding", key: str = "id") -> DataFrame:
+    """Rows nearer than 1 - threshold to a query whose columns equal all of *contains*: least(k, 200) of them, by distance."""
+    for name, value in (contains or {}).items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    found = nearest(rows, queries, min(k, 200), vector, key).where(F.col("distance") < 1.0 - threshold)
+    return found.join(rows.drop(vector), key).withColumn("similarity", 1.0 - F.col("distance"))
+
+
+def duplicates(rows: DataFrame, queries: DataFrame, threshold: float = 0.9, others: bool = False) -> DataFrame:
+    """Of the five rows nearest to each text those whose similarity, rounded to 3 digits, reaches the threshold."""
+    found = nearest(rows, queries, 5, others=others).withColumn("similarity", F.round(1.0 - F.col("distance"), 3))
+    return found.where(F.col("similarity") >= threshold)
+
+
+def resolve(entities: DataFrame, queries: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Of the ten entities (id, name, type, embedding) nearest to each question those similar enough."""
+    return knn(entities, queries, 10).withColumn("similarity", 1.0 - F.col("distance")).where(F.col("similarity") >= threshold)
+
+
+def max_distance(min_similarity: float | None, otherwise: float = 1.5) -> float:
+    """The bound on distances that a least similarity means."""
+    return otherwise if min_similarity is None else 1.0 - min_similarity
+
+
+def terms_of(question: Column) -> Column:
+    """The distinct tokens of a question."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit(TOKEN), F.lit(0)))
 
 
 def bm25(docs: DataFrame, terms: list[str], text: str = "document", k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -56,25 +168,121 @@ def bm25(docs: DataFrame, terms: list[str], text: str = "document", k1: float =
     return counted.join(F.broadcast(stats)).withColumn("bm25", score).select(*docs.columns, "bm25")
 
 
-def hybrid(candidates: DataFrame, by: list[str] | None = None, vector_weight: float = 0.6, lexical_weight: float = 0.4) -> DataFrame:
-    """Weighted sum of similarity and BM25 over its largest value; a missing distance counts as 1."""
-    most = F.max("bm25").over(Window.partitionBy(*(by or [])))
+def bm25_within(hits: DataFrame, by: str = "qid", key: str = "id", text: str = "text", terms: str = "terms", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Okapi BM25 of each question's distinct *terms* with the statistics of its own hits, which are few; 0 without a term."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    own = Window.partitionBy(by)
+    counted = hits.select(by, key, terms, tokens.alias("__w")).withColumn("__dl", F.size("__w")).withColumn("__n", F.count("*").over(own)).withColumn("__avg", F.avg("__dl").over(own))
+    each = counted.withColumn("__t", F.explode(terms)).withColumn("__tf", F.size(F.filter("__w", lambda x: x == F.col("__t")))).where("__tf > 0")
+    df = F.count("*").over(Window.partitionBy(by, "__t"))
+    idf = F.ln((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5) + 1)
+    part = idf * F.col("__tf") * (k1 + 1) / (F.col("__tf") + k1 * (1 - b + b * F.col("__dl") / F.col("__avg")))
+    scores = each.withColumn("__df", df).withColumn("__s", part).groupBy(F.col(by).alias("__q"), F.col(key).alias("__k")).agg(F.sum("__s").alias("bm25"))
+    return hits.join(scores, (F.col(by) == F.col("__q")) & (F.col(key) == F.col("__k")), "left").drop("__q", "__k").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+
+
+def hybrid(candidates: DataFrame, by: str = "qid", vector_weight: float = 0.6, lexical_weight: float = 0.4) -> DataFrame:
+    """Weighted sum of similarity and BM25 over the question's largest value; a missing distance counts as 1."""
+    most = F.max("bm25").over(Window.partitionBy(by))
     similarity = F.greatest(F.lit(0.0), 1.0 - F.coalesce("distance", F.lit(1.0)))
     return candidates.withColumn("score", vector_weight * similarity + lexical_weight * F.when(most > 0, F.col("bm25") / most).otherwise(0.0))
 
 
-def rrf(branches: list[DataFrame], key: str = "id", k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ranked (key, rank) branches."""
-    both = reduce(lambda a, b: a.unionByName(b), [x.select(key, (F.lit(1.0) / (k + F.col("rank"))).alias("__s")) for x in branches])
-    return both.groupBy(key).agg(F.sum("__s").alias("rrf"))
+def rrf(branches: list[DataFrame], by: str = "qid", key: str = "id", k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of ranked (by, key, rank) branches, with the distance that stands for it."""
+    both = reduce(lambda a, b: a.unionByName(b), [x.select(by, key, (F.lit(1.0) / (k + F.col("rank"))).alias("__s")) for x in branches])
+    fused = both.groupBy(by, key).agg(F.sum("__s").alias("rrf"))
+    return fused.withColumn("distance", 1.0 - F.least(F.col("rrf") / (2.0 / (k + 1)), F.lit(1.0)))
+
+
+def hybrid_query(rows: DataFrame, queries: DataFrame, index: tuple[DataFrame, DataFrame], k: int = 10, each: int = 50, where: dict | None = None, where_document: dict | None = None) -> DataFrame:
+    """The k best rows of every question by fusion of the vector and the lexical branch, both under the same filters.
+
+    *queries* hold qid, question and embedding; *index* is that of the rows' texts. Sums are ranked as rounded to nine
+    digits, then by id.
+    """
+    kept = rows.where(compile_where(where, where_document, fields_of(rows), rows["document"]))
+    asked = queries.select("qid", terms_of(F.col("question")).alias("terms"))
+    filtered = kept if where or where_document else None
+    found = rrf([nearest(kept, queries, each), lexical.search(index, asked, each, among=filtered)])
+    return top(found, k, [F.round("rrf", 9).desc(), F.col("id")], ["qid"]).join(kept.drop("embedding"), "id")
+
+
+def routed_search(rows: DataFrame, queries: DataFrame, index: tuple[DataFrame, DataFrame] | None, k: int = 10, max_distance: float = 0.0, where: dict | None = None, rerank=None) -> DataFrame:
+    """Fused search, or plain vector search without an index; then an optional rerank; then the bound on the distance.
+
+    *rerank* takes the hits (with question) and returns them with a column ``rank`` of its own. Says by which method.
+    """
+    hits = knn(rows, queries, k, where=where) if index is None else hybrid_query(rows, queries, index, k, where=where)
+    method = "vector" if index is None else "hybrid"
+    if rerank is not None:
+        hits, method = rerank(hits.join(queries.select("qid", "question"), "qid")), method + "+rerank"
+    hits = hits.withColumn("search_method", F.lit(method))
+    return hits.where(F.col("distance") <= max_distance) if max_distance > 0 else hits
 
 
 def boost(hits: DataFrame, index_hits: DataFrame, source: str = "source_file") -> DataFrame:
-    """Effective distance: a source's best index row lowers it by rank. Ranks count index rows before one per source is kept."""
-    best = top(index_hits, 1, [F.col("rank")], [source], "__first").select(F.col(source).alias("__s"), F.col("rank").alias("__r"), F.col("distance").alias("__d"))
-    joined = hits.join(best, hits[source] == F.col("__s"), "left")
+    """Effective distance: a source's best index row of the same question lowers it by rank.
+
+    Ranks count index rows before one per source is kept. Without a source there is no boost.
+    """
+    best = top(index_hits.where(F.col(source).isNotNull()), 1, [F.col("rank")], ["qid", source], "__first").select(F.col("qid").alias("__q"), F.col(source).alias("__s"), F.col("rank").alias("__r"), F.col("distance").alias("__d"))
+    joined = hits.join(best, (hits["qid"] == F.col("__q")) & (hits[source] == F.col("__s")), "left")
     value = F.coalesce(F.get(F.array(*map(F.lit, BOOSTS)), F.col("__r") - 1), F.lit(0.0))
-    return joined.withColumn("boost", F.when(F.col("__d") <= BOOST_DISTANCE, value).otherwise(0.0)).withColumn("effective", F.col("distance") - F.col("boost")).drop("__s", "__r", "__d")
+    return joined.withColumn("boost", F.when(F.col("__d") <= BOOST_DISTANCE, value).otherwise(0.0)).withColumn("effective", F.col("distance") - F.col("boost")).drop("__q", "__s", "__r", "__d")
+
+
+def hydrated(hits: DataFrame, chunks: DataFrame, most: int = 10_000) -> DataFrame:
+    """For each (qid, source_file, terms) of *hits* the chunk of the source that holds most terms, with its neighbours.
+
+    Returns qid, source_file, text, drawer_index and total. Of equal chunks the first counts. All steps are aggregates
+    of one row at a time, so a source may have any number of chunks. Sources of one chunk are left out.
+    """
+    wanted = hits.select("qid", "source_file", "terms").distinct()
+    own = wanted.join(chunks.select("source_file", F.struct(F.col("chunk_index").alias("i"), F.col("id").alias("j")).alias("at"), F.coalesce("document", F.lit("")).alias("d")), "source_file")
+    matched = F.size(F.filter("terms", lambda t: F.contains(F.lower("d"), t)))
+    best = own.groupBy("qid", "source_file").agg(F.min(F.struct((-matched).alias("m"), F.col("at").alias("best"))).alias("b"), F.count("*").alias("total"))
+    best = best.where("total > 1").select(F.col("qid").alias("__q"), F.col("source_file").alias("__s"), "b.best", "total")
+    around = own.join(best, (F.col("qid") == F.col("__q")) & (F.col("source_file") == F.col("__s")))
+    side = lambda keep, pick: pick(F.when(keep, F.struct("at", "d")))["d"]
+    parts = around.groupBy("qid", "source_file", "total").agg(
+        side(F.col("at") < F.col("best"), F.max).alias("before"), side(F.col("at") == F.col("best"), F.min).alias("own"), side(F.col("at") > F.col("best"), F.min).alias("after"), F.count_if(F.col("at") < F.col("best")).alias("drawer_index")
+    )
+    text = F.concat_ws("\n\n", "before", "own", "after")
+    note = F.concat(F.lit("\n\n[...truncated. "), F.col("total"), F.lit(" total drawers.]"))
+    return parts.withColumn("text", text).select("qid", "source_file", F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), note)).otherwise(F.col("text")).alias("text"), "drawer_index", "total")
+
+
+def search_memories(drawers: DataFrame, queries: DataFrame, k: int = 5, index: DataFrame | None = None, where: dict | None = None, max_distance: float = 0.0) -> DataFrame:
+    """The k best drawers of every question (qid, question, embedding), end to end.
+
+    Drawers are the floor: 3k of them are fetched by distance, under the filter and the bound on the raw distance. Of 2k
+    index rows, a source's best one lowers the distance of its drawers. The k best by effective distance stay. A boosted
+    hit of a source with several drawers shows the drawer with most of the question's terms and its neighbours. BM25
+    within the k hits and the raw similarity then give the final order; ties go by the effective distance and its ties.
+    Returns the drawers' columns besides rank, text, distance, boost, effective, similarity, matched_via, bm25, score,
+    drawer_index and total.
+    """
+    asked = queries.select("qid", terms_of(F.col("question")).alias("terms"))
+    near = knn(drawers, queries, 3 * k, where=where, max_distance=max_distance)
+    if index is None:
+        hits = near.withColumn("boost", F.lit(0.0)).withColumn("effective", F.col("distance"))
+    else:
+        hits = boost(near, knn(index, queries, 2 * k, where=where).select("qid", "source_file", "rank", "distance"))
+    hits = top(hits.withColumnRenamed("rank", "__near"), k, [F.col("effective"), F.col("__near")], ["qid"], "__place").join(asked, "qid")
+    grown = hydrated(hits.where("boost > 0"), drawers).select(F.col("qid").alias("__q"), F.col("source_file").alias("__s"), F.col("text").alias("__text"), "drawer_index", "total")
+    hits = hits.join(grown, (F.col("qid") == F.col("__q")) & (F.col("source_file") == F.col("__s")) & (F.col("boost") > 0), "left")
+    hits = hits.withColumn("text", F.coalesce("__text", "document", F.lit(""))).drop("__q", "__s", "__text")
+    scored = hybrid(bm25_within(hits))
+    ranked = top(scored, k, [F.col("score").desc(), F.col("__place")], ["qid"])
+    similarity = F.greatest(F.lit(0.0), 1.0 - F.col("effective"))
+    return ranked.withColumn("similarity", similarity).withColumn("matched_via", F.when(F.col("boost") > 0, "drawer+index").otherwise("drawer")).drop("__near", "__place", "terms")
+
+
+def explain_search(found: DataFrame) -> DataFrame:
+    """What made the order of the rows of ``search_memories``: the parts of each score and a preview of the text."""
+    preview = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
+    return found.select("qid", "rank", "id", "wing", "room", "source_file", preview.alias("preview"), "distance", "boost", "effective", "similarity", "bm25", "score", "matched_via")
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, radius: int = 1, source: str = "source_file", index: str = "chunk_index") -> DataFrame:

@@ -20,10 +20,17 @@ class UnsupportedFilter(ValueError):
 
 
 class Metadata:
-    """Where fields come from: promoted columns first, then a JSON object in a string column."""
+    """Where fields come from: promoted columns first, then a JSON object in a string column.
 
-    def __init__(self, promoted: dict[str, Column] | None = None, json: Column | None = None):
-        self.promoted, self.json = promoted or {}, json
+    Numbers meet promoted columns that *numeric* names in the column's own type, so such filters reach the scan and no
+    digit is lost; everything else is compared through its text.
+    """
+
+    def __init__(self, promoted: dict[str, Column] | None = None, json: Column | None = None, numeric: frozenset[str] = frozenset()):
+        self.promoted, self.json, self.numeric = promoted or {}, json, numeric
+
+    def number(self, key: str) -> Column:
+        return self.promoted[key] if key in self.numeric else self.text(key).try_cast("double")
 
     def text(self, key: str) -> Column:
         if key in self.promoted:
@@ -99,7 +106,7 @@ def _operator(key: str, op: str, rhs: object, fields: Metadata) -> Column:
     if op in ("$gt", "$gte", "$lt", "$lte"):
         if isinstance(rhs, bool) or not isinstance(rhs, (str, int, float)):
             raise UnsupportedFilter(f"{op} takes a string or a number")
-        left = fields.text(key) if isinstance(rhs, str) else fields.text(key).try_cast("double")
+        left = fields.text(key) if isinstance(rhs, str) else fields.number(key)
         return {"$gt": left > rhs, "$gte": left >= rhs, "$lt": left < rhs, "$lte": left <= rhs}[op]
     raise UnsupportedFilter(f"unknown operator {op}")
 
@@ -113,7 +120,7 @@ def _equal(key: str, rhs: object, fields: Metadata, negated: bool) -> Column:
     if isinstance(rhs, bool):
         left = fields.truth(key)
     else:
-        left = fields.text(key) if isinstance(rhs, str) else fields.text(key).try_cast("double")
+        left = fields.text(key) if isinstance(rhs, str) else fields.number(key)
     return left != rhs if negated else left == rhs
 
 
@@ -121,7 +128,7 @@ def _in(key: str, rhs: object, fields: Metadata, negated: bool) -> Column:
     if not isinstance(rhs, list) or not rhs or any(v is None or not isinstance(v, SCALARS) for v in rhs):
         raise UnsupportedFilter("$in and $nin take a non-empty list of scalars")
     if all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in rhs):
-        found = fields.text(key).try_cast("double").isin([float(v) for v in rhs])
+        found = fields.number(key).isin(rhs)
     else:
         found = fields.text(key).isin([str(v).lower() if isinstance(v, bool) else str(v) for v in rhs])
     return ~found if negated else found

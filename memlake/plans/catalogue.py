@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, graph, halls, incremental, kg, metrics, near_dup, search, summary, transcript
+from ..operators import classify, collection, context, entities as naming, graph, halls, incremental, kg, lexical, metrics, near_dup, search, summary, transcript
 from ..sources import rooms
-from .tables import D, K, V, drawers, entities, read, triples, vectors
+from .tables import D, K, Q, V, drawers, entities, lexical_index, questions, read, triples, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,48 +111,67 @@ def delete_where(s, d):
 
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
+# Questions are all vectors whose id is divisible by 50, against all rows, if a query says nothing else.
 
-def _queries(rows: DataFrame, ids: list[int]) -> DataFrame:
-    return rows.where(F.col("id").isin(ids)).select(F.col("id").alias("qid"), "embedding")
 
+def _queries(rows: DataFrame, some: str = "id % 50 = 0") -> DataFrame:
+    return rows.where(some).select(F.col("id").alias("qid"), "embedding")
 
-KNN = f"""WITH {V}, q AS (SELECT id AS qid, e AS qe FROM v WHERE id IN ({{ids}})),
- r AS (SELECT qid, id, label, list_cosine_distance(e, qe) AS x FROM v, q WHERE {{cond}}),
+
+KNN = f"""WITH {V}, {Q}, r AS (SELECT qid, id, label, list_cosine_distance(e, qe) AS x FROM v, q WHERE {{cond}}),
  k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS rank FROM r)"""
 
 
-@query(KNN.format(ids="0", cond="label IN (1, 2, 3) AND id <> 0") + f" SELECT id AS vec_id, label, {SIX('x')} AS distance FROM k WHERE rank <= 10")
+@query(KNN.replace("FROM v, q", "FROM v, (SELECT 0 AS qid, e AS qe FROM v WHERE id = 0)").format(cond="label IN (1, 2, 3) AND id <> 0") + f" SELECT id AS vec_id, label, {SIX('x')} AS distance FROM k WHERE rank <= 10")
 def knn_cosine(s, d):
     v = vectors(s, d)
-    return search.knn(v.where("label in (1, 2, 3) and id <> 0"), _queries(v, [0]), 10).select(F.col("id").alias("vec_id"), "label", r6(F.col("distance")).alias("distance"))
+    return search.knn(v, _queries(v, "id = 0"), 10, others=True, where={"label": {"$in": [1, 2, 3]}}).select(F.col("id").alias("vec_id"), "label", r6(F.col("distance")).alias("distance"))
 
 
-@query(KNN.format(ids="1, 7, 20, 33", cond="true") + f" SELECT qid, id, CAST(rank AS INTEGER) AS rank, {SIX('x')} AS distance FROM k WHERE rank <= 5")
+@query(KNN.format(cond="true") + f" SELECT qid, id, CAST(rank AS INTEGER) AS rank, {SIX('x')} AS distance FROM k WHERE rank <= 5")
 def knn_multi_query(s, d):
     v = vectors(s, d)
-    return search.knn(v, _queries(v, [1, 7, 20, 33]), 5).select("qid", "id", "rank", r6(F.col("distance")).alias("distance"))
+    return search.knn(v, _queries(v), 5).select("qid", "id", "rank", r6(F.col("distance")).alias("distance"))
 
 
-@query(KNN.format(ids="3, 4", cond="label = 5 AND id % 2 = 0") + f" SELECT qid, id, {SIX('x')} AS distance FROM k WHERE rank <= 8 AND x <= 1.1")
+@query(KNN.format(cond="label = 5") + f" SELECT qid, id, {SIX('x')} AS distance FROM k WHERE rank <= 8 AND x <= 1.1")
 def knn_filtered(s, d):
     v = vectors(s, d)
-    return search.knn(v.where("label = 5 and id % 2 = 0"), _queries(v, [3, 4]), 8, max_distance=1.1).select("qid", "id", r6(F.col("distance")).alias("distance"))
+    return search.knn(v, _queries(v), 8, max_distance=1.1, where={"label": 5}).select("qid", "id", r6(F.col("distance")).alias("distance"))
+
+
+@query(f"""WITH {V}, {D}, {Q}, r AS (SELECT qid, id, wing, document, list_cosine_distance(e, qe) AS x FROM v JOIN d USING (id), q WHERE wing = 'en' AND contains(document, 'the') AND id % 5 >= 2),
+ k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS rank FROM r) SELECT qid, id, wing, document, CAST(rank AS INTEGER) AS rank, {SIX('x')} AS distance FROM k WHERE rank <= 6""")
+def query_collection(s, d):
+    """The collection's query in one call: metadata and document filters, several questions, chosen parts."""
+    rows = drawers(s, d).join(vectors(s, d).select("id", "embedding"), "id")
+    found = search.knn(rows, questions(s, d), 6, where={"wing": "en", "chunk_index": {"$gte": 2}}, where_document={"$contains": "the"})
+    return collection.include(found, ("documents", "metadatas", "distances")).select("qid", "id", "wing", "document", "rank", r6(F.col("distance")).alias("distance"))
 
 
-@query(KNN.format(ids="11", cond="label = 1 AND list_cosine_distance(e, qe) < 1 - 0.1") + f" SELECT id, {SIX('1 - x')} AS similarity FROM k WHERE rank <= 10")
+@query(KNN.format(cond="label = 1 AND list_cosine_distance(e, qe) < 1 - 0.1") + f" SELECT qid, id, {SIX('1 - x')} AS similarity FROM k WHERE rank <= 200")
 def match_threshold(s, d):
     v = vectors(s, d)
-    near = search.distances(v.where("label = 1"), _queries(v, [11])).where("distance < 1 - 0.1")
-    return collection.top(near, 10, [F.col("distance"), F.col("id")], ["qid"]).select("id", r6(1 - F.col("distance")).alias("similarity"))
+    return search.match(v, _queries(v), 500, 0.1, {"label": 1}).select("qid", "id", r6(F.col("similarity")).alias("similarity"))
 
 
-@query(KNN.format(ids="5, 8, 13", cond="id <> qid") + f" SELECT qid, id, {SIX('1 - x')} AS similarity FROM k WHERE rank <= 5 AND {SIX('1 - x')} >= 0.3")
+@query(KNN.format(cond="id <> qid") + " SELECT qid, id, floor((1 - x) * 1000 + 0.5) / 1000 AS similarity FROM k WHERE rank <= 5 AND round(1 - x, 3) >= 0.3")
 def check_duplicate(s, d):
     v = vectors(s, d)
-    q = F.broadcast(_queries(v, [5, 8, 13]))
-    near = search.distances(v, q).where("id <> qid")
-    best = collection.top(near, 5, [F.col("distance"), F.col("id")], ["qid"]).withColumn("similarity", r6(1 - F.col("distance")))
-    return best.where("similarity >= 0.3").select("qid", "id", "similarity")
+    return search.duplicates(v, _queries(v), 0.3, others=True).select("qid", "id", "similarity")
+
+
+@query(KNN.format(cond="true") + f", n AS (SELECT * FROM k WHERE rank <= 10 AND 1 - x >= 0.35) SELECT qid, id, 'Entity ' || id AS name, CASE WHEN label < 5 THEN 'person' ELSE 'project' END AS type, {SIX('1 - x')} AS similarity FROM n")
+def entity_resolve(s, d):
+    v = vectors(s, d)
+    known = v.select("id", F.concat(F.lit("Entity "), F.col("id")).alias("name"), F.when(F.col("label") < 5, "person").otherwise("project").alias("type"), "embedding")
+    return search.resolve(known, _queries(v), 0.35).select("qid", "id", "name", "type", r6(F.col("similarity")).alias("similarity"))
+
+
+@query(KNN.format(cond="true") + f" SELECT qid, id, {SIX('x')} AS distance FROM k WHERE rank <= 20 AND x <= 1 - 0.4")
+def knn_min_similarity(s, d):
+    v = vectors(s, d)
+    return search.knn(v, _queries(v), 20, max_distance=search.max_distance(0.4)).select("qid", "id", r6(F.col("distance")).alias("distance"))
 
 
 @query(f"""WITH {V}, u AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2),
@@ -182,11 +201,27 @@ BM = f"""tk AS (SELECT id, regexp_extract_all(lower(document), '[\\p{{{{L}}}}\\p
  tf AS (SELECT id, t, count(*) AS f FROM u WHERE t IN ({{terms}}) GROUP BY 1, 2), df AS (SELECT t, count(*) AS c FROM tf GROUP BY 1),
  bm AS (SELECT id, sum(ln((n - c + 0.5) / (c + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a))) AS s FROM tf JOIN df USING (t) JOIN ln_ USING (id), av GROUP BY id)"""
 TERMS = ", ".join(f"'{w}'" for w in WORDS)
+SPLIT = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+#: BM25 of each question's terms tq(qid, t): over all of d, and within the question's own rows c0(qid, id, document).
+BMALL = f"""tk AS (SELECT id, {SPLIT.format(x='document')} AS w FROM d), ln_ AS (SELECT id, len(w) AS dl FROM tk), av AS (SELECT count(*) AS n, avg(dl) AS a FROM ln_), u AS (SELECT id, unnest(w) AS t FROM tk),
+ tf AS (SELECT id, t, count(*) AS f FROM u WHERE t IN (SELECT t FROM tq) GROUP BY 1, 2), df AS (SELECT t, count(*) AS c FROM tf GROUP BY 1),
+ bm AS (SELECT qid, id, sum(ln((n - c + 0.5) / (c + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a))) AS s FROM tf JOIN df USING (t) JOIN ln_ USING (id) JOIN tq USING (t), av GROUP BY 1, 2)"""
+BMOWN = f"""tk AS (SELECT qid, id, {SPLIT.format(x='document')} AS w FROM c0), ln_ AS (SELECT qid, id, len(w) AS dl FROM tk), av AS (SELECT qid, count(*) AS n, avg(dl) AS a FROM ln_ GROUP BY 1), u AS (SELECT qid, id, unnest(w) AS t FROM tk),
+ tf AS (SELECT qid, id, t, count(*) AS f FROM u JOIN tq USING (qid, t) GROUP BY 1, 2, 3), df AS (SELECT qid, t, count(*) AS c FROM tf GROUP BY 1, 2),
+ bm AS (SELECT qid, id, sum(ln((n - c + 0.5) / (c + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a))) AS s FROM tf JOIN df USING (qid, t) JOIN ln_ USING (qid, id) JOIN av USING (qid) GROUP BY 1, 2)"""
+ASKS = f"tq AS (SELECT DISTINCT qid, unnest({SPLIT.format(x='question')}) AS t FROM q)"
 
 
 @query(f"WITH {D}, {BM.format(base='d', terms=TERMS)} SELECT id, {SIX('s')} AS bm25 FROM bm ORDER BY {SIX('s')} DESC, id LIMIT 20")
 def bm25_topk(s, d):
-    return search.bm25(drawers(s, d), WORDS).withColumn("bm25", r6(F.col("bm25"))).orderBy(F.col("bm25").desc(), "id").limit(20).select("id", "bm25")
+    asked = s.createDataFrame([(0, WORDS)], "qid long, terms array<string>")
+    return lexical.search(lexical_index(s, d), asked, 20).select("id", r6(F.col("bm25")).alias("bm25"))
+
+
+@query(f"WITH {D}, {Q}, {ASKS}, {BMALL}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY floor(s * 1e6 + 0.5) DESC, id) AS rank FROM bm) SELECT qid, id, CAST(rank AS INTEGER) AS rank, {SIX('s')} AS bm25 FROM k WHERE rank <= 10")
+def bm25_questions(s, d):
+    asked = questions(s, d).select("qid", search.terms_of(F.col("question")).alias("terms"))
+    return lexical.search(lexical_index(s, d), asked, 10).select("qid", "id", "rank", r6(F.col("bm25")).alias("bm25"))
 
 
 @query(f"WITH {D}, c0 AS (SELECT * FROM d WHERE wing = 'en' AND room IN ('src1', 'src2')), {BM.format(base='c0', terms=TERMS)} SELECT c0.id, {SIX('coalesce(s, 0)')} AS bm25 FROM c0 LEFT JOIN bm USING (id)")
@@ -197,49 +232,115 @@ def bm25_candidates(s, d):
 
 def _candidates(s, d, k=40):
     v = vectors(s, d)
-    near = search.knn(v.where("id <> 2"), _queries(v, [2]), k)
-    return near.join(drawers(s, d), "id")
+    return search.nearest(v, _queries(v), k, others=True).join(drawers(s, d), "id")
+
+
+CAND = KNN.format(cond="id <> qid").replace("WITH ", f"WITH {D}, ", 1) + ", c0 AS (SELECT d.*, k.qid, k.x, k.rank FROM k JOIN d USING (id) WHERE rank <= {k})"
 
 
-CAND = KNN.format(ids="2", cond="id <> 2").replace("WITH ", f"WITH {D}, ", 1) + ", c0 AS (SELECT d.*, k.x, k.rank FROM k JOIN d USING (id) WHERE rank <= {k})"
+def _best_sql(score: str, order: str, name: str, k: int, source: str = "c0") -> str:
+    """The k best rows of each question by a rounded score, then by id."""
+    return f" SELECT qid, id, {name} FROM (SELECT qid, id, {SIX(score)} AS {name}, row_number() OVER (PARTITION BY qid ORDER BY {SIX(score)} {order}, id) AS n FROM {source}) WHERE n <= {k}"
 
 
-@query(CAND.format(k=40) + f", {BM.format(base='c0', terms=TERMS)}, h AS (SELECT c0.id, 0.6 * greatest(0, 1 - x) + 0.4 * coalesce(s, 0) / (SELECT max(s) FROM bm) AS z FROM c0 LEFT JOIN bm USING (id)) SELECT id, {SIX('z')} AS score FROM h ORDER BY {SIX('z')} DESC, id LIMIT 10")
+@query(CAND.format(k=40) + f", tq AS (SELECT qid, unnest({_list(WORDS)}) AS t FROM q), {BMOWN}, mx AS (SELECT qid, max(s) AS m FROM bm GROUP BY 1), h AS (SELECT c0.qid, c0.id, 0.6 * greatest(0, 1 - x) + 0.4 * coalesce(s / m, 0) AS z FROM c0 LEFT JOIN bm USING (qid, id) LEFT JOIN mx USING (qid))" + _best_sql("z", "DESC", "score", 10, "h"))
 def hybrid_rank(s, d):
-    ranked = search.hybrid(search.bm25(_candidates(s, d), WORDS), ["qid"]).withColumn("score", r6(F.col("score")))
-    return ranked.orderBy(F.col("score").desc(), "id").limit(10).select("id", "score")
+    rows = _candidates(s, d).withColumn("terms", F.array(*map(F.lit, WORDS)))
+    ranked = search.hybrid(search.bm25_within(rows, text="document")).withColumn("score", r6(F.col("score")))
+    return collection.top(ranked, 10, [F.col("score").desc(), F.col("id")], ["qid"], "n").select("qid", "id", "score")
+
+
+FUSE = f""", lx AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY floor(s * 1e6 + 0.5) DESC, id) AS r FROM bm JOIN d USING (id) WHERE {{cond}}),
+ f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + r)) AS z FROM (SELECT qid, id, rank AS r FROM k WHERE rank <= 50 UNION ALL SELECT qid, id, r FROM lx WHERE r <= 50) GROUP BY 1, 2),
+ o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(z, 9) DESC, id) AS n FROM f) SELECT qid, id, CAST(n AS INTEGER) AS rank, {SIX('z')} AS rrf, {SIX('1 - least(z / (2.0::DOUBLE / 61), 1)')} AS distance, wing, document FROM o JOIN d USING (id) WHERE n <= 10"""
+
+
+def _embedded(s, d):
+    return drawers(s, d).join(vectors(s, d).select("id", "embedding"), "id", "left")
 
 
-@query(CAND.format(k=50) + f""", {BM.format(base='d', terms=TERMS)}, l AS (SELECT id, row_number() OVER (ORDER BY {SIX('s')} DESC, id) AS r FROM bm),
- f AS (SELECT id, sum(1.0 / (60 + r)) AS z FROM (SELECT id, rank AS r FROM c0 UNION ALL SELECT id, r FROM l WHERE r <= 50) GROUP BY 1) SELECT id, {SIX('z')} AS rrf, {SIX('1 - least(z / (2.0 / 61), 1)')} AS distance FROM f ORDER BY {SIX('z')} DESC, id LIMIT 10""")
+def _fused(found):
+    return found.select("qid", "id", "rank", r6(F.col("rrf")).alias("rrf"), r6(F.col("distance")).alias("distance"), "wing", "document")
+
+
+@query(KNN.format(cond="id IN (SELECT id FROM d)").replace("WITH ", f"WITH {D}, ", 1) + f", {ASKS}, {BMALL}" + FUSE.format(cond="true"))
 def rrf_fusion(s, d):
-    v = vectors(s, d)
-    near = search.knn(v.where("id <> 2"), _queries(v, [2]), 50).join(drawers(s, d).select("id"), "id", "left_semi")
-    scored = search.bm25(drawers(s, d), WORDS).where("bm25 > 0").withColumn("bm25", r6(F.col("bm25"))).orderBy(F.col("bm25").desc(), "id").limit(50)
-    words = collection.top(scored, 50, [F.col("bm25").desc(), F.col("id")])
-    fused = search.rrf([near, words]).withColumn("raw", F.col("rrf")).withColumn("rrf", r6(F.col("rrf")))
-    return fused.orderBy(F.col("rrf").desc(), "id").limit(10).select("id", "rrf", r6(1 - F.least(F.col("raw") / (2.0 / 61), F.lit(1.0))).alias("distance"))
+    return _fused(search.hybrid_query(_embedded(s, d), questions(s, d), lexical_index(s, d)))
+
+
+SOME = "wing = 'en' AND contains(document, 'on')"
+
+
+@query(KNN.format(cond=f"id IN (SELECT id FROM d WHERE {SOME})").replace("WITH ", f"WITH {D}, ", 1) + f", {ASKS}, {BMALL}" + FUSE.format(cond=SOME))
+def rrf_filtered(s, d):
+    return _fused(search.hybrid_query(_embedded(s, d), questions(s, d), lexical_index(s, d), where={"wing": "en"}, where_document={"$contains": "on"}))
+
+
+@query(KNN.format(cond=f"id IN (SELECT id FROM d WHERE wing = 'en')").replace("WITH ", f"WITH {D}, ", 1) + f", {ASKS}, {BMALL}" + FUSE.format(cond="wing = 'en'").replace(", wing, document", ", 'hybrid' AS search_method") + " AND 1 - least(z / (2.0::DOUBLE / 61), 1) <= 0.6")
+def search_routed(s, d):
+    found = search.routed_search(_embedded(s, d), questions(s, d), lexical_index(s, d), 10, 0.6, where={"wing": "en"})
+    return found.select("qid", "id", "rank", r6(F.col("rrf")).alias("rrf"), r6(F.col("distance")).alias("distance"), "search_method")
 
 
 SRC = "'f' || CAST({id} // 5 AS VARCHAR)"
+#: Index rows point to a source in no relation to their vector.
+LINE = "'f' || CAST(({id} * 3) % 100 AS VARCHAR)"
 
 
-@query(KNN.format(ids="2", cond="id <> 2") + f""", i0 AS (SELECT id, x, row_number() OVER (ORDER BY x, id) AS r FROM r WHERE id % 7 = 0), i1 AS (SELECT {SRC.format(id='id')} AS sf, x, r FROM i0 WHERE r <= 10),
- i2 AS (SELECT sf, arg_min(x, r) AS x, min(r) AS r FROM i1 GROUP BY 1), z AS (SELECT k.id, k.x - CASE WHEN i2.x <= 1.5 THEN coalesce(([0.40, 0.25, 0.15, 0.08, 0.04])[i2.r], 0) ELSE 0 END AS y, {SRC.format(id='k.id')} AS source_file FROM k LEFT JOIN i2 ON i2.sf = {SRC.format(id='k.id')} WHERE rank <= 15)
- SELECT id, source_file, {SIX('y')} AS effective FROM z ORDER BY {SIX('y')}, id LIMIT 5""")
+def _index(s, d):
+    return vectors(s, d).withColumn("source_file", F.concat(F.lit("f"), (F.col("id") * 3) % 100))
+
+
+BOOST = f"""i0 AS (SELECT qid, {LINE.format(id='id')} AS sf, list_cosine_distance(e, qe) AS x, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_distance(e, qe), id) AS r FROM v, q),
+ i2 AS (SELECT qid, sf, arg_min(x, r) AS x, min(r) AS r FROM i0 WHERE r <= 10 GROUP BY 1, 2),
+ z AS (SELECT k.*, {SRC.format(id='k.id')} AS source_file, CASE WHEN i2.x <= 1.5 THEN coalesce(([0.40, 0.25, 0.15, 0.08, 0.04]::DOUBLE[])[i2.r], 0) ELSE 0 END AS boost FROM k LEFT JOIN i2 ON i2.qid = k.qid AND i2.sf = {SRC.format(id='k.id')} WHERE rank <= 15)"""
+
+
+@query(KNN.format(cond="true") + f", {BOOST} SELECT qid, id, source_file, {SIX('x - boost')} AS effective, boost FROM z")
 def closet_boost(s, d):
     v = vectors(s, d).withColumn("source_file", F.concat(F.lit("f"), F.expr("id div 5")))
-    hits = search.knn(v.where("id <> 2"), _queries(v, [2]), 15)
-    index = search.knn(v.where("id <> 2 and id % 7 = 0"), _queries(v, [2]), 10)
-    out = search.boost(hits, index).withColumn("effective", r6(F.col("effective")))
-    return out.orderBy("effective", "id").limit(5).select("id", "source_file", "effective")
+    q = _queries(v)
+    out = search.boost(search.knn(v, q, 15), search.knn(_index(s, d), q, 10))
+    return out.select("qid", "id", "source_file", r6(F.col("effective")).alias("effective"), "boost")
+
+
+def _end_to_end(where: str = "true") -> str:
+    """The whole search in SQL: 3k and 2k fetched, boosted, cut to k, hydrated, ranked."""
+    return f"""WITH {D}, {V}, {Q}, dr AS (SELECT d.*, label, e FROM d JOIN v USING (id)), r AS (SELECT qid, id, list_cosine_distance(e, qe) AS x FROM dr, q WHERE {where}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS rank FROM r), {BOOST},
+ p0 AS (SELECT *, x - boost AS eff, row_number() OVER (PARTITION BY qid ORDER BY x - boost, rank) AS place FROM z WHERE x <= 1.2), p AS (SELECT * FROM p0 WHERE place <= 5),
+ tq AS (SELECT DISTINCT qid, unnest({SPLIT.format(x='question')}) AS t FROM q), tl AS (SELECT qid, list(t) AS terms FROM tq GROUP BY 1), wn AS (SELECT DISTINCT p.qid, source_file, coalesce(terms, []) AS terms FROM p LEFT JOIN tl USING (qid) WHERE boost > 0),
+ ch AS (SELECT qid, source_file, len(list_filter(terms, lambda t: contains(lower(document), t))) AS hits, row_number() OVER (PARTITION BY qid, source_file ORDER BY chunk_index, id) - 1 AS pos, count(*) OVER (PARTITION BY qid, source_file) AS total,
+  string_agg(document, chr(10) || chr(10)) OVER (PARTITION BY qid, source_file ORDER BY chunk_index, id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t FROM dr JOIN wn USING (source_file)),
+ b0 AS (SELECT *, row_number() OVER (PARTITION BY qid, source_file ORDER BY hits DESC, pos) AS n FROM ch), b AS (SELECT qid, source_file, pos, total, CASE WHEN len(t) > 10000 THEN substring(t, 1, 10000) || chr(10) || chr(10) || '[...truncated. ' || total || ' total drawers.]' ELSE t END AS t FROM b0 WHERE n = 1 AND total > 1),
+ c0 AS (SELECT p.*, coalesce(b.t, dr.document) AS document, b.pos, b.total, wing, room FROM p JOIN dr USING (id) LEFT JOIN b ON b.qid = p.qid AND b.source_file = p.source_file AND p.boost > 0), {BMOWN}, mx AS (SELECT qid, max(s) AS m FROM bm GROUP BY 1),
+ h AS (SELECT c0.*, coalesce(s, 0) AS bm25, 0.6 * greatest(0, 1 - x) + 0.4 * coalesce(s / m, 0) AS score FROM c0 LEFT JOIN bm USING (qid, id) LEFT JOIN mx USING (qid)),
+ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, place) AS INTEGER) AS n FROM h)"""
+
+
+def _searched(s, d, where=None):
+    rows = drawers(s, d).join(vectors(s, d), "id")
+    return search.search_memories(rows, questions(s, d), 5, _index(s, d), where, 1.2)
 
 
-@query(f"""WITH {D}, h AS (SELECT id AS hit_id, source_file AS sf, chunk_index AS ci FROM d WHERE id % 37 = 0)
+@query(_end_to_end() + f" SELECT qid, id, n AS rank, source_file, md5(document) AS text_md5, {SIX('x')} AS distance, boost, {SIX('eff')} AS effective, {SIX('greatest(0, 1 - eff)')} AS similarity, {SIX('bm25')} AS bm25, {SIX('score')} AS score, CASE WHEN boost > 0 THEN 'drawer+index' ELSE 'drawer' END AS matched_via, pos AS drawer_index, total FROM o")
+def search_memories(s, d):
+    found = _searched(s, d)
+    numbers = [r6(F.col(c)).alias(c) for c in ("distance", "effective", "similarity", "bm25", "score")]
+    return found.select("qid", "id", "rank", "source_file", F.md5("text").alias("text_md5"), "boost", *numbers, "matched_via", "drawer_index", "total")
+
+
+@query(_end_to_end().replace("FROM v, q)", "FROM v, q WHERE label = 5)").replace("FROM dr, q WHERE true", "FROM dr, q WHERE label = 5") + f" SELECT qid, id, n AS rank, wing, room, source_file, CASE WHEN len(document) > 200 THEN substring(document, 1, 200) || '...' ELSE document END AS preview, {SIX('x')} AS distance, boost, {SIX('eff')} AS effective, {SIX('greatest(0, 1 - eff)')} AS similarity, {SIX('bm25')} AS bm25, {SIX('score')} AS score, CASE WHEN boost > 0 THEN 'drawer+index' ELSE 'drawer' END AS matched_via FROM o")
+def explain_search(s, d):
+    out = search.explain_search(_searched(s, d, {"label": 5}))
+    return out.withColumns({c: r6(F.col(c)) for c in ("distance", "effective", "similarity", "bm25", "score")})
+
+
+@query(f"""WITH {D}, h AS (SELECT id AS hit_id, source_file AS sf, chunk_index AS ci FROM d)
  SELECT hit_id, string_agg(document, chr(10) || chr(10) ORDER BY chunk_index, id) AS text, count(*) AS n, (SELECT count(*) FROM d e WHERE e.source_file = sf) AS total FROM h JOIN d ON d.source_file = sf AND chunk_index BETWEEN ci - 1 AND ci + 1 GROUP BY hit_id, sf""")
 def neighbour_expand(s, d):
     rows = drawers(s, d)
-    return search.neighbours(rows.where("id % 37 = 0"), rows)
+    return search.neighbours(rows, rows)
 
 
 @query(f"""WITH {D}, p AS (SELECT *, {' + '.join(f"CAST(contains(lower(document), '{w}') AS INTEGER)" for w in WORDS)} AS hits, row_number() OVER w - 1 AS position,
@@ -251,19 +352,18 @@ def hydrate_best_chunk(s, d):
 
 def _reranked(rows: DataFrame, factor, k: int = 10) -> DataFrame:
     out = rows.withColumn("distance", r6(F.col("distance") * factor))
-    return out.orderBy("distance", "id").limit(k).select("id", "distance")
+    return collection.top(out, k, [F.col("distance"), F.col("id")], ["qid"], "n").select("qid", "id", "distance")
 
 
 OV = "(" + " + ".join(f"CAST(contains(lower(document), '{w}') AS INTEGER)" for w in QUESTION) + f") / {len(QUESTION)}.0"
 
 
-@query(CAND.format(k=50) + f" SELECT id, {SIX(f'x * (1 - 0.30 * {OV})')} AS distance FROM c0 ORDER BY 2, 1 LIMIT 10")
+@query(CAND.format(k=50) + _best_sql(f"x * (1 - 0.30 * {OV})", "", "distance", 10))
 def keyword_overlap_rank(s, d):
     return _reranked(_candidates(s, d, 50), 1 - 0.30 * overlap(F.col("document"), QUESTION))
 
 
-@query(CAND.format(k=50) + f""", o AS (SELECT *, abs(date_diff('day', DATE '2024-06-01' - 21, CAST(occurred_at AS DATE))) AS off FROM c0)
- SELECT id, {SIX("x * CASE WHEN off <= 5 THEN 0.6 WHEN off <= 15 THEN 1 - 0.4 * (1 - (off - 5) / 10.0) ELSE 1 END")} AS distance FROM o ORDER BY 2, 1 LIMIT 10""")
+@query(CAND.format(k=50) + ", o AS (SELECT *, abs(date_diff('day', DATE '2024-06-01' - 21, CAST(occurred_at AS DATE))) AS off FROM c0)" + _best_sql("x * CASE WHEN off <= 5 THEN 0.6 WHEN off <= 15 THEN 1 - 0.4 * (1 - (off - 5) / 10.0) ELSE 1 END", "", "distance", 10, "o"))
 def temporal_boost_rank(s, d):
     when = dates.relative_days(F.lit("What did they say 3 weeks ago?"))
     rows = _candidates(s, d, 50)
@@ -271,28 +371,27 @@ def temporal_boost_rank(s, d):
     return _reranked(rows, factor)
 
 
-@query(CAND.format(k=50) + f""" SELECT id, {SIX("x * (1 - 0.60 * CAST(contains(lower(document), 'the ') AS INTEGER)) * (1 - 0.40 * (CAST(contains(lower(document), 'ertion') AS INTEGER) + CAST(contains(lower(document), 'thnt') AS INTEGER)) / 2.0)")} AS distance FROM c0 ORDER BY 2, 1 LIMIT 10""")
+@query(CAND.format(k=50) + _best_sql("x * (1 - 0.60 * CAST(contains(lower(document), 'the ') AS INTEGER)) * (1 - 0.40 * (CAST(contains(lower(document), 'ertion') AS INTEGER) + CAST(contains(lower(document), 'thnt') AS INTEGER)) / 2.0)", "", "distance", 10))
 def phrase_name_boost(s, d):
     text_ = F.col("document")
     return _reranked(_candidates(s, d, 50), (1 - 0.60 * overlap(text_, ["the "])) * (1 - 0.40 * overlap(text_, ["ertion", "thnt"])))
 
 
-@query(CAND.format(k=50) + f" SELECT id, {SIX('CASE WHEN room = $$src2$$ THEN x * 0.8 ELSE x END')} AS distance FROM c0 ORDER BY 2, 1 LIMIT 10")
+@query(CAND.format(k=50) + _best_sql("CASE WHEN room = $$src2$$ THEN x * 0.8 ELSE x END", "", "distance", 10))
 def room_soft_boost(s, d):
     return _reranked(_candidates(s, d, 50), F.when(F.col("room") == "src2", 0.8).otherwise(1.0))
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
-RANKED = KNN.format(ids="1, 7, 20, 33", cond="id <> qid") + ", j AS (SELECT k.qid, k.rank, k.label = l.label AS rel FROM k JOIN v l ON l.id = k.qid WHERE rank <= 30)"
+RANKED = KNN.format(cond="id <> qid") + ", j AS (SELECT k.qid, k.rank, k.label = l.label AS rel FROM k JOIN v l ON l.id = k.qid WHERE rank <= 30)"
 
 
 def _ranked(s, d):
     v = vectors(s, d)
-    q = _queries(v, [1, 7, 20, 33])
-    near = collection.top(search.distances(v, q).where("id <> qid"), 30, [F.col("distance"), F.col("id")], ["qid"])
-    own = v.select(F.col("id").alias("qid"), F.col("label").alias("__l"))
-    return near.join(F.broadcast(own.where(F.col("qid").isin([1, 7, 20, 33]))), "qid").withColumn("relevant", F.col("label") == F.col("__l"))
+    near = search.knn(v, _queries(v), 30, others=True)
+    own = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("label").alias("__l"))
+    return near.join(own, "qid").withColumn("relevant", F.col("label") == F.col("__l"))
 
 
 @query(RANKED + f" SELECT qid, max(CAST(rel AND rank <= 5 AS INTEGER)) AS recall_any, CAST(count_if(rel AND rank <= 5) = count_if(rel) AS INTEGER) AS recall_all, {SIX('count_if(rel AND rank <= 5) / CAST(greatest(count_if(rel), 1) AS DOUBLE)')} AS recall FROM j GROUP BY 1")
@@ -317,13 +416,12 @@ def token_f1(s, d):
     return metrics.token_f1(pairs, "x", "y", ["conv_id", "turn"]).withColumn("f1", r6(F.col("f1")))
 
 
-@query(KNN.format(ids="1, 7, 20, 33", cond="id <> qid") + f""", a AS (SELECT * FROM k WHERE rank <= 20), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY x * CASE WHEN label = 1 THEN 0.8 ELSE 1 END, id) AS rb FROM k WHERE rank <= 20),
+@query(KNN.format(cond="id <> qid") + f""", a AS (SELECT * FROM k WHERE rank <= 20), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY x * CASE WHEN label = 1 THEN 0.8 ELSE 1 END, id) AS rb FROM k WHERE rank <= 20),
  m AS (SELECT a.qid, a.id, a.rank AS ra, b.rb FROM a JOIN b ON a.qid = b.qid AND a.id = b.id)
  SELECT l.qid, {SIX('sum(sign(CAST(l.ra AS DOUBLE) - r.ra) * sign(CAST(l.rb AS DOUBLE) - r.rb)) / count(*)')} AS tau, count(*) AS pairs FROM m l JOIN m r ON l.qid = r.qid AND l.id < r.id GROUP BY 1""")
 def kendall_tau(s, d):
     v = vectors(s, d)
-    q = _queries(v, [1, 7, 20, 33])
-    a = collection.top(search.distances(v, q).where("id <> qid"), 20, [F.col("distance"), F.col("id")], ["qid"])
+    a = search.knn(v, _queries(v), 20, others=True)
     b = collection.top(a.drop("rank").withColumn("distance", F.col("distance") * F.when(F.col("label") == 1, 0.8).otherwise(1.0)), 20, [F.col("distance"), F.col("id")], ["qid"])
     return metrics.kendall_tau(a, b).withColumn("tau", r6(F.col("tau")))
 
@@ -483,11 +581,11 @@ def traverse_bfs(s, d):
     return graph.traverse(graph.nodes(rows), "r3", 2).select("room", "hop")
 
 
-LINKS = "l AS (SELECT id, wing AS wing_a, room AS room_a, CASE WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS wing_b, 'src' || CAST(id % 7 AS VARCHAR) AS room_b, id AS drawer_a, id + 1 AS drawer_b FROM d WHERE id % 9 = 0)"
+LINKS = "l AS (SELECT id, wing AS wing_a, room AS room_a, CASE WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS wing_b, 'src' || CAST(id % 7 AS VARCHAR) AS room_b, id AS drawer_a, id + 1 AS drawer_b FROM d)"
 
 
-def _links(s, d, some="id % 9 = 0"):
-    return drawers(s, d).where(some).selectExpr("id", "wing as wing_a", "room as room_a", "case when id % 2 = 0 then 'en' else 'fr' end as wing_b", "concat('src', id % 7) as room_b", "id as drawer_a", "id + 1 as drawer_b")
+def _links(s, d):
+    return drawers(s, d).selectExpr("id", "wing as wing_a", "room as room_a", "case when id % 2 = 0 then 'en' else 'fr' end as wing_b", "concat('src', id % 7) as room_b", "id as drawer_a", "id + 1 as drawer_b")
 
 
 @query(f"WITH {D}, {LINKS} SELECT id, substring(sha256(least(wing_a || '/' || room_a, wing_b || '/' || room_b) || '↔' || greatest(wing_a || '/' || room_a, wing_b || '/' || room_b)), 1, 16) AS tunnel_id FROM l")
@@ -713,9 +811,9 @@ def sweep_incremental(s, d):
     return incremental.sweep(e, e.where("id % 2 = 0 and id % 5 <> 0")).select(F.col("id").alias("event_id"), "state")
 
 
-@query(f"WITH {HELD} SELECT user_id AS session_id, max(ts) AS cursor FROM h GROUP BY 1")
+@query("SELECT user_id AS session_id, max(ts) AS cursor FROM events GROUP BY 1")
 def session_cursor(s, d):
-    e = read(s, d, "events").where("event_id % 2 = 0 and event_id % 5 <> 0")
+    e = read(s, d, "events")
     return incremental.cursors(e.select(F.col("user_id").alias("session_id"), F.col("ts").alias("timestamp")))
 
 
@@ -736,34 +834,15 @@ def rate_window_60s(s, d):
 TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-@query(f"""WITH {D}, p AS (SELECT id, {TRIM.format(x="document || CASE WHEN id % 2 = 0 THEN chr(10) || 'Where is it kept?' ELSE '' END")} AS q FROM d),
- l AS (SELECT id, q, list_filter([{TRIM.format(x='z')} FOR z IN string_split(q, chr(10))], lambda y: len(y) >= 10)[-1] AS s FROM p),
- f AS (SELECT id, q, s, list_filter([{TRIM.format(x='z')} FOR z IN string_split_regex(s, '[.!?。！？' || chr(10) || ']+')], lambda y: len(y) BETWEEN 10 AND 250)[-1] AS frag FROM l)
- SELECT id, CASE WHEN len(q) <= 200 THEN q WHEN id % 2 = 0 THEN 'Where is it kept?' WHEN s IS NULL THEN {TRIM.format(x='right(q, 250)')} WHEN len(s) <= 250 THEN s ELSE coalesce(frag, {TRIM.format(x='right(s, 250)')}) END AS clean_query,
- CASE WHEN len(q) <= 200 THEN 'passthrough' WHEN id % 2 = 0 THEN 'question_extraction' WHEN s IS NULL THEN 'tail_truncation' ELSE 'tail_sentence' END AS method FROM f WHERE NOT regexp_matches(q, '["''?？]') OR id % 2 = 0""")
-def query_sanitize(s, d):
-    # Quotes and questions within the texts are left to the unit tests.
-    rows = drawers(s, d).where((F.col("id") % 2 == 0) | ~F.rlike("document", F.lit("[\"'?？]")))
-    raw = F.concat("document", F.when(F.col("id") % 2 == 0, "\nWhere is it kept?").otherwise(""))
-    c = text.sanitize_query(raw)
-    return rows.select("id", c["clean_query"].alias("clean_query"), c["method"].alias("method"))
-
-
 @query()
-def query_sanitize_all(s, d):
+def query_sanitize(s, d):
     """Every document as it stands; no oracle, as DuckDB's expressions don't peel quotes layer by layer."""
     c = text.sanitize_query(F.col("document"))
     return drawers(s, d).select("id", c["clean_query"].alias("clean_query"), c["method"].alias("method"))
 
 
-@query(r"""SELECT conv_id, turn, trim(lower(regexp_replace(regexp_replace(regexp_replace(replace(text, ',', ''), '\b(?:a|an|the|and)\b', ' ', 'g'), '\s+', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g'))) AS answer FROM conversations WHERE regexp_matches(text, '^[ -~\n]*$')""")
-def answer_normalise(s, d):
-    rows = read(s, d, "conversations").where(F.rlike("text", F.lit(r"\A[ -~\n]*\z")))
-    return rows.select("conv_id", "turn", text.normalised_answer(F.col("text")).alias("answer"))
-
-
 @query()
-def answer_normalise_all(s, d):
+def answer_normalise(s, d):
     """Every turn, of any script; no oracle, as DuckDB's expressions have no boundaries of Unicode words."""
     return read(s, d, "conversations").select("conv_id", "turn", text.normalised_answer(F.col("text")).alias("answer"))
 
@@ -934,11 +1013,11 @@ def evidence_recall(s, d):
     return out.select("qid", r6(F.col("recall")).alias("recall"), metrics.held_out(F.col("qid")).alias("held_out"))
 
 
-@query(f"""WITH e AS (SELECT DISTINCT conv_id AS qid, lower({TRIM.format(x='text')}) AS e FROM conversations WHERE role = 'user'), t AS (SELECT DISTINCT conv_id AS qid, lower({TRIM.format(x="CASE WHEN role = 'user' THEN substring(text, 1, 40) ELSE text END")}) AS t FROM conversations WHERE turn < 2),
+@query(f"""WITH e AS (SELECT DISTINCT conv_id AS qid, lower({TRIM.format(x='text')}) AS e FROM conversations WHERE role = 'user'), t AS (SELECT DISTINCT conv_id AS qid, lower({TRIM.format(x='text')}) AS t FROM conversations WHERE role <> 'user' OR turn % 3 = 0),
  h AS (SELECT qid, e, max(CAST(coalesce(contains(e, t) OR contains(t, e), FALSE) AS INT)) AS hit FROM e LEFT JOIN t USING (qid) GROUP BY 1, 2) SELECT qid, {SIX('avg(hit)')} AS recall FROM h GROUP BY 1""")
 def message_recall(s, d):
     c = read(s, d, "conversations").withColumnRenamed("conv_id", "qid")
-    found = c.where("turn < 2").withColumn("text", F.when(F.col("role") == "user", F.substring("text", 1, 40)).otherwise(F.col("text")))
+    found = c.where("role <> 'user' or turn % 3 = 0")  # what a search came back with, beside all evidence
     return metrics.message_recall(c.where("role = 'user'"), found).withColumn("recall", r6(F.col("recall")))
 
 
@@ -976,15 +1055,13 @@ def question_halls(s, d):
     return rows.select("conv_id", "turn", F.array_join(halls.question_halls(_put_before("conv_id", "text", ASKED)), ">").alias("halls"))
 
 
-TWO = f"h AS (SELECT id, x, document, {_hall_sql(_before('id', 'document', SAY), chr(39) * 2)} AS hall FROM c0)"
-
-
-@query(CAND.format(k=400) + f""", {TWO}, f AS (SELECT id FROM h WHERE hall = 'events' ORDER BY x, id LIMIT 10), n AS (SELECT * FROM h ORDER BY x, id LIMIT 50)
- SELECT id, hall, {SIX(f"x * (1 - 0.30 * {OV}) * CASE WHEN hall = 'events' THEN 0.75 WHEN hall IN ('facts', 'general') THEN 0.90 ELSE 1 END * CASE WHEN id IN (SELECT id FROM f) THEN 0.85 ELSE 1 END")} AS score FROM n""")
+@query(KNN.format(cond="id <> qid").replace("WITH ", f"WITH {D}, ", 1) + f""", c0 AS (SELECT d.*, k.qid, k.x FROM k JOIN d USING (id)), h AS (SELECT qid, id, x, document, {_hall_sql(_before('id', 'document', SAY), chr(39) * 2)} AS hall FROM c0),
+ f AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS r FROM h WHERE hall = 'events') WHERE r <= 10), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS r FROM h) WHERE r <= 50)
+ SELECT n.qid, n.id, hall, {SIX(f"x * (1 - 0.30 * {OV}) * CASE WHEN hall = 'events' THEN 0.75 WHEN hall IN ('facts', 'general') THEN 0.90 ELSE 1 END * CASE WHEN f.id IS NOT NULL THEN 0.85 ELSE 1 END")} AS score FROM n LEFT JOIN f ON f.qid = n.qid AND f.id = n.id""")
 def two_pass_rank(s, d):
-    rows = _candidates(s, d, 400).withColumn("hall", halls.session_hall(_put_before("id", "document", SAY), F.lit("")))
-    out = halls.two_pass(rows, halls.TARGETS[halls.EVENTS], QUESTION)
-    return out.select("id", "hall", r6(F.col("score")).alias("score"))
+    halled = drawers(s, d).withColumn("hall", halls.session_hall(_put_before("id", "document", SAY), F.lit(""))).join(vectors(s, d).select("id", "embedding"), "id")
+    out = halls.two_pass(halled, _queries(vectors(s, d)), halls.TARGETS[halls.EVENTS], QUESTION)
+    return out.select("qid", "id", "hall", r6(F.col("score")).alias("score"))
 
 
 @query("SELECT c_custkey, 'Cust' || c_custkey AS subject, 'owner' AS predicate, 'Nation' || c_nationkey AS object FROM customer WHERE c_custkey % 3 <> 2")
@@ -1006,48 +1083,3 @@ def tpch_join_agg(s, d):
     c = read(s, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), r6(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6).alias("revenue"))
-
-
-# --- whole tables: the same without the filters on ids ---------------------------------------------------------------
-
-
-def _whole(name: str, some: str) -> str:
-    """The oracle of *name* without the filter *some*."""
-    if some not in ORACLES[name]:
-        raise ValueError(f"{name} has no filter {some}")
-    return ORACLES[name].replace(some, "")
-
-
-@query(_whole("neighbour_expand", " WHERE id % 37 = 0"))
-def neighbour_expand_all(s, d):
-    rows = drawers(s, d)
-    return search.neighbours(rows, rows)
-
-
-@query(_whole("closet_boost", " WHERE id % 7 = 0"))
-def closet_boost_all(s, d):
-    v = vectors(s, d).withColumn("source_file", F.concat(F.lit("f"), F.expr("id div 5"))).where("id <> 2")
-    q = _queries(vectors(s, d), [2])
-    out = search.boost(search.knn(v, q, 15), search.knn(v, q, 10)).withColumn("effective", r6(F.col("effective")))
-    return out.orderBy("effective", "id").limit(5).select("id", "source_file", "effective")
-
-
-@query(_whole("knn_filtered", " AND id % 2 = 0"))
-def knn_filtered_all(s, d):
-    v = vectors(s, d)
-    return search.knn(v.where("label = 5"), _queries(v, [3, 4]), 8, max_distance=1.1).select("qid", "id", r6(F.col("distance")).alias("distance"))
-
-
-@query(_whole("tunnel_symmetric_ids", " WHERE id % 9 = 0"))
-def tunnel_symmetric_ids_all(s, d):
-    return graph.with_tunnel_ids(_links(s, d, "true")).select("id", "tunnel_id")
-
-
-@query(_whole("session_cursor", " WHERE event_id % 2 = 0 AND event_id % 5 <> 0"))
-def session_cursor_all(s, d):
-    return incremental.cursors(read(s, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").alias("timestamp")))
-
-
-@query(_whole("follow_tunnels", " WHERE id % 9 = 0"))
-def follow_tunnels_all(s, d):
-    return graph.follow(_links(s, d, "true"), "en", "src0", drawers(s, d)).select("direction", "wing", "room", "drawer", "preview")

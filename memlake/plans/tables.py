@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lexical
+from ..session import shared_folder
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +41,31 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 V = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, question, embedding): every vector whose id is divisible by 50, with a passage of the benchmark as its words."""
+    v = vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    return v.join(b, F.col("item_id") == F.col("qid") % 40, "left").select("qid", F.coalesce("question", F.lit("")).alias("question"), "embedding")
+
+
+Q = """q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qe, coalesce(b.text, '') AS question FROM embeddings LEFT JOIN benchmark b ON b.item_id = vec_id % 40 WHERE vec_id % 50 = 0)"""
+
+_indexes: dict[tuple, str] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of all drawers, built by the first query of a session that needs them; another one if the table's files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    status, content = system.getFileStatus(path), system.getContentSummary(path)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), content.getLength())
+    if key not in _indexes:
+        folder = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+        lexical.build(drawers(spark, sf_dir), folder)
+        _indexes[key] = folder
+    return lexical.load(spark, _indexes[key])
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event is a fact about its user until the user's next event of the type."""
     from pyspark.sql import Window

@@ -170,7 +170,7 @@ def test_answers_of_any_script(spark):
     got = spark.createDataFrame([(x,) for x in told], "x string").select("x", text.normalised_answer(F.col("x")).alias("a")).collect()
     assert [r.a for r in got] == [plain(r.x) for r in got]
     turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
-    rows = catalogue.QUERIES["answer_normalise_all"](spark, "/root/testdata/sf0.001").collect()
+    rows = catalogue.QUERIES["answer_normalise"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(turns) and any(not x.isascii() for x in turns.values())
     assert all(r.answer == plain(turns[r.conv_id, r.turn]) for r in rows)
 
@@ -206,7 +206,7 @@ def test_sanitize_every_document(spark):
     got = spark.createDataFrame([(x,) for x in made], "x string").select("x", text.sanitize_query(F.col("x")).alias("c")).collect()
     assert [tuple(r.c) for r in got] == [plain(r.x) for r in got]
     held = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
-    rows = catalogue.QUERIES["query_sanitize_all"](spark, "/root/testdata/sf0.01").collect()
+    rows = catalogue.QUERIES["query_sanitize"](spark, "/root/testdata/sf0.01").collect()
     assert {r.id for r in rows} == set(held) and any(i % 2 and re.search("[\"'?？]", x or "") for i, x in held.items())
     assert [r.id for r in rows if (r.clean_query, r.method) != plain(held[r.id])] == []
 
