@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -203,10 +204,26 @@ def keyword_class(text: Column, sets: dict[str, list[str]], otherwise: str) -> C
     return out
 
 
+def literal_of(pattern: str) -> str:
+    """The longest literal run that every match of a simple pattern holds; the empty text if there is none."""
+    plain = re.sub(r"\\[bd]|\\\*", "\0", pattern)
+    while (inner := re.sub(r"\([^()]*\)\??|\[[^\]]*\][+*?]?", "\0", plain)) != plain:
+        plain = inner
+    plain = re.sub(r".[?*]|[.+]", "\0", plain)
+    return max(plain.split("\0"), key=len) if "|" not in plain else ""
+
+
+def _counted(low: Column, pattern: str) -> Column:
+    """How often a pattern matches; it is tried only where its literal stands."""
+    word = literal_of(pattern)
+    count = F.regexp_count(low, F.lit(pattern))
+    return F.when(F.contains(low, F.lit(word)), count).otherwise(0) if word else count
+
+
 def marker_scores(text: Column) -> dict[str, Column]:
     """For each memory type how often its markers match."""
     low = F.lower(text)
-    return {k: reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(p)) for p in patterns]) for k, patterns in MARKERS.items()}
+    return {k: reduce(lambda a, b: a + b, [_counted(low, p) for p in patterns]) for k, patterns in MARKERS.items()}
 
 
 def memory_types(df: DataFrame, text: str = "document", least: float = 0.3) -> DataFrame:

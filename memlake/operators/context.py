@@ -2,28 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import preview
+from ..functions.text import entity_id, preview
 from . import kg
 from .collection import newest, top
+from .search import search_memories
 
 
-def known_names(question: str, entities: DataFrame) -> DataFrame:
-    """Entities whose name stands in the question as a word."""
-    escaped = F.regexp_replace("name", r"([.()\[\]+*?^$|{}\\])", r"\\$1")
-    return entities.where(F.rlike(F.lit(question), F.concat(F.lit(r"(?i)(?:^|\W)"), escaped, F.lit(r"(?:\W|$)"))))
+#: Words of questions that are no names.
+NO_NAMES = [
+    "the", "what", "when", "where", "who", "how", "why", "does", "did", "has", "had", "have", "was", "were", "will", "would", "could", "should", "can", "may", "might", "shall", "is", "are", "been", "being",
+    "about", "tell", "show", "find", "search", "look", "get", "give", "list", "any", "all", "some", "most", "last", "first", "recent", "new", "old", "other", "know", "known", "remember", "recall", "much", "many",
+    "this", "that", "these", "those", "with", "from", "into", "for", "and", "but", "not", "also", "just", "only", "very", "more", "less", "then", "than", "here", "there",
+]
+#: Words of the longest name that is looked for.
+LONGEST = 5
+#: A capitalised word that opens neither the question nor a sentence, and one that opens the question.
+INNER = r"(?<!\.\s)(?<!^)\b([A-Z][a-z]+)\b"
+OPENING = r"^([A-Z][a-z]+)\b"
+
+
+def question_names(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, name, place): the names that a question (qid, question) speaks of, each once, numbered from 0.
+
+    Known entities come first, by name: those whose words stand in the question one after another, whatever the case
+    and what separates them. Then capitalised words within sentences, then the first word, if they are no common words.
+    Names are found by equality of word groups, so neither side is broadcast nor met pair by pair.
+    """
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    named = entities.where("name <> ''").select("name", F.array_join(words(F.col("name")), " ").alias("__g")).distinct()
+    asked = questions.select("qid", "question", words(F.col("question")).alias("__w"))
+    group = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("__w"), i, n), " "))
+    groups = F.array_distinct(F.flatten(F.array(*[group(n) for n in range(1, LONGEST + 1)])))
+    known = asked.select("qid", F.explode(groups).alias("__g")).join(named, "__g").select("qid", "name", F.lit(0).alias("kind"), F.lit(0).alias("at"))
+    found = lambda p: F.regexp_extract_all("question", F.lit(p), 1)
+    capitals = [asked.select("qid", F.posexplode(found(p)).alias("at", "name")).select("qid", "name", F.lit(k).alias("kind"), "at") for k, p in ((1, INNER), (2, OPENING))]
+    other = capitals[0].unionByName(capitals[1]).where(~F.lower("name").isin(NO_NAMES))
+    first = known.unionByName(other).groupBy("qid", "name").agg(F.min(F.struct("kind", "at")).alias("o"))
+    place = (F.row_number().over(Window.partitionBy("qid").orderBy("o.kind", "o.at", "name")) - 1).alias("place")
+    return first.select("qid", "name", place)
+
+
+def question_facts(names: DataFrame, triples: DataFrame, entities: DataFrame, limit: int = 20, as_of: str | None = None) -> DataFrame:
+    """(qid, place, subject, predicate, object, valid_from, valid_to): facts about the names, at most *limit* a question.
+
+    Only open facts count without *as_of*, else those valid then. An entity is met by its name, or by the id that a name
+    makes. Each (subject, predicate, object) counts once, where it is first: by the name's place, facts from the entity
+    before facts to it, then by time. Ends are shown by name.
+    """
+    open_ = triples.where(F.col("valid_to").isNull() if as_of is None else kg.valid_at(as_of))
+    ids = names.join(entities.select(F.col("id").alias("e"), "name"), "name").select("qid", "place", "e").unionByName(names.select("qid", "place", entity_id(F.col("name")).alias("e"))).distinct()
+    ways = [ids.join(open_, F.col("e") == F.col(end)).withColumn("way", F.lit(k)) for k, end in enumerate(("subject", "object"))]
+    met = ways[0].unionByName(ways[1])
+    order = ["place", "way", F.col("valid_from").asc_nulls_last(), "subject", "predicate", "object"]
+    once = top(met, 1, order, ["qid", "subject", "predicate", "object"], "__r").drop("__r")
+    kept = top(kg.named(once, entities), limit, order, ["qid"], "place_in")
+    return kept.select("qid", F.col("place_in").alias("place"), F.col("subject_name").alias("subject"), "predicate", F.col("object_name").alias("object"), "valid_from", "valid_to")
+
+
+def _lines(rows: DataFrame, order: str, line: Column, name: str) -> DataFrame:
+    """A question's lines in order, joined."""
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
+    return rows.groupBy("qid").agg(F.array_join(F.transform(sorted_, lambda x: x["l"]), "\n").alias(name), F.count("*").alias(f"n_{name}"))
+
+
+def build_context(questions: DataFrame, triples: DataFrame, entities: DataFrame, drawers: DataFrame, index: DataFrame | None = None, max_triples: int = 20, max_drawers: int = 5, max_recent: int = 5, wing: str | None = None, as_of: str | None = None) -> DataFrame:
+    """One row per question (qid, question, embedding): entities, counts of what was found, and the text to put before an answer.
+
+    Facts about the names in the question, the newest drawers, and the best drawers of a search that fetches three times
+    as many. Empty sections are left out.
+    """
+    names = question_names(questions, entities)
+    found = question_facts(names, triples, entities, max_triples, as_of)
+    since = F.when(F.col("valid_from").isNotNull(), F.concat(F.lit(" (since "), F.col("valid_from"), F.lit(")"))).otherwise("")
+    known = _lines(found, "place", F.concat(F.lit("- "), "subject", F.lit(" "), F.replace("predicate", F.lit("_"), F.lit(" ")), F.lit(" "), "object", since), "facts")
+
+    shown = lambda text: F.substring(F.split(preview(text, 300), "\n")[0], 1, 120)
+    spot = F.concat(F.lit("- ["), F.coalesce("wing", F.lit("unknown")), F.lit("/"), F.coalesce("room", F.lit("unknown")), F.lit("] "))
+    best = search_memories(drawers, questions, 3 * max_drawers, index, {"wing": wing} if wing else None).where(F.col("rank") <= max_drawers)
+    line = F.concat(spot, F.lit('"'), shown(F.col("text")), F.lit('" ('), F.format_string("%.2f", "similarity"), F.lit(" similarity)"))
+    relevant = _lines(best, "rank", line, "relevant")
+
+    rows = drawers if wing is None else drawers.where(F.col("wing") == wing)
+    newest_ = top(newest(rows, max_recent, "occurred_at"), max_recent, [F.col("occurred_at").desc_nulls_last(), F.col("id")]).withColumn("qid", F.lit(0))
+    latest = F.broadcast(_lines(newest_, "rank", F.concat(spot, shown(F.coalesce("document", F.lit("")))), "recent").drop("qid"))
+
+    listed = names.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ",").alias("entities"))
+    out = questions.select("qid").join(listed, "qid", "left").join(known, "qid", "left").join(relevant, "qid", "left").join(latest, how="left")
+    section = lambda title, lines: F.concat(F.lit(title), F.lit("\n"), F.col(lines))
+    recent_title = F.concat(F.lit("## Recent activity (last "), F.col("n_recent"), F.lit(")\n"), F.col("recent"))
+    text = F.concat_ws("\n\n", section("## Known facts", "facts"), recent_title, section("## Relevant memories", "relevant"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_facts", "n_recent", "n_relevant")]
+    return out.select("qid", F.coalesce("entities", F.lit("")).alias("entities"), *counts, text.alias("formatted"))
 
 
 def facts(triples: DataFrame, entities: DataFrame, wanted: list[str], limit: int = 20, as_of: str | None = None) -> DataFrame:
-    """Current facts about the entities, each (subject, predicate, object) once, by the first entity that has it."""
+    """Facts about the entities, each (subject, predicate, object) once, by the first entity that has it.
+
+    Those valid at *as_of*; without it the open ones.
+    """
     order = F.create_map(*[F.lit(x) for pair in ((w, i) for i, w in enumerate(wanted)) for x in pair])
-    own = triples.where(kg.valid_at(as_of) & (F.col("subject").isin(wanted) | F.col("object").isin(wanted)))
+    valid = F.col("valid_to").isNull() if as_of is None else kg.valid_at(as_of)
+    own = triples.where(valid & (F.col("subject").isin(wanted) | F.col("object").isin(wanted)))
     ranked = own.withColumn("__o", F.least(F.element_at(order, F.col("subject")), F.element_at(order, F.col("object"))))
     once = top(ranked, 1, [F.col("__o"), F.col("valid_from").asc_nulls_last()], ["subject", "predicate", "object"], "__r")
-    current = once.where("valid_to is null")
-    return kg.named(current, entities).orderBy("__o", "valid_from", "subject", "predicate", "object").limit(limit)
+    return kg.named(once, entities).orderBy("__o", "valid_from", "subject", "predicate", "object").limit(limit)
 
 
 def recent(drawers: DataFrame, limit: int = 5, wing: str | None = None) -> DataFrame:
@@ -34,8 +119,6 @@ def recent(drawers: DataFrame, limit: int = 5, wing: str | None = None) -> DataF
 
 def wake_up(drawers: DataFrame, importance: str, k: int = 15, budget: int = 3200) -> DataFrame:
     """The k most important drawers as far as their previews fit the budget of characters."""
-    from pyspark.sql import Window
-
     best = drawers.orderBy(F.col(importance).desc(), "id").limit(k).withColumn("line", preview(F.col("document"), 200))
     used = F.sum(F.length("line")).over(Window.orderBy(F.col(importance).desc(), "id").rowsBetween(Window.unboundedPreceding, 0))
     return best.withColumn("used", used).where(F.col("used") <= budget)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trigram_similarity
+from ..functions.text import entity_id, trigram_similarity
+from .entities import claims
 
 
 def valid_at(t: str | None) -> Column:
@@ -58,12 +61,30 @@ def invalidate(triples: DataFrame, match: Column, ended: str) -> DataFrame:
 
 
 def add_triples(triples: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends new facts but those of which an equal open one is there; equal new ones count once."""
+    """Appends new facts but those of which an equal open one is there; of equal new ones an open one is the one that counts.
+
+    It begins with the earliest of them; without an open one the last to end is taken whole.
+    """
     key = ["subject", "predicate", "object"]
-    fresh = new.groupBy(*key).agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to"))
+    open_ = F.max(F.col("valid_to").isNull())
+    last = F.max(F.struct(F.col("valid_to").alias("t"), F.col("valid_from").alias("f")))
+    first = F.min(F.when(F.col("valid_to").isNull(), F.col("valid_from")))
+    fresh = new.groupBy(*key).agg(F.when(open_, first).otherwise(last["f"]).alias("valid_from"), F.when(~open_, last["t"]).alias("valid_to"))
     return triples.unionByName(fresh.join(triples.where("valid_to is null").select(*key), key, "left_anti"))
 
 
+def with_entities(entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """The entities (id, name) with a row for every end of a triple that had none, named by its id."""
+    ends = triples.select(F.explode(F.array("subject", "object")).alias("id")).where("id is not null").distinct()
+    return entities.select("id", "name").unionByName(ends.join(entities, "id", "left_anti").select("id", F.col("id").alias("name")))
+
+
+def triple_id(subject, predicate, obj, valid_from):
+    """The id of a fact: its parts and a short digest that also covers its beginning."""
+    parts = F.concat_ws("_", subject, predicate, obj)
+    return F.concat(F.lit("t_"), parts, F.lit("_"), F.substring(F.sha2(F.concat(parts, F.coalesce(valid_from, F.lit(""))), 256), 1, 12))
+
+
 def rename(triples: DataFrame, old: str, new: str) -> DataFrame:
     return triples.withColumns({c: F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c)) for c in ("subject", "object")})
 
@@ -86,10 +107,40 @@ def stale(claims: DataFrame, triples: DataFrame, today: str) -> DataFrame:
 
 
 def confusable(mentioned: DataFrame, registry: DataFrame, most: int = 2) -> DataFrame:
-    """Names within a small edit distance of a mentioned one. The mentioned names come from one text and are broadcast."""
-    m = F.broadcast(mentioned.select(F.col("name").alias("mention")))
-    pairs = registry.select(F.col("name").alias("candidate")).join(m, F.levenshtein(F.lower("mention"), F.lower("candidate"), most).between(1, most))
-    return pairs.join(F.broadcast(mentioned.select(F.col("name").alias("candidate"))), "candidate", "left_anti").select("mention", "candidate", F.levenshtein(F.lower("mention"), F.lower("candidate")).alias("distance"))
+    """Registered names within a small edit distance of a mentioned one, of which the text says nothing itself.
+
+    *mentioned* holds (name) or (id, name) for many texts. Names that can be that near share one of the keys of their
+    deletions: all strings that up to *most* deletions leave. So pairs are found by equality of keys and checked then.
+    """
+    by = [c for c in mentioned.columns if c != "name"]
+    keys = lambda x: reduce(lambda a, _: F.array_distinct(F.flatten(F.transform(a, lambda y: F.concat(F.array(y), F.transform(F.sequence(F.lit(1), F.greatest(F.length(y), F.lit(1))), lambda i: F.concat(F.substring(y, F.lit(1), i - 1), F.substring(y, i + 1, F.length(y)))))))), range(most), F.array(F.lower(x)))
+    m = mentioned.select(*by, F.col("name").alias("mention")).distinct()
+    r = registry.select(F.col("name").alias("candidate")).distinct()
+    pairs = m.select(*by, "mention", F.explode(keys("mention")).alias("__k")).join(r.select("candidate", F.explode(keys("candidate")).alias("__k")), "__k").drop("__k").distinct()
+    near = pairs.withColumn("distance", F.levenshtein(F.lower("mention"), F.lower("candidate"))).where(F.col("distance").between(1, most))
+    own = mentioned.select(*by, F.col("name").alias("candidate")).distinct()
+    return near.join(own, [*by, "candidate"], "left_anti").select(*by, "mention", "candidate", "distance")
+
+
+def check_text(texts: DataFrame, triples: DataFrame, registry: DataFrame, today: str) -> DataFrame:
+    """(id, kind, detail) of what texts (id, text) say against the graph or the registry (name); nothing found, no rows.
+
+    Claims in either surface form are held against the open facts of the same ends (relationship_mismatch) and against
+    exact facts closed before *today* (stale_fact); names near a mentioned one are told (similar_name). Ends are compared
+    by the ids that their names make.
+    """
+    said = texts.select("id", F.explode(claims(F.col("text"))).alias("c")).select("id", "c.*").distinct()
+    said = said.withColumns({"s": entity_id(F.col("subject")), "o": entity_id(F.col("object"))})
+    facts = triples.select(F.col("subject").alias("s"), F.lower("predicate").alias("known"), F.col("object").alias("o"), "valid_to")
+    met = said.join(facts, ["s", "o"])
+    span = F.concat("subject", F.lit(" "), "predicate", F.lit(" "), "object")
+    wrong = met.where("valid_to is null and known <> predicate").select("id", F.lit("relationship_mismatch").alias("kind"), F.concat(span, F.lit(": known is "), "known").alias("detail"))
+    old = met.where(F.col("valid_to").isNotNull() & (F.col("known") == F.col("predicate")) & (F.col("valid_to") < today))
+    old = old.select("id", F.lit("stale_fact").alias("kind"), F.concat(span, F.lit(": closed on "), "valid_to").alias("detail"))
+    words = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_#-]+"), 0))).alias("low"))
+    mentioned = words.join(registry.select(F.lower("name").alias("low"), "name"), "low").select("id", "name")
+    alike = confusable(mentioned, registry).select("id", F.lit("similar_name").alias("kind"), F.concat("mention", F.lit(": did you mean "), "candidate", F.lit("? (edit distance "), "distance", F.lit(")")).alias("detail"))
+    return wrong.unionByName(old).unionByName(alike).distinct()
 
 
 def add_entities(entities: DataFrame, new: DataFrame) -> DataFrame:

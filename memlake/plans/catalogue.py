@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, graph, halls, incremental, kg, lexical, metrics, near_dup, search, summary, transcript
+from ..operators import classify, collection, context, entities as naming, graph, halls, incremental, kg, lexical, memories, metrics, near_dup, search, summary, transcript
 from ..sources import rooms
 from .tables import D, K, Q, V, drawers, entities, lexical_index, questions, read, triples, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+LATER: dict[str, Callable[[], str]] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | Callable[[], str] | None = None):
+    """Registers a query with its oracle; one whose text needs names from further down is made when all are known."""
+
     def put(f):
         QUERIES[f.__name__] = f
-        if sql:
+        if callable(sql):
+            LATER[f.__name__] = sql
+        elif sql:
             ORACLES[f.__name__] = sql
         return f
 
@@ -304,11 +309,12 @@ def closet_boost(s, d):
     return out.select("qid", "id", "source_file", r6(F.col("effective")).alias("effective"), "boost")
 
 
-def _end_to_end(where: str = "true") -> str:
+def _end_to_end(where: str = "true", k: int = 5, bound: float = 1.2, asked: str = Q) -> str:
     """The whole search in SQL: 3k and 2k fetched, boosted, cut to k, hydrated, ranked."""
-    return f"""WITH {D}, {V}, {Q}, dr AS (SELECT d.*, label, e FROM d JOIN v USING (id)), r AS (SELECT qid, id, list_cosine_distance(e, qe) AS x FROM dr, q WHERE {where}),
- k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS rank FROM r), {BOOST},
- p0 AS (SELECT *, x - boost AS eff, row_number() OVER (PARTITION BY qid ORDER BY x - boost, rank) AS place FROM z WHERE x <= 1.2), p AS (SELECT * FROM p0 WHERE place <= 5),
+    boost = BOOST.replace("r <= 10", f"r <= {2 * k}").replace("rank <= 15", f"rank <= {3 * k}")
+    return f"""WITH {D}, {V}, {asked}, dr AS (SELECT d.*, label, e FROM d JOIN v USING (id)), r AS (SELECT qid, id, list_cosine_distance(e, qe) AS x FROM dr, q WHERE {where}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS rank FROM r), {boost},
+ p0 AS (SELECT *, x - boost AS eff, row_number() OVER (PARTITION BY qid ORDER BY x - boost, rank) AS place FROM z WHERE x <= {bound}), p AS (SELECT * FROM p0 WHERE place <= {k}),
  tq AS (SELECT DISTINCT qid, unnest({SPLIT.format(x='question')}) AS t FROM q), tl AS (SELECT qid, list(t) AS terms FROM tq GROUP BY 1), wn AS (SELECT DISTINCT p.qid, source_file, coalesce(terms, []) AS terms FROM p LEFT JOIN tl USING (qid) WHERE boost > 0),
  ch AS (SELECT qid, source_file, len(list_filter(terms, lambda t: contains(lower(document), t))) AS hits, row_number() OVER (PARTITION BY qid, source_file ORDER BY chunk_index, id) - 1 AS pos, count(*) OVER (PARTITION BY qid, source_file) AS total,
   string_agg(document, chr(10) || chr(10)) OVER (PARTITION BY qid, source_file ORDER BY chunk_index, id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t FROM dr JOIN wn USING (source_file)),
@@ -528,11 +534,39 @@ def kg_similar_entities(s, d):
     return kg.similar_names(c, "Customer#000000012").withColumn("similarity", r6(F.col("similarity")))
 
 
-@query("""WITH m AS (SELECT 'Customer#000000012' AS mention UNION ALL SELECT 'Customer#000000340') SELECT mention, c_name AS candidate, CAST(levenshtein(lower(mention), lower(c_name)) AS INTEGER) AS distance FROM customer, m
- WHERE levenshtein(lower(mention), lower(c_name)) BETWEEN 1 AND 2 AND c_name NOT IN (SELECT mention FROM m)""")
+NAMES = "nm AS (SELECT DISTINCT substring(c_name, 10) AS name FROM customer WHERE c_custkey % 3 > 0)"
+
+
+@query(f"WITH {NAMES}, m AS (SELECT DISTINCT substring(c_name, 10) AS mention FROM customer WHERE c_custkey % 50 = 0) SELECT mention, name AS candidate, CAST(levenshtein(lower(mention), lower(name)) AS INTEGER) AS distance FROM nm, m WHERE levenshtein(lower(mention), lower(name)) BETWEEN 1 AND 2 AND name NOT IN (SELECT mention FROM m)")
 def edit_distance_confusion(s, d):
-    m = s.createDataFrame([("Customer#000000012",), ("Customer#000000340",)], "name string")
-    return kg.confusable(m, read(s, d, "customer").select(F.col("c_name").alias("name")))
+    c = read(s, d, "customer").withColumn("name", F.expr("substring(c_name, 10)"))
+    return kg.confusable(c.where("c_custkey % 50 = 0").select("name"), c.where("c_custkey % 3 > 0").select("name"))
+
+
+#: What some orders' notes say of customers and nations, by the order's key.
+SAYS = ["So Cust{a} is Nation{b}'s owner.", "Nation{b}'s owner is Cust{a}, they say", "Cust{a} is Nation{b}'s guest now", "nothing at all", "a word of Nation{b} alone"]
+
+
+def _says_sql(a: str, b: str) -> str:
+    return "CASE o_orderkey % 5 " + " ".join("WHEN {} THEN '{}'".format(k, t.replace("'", "''").replace("{a}", f"' || {a} || '").replace("{b}", f"' || {b} || '")) for k, t in enumerate(SAYS)) + " END"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS id, o_custkey AS a, o_orderkey % 25 AS b, CASE o_orderkey % 5 WHEN 2 THEN 'guest' ELSE 'owner' END AS p, o_orderkey % 5 AS k FROM orders), said AS (SELECT DISTINCT id, a, b, p FROM x WHERE k <= 2),
+ f AS (SELECT c_custkey AS a, c_nationkey AS b, CASE WHEN c_custkey % 2 = 0 THEN 'owner' ELSE 'guest' END AS known, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-01' END AS valid_to FROM customer),
+ m AS (SELECT id, said.a, said.b, p, known, valid_to FROM said JOIN f ON f.a = said.a AND f.b = said.b), rg AS (SELECT 'Nation' || n_nationkey AS name FROM nation),
+ mn AS (SELECT DISTINCT id, 'Nation' || b AS name FROM x WHERE k <> 3),
+ al AS (SELECT id, mn.name AS mention, rg.name AS candidate, levenshtein(lower(mn.name), lower(rg.name)) AS e FROM mn JOIN rg ON mn.name <> rg.name)
+ SELECT id, 'relationship_mismatch' AS kind, 'Cust' || a || ' ' || p || ' Nation' || b || ': known is ' || known AS detail FROM m WHERE valid_to IS NULL AND known <> p
+ UNION SELECT id, 'stale_fact', 'Cust' || a || ' ' || p || ' Nation' || b || ': closed on ' || valid_to FROM m WHERE valid_to < '2024-06-01' AND known = p
+ UNION SELECT id, 'similar_name', mention || ': did you mean ' || candidate || '? (edit distance ' || e || ')' FROM al WHERE e <= 2""")
+def fact_report(s, d):
+    o = read(s, d, "orders")
+    said = F.element_at(F.array(*[F.replace(F.replace(F.lit(t), F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b")) for t in SAYS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    texts = o.withColumn("a", F.col("o_custkey").cast("string")).withColumn("b", (F.col("o_orderkey") % 25).cast("string")).select(F.col("o_orderkey").alias("id"), said.alias("text"))
+    facts = read(s, d, "customer").select(
+        F.concat(F.lit("cust"), "c_custkey").alias("subject"), F.when(F.col("c_custkey") % 2 == 0, "owner").otherwise("guest").alias("predicate"), F.concat(F.lit("nation"), "c_nationkey").alias("object"), F.when(F.col("c_custkey") % 3 == 0, "2024-01-01").alias("valid_to")
+    )
+    return kg.check_text(texts, facts, read(s, d, "nation").select(F.concat(F.lit("Nation"), "n_nationkey").alias("name")), "2024-06-01")
 
 
 CLAIMS = "c AS (SELECT DISTINCT subject, object, 'purchase' AS predicate FROM t)"
@@ -574,11 +608,26 @@ def graph_stats(s, d):
 NARROW = "r AS (SELECT DISTINCT 'r' || CAST(id % 40 AS VARCHAR) AS room, 'w' || CAST((id % 40) // 4 + id % 2 AS VARCHAR) AS wing, 1 AS z FROM d)"
 
 
-@query(f"""WITH {D}, {NARROW}, h0 AS (SELECT 'r3' AS room, 0 AS hop), s1 AS (SELECT DISTINCT b.room FROM r a JOIN r b USING (wing) WHERE a.room = 'r3'), s2 AS (SELECT DISTINCT b.room FROM r a JOIN r b USING (wing) WHERE a.room IN (SELECT room FROM s1)),
- x AS (SELECT room, 0 AS hop FROM h0 UNION ALL SELECT room, 1 FROM s1 WHERE room <> 'r3' UNION ALL SELECT room, 2 FROM s2 WHERE room <> 'r3' AND room NOT IN (SELECT room FROM s1)) SELECT room, hop FROM x""")
+WALK = f"""{NARROW}, w AS (SELECT room, list_sort(list(wing)) AS ws FROM r GROUP BY 1),
+ f1 AS (SELECT b.room, w2.ws, 'r3' AS p, list_filter(w2.ws, lambda y: list_contains(w1.ws, y)) AS via FROM (SELECT DISTINCT b.room FROM r a JOIN r b USING (wing) WHERE a.room = 'r3' AND b.room <> 'r3') b JOIN w w2 ON w2.room = b.room JOIN w w1 ON w1.room = 'r3'),
+ c2 AS (SELECT DISTINCT b.room, f1.p || chr(0) || f1.room AS p, f1.ws AS pw FROM f1 JOIN r a ON a.room = f1.room JOIN r b ON b.wing = a.wing WHERE b.room <> 'r3' AND b.room NOT IN (SELECT room FROM f1)),
+ f2 AS (SELECT room, min(p) AS p, arg_min(pw, p) AS pw FROM c2 GROUP BY 1)"""
+
+
+@query(f"""WITH {D}, {WALK} SELECT 'r3' AS room, 0 AS hop, '' AS connected_via UNION ALL SELECT room, 1, array_to_string(via, ',') FROM f1 UNION ALL SELECT f2.room, 2, array_to_string(list_filter(w.ws, lambda y: list_contains(f2.pw, y)), ',') FROM f2 JOIN w ON w.room = f2.room""")
 def traverse_bfs(s, d):
     rows = drawers(s, d).select(F.expr("concat('r', id % 40)").alias("room"), F.expr("concat('w', (id % 40) div 4 + id % 2)").alias("wing"), F.lit("h").alias("hall"), "occurred_at")
-    return graph.traverse(graph.nodes(rows), "r3", 2).select("room", "hop")
+    return graph.traverse(graph.nodes(rows), "r3", 2).select("room", "hop", F.array_join("connected_via", ",").alias("connected_via"))
+
+
+@query(f"WITH {G}, w AS (SELECT unnest(wings) AS wing FROM g) SELECT wing, count(*) AS rooms FROM w GROUP BY 1")
+def rooms_per_wing(s, d):
+    return graph.rooms_per_wing(graph.nodes(drawers(s, d)))
+
+
+@query(f"WITH {G} SELECT room, array_to_string(wings, ',') AS wings, n FROM g WHERE len(wings) >= 2 ORDER BY len(wings) DESC, room LIMIT 10")
+def top_tunnels(s, d):
+    return graph.top_tunnels(graph.nodes(drawers(s, d))).select("room", F.array_join("wings", ",").alias("wings"), "n")
 
 
 LINKS = "l AS (SELECT id, wing AS wing_a, room AS room_a, CASE WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS wing_b, 'src' || CAST(id % 7 AS VARCHAR) AS room_b, id AS drawer_a, id + 1 AS drawer_b FROM d)"
@@ -599,6 +648,22 @@ def follow_tunnels(s, d):
     return graph.follow(_links(s, d), "en", "src0", drawers(s, d)).select("direction", "wing", "room", "drawer", "preview")
 
 
+TUNNEL = "substring(sha256(least(wing_a || '/' || room_a, wing_b || '/' || room_b) || '↔' || greatest(wing_a || '/' || room_a, wing_b || '/' || room_b)), 1, 16)"
+
+
+@query(f"WITH {D}, {LINKS}, m AS (SELECT {TUNNEL} AS tunnel_id, id % 366 AS c, 'l' || id AS label FROM l WHERE wing_a IS NOT NULL) SELECT tunnel_id, min(c) AS created_at, arg_max(label, (c, label)) AS label, CASE WHEN count(*) > 1 THEN max(c) END AS updated_at FROM m GROUP BY 1")
+def tunnels_merged(s, d):
+    links = _links(s, d).where("wing_a is not null").selectExpr("*", "id % 366 as created_at", "concat('l', id) as label")
+    return graph.merge_tunnels(links.where("id % 2 = 0"), links.where("id % 2 = 1"))
+
+
+@query(f"WITH {D}, {LINKS} SELECT id, {TUNNEL} AS tunnel_id FROM l WHERE (wing_a = 'es' OR wing_b = 'es') AND {TUNNEL} NOT IN (SELECT {TUNNEL} FROM l WHERE room_b = 'src3' AND wing_a IS NOT NULL)")
+def tunnels_kept(s, d):
+    links = graph.list_tunnels(_links(s, d), "es")
+    gone = graph.with_tunnel_ids(_links(s, d).where("room_b = 'src3' and wing_a is not null"))
+    return graph.delete_tunnels(links, gone).select("id", "tunnel_id")
+
+
 # --- recent, importance, context -------------------------------------------------------------------------------------
 
 
@@ -631,6 +696,46 @@ def context_facts(s, d):
     return context.facts(*_kg(s, d), ["u4", "u6"]).select("subject", "predicate", "object", "valid_from")
 
 
+ASKED_OF = "concat('Tell me what U', qid % 20, ' and Anna did with k', qid % 90, ' since Tuesday. Then Bob')"
+QC = Q.replace("coalesce(b.text, '') AS question", "'Tell me what U' || vec_id % 20 || ' and Anna did with k' || vec_id % 90 || ' since Tuesday. Then Bob' AS question")
+
+
+def _context_sql(as_of: str | None) -> str:
+    valid = "t.valid_to IS NULL" if as_of is None else f"t.valid_from <= '{as_of}' AND (t.valid_to IS NULL OR t.valid_to >= '{as_of}')"
+    wing = "wing = 'en'"
+    shown = lambda x: f"substring(string_split(CASE WHEN len({x}) > 300 THEN substring({x}, 1, 300) || '...' ELSE {x} END, chr(10))[1], 1, 120)"
+    return _end_to_end(wing, 15, 9.0, QC).replace("FROM v, q)", "FROM v JOIN d USING (id), q WHERE wing = 'en')") + f""", {K.replace('t AS (', 'ev AS (', 1).replace('FROM t', 'FROM ev')},
+ tr AS (SELECT * FROM ev t WHERE {valid}), nn AS (SELECT qid, 'U' || qid % 20 AS name, 0 AS kind, 0 AS i FROM q UNION ALL SELECT qid, 'K' || qid % 90, 0, 0 FROM q UNION ALL SELECT qid, unnest(['Anna', 'Tuesday', 'Bob', 'Tell']), unnest([1, 1, 1, 2]), unnest([0, 1, 2, 0]) FROM q),
+ nk AS (SELECT nn.* FROM nn WHERE (kind = 0 AND name IN (SELECT name FROM n)) OR (kind > 0 AND lower(name) <> 'tell')), np AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kind, i, name) - 1 AS place FROM nk),
+ ids AS (SELECT DISTINCT qid, place, e FROM (SELECT qid, place, n.id AS e FROM np JOIN n USING (name) UNION ALL SELECT qid, place, replace(replace(lower(name), ' ', '_'), chr(39), '') FROM np)),
+ mt AS (SELECT qid, place, 0 AS way, tr.* FROM ids JOIN tr ON e = subject UNION ALL SELECT qid, place, 1, tr.* FROM ids JOIN tr ON e = object),
+ m1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, subject, predicate, object ORDER BY place, way, valid_from, subject) AS k1 FROM mt) WHERE k1 = 1),
+ m2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place, way, valid_from NULLS LAST, subject, predicate, object) AS k2 FROM m1) WHERE k2 <= 20),
+ fa AS (SELECT qid, count(*) AS n_facts, string_agg('- ' || upper(subject) || ' ' || replace(predicate, '_', ' ') || ' ' || upper(object) || ' (since ' || valid_from || ')', chr(10) ORDER BY k2) AS facts FROM m2 GROUP BY 1),
+ re AS (SELECT qid, count(*) AS n_relevant, string_agg('- [' || wing || '/' || coalesce(room, 'unknown') || '] "' || {shown('document')} || '" (' || printf('%.2f', greatest(0, 1 - eff)) || ' similarity)', chr(10) ORDER BY n) AS relevant FROM o WHERE n <= 5 GROUP BY 1),
+ rc AS (SELECT count(*) AS n_recent, string_agg('- [' || wing || '/' || coalesce(room, 'unknown') || '] ' || {shown('document')}, chr(10) ORDER BY occurred_at DESC, id) AS recent FROM (SELECT * FROM dr WHERE {wing} ORDER BY occurred_at DESC, id LIMIT 5)),
+ li AS (SELECT qid, string_agg(name, ',' ORDER BY place) AS entities FROM np GROUP BY 1)
+ SELECT q.qid, coalesce(entities, '') AS entities, coalesce(n_facts, 0) AS n_facts, coalesce(n_recent, 0) AS n_recent, coalesce(n_relevant, 0) AS n_relevant,
+ concat_ws(chr(10) || chr(10), '## Known facts' || chr(10) || facts, '## Recent activity (last ' || n_recent || ')' || chr(10) || recent, '## Relevant memories' || chr(10) || relevant) AS formatted FROM q LEFT JOIN li USING (qid) LEFT JOIN fa USING (qid) LEFT JOIN re USING (qid), rc"""
+
+
+def _context(s, d, as_of=None):
+    rows = drawers(s, d).join(vectors(s, d), "id")
+    asked = questions(s, d).withColumn("question", F.expr(ASKED_OF))
+    t, n = _kg(s, d)
+    return context.build_context(asked, t, n, rows, _index(s, d).join(drawers(s, d).select("id", "wing"), "id"), wing="en", as_of=as_of)
+
+
+@query(lambda: _context_sql(None))
+def context_full(s, d):
+    return _context(s, d)
+
+
+@query(lambda: _context_sql("2024-01-15"))
+def context_as_of(s, d):
+    return _context(s, d, "2024-01-15")
+
+
 # --- transcripts and segmentation ------------------------------------------------------------------------------------
 
 
@@ -703,13 +808,56 @@ def _marker_sql(x: str) -> str:
     return ", ".join("CAST(" + " + ".join("len(regexp_extract_all(lower({}), '{}'))".format(x, p.replace("'", "''")) for p in v) + f" AS INTEGER) AS {k}_score" for k, v in classify.MARKERS.items())
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, text || ' i prefer it because we decided' AS text FROM conversations), m AS (SELECT conv_id, turn, text, {_marker_sql('text')} FROM p),
+@query(lambda: f"""WITH p AS (SELECT conv_id, turn, {_before('turn', 'text', TOLD)} AS text FROM conversations), m AS (SELECT conv_id, turn, text, {_marker_sql('text')} FROM p),
  b AS (SELECT *, greatest(decision_score, preference_score, milestone_score, problem_score, emotional_score) AS best, CASE WHEN len(text) > 500 THEN 2 WHEN len(text) > 200 THEN 1 ELSE 0 END AS bonus FROM m)
  SELECT conv_id, turn, decision_score, preference_score, milestone_score, problem_score, emotional_score, CASE WHEN best > 0 THEN least(1.0, (best + bonus) / 5.0) ELSE 0.0 END AS confidence,
  CASE WHEN best > 0 AND least(1.0, (best + bonus) / 5.0) >= 0.3 THEN CASE WHEN decision_score = best THEN 'decision' WHEN preference_score = best THEN 'preference' WHEN milestone_score = best THEN 'milestone' WHEN problem_score = best THEN 'problem' ELSE 'emotional' END END AS memory_type FROM b""")
 def memory_type_scores(s, d):
-    rows = read(s, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" i prefer it because we decided")).alias("document"))
-    return classify.memory_types(rows).drop("document")
+    return classify.memory_types(_told(s, d)).drop("document", "id")
+
+
+#: Put before some turns: paragraphs, a dialogue, code.
+TOLD = [
+    "We decided to use the new store because it is faster.\n\nThe bug crashed the server, an error again, but we fixed it and it works.\n\nA stuck queue was the problem, it is broken\n\n",
+    "Human: why is it broken, an error again\nAssistant: the problem is the cache and the issue is old\n> I love how you figured it out, so happy and proud\n",
+    "```\nimport os\nwe decided to\n```\nI prefer tabs, always use them please\n| a | b | because because because\n$ git push because\n\n",
+    "",
+    "",
+]
+
+
+def _memories_sql() -> str:
+    """Segments and prose by lines, where the operator uses expressions over whole texts."""
+    words = lambda known: f"len(list_intersect(list_distinct(regexp_extract_all(lower(p), '\\w+')), {_list(known)}))"
+    best = "greatest(decision_score, preference_score, milestone_score, problem_score, emotional_score)"
+    fixed = " OR ".join(f"regexp_matches(lower(p), '{x}')" for x in memories.RESOLVED)
+    code = "^(" + "|".join(memories.CODE) + ")"
+    return f"""p AS (SELECT conv_id, turn, {_before('turn', 'text', TOLD)} AS t FROM conversations),
+ l AS (SELECT conv_id, turn, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM p), f AS (SELECT *, CAST(regexp_matches(line, '^{memories.TURN}') AS INT) AS y FROM l),
+ c AS (SELECT *, sum(y) OVER (PARTITION BY conv_id, turn) AS turns, sum(CASE WHEN i > 1 THEN y ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS g, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM f),
+ bl AS (SELECT conv_id, turn, t, list_filter([{TRIM.format(x='z')} FOR z IN string_split(t, chr(10) || chr(10))], lambda b: b <> '') AS bs FROM p),
+ sg AS (SELECT conv_id, turn, g AS s, string_agg(line, chr(10) ORDER BY i) AS seg FROM c WHERE turns >= {memories.TURNS} GROUP BY 1, 2, 3 UNION ALL
+  SELECT conv_id, turn, s, seg FROM (SELECT conv_id, turn, generate_subscripts(bs, 1) AS s, unnest(bs) AS seg, len(bs) AS k FROM bl) JOIN (SELECT DISTINCT conv_id, turn, turns, n FROM c) USING (conv_id, turn) WHERE turns < {memories.TURNS} AND NOT (k <= 1 AND n > {memories.LONG}) UNION ALL
+  SELECT conv_id, turn, s, {TRIM.format(x='seg')} FROM (SELECT conv_id, turn, (i - 1) // {memories.GROUP} AS s, string_agg(line, chr(10) ORDER BY i) AS seg FROM c JOIN bl USING (conv_id, turn) WHERE turns < {memories.TURNS} AND len(bs) <= 1 AND n > {memories.LONG} GROUP BY 1, 2, 3)),
+ sl AS (SELECT *, unnest(string_split(seg, chr(10))) AS line, generate_subscripts(string_split(seg, chr(10)), 1) AS i FROM sg WHERE len({TRIM.format(x='seg')}) >= {memories.SHORTEST}), st AS (SELECT *, {TRIM.format(x='line')} AS x, CAST(starts_with({TRIM.format(x='line')}, '```') AS INT) AS fence FROM sl),
+ sf AS (SELECT *, sum(fence) OVER (PARTITION BY conv_id, turn, s ORDER BY i) AS fences FROM st),
+ sk AS (SELECT *, fence = 0 AND fences % 2 = 0 AND (x = '' OR NOT (regexp_matches(x, '{code}') OR (len(x) > 10 AND len(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) / len(x) < 0.4))) AS keep FROM sf),
+ pr AS (SELECT conv_id, turn, s, seg, coalesce(nullif({TRIM.format(x="coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), '')")}, ''), seg) AS p FROM sk GROUP BY 1, 2, 3, 4),
+ sc AS (SELECT *, {_marker_sql('p')} FROM pr), b AS (SELECT *, {best} AS best, CASE WHEN len(seg) > 500 THEN 2 WHEN len(seg) > 200 THEN 1 ELSE 0 END AS bonus, {words(memories.POSITIVE)} > {words(memories.NEGATIVE)} AS glad, ({fixed}) AS done FROM sc),
+ k AS (SELECT *, least(1.0, (best + bonus) / 5.0) AS confidence, CASE WHEN decision_score = best THEN 'decision' WHEN preference_score = best THEN 'preference' WHEN milestone_score = best THEN 'milestone' WHEN problem_score = best THEN 'problem' ELSE 'emotional' END AS kind FROM b WHERE best > 0)
+ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY s) - 1 AS INTEGER) AS chunk_index, {TRIM.format(x='seg')} AS content, confidence,
+ CASE WHEN kind = 'problem' AND done THEN CASE WHEN emotional_score > 0 AND glad THEN 'emotional' ELSE 'milestone' END WHEN kind = 'problem' AND glad AND milestone_score > 0 THEN 'milestone' WHEN kind = 'problem' AND glad AND emotional_score > 0 THEN 'emotional' ELSE kind END AS memory_type FROM k WHERE confidence >= 0.3"""
+
+
+def _told(s, d):
+    return read(s, d, "conversations").select("conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("id"), _put_before("turn", "text", TOLD).alias("document"))
+
+
+@query(lambda: "WITH " + _memories_sql())
+def memory_extract(s, d):
+    found = memories.extract(_told(s, d))
+    key = F.split("id", "/")
+    return found.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "chunk_index", "content", "memory_type", "confidence")
 
 
 def _pref_sql(x: str) -> str:
@@ -1083,3 +1231,6 @@ def tpch_join_agg(s, d):
     c = read(s, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), r6(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6).alias("revenue"))
+
+
+ORACLES |= {name: sql() for name, sql in LATER.items()}
