@@ -74,17 +74,28 @@ FLAGS = {
     "config": "TECHNICAL",
 }
 #: Words that make a sentence weigh more.
-DECISIVE = "decided because instead prefer switched chose realized important key critical discovered learned conclusion solution reason why breakthrough insight".split()
+DECISIVE = [
+    "decided", "because", "instead", "prefer", "switched", "chose", "realized", "important", "key", "critical", "discovered", "learned", "conclusion",
+    "solution", "reason", "why", "breakthrough", "insight",
+]
 #: Words that are no topics.
-FILLER = """the a an is are was were be been being have has had do does did will would could should may might shall can to of in for
-on with at by from as into about between through during before after above below up down out off over under again further then once
-here there when where why how all each every both few more most other some such no nor not only own same so than too very just don
-now and but or if while that this these those it its i we you he she they me him her us them my your his our their what which who
-whom also much many like because since get got use used using make made thing things way well really want need""".split()
+FILLER = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "about", "between", "through",
+    "during", "before", "after", "above", "below", "up", "down", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there",
+    "when", "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own",
+    "same", "so", "than", "too", "very", "just", "don", "now", "and", "but", "or", "if", "while", "that", "this", "these", "those", "it", "its", "i",
+    "we", "you", "he", "she", "they", "me", "him", "her", "us", "them", "my", "your", "his", "our", "their", "what", "which", "who", "whom", "also",
+    "much", "many", "like", "because", "since", "get", "got", "use", "used", "using", "make", "made", "thing", "things", "way", "well", "really",
+    "want", "need",
+]
 #: Capitalised words that are no names.
-NO_NAMES = """The This That These Those When Where What Why Who Which How After Before Then Now Here There And But Or Yet So If Else Yes
-No Maybe Okay User Assistant System Tool Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May
-June July August September October November December""".split()
+NO_NAMES = [
+    "The", "This", "That", "These", "Those", "When", "Where", "What", "Why", "Who", "Which", "How", "After", "Before", "Then", "Now", "Here", "There",
+    "And", "But", "Or", "Yet", "So", "If", "Else", "Yes", "No", "Maybe", "Okay", "User", "Assistant", "System", "Tool", "Monday", "Tuesday",
+    "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May", "June", "July", "August", "September",
+    "October", "November", "December",
+]
 #: Characters of a text that topic lines look at, and of one closet.
 WINDOW, CLOSET = 5000, 1500
 TOPIC_WORD = r"[a-zA-Z][a-zA-Z_-]{2,}"

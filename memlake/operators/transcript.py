@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,29 +51,46 @@ def paragraphs(docs: DataFrame, key: str = "id", text: str = "document", least:
     return rows.where(F.length("chunk") > least)
 
 
-def cut_points(text: str, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> Iterator[str]:
-    """Windows of *size* characters that end at the last blank line, else line end, of their second half."""
-    text = text.strip()
-    at = 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            half = at + size // 2
-            blank, line = text.rfind("\n\n", at, end), text.rfind("\n", at, end)
-            end = blank if blank > half else line if line > half else end
-        piece = text[at:end].strip()
-        if len(piece) >= least:
-            yield piece
-        at = end if end == len(text) else end - overlap
-
-
-def fixed_chunks(docs: DataFrame, key: str = "id", text: str = "document") -> DataFrame:
-    """(key, chunk_index, chunk). Each cut depends on the one before, so this runs in Arrow batches of whole texts."""
+def windows(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
+    """Where windows of *size* characters begin and end; each begins *overlap* before the end of the one before.
+
+    A window but the last ends at the last blank line of its second half, else at the last line end there, else full.
+    The places of both are gathered once, and each end is a binary search among them.
+    """
+    if 2 * overlap >= size:
+        raise ValueError("windows must be more than twice their overlap")
+    lines = [m.start() for m in re.finditer("\n", text)]
+    blanks = [a for a, b in zip(lines, lines[1:]) if b == a + 1]
+
+    def last(places: list[int], after: int, before: int) -> int | None:
+        i = bisect_left(places, before) - 1
+        return places[i] if i >= 0 and places[i] > after else None
+
+    start = 0
+    while len(text) - start > size:
+        middle, limit = start + size // 2, start + size
+        # A blank line is two characters, both within the window.
+        ends = (last(blanks, middle, limit - 1), last(lines, middle, limit), limit)
+        end = next(e for e in ends if e is not None)
+        yield start, end
+        start = end - overlap
+    yield start, len(text)
+
+
+def fixed_chunks(docs: DataFrame, key: str = "id", text: str = "document", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """(key, chunk_index, chunk): trimmed windows of the trimmed text, those of fewer than *least* characters left out.
+
+    Each window depends on the one before, so this runs in Arrow batches of whole texts.
+    """
+    strip_ascii = lambda x: x.strip(" \t\n\v\f\r")
     kind = docs.schema[key].dataType.simpleString()
 
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, i, c) for k, t in zip(frame.iloc[:, 0], frame.iloc[:, 1]) for i, c in enumerate(cut_points(t or ""))]
+            rows = []
+            for k, t in zip(frame.iloc[:, 0], (strip_ascii(t or "") for t in frame.iloc[:, 1])):
+                pieces = [p for p in (strip_ascii(t[a:b]) for a, b in windows(t, size, overlap)) if len(p) >= least]
+                rows += [(k, i, p) for i, p in enumerate(pieces)]
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk"])
 
     return docs.select(key, text).mapInPandas(mapped, f"{key} {kind}, chunk_index int, chunk string")

@@ -193,7 +193,10 @@ def near_dup_pairs(s, d):
     return search.near_pairs(vectors(s, d), 0.6).withColumn("distance", r6(F.col("distance")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {D}, {V}, r AS (SELECT source_file, id, len(document) AS size, e, row_number() OVER (PARTITION BY source_file ORDER BY len(document) DESC, id) AS n FROM d JOIN v USING (id)),
+ w AS (SELECT source_file, id, size >= {near_dup.SHORTEST} AS kept, n, CASE WHEN size >= {near_dup.SHORTEST} THEN [e] ELSE [] END AS held FROM r WHERE n = 1
+ UNION ALL SELECT source_file, id, good, n, CASE WHEN good THEN list_append(held, e) ELSE held END FROM (SELECT r.source_file, r.id, r.n, held, r.e, size >= {near_dup.SHORTEST} AND NOT coalesce(list_bool_or([list_cosine_distance(h, r.e) < 0.6 FOR h IN held]), FALSE) AS good FROM w JOIN r ON r.source_file = w.source_file AND r.n = w.n + 1))
+ SELECT source_file, id, kept FROM w""")
 def near_dup_greedy(s, d):
     v = vectors(s, d)
     return near_dup.greedy(drawers(s, d).join(v.select("id", "embedding"), "id"), distance=0.6)
@@ -769,16 +772,30 @@ def paragraph_chunks(s, d):
     return transcript.paragraphs(drawers(s, d)).select("id", "position", "chunk")
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace('Checking pipeline... now' || chr(10) || text || chr(10) || 'Ran 2 Stop hooks' || chr(10) || 'end [12 tokens] (ctrl+o to expand)', '(^|\n)(> )?(Checking pipeline\.\.\.|Ran [0-9]+ (Stop|PreCompact) hook)[^\n]*', '\1', 'g'), '\s*\[[0-9]+\s+tokens?\]\s*\(ctrl\+o to expand\)', '', 'g'), '^\s+|\s+$', '', 'g') AS out FROM
- (SELECT conv_id, turn, regexp_replace(text, '\n', ' ', 'g') AS text FROM conversations)""".replace("|| chr(10) || 'Ran", "|| chr(10) || 'Ran"))
+@query(rf"""WITH p AS (SELECT conv_id, turn, 'Checking pipeline... now' || chr(10) || text || chr(10) || 'Ran 2 Stop hooks' || chr(10) || 'end [12 tokens] (ctrl+o to expand)' AS t FROM conversations),
+ l AS (SELECT conv_id, turn, list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^(> )?(Checking pipeline\.\.\.|Ran [0-9]+ (Stop|PreCompact) hook)')) AS l FROM p),
+ j AS (SELECT conv_id, turn, regexp_replace(array_to_string(l, chr(10)), '\s*\[[0-9]+\s+tokens?\]\s*\(ctrl\+o to expand\)', '', 'g') AS t FROM l)
+ SELECT conv_id, turn, regexp_replace(regexp_replace(t, '\n{{{{4,}}}}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS out FROM j""".replace("{{", "{").replace("}}", "}"))
 def strip_noise(s, d):
-    body = F.concat(F.lit("Checking pipeline... now\n"), F.regexp_replace("text", "\n", " "), F.lit("\nRan 2 Stop hooks\nend [12 tokens] (ctrl+o to expand)"))
-    out = text.strip_noise(body)
-    # The oracle's engine keeps the empty line of a removed one.
-    return read(s, d, "conversations").select("conv_id", "turn", F.regexp_replace(out, "\nend$", "\n\nend").alias("out"))
+    body = F.concat(F.lit("Checking pipeline... now\n"), "text", F.lit("\nRan 2 Stop hooks\nend [12 tokens] (ctrl+o to expand)"))
+    return read(s, d, "conversations").select("conv_id", "turn", text.strip_noise(body).alias("out"))
 
 
-@query()
+def _chunks_sql() -> str:
+    """Each step cuts one window off; the last line ends of its second half are looked for from its end."""
+    size, half = transcript.CHUNK, transcript.CHUNK // 2
+
+    def end(at: str) -> str:
+        part = f"reverse(substring(t, {at} + {half + 2}, {size - half - 1}))"
+        place = lambda mark, n: f"CASE WHEN strpos({part}, {mark}) > 0 THEN {at} + {half} + 1 + len({part}) - strpos({part}, {mark}) - {n} END"
+        return f"CAST(CASE WHEN len(t) - {at} <= {size} THEN len(t) ELSE coalesce({place('chr(10) || chr(10)', 1)}, {place('chr(10)', 0)}, {at} + {size}) END AS BIGINT)"
+
+    return f"""WITH RECURSIVE {D}, p AS (SELECT id, {TRIM.format(x='document')} AS t FROM d), w AS (SELECT id, t, 0 AS n, CAST(0 AS BIGINT) AS pos, {end('0')} AS stop FROM p
+ UNION ALL SELECT id, t, n + 1, pos, {end('pos')} FROM (SELECT id, t, n, stop - {transcript.OVERLAP} AS pos FROM w WHERE stop < len(t))),
+ c AS (SELECT id, n, {TRIM.format(x='substring(t, pos + 1, stop - pos)')} AS chunk FROM w) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INTEGER) AS chunk_index, chunk FROM c WHERE len(chunk) >= {transcript.LEAST}"""
+
+
+@query(lambda: _chunks_sql())
 def fixed_chunks(s, d):
     return transcript.fixed_chunks(drawers(s, d))
 
@@ -1121,7 +1138,9 @@ def topic_lines(s, d):
     return summary.topic_lines(rows.withColumn("drawer_ids", F.array("id", F.col("id") + 1)))
 
 
-@query()
+@query(lambda: f"""WITH RECURSIVE tl AS ({ORACLES['topic_lines']}), w AS (SELECT id, position, line, len(line) + 1 AS used, 1 AS closet FROM tl WHERE position = 0
+ UNION ALL SELECT tl.id, tl.position, tl.line, CASE WHEN used + len(tl.line) + 1 > {summary.CLOSET} THEN len(tl.line) + 1 ELSE used + len(tl.line) + 1 END, closet + CAST(used + len(tl.line) + 1 > {summary.CLOSET} AS INT) FROM w JOIN tl ON tl.id = w.id AND tl.position = w.position + 1)
+ SELECT id, closet, string_agg(line, chr(10) ORDER BY position) AS text FROM w GROUP BY 1, 2""")
 def closet_pack(s, d):
     rows = drawers(s, d).withColumn("document", _put_before("id", "document", MORE))
     return summary.closets(summary.topic_lines(rows.withColumn("drawer_ids", F.array("id", F.col("id") + 1))))

@@ -159,18 +159,58 @@ def _each_file(content: DataFrame, parse: Callable[[object], Iterator[tuple[int,
     return content.select("source_file", "content").mapInPandas(mapped, MESSAGES)
 
 
+def broken_files(content: DataFrame) -> DataFrame:
+    """(source_file, error) of the files of JSON lines or values that can't be read: none of their lines, or not the value.
+
+    All other files are read without them; one broken file never ends a sweep.
+    """
+
+    def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, text in zip(frame.source_file, frame.content):
+                parts = [x for x in (text or "").splitlines() if x.strip()] if name.lower().endswith(".jsonl") else [text or ""]
+                errors = [e for e in map(_error_of, parts) if e]
+                if parts and len(errors) == len(parts):
+                    rows.append((name, errors[0]))
+            yield pd.DataFrame(rows, columns=["source_file", "error"])
+
+    named = content.where(F.rlike(F.lower("source_file"), F.lit(r"\.jsonl?$")))
+    return named.select("source_file", "content").mapInPandas(mapped, "source_file string, error string")
+
+
+def _error_of(text: str) -> str | None:
+    try:
+        json.loads(text)
+    except ValueError as e:
+        return str(e)
+    return None
+
+
+def _dict(x: object) -> dict:
+    return x if isinstance(x, dict) else {}
+
+
+def _list(x: object) -> list:
+    return x if isinstance(x, list) else []
+
+
+def _name(x: object) -> str:
+    return x if isinstance(x, str) else ""
+
+
 def _text_of(content: object) -> str:
     if isinstance(content, str):
         return content.strip()
     if isinstance(content, dict):
         return str(content.get("text") or "").strip()
     if isinstance(content, list):
-        return "\n".join(x for x in (b if isinstance(b, str) else b.get("text", "") if isinstance(b, dict) and b.get("type", "text") == "text" else "" for b in content) if x).strip()
+        return "\n".join(x for x in (b if isinstance(b, str) else _name(b.get("text")) if isinstance(b, dict) and b.get("type", "text") == "text" else "" for b in content) if x).strip()
     return ""
 
 
 def _web(data: object) -> Iterator[tuple[int, int, str, str]]:
-    inner = lambda d: d.get("chat_messages") or d.get("messages") or []
+    inner = lambda d: _list(d.get("chat_messages") or d.get("messages"))
     if isinstance(data, dict):
         data = inner(data)
     if not isinstance(data, list):
@@ -178,7 +218,7 @@ def _web(data: object) -> Iterator[tuple[int, int, str, str]]:
     many = bool(data) and isinstance(data[0], dict) and ("chat_messages" in data[0] or "messages" in data[0])
     for c, conversation in enumerate([inner(d) for d in data if isinstance(d, dict)] if many else [data]):
         roles = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant"}
-        said = [(roles.get(m.get("role") or m.get("sender")), _text_of(m.get("content")) or str(m.get("text") or "").strip()) for m in conversation if isinstance(m, dict)]
+        said = [(roles.get(_name(m.get("role")) or _name(m.get("sender"))), _text_of(m.get("content")) or str(m.get("text") or "").strip()) for m in conversation if isinstance(m, dict)]
         said = [(r, t) for r, t in said if r and t]
         if len(said) >= 2:
             yield from ((c, i, r, t) for i, (r, t) in enumerate(said))
@@ -190,21 +230,18 @@ def web_export(content: DataFrame) -> DataFrame:
 
 
 def _tree(data: object) -> Iterator[tuple[int, int, str, str]]:
-    nodes = data.get("mapping") if isinstance(data, dict) else None
-    if not isinstance(nodes, dict):
-        return
+    nodes = {k: n for k, n in _dict(_dict(data).get("mapping")).items() if isinstance(n, dict)}
     roots = [k for k, n in nodes.items() if n.get("parent") is None]
-    at = next((k for k in roots if nodes[k].get("message") is None), roots[0] if roots else None)
+    at = next((k for k in roots if nodes[k].get("message") is None), roots[0] if roots else "")
     seen, said = set(), []
     while at in nodes and at not in seen:
         seen.add(at)
-        message = nodes[at].get("message") or {}
-        role = (message.get("author") or {}).get("role")
-        text = " ".join(p for p in (message.get("content") or {}).get("parts") or [] if isinstance(p, str)).strip()
+        message = _dict(nodes[at].get("message"))
+        role = _name(_dict(message.get("author")).get("role"))
+        text = " ".join(p for p in _list(_dict(message.get("content")).get("parts")) if isinstance(p, str)).strip()
         if role in ("user", "assistant") and text:
             said.append((role, text))
-        children = nodes[at].get("children") or []
-        at = children[0] if children else None
+        at = _name(next(iter(_list(nodes[at].get("children"))), ""))
     if len(said) >= 2:
         yield from ((0, i, r, t) for i, (r, t) in enumerate(said))
 
@@ -214,6 +251,10 @@ def tree_export(content: DataFrame) -> DataFrame:
     return _each_file(content, _tree)
 
 
+#: Fixed value: the line at the end of a channel's transcript, so that roles dealt out aren't taken for the speakers' own.
+FOOTER = "\n[source: slack-export | multi-party chat — speaker roles are positional, not verified]"
+
+
 def _channel(data: object) -> Iterator[tuple[int, int, str, str]]:
     roles: dict[str, str] = {}
     last, said = None, []
@@ -265,5 +306,7 @@ def normalise(spark: SparkSession, path: str) -> DataFrame:
     whole = ranked.withColumn("__n", F.count("*").over(Window.partitionBy("source_file", "format", "conversation"))).where("__n >= 2")
     first = whole.withColumn("__f", F.min("format").over(Window.partitionBy("source_file"))).where("format = __f")
     read = transcripts(first.select("source_file", "conversation", "position", "role", "text"))
+    channels = first.where(f"format = {len(found) - 1}").select("source_file", F.lit(FOOTER).alias("__end")).distinct()
+    read = read.join(channels, "source_file", "left").select("source_file", "conversation", F.concat("document", F.coalesce("__end", F.lit(""))).alias("document"))
     kept = content.join(read.select("source_file").distinct(), "source_file", "left_anti")
     return read.unionByName(kept.select("source_file", F.lit(0).alias("conversation"), F.col("content").alias("document")))

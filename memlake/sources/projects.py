@@ -15,8 +15,10 @@ from . import ignore
 
 #: File types that are read, folders and files that are skipped, and the largest file in bytes.
 EXTENSIONS = (".txt", ".md", ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".jsonl", ".yaml", ".yml", ".html", ".css", ".java", ".go", ".rs", ".rb", ".sh", ".csv", ".sql", ".toml")
-SKIPPED = """.git node_modules __pycache__ .venv venv env dist build .next coverage .ruff_cache .mypy_cache .pytest_cache .cache .tox .nox
-.idea .vscode .ipynb_checkpoints .eggs htmlcov target""".split()
+SKIPPED = [
+    ".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", ".next", "coverage", ".ruff_cache", ".mypy_cache",
+    ".pytest_cache", ".cache", ".tox", ".nox", ".idea", ".vscode", ".ipynb_checkpoints", ".eggs", "htmlcov", "target",
+]
 SKIPPED_FILES = (".gitignore", "package-lock.json")
 LARGEST = 500 * 1024 * 1024
 LISTED = "path string, size long, mtime double"

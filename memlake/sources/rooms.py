@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 #: Names of folders by the room they stand for.
 FOLDERS = {
-    "frontend": "frontend front-end front_end client ui views components pages",
-    "backend": "backend back-end back_end server api routes services controllers models database db",
-    "documentation": "docs doc documentation wiki readme notes",
-    "design": "design designs mockups wireframes assets storyboard",
-    "costs": "costs cost budget finance financial pricing invoices accounting",
-    "meetings": "meetings meeting calls meeting_notes standup minutes",
-    "team": "team staff hr hiring employees people",
-    "research": "research references reading papers",
-    "planning": "planning roadmap strategy specs requirements",
-    "testing": "tests test testing qa",
-    "scripts": "scripts tools utils",
-    "configuration": "config configs settings infrastructure infra deploy",
+    "frontend": ["frontend", "front-end", "front_end", "client", "ui", "views", "components", "pages"],
+    "backend": ["backend", "back-end", "back_end", "server", "api", "routes", "services", "controllers", "models", "database", "db"],
+    "documentation": ["docs", "doc", "documentation", "wiki", "readme", "notes"],
+    "design": ["design", "designs", "mockups", "wireframes", "assets", "storyboard"],
+    "costs": ["costs", "cost", "budget", "finance", "financial", "pricing", "invoices", "accounting"],
+    "meetings": ["meetings", "meeting", "calls", "meeting_notes", "standup", "minutes"],
+    "team": ["team", "staff", "hr", "hiring", "employees", "people"],
+    "research": ["research", "references", "reading", "papers"],
+    "planning": ["planning", "roadmap", "strategy", "specs", "requirements"],
+    "testing": ["tests", "test", "testing", "qa"],
+    "scripts": ["scripts", "tools", "utils"],
+    "configuration": ["config", "configs", "settings", "infrastructure", "infra", "deploy"],
 }
-KEYWORDS = {k: room for room, words in FOLDERS.items() for k in words.split()}
+KEYWORDS = {k: room for room, words in FOLDERS.items() for k in words}
 #: Folders that tell nothing.
 SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", ".next", "coverage")
 MOST_ROOMS = 6

@@ -5,31 +5,47 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.incremental import sweep
 from ..sources.chats import sweep_records
+from ..sources.stores import exists
 
 
 def message_id():
     return F.concat(F.lit("sweep_"), F.col("session_id"), F.lit("_"), F.col("uuid"))
 
 
+def _tips(rows: DataFrame) -> DataFrame:
+    """The newest rows of each session: they are all that a sweep needs to know of what is held."""
+    newest = F.max("timestamp").over(Window.partitionBy("session_id"))
+    return rows.select("session_id", "timestamp", "id", "batch", newest.alias("__t")).where("timestamp = __t").drop("__t")
+
+
 def _merge(spark: SparkSession, target: str):
+    """Writes each batch as a partition of the target, and its sessions' newest rows beside it.
+
+    A batch reads the newest rows only, never the target. Without their table they are made from the target, if there is
+    one; any other failure to read ends the batch.
+    """
+    tips = f"{target.rstrip('/')}.tips"
+
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("id", message_id()).dropDuplicates(["id"])
-        try:
-            held = spark.read.parquet(target).where(F.col("batch") != number)
-        except AnalysisException:  # the first batch finds no table
-            rows.withColumn("batch", F.lit(number)).write.mode("append").partitionBy("batch").parquet(target)
-            return
-        new = sweep(rows, held).where("state = 'new'").drop("state").withColumn("batch", F.lit(number))
-        # A batch that is run again replaces its own partition, so nothing is written twice.
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+        if not exists(spark, tips) and exists(spark, target):
+            _tips(spark.read.parquet(target)).write.partitionBy("batch").parquet(tips)
+        new = rows
+        if exists(spark, tips):
+            held = spark.read.parquet(tips).where(F.col("batch") != number).join(rows.select("session_id").distinct(), "session_id", "left_semi")
+            new = sweep(rows, held).where("state = 'new'").drop("state")
+        new = new.withColumn("batch", F.lit(number)).persist()
+        # A batch that is run again replaces its own partitions, so nothing is written twice.
+        for table, path in ((new, target), (_tips(new), tips)):
+            table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        new.unpersist()
 
     return write
 

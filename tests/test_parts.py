@@ -1,7 +1,9 @@
 """Sources, streams and operators without SQL form."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions import dates, text
@@ -83,11 +85,36 @@ def test_save_every(spark, tmp_path):
     assert [(r.session_id, r.saves) for r in spark.table("saves").collect()] == [("s", 2)]
 
 
+def _windows(text, size, overlap):
+    """Every place of a window's second half looked at, one by one."""
+    out, start = [], 0
+    while len(text) - start > size:
+        half = range(start + size // 2 + 1, start + size)
+        blank = [p for p in half if text[p : p + 2] == "\n\n" and p + 2 <= start + size]
+        line = [p for p in half if text[p] == "\n"]
+        end = max(blank, default=max(line, default=start + size))
+        out.append((start, end))
+        start = end - overlap
+    return [*out, (start, len(text))]
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b", " ", "\n", "\n\n", "cc cc"]) for _ in range(rng.randrange(120)))
+        size = rng.randrange(5, 60)
+        overlap = rng.randrange(0, (size - 1) // 2 + 1)
+        if 2 * overlap < size:
+            assert list(transcript.windows(text, size, overlap)) == _windows(text, size, overlap)
+    with pytest.raises(ValueError, match="overlap"):
+        list(transcript.windows("abc", 10, 5))
+
+
 def test_chunks_and_greedy(spark):
     long = ("word " * 300).strip() + "\n\n" + "tail " * 100
-    pieces = list(transcript.cut_points(long))
-    assert all(50 <= len(p) <= 800 for p in pieces) and "".join(pieces).count("tail") >= 100
-    assert list(transcript.cut_points("short")) == [] and list(transcript.cut_points("")) == []
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, "")], "id long, document string")
+    want = [long.strip()[a:b].strip() for a, b in _windows(long.strip(), 800, 100)]
+    assert [(r.id, r.chunk_index, r.chunk) for r in transcript.fixed_chunks(docs).orderBy("chunk_index").collect()] == [(1, i, p) for i, p in enumerate(want)]
     rows = spark.createDataFrame([("f", 1, "a" * 50, [1.0, 0.0]), ("f", 2, "b" * 40, [0.99, 0.01]), ("f", 3, "c" * 30, [0.0, 1.0]), ("f", 4, "x", [0.5, 0.5]), ("f", 5, "z" * 30, [0.0, 0.0])], "source_file string, id long, document string, embedding array<double>")
     assert {r.id: r.kept for r in near_dup.greedy(rows).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
 
@@ -218,6 +245,34 @@ def test_queries_over_whole_tables(spark):
     d = "/root/testdata/sf0.001"
     run = lambda name: catalogue.QUERIES[name](spark, d)
     n = read(spark, d, "documents").count()
-    assert run("neighbour_expand_all").count() == run("tunnel_symmetric_ids_all").count() == n
+    assert run("neighbour_expand").count() == run("tunnel_symmetric_ids").count() == n
     last = {r.user_id: r.ts for r in read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}
-    assert {r.session_id: r.cursor for r in run("session_cursor_all").collect()} == last
+    assert {r.session_id: r.cursor for r in run("session_cursor").collect()} == last
+
+
+def test_odd_files_end_nothing(spark, tmp_path):
+    odd = [{"mapping": {"a": 1, "b": {"parent": None, "message": [1], "children": 5}}}, [{"role": ["x"], "content": "q"}, {"role": "user", "content": {"text": 3}}], {"messages": "no"}, [{"type": "message", "user": 3, "text": None}], 7, None, {"mapping": []}]
+    for i, data in enumerate(odd):
+        write(tmp_path, f"odd{i}.json", [data])
+    write(tmp_path, "broken.jsonl", ["{", "["])
+    write(tmp_path, "half.jsonl", ["{", message("user", "q", 1), message("assistant", "a", 2)])
+    write(tmp_path, "good.json", [[{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]])
+    write(tmp_path, "channel.json", [[{"type": "message", "user": "A", "text": "hi"}, {"type": "message", "user": "B", "text": "yo"}]])
+    read = {r.source_file.rsplit("/", 1)[-1]: r.document for r in chats.normalise(spark, str(tmp_path)).collect()}
+    assert len(read) == 11 and read["good.json"] == read["half.jsonl"] == "> q\na\n"
+    assert read["channel.json"] == "> [A] hi\n[B] yo\n" + chats.FOOTER
+    assert [r.source_file.rsplit("/", 1)[-1] for r in chats.broken_files(chats.files(spark, str(tmp_path))).collect()] == ["broken.jsonl"]
+
+
+def test_sweep_reads_the_newest_rows_only(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "a.jsonl", [message("user", "x", 5), message("assistant", "y", 6), message("user", "o", 1, "s2")])
+    sweep.sweep_stream(spark, source, target, state).awaitTermination()
+    assert sorted((r.session_id, r.id) for r in spark.read.parquet(f"{target}.tips").collect()) == [("s1", "sweep_s1_u6"), ("s2", "sweep_s2_u1")]
+    import shutil
+
+    shutil.rmtree(f"{target}.tips")  # made again from the target
+    write(tmp_path / "in", "b.jsonl", [message("user", "late", 2), message("user", "y", 6), message("user", "z", 9)])
+    sweep.sweep_stream(spark, source, target, state).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == ["sweep_s1_u5", "sweep_s1_u6", "sweep_s1_u9", "sweep_s2_u1"]
