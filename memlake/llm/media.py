@@ -2,28 +2,33 @@
 
 ``parse_html`` turns a page into an ordered array of text and media-reference structs; a reference names its payload
 by SHA-256 digest and keeps its position and caption. ``resolve`` joins references to stored payloads by digest.
-Payloads are stored losslessly as 8-bit mono WAV samples; what is known of a payload is read back from the stored form.
+``store_media`` writes payloads losslessly as 8-bit mono WAV samples into a binary column of a table in a folder that
+driver and executors share; ``describe_media`` reads the table in tasks of its own, and takes all that is known of a
+payload from the bytes that it reads. Equal payloads of one slice of rows are stored once.
 
 The join is done on the descriptors (a digest and some numbers), not on the bytes. Digests that many documents name
 (at least 1 / HOT_SHARE of all references, so at most HOT_SHARE of them) are broadcast; the rest are joined by shuffle.
 
-Null texts count as empty; repeated texts share one payload; a page without media has only text structs;
-a reference whose digest is unknown stays, with null payload columns.
+Null texts count as empty; repeated texts share one descriptor; a page without media has only text structs;
+a reference whose digest is unknown stays, with null payload columns. Rows repeat as often as they come; an empty table
+gives no rows. A very long text is one payload, stored whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, delete, map_texts, shared_folder, slices
 
 UNIT = 64
 RATE = 8000
@@ -132,41 +137,71 @@ def describe(payload: bytes) -> str:
     return f"{x.mean():.4f};{x.std():.4f};{int(np.count_nonzero(high[1:] != high[:-1]))};" + ",".join(f"{v:.2f}" for v in spans)
 
 
-def digest_of(text: str | None) -> str:
-    return hashlib.sha256(payload_of(text)[0]).hexdigest()
+MEDIA = [("digest", "string"), ("n_bytes", "long"), ("media", "binary")]
+DESCRIPTOR = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
+#: Bytes of a row group of the stored table; what a writing task holds.
+ROW_GROUP = 16 << 20
 
 
-DESCRIPTOR = [("digest", "string"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
+def store_media(docs: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
+    """Writes the payloads of all texts to *folder* and returns the table as it is read there: digest, n_bytes, media.
 
+    The digest covers the padded payload, the text's own length also counts, as texts may end in bytes 0.
+    """
+
+    def stored(texts: list[str | None]) -> list:
+        rows = {}
+        for payload, n in map(payload_of, set(texts)):
+            rows[hashlib.sha256(payload).hexdigest(), n] = payload
+        return [[[{"digest": digest, "n_bytes": n, "media": store(payload)} for (digest, n), payload in rows.items()]] + [None] * (len(texts) - 1)]
+
+    made = map_texts(docs, [], text_col, stored, [("rows", "array<struct<digest:string,n_bytes:long,media:binary>>")])
+    made = made.select(F.inline("rows"))
+    made.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
+    return docs.sparkSession.read.schema(made.schema).parquet(folder)
 
-def _descriptor(text: str | None) -> tuple:
-    payload, n = payload_of(text)
-    media = store(payload)
+
+def _descriptor(media: bytes) -> tuple:
     back = load(media)
-    sha = hashlib.sha256(back).hexdigest()
-    return digest_of(text), n, len(back), sha, zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(back)
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(back)
 
 
-def store_payloads(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per distinct payload: digest and what is read back from the stored form.
+def describe_media(stored: DataFrame) -> DataFrame:
+    """One row per distinct payload of a stored table: its key and what the stored bytes say."""
+    kept = [f for f in MEDIA if f[0] != "media"]
 
-    The digest covers the padded payload, the text's own length also counts, as texts may end in bytes 0.
-    """
-    made = map_texts(docs, [], text_col, lambda many: [list(x) for x in zip(*map(_descriptor, many))], DESCRIPTOR)
+    def read(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                rows = list(zip(*(_descriptor(m) for m in part.column(2).to_pylist())))
+                types = [pa.string() if t == "string" else pa.int64() for _, t in DESCRIPTOR]
+                columns = [part.column(0), part.column(1), *(pa.array(c, type=t) for c, t in zip(rows, types))]
+                yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kept + DESCRIPTOR])
+
+    made = stored.select("digest", "n_bytes", "media").mapInArrow(read, ", ".join(f"{n} {t}" for n, t in kept + DESCRIPTOR))
     return made.dropDuplicates(["digest", "n_bytes"])
 
 
 def pages_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A page per document that names the document's text as media by digest and length, with a caption."""
+    """A page per document: its whole text in paragraphs, the first followed by a figure of the text as media, with a caption.
+
+    The media is named by digest and length.
+    """
 
     def page(text: str | None) -> str:
-        first = escape(" ".join((text or "").split(None, 8)[:8]))
-        n = len((text or "").encode("utf-8", "surrogatepass"))
-        return f'<article><p>{first}</p><figure><audio src="sha256:{digest_of(text)}:{n}"></audio><figcaption>{n} bytes</figcaption></figure></article>'
+        payload, n = payload_of(text)
+        first, *more = [f"<p>{escape(line, quote=False)}</p>" for line in (text or "").split("\n") if line.strip()] or [""]
+        figure = f'<figure><audio src="sha256:{hashlib.sha256(payload).hexdigest()}:{n}"></audio><figcaption>{n} bytes</figcaption></figure>'
+        return f"<article>{first}{figure}{''.join(more)}</article>"
 
     return map_texts(docs, [id_col], text_col, lambda many: [[page(t) for t in many]], [("html", "string")])
 
 
+def segments(parsed: DataFrame, id_col: str) -> DataFrame:
+    """One row per segment: its page, position, kind, text, digest and caption."""
+    return parsed.select(F.col(id_col), F.inline("segments"))
+
+
 def references(parsed: DataFrame, id_col: str) -> DataFrame:
     """One row per media reference: its page, position, caption and key."""
     one = parsed.select(F.col(id_col), F.explode("segments").alias("s")).where("s.kind = 'media'")
@@ -185,7 +220,13 @@ def resolve(refs: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's text as a stored payload, reached through its page: parse, reference, digest join."""
+    """Every document's text as a stored payload, reached through its page: parse, reference, digest join.
+
+    The stored table lies in the shared folder until its descriptors are written.
+    """
     refs = cut(references(sequences(pages_of(docs, id_col, text_col), id_col, "html"), id_col))
-    payloads = cut(store_payloads(docs, text_col).withColumn("key", F.concat_ws(":", "digest", F.col("n_bytes").cast("string"))))
-    return resolve(refs, payloads).select(id_col, *[n for n, _ in DESCRIPTOR[1:]], "position", "caption")
+    folder = f"{shared_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    stored = store_media(docs, folder, text_col)
+    payloads = cut(describe_media(stored).withColumn("key", F.concat_ws(":", "digest", F.col("n_bytes").cast("string"))))
+    delete(docs.sparkSession, folder)
+    return resolve(refs, payloads).select(id_col, "n_bytes", *[n for n, _ in DESCRIPTOR], "position", "caption")

@@ -25,6 +25,11 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered segments of every page of the pages table."""
+    return media.segments(media.sequences(table(spark, sf_dir, "pages")), "page_id")
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_media, op3_licences, op4_secrets, op5_quality, op6_vectors, op7_bpe, op8_packing, op9_minhash, op10_langid)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op3_licences, op4_secrets, op5_quality, op6_vectors, op7_bpe, op8_packing, op9_minhash, op10_langid, media_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
