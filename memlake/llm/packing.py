@@ -1,18 +1,28 @@
 """Mixture-controlled packing into sequences (operator 8).
 
-Documents become token ids (plus an end mark) and queue up by source. Windows are filled round by round: in each, every
-source's quantum is its share of all tokens times the window; what a whole number of tokens leaves over or short is its
-deficit, carried to the next window. So after window w source s has given floor(S_s * w / W) tokens, where S_s are its
-tokens and W the number of windows: this closed form is the deficit counter, so any partition can place its documents
-alone, knowing the sources' totals and where its part of each queue begins. The windows' tokens lie one after another
-and are cut every LENGTH tokens; the rest is cut into lengths that are powers of two, so nothing is padded.
-
-Token ids are written once (16 bits each) with the place of each document within its partition's part of its queue.
-The parts' beginnings are a running sum over (partition, source) totals. They are broadcast only if counted to be at
-most BROADCAST_ROWS; else they are joined by shuffle on (partition, source). At most QUEUES sources have queues of
-their own; with more of them, all are dealt to QUEUES queues by a hash.
-
-Null texts count as empty: one token, the end mark. A source of null has a queue. Repeated rows are packed each.
+Documents become token ids (plus an end mark), cut into packets of at most LENGTH tokens, which queue up by source.
+Windows of about WINDOW tokens are filled by deficit round-robin: in each window a source earns its target share, and
+sends packets while what it has earned reaches them; what is left over or short is its deficit, carried to the next
+window. Sources begin with deficits of their own (a hash of the name), so that small ones do not all come at once.
+
+What a source s has earned when all have earned T is its target p(s) times T, so its packet that begins after b of its
+tokens goes at T = (b + u(s) n) / p(s): this closed form is the deficit counter, and any partition can place its packets
+alone, knowing where its part of each queue begins. With an emptied queue the others share its place: the tokens sent up
+to T are F(T), the sum over sources of min(S(s), p(s) T), and the packet's window is F(T) / WINDOW.
+
+Targets are shares of the tokens of each window for some sources; the others share the rest by their own tokens. Without
+targets every source has its own share of the corpus. There may be any number of sources.
+
+The windows' tokens lie one after another and are cut every LENGTH tokens; the rest is cut into lengths that are powers
+of two, so nothing is padded. Running sums give the places: over packets within a block of BLOCK windows, over blocks
+within a group of GROUP blocks, and over groups (one for about 70 billion tokens) on the driver. Token ids are written
+once and go with their packets in the shuffle by block; a block's size depends neither on sources nor on documents. The
+beginnings of the queues' parts, one for each (partition, source), are broadcast only if counted to be at most
+BROADCAST_ROWS; else they are joined by shuffle.
+
+Null texts count as empty: one token, the end mark. A source of null has a queue. Repeated rows, with an id of null too,
+are packed each. An empty table gives no rows. The order within a queue follows the input's partitions, so sequence ids
+depend on how the input is split into files; all else in this docstring does not.
 """
 
 from __future__ import annotations
@@ -29,13 +39,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import cut, slices
+from .common import cut, drop, slices
 
 LENGTH = 1024
 WINDOW = 16 * LENGTH
 END = 0
-QUEUES = 1024
+BLOCK = 64
+GROUP = 1 << 16
 BROADCAST_ROWS = 100_000
+#: Bytes of ids that a partition of the shuffle by block holds, about.
+PART_BYTES = 64 << 20
 
 
 class Tokens:
@@ -53,6 +66,7 @@ class Tokens:
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
         # Fixed value: the split pattern of byte-level pre-tokenizers.
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        self.kind = np.uint16 if max([*ranks.values(), *self.specials.values()]) < 1 << 16 else np.uint32
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.specials)
         self.path = path
 
@@ -65,13 +79,13 @@ class Tokens:
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         if any(s in text for s in self.specials):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=self.kind)
         try:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind)
         except BaseException as e:  # its matcher gives up on some very long runs; the panic is no Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
 
 @functools.lru_cache(2)
@@ -79,108 +93,131 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def _queues(docs: DataFrame, source_col: str) -> dict[str | None, int] | None:
-    """A number for each source; None if there are more than QUEUES."""
-    found = docs.select(F.col(source_col).cast("string").alias("s")).distinct().limit(QUEUES + 1).collect()
-    return None if len(found) > QUEUES else {s: i for i, s in enumerate(sorted((r["s"] for r in found), key=lambda s: (s is not None, s)))}
-
-
 def queued(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, part, queue, before, n, ids): the tokens of each document and its place in its partition's part of the queue."""
-    numbers = _queues(docs, source_col)
+    """(id, part, source, before, start, n, doc_tokens, ids): packets and their places in their partition's part of the queue."""
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), F.col(text_col).alias("__text"))
     id_type = chosen.schema["__id"].dataType.simpleString()
+    names = ["id", "part", "source", "before", "start", "n", "doc_tokens", "ids"]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode, passed = TaskContext.get().partitionId(), tokens(path), {}
         for batch in batches:
             for few in slices(batch, 2):
-                queue, before, size, ids = [], [], [], []
-                for source, text in zip(few.column(1).to_pylist(), few.column(2).to_pylist()):
-                    own = np.append(encode(text), np.uint16(END))
-                    q = numbers[source] if numbers is not None else zlib.crc32((source or "").encode()) % QUEUES
-                    queue.append(q)
-                    before.append(passed.get(q, 0))
-                    size.append(len(own))
-                    passed[q] = passed.get(q, 0) + len(own)
-                    ids.append(own.astype("<u2").tobytes())
-                arrays = [few.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(before, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "part", "queue", "before", "n", "ids"])
-
-    return chosen.mapInArrow(mapped, f"id {id_type}, part int, queue int, before long, n long, ids binary")
-
-
-class Layout:
-    """Where the k-th token of each queue goes."""
-
-    def __init__(self, totals: list[int], window: int = WINDOW, length: int = LENGTH):
-        self.totals = np.array(totals, dtype=np.int64)
-        self.all = int(self.totals.sum())
-        self.windows = max(1, self.all // window)
-        self.whole, self.rest = self.totals // self.windows, self.totals % self.windows
-        self.length = length
-        full = self.all // length
-        cuts, at, left = [full * length], full * length, self.all % length
-        for bit in range(left.bit_length() - 1, -1, -1):
-            if left >> bit & 1:
-                at += 1 << bit
-                cuts.append(at)
-        self.full, self.tail = full, np.array(cuts, dtype=np.int64)
-
-    def given(self, w: np.ndarray) -> np.ndarray:
-        """Tokens that each queue has given before window w: (windows, queues)."""
-        return w[:, None] * self.whole + w[:, None] * self.rest // self.windows
-
-    def place(self, queue: int, first: int, n: int) -> list[tuple[int, int, int, int]]:
-        """Pieces of the tokens first .. first + n of a queue: (start in them, length, sequence, offset)."""
-        total = int(self.totals[queue])
-        low, high = ((first + 1) * self.windows - 1) // total, ((first + n) * self.windows - 1) // total
-        w = np.arange(low, high + 2, dtype=np.int64)
-        given = self.given(w)
-        sums = np.concatenate([np.zeros((len(w), 1), dtype=np.int64), given.cumsum(axis=1)], axis=1)
-        out = []
-        for i in range(high - low + 1):
-            a, b = max(first, int(given[i, queue])), min(first + n, int(given[i + 1, queue]))
-            at = int(sums[i + 1, queue] + sums[i, -1] - sums[i, queue]) + a - int(given[i, queue])
-            while a < b:
-                sequence, offset, room = self._sequence(at)
-                take = min(room, b - a)
-                if out and out[-1][2] == sequence and out[-1][3] + out[-1][1] == offset:
-                    out[-1] = (out[-1][0], out[-1][1] + take, sequence, out[-1][3])
-                else:
-                    out.append((a - first, take, sequence, offset))
-                a, at = a + take, at + take
-        return out
-
-    def _sequence(self, at: int) -> tuple[int, int, int]:
-        if at < self.full * self.length:
-            return at // self.length, at % self.length, self.length - at % self.length
-        k = int(np.searchsorted(self.tail, at, side="right"))
-        return self.full + k - 1, at - int(self.tail[k - 1]), int(self.tail[k]) - at
-
-
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
+                index, sources, rows, ids = [], [], [], []
+                for i, (source, text) in enumerate(zip(few.column(1).to_pylist(), few.column(2).to_pylist())):
+                    own = np.append(encode(text), encode.kind(END))
+                    data, width, begin = own.astype(own.dtype.newbyteorder("<")).tobytes(), own.itemsize, passed.get(source, 0)
+                    for start in range(0, len(own), LENGTH):
+                        n = min(LENGTH, len(own) - start)
+                        index.append(i)
+                        sources.append(source)
+                        rows.append((begin + start, start, n, len(own)))
+                        ids.append(data[width * start : width * (start + n)])
+                    passed[source] = begin + len(own)
+                before, start, n, total = (pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4))
+                arrays = [few.column(0).take(pa.array(index, pa.int64())), pa.array([part] * len(ids), pa.int32()), pa.array(sources, pa.string()), before, start, n, total, pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return chosen.mapInArrow(mapped, f"id {id_type}, part int, source string, before long, start long, n long, doc_tokens long, ids binary")
+
+
+class Earned:
+    """F, and what share a source earns. *named* are tokens and targets of the sources with targets, *rest* the others' tokens."""
+
+    def __init__(self, named: dict[str | None, tuple[int, float]], rest: int):
+        asked = sum(p for _, p in named.values())
+        if any(p <= 0 for _, p in named.values()) or asked > 1 + 1e-9 or (rest and asked > 1 - 1e-9):
+            raise ValueError("targets must be above 0 and leave a share for the sources without one")
+        self.rest, self.left = rest, 1 - asked
+        self.queues = [(float(s), p) for s, p in named.values()] + ([(float(rest), self.left)] if rest else [])
+
+    def sent(self, t):
+        """F as a column of T."""
+        return sum((F.least(F.lit(s), F.lit(p) * t) for s, p in self.queues), F.lit(0.0))
+
+
+def _cuts(total: int) -> list[int]:
+    """Where the sequences after the full ones begin and end: powers of two, largest first."""
+    out = [total - total % LENGTH]
+    for bit in range(LENGTH.bit_length() - 1, -1, -1):
+        if total % LENGTH >> bit & 1:
+            out.append(out[-1] + (1 << bit))
+    return out
+
+
+def pieces_of(at: int, n: int, cuts: list[int]) -> list[tuple[int, int, int, int]]:
+    """The tokens at .. at + n of the whole as (start in them, length, sequence, offset)."""
+    out, done = [], 0
+    while done < n:
+        if at < cuts[0]:
+            sequence, offset, room = at // LENGTH, at % LENGTH, LENGTH - at % LENGTH
+        else:
+            k = int(np.searchsorted(cuts, at, side="right"))
+            sequence, offset, room = cuts[0] // LENGTH + k - 1, at - cuts[k - 1], cuts[k] - at
+        take = min(room, n - done)
+        out.append((done, take, sequence, offset))
+        at, done = at + take, done + take
+    return out
+
+
+def windows(held: DataFrame, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """The packets with the window that each goes to."""
+    parts = cut(held.groupBy("part", "source").agg(F.sum("n").alias("n")))
+    sums = cut(parts.groupBy("source").agg(F.sum("n").alias("total")))
+    known = F.lit(False)
+    for name in targets or ():
+        known = known | F.col("source").eqNullSafe(F.lit(name).cast("string"))
+    named = {r["source"]: (r["total"], float(targets[r["source"]])) for r in sums.where(known).collect()} if targets else {}
+    earned = Earned(named, sums.where(~known).agg(F.sum("total")).first()[0] or 0)
+    share = F.col("total") * F.lit(earned.left / max(1, earned.rest))
+    for name, (_, p) in named.items():
+        share = F.when(F.col("source").eqNullSafe(F.lit(name).cast("string")), F.lit(p)).otherwise(share)
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    begins = parts.select("part", "source", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("begin"))
+    same = F.col("s").eqNullSafe(F.col("source"))
+    begins = cut(begins.join(sums.select(F.col("source").alias("s"), "total"), same).select(F.col("part").alias("p"), F.col("source").alias("s"), "begin", share.alias("share"), first.alias("first")))
+    few = F.broadcast(begins) if begins.count() <= BROADCAST_ROWS else begins
+    placed = held.join(few, (F.col("part") == F.col("p")) & same).drop("p", "s")
+    t = (F.col("begin") + F.col("before") + F.col("first") * F.col("n")) / F.col("share")
+    drop(parts, sums)
+    return placed.withColumn("window", F.floor(earned.sent(t) / WINDOW).cast("long")).drop("begin", "share", "first")
+
+
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str | None, float] | None = None) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and offset; *targets* are shares by source."""
     held = cut(queued(docs, path, id_col, text_col, source_col))
-    parts = cut(held.groupBy("part", "queue").agg(F.sum("n").alias("n")))
-    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    layout = Layout([totals.get(q, 0) for q in range(max(totals, default=-1) + 1)])
-    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.select("part", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("begin"))
-    if parts.count() <= BROADCAST_ROWS:
-        begins = F.broadcast(begins)
-    placed = held.join(begins, ["part", "queue"]).select("id", "queue", (F.col("begin") + F.col("before")).alias("first"), "n", "ids")
-    id_type = docs.schema[id_col].dataType.simpleString()
+    placed = windows(held, targets).withColumn("block", F.expr(f"window div {BLOCK}"))
+    blocks = cut(placed.groupBy("block").agg(F.sum("n").alias("n")).withColumn("group", F.expr(f"block div {GROUP}")))
+    sums = sorted((r["group"], r["n"]) for r in blocks.groupBy("group").agg(F.sum("n").alias("n")).collect())
+    total, bases = 0, []
+    for group, n in sums:
+        bases.append((group, total))
+        total += n
+    before = Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in bases for x in pair]), F.col("group")) if bases else F.lit(0)
+    begins = cut(blocks.select("block", (base + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("base")))
+    drop(blocks)
+    kind = np.dtype(tokens(path).kind).newbyteorder("<")
+    width = kind.itemsize
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if total * width > partitions * PART_BYTES:  # more partitions where the set ones would grow too large
+        placed = placed.repartition(total * width // PART_BYTES + 1, "block")
+    running = F.sum("n").over(Window.partitionBy("block").orderBy("window", "source", "part", "before").rowsBetween(Window.unboundedPreceding, -1))
+    laid = placed.select("id", "block", F.coalesce(running, F.lit(0)).alias("within"), "start", "n", "doc_tokens", "ids")
+    few = F.broadcast(begins) if begins.count() <= BROADCAST_ROWS else begins
+    laid = laid.join(few, "block").select("id", (F.col("base") + F.col("within")).alias("at"), "start", "n", "doc_tokens", "ids")
+    id_type, cuts = docs.schema[id_col].dataType.simpleString(), _cuts(total)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, rows = [], []
-            for i, (queue, first, n, ids) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)))):
-                data = memoryview(np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes())
-                for start, size, sequence, offset in layout.place(queue, first, n):
+            for i, (at, begin, n, size, ids) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 6)))):
+                data = memoryview(np.frombuffer(ids, dtype=kind).astype("<u4").tobytes())
+                for start, length, sequence, offset in pieces_of(at, n, cuts):
                     index.append(i)
-                    rows.append((start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), n, sequence, offset))
+                    rows.append((begin + start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), size, sequence, offset))
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *columns], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return placed.mapInArrow(pieces, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return laid.mapInArrow(pieces, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
