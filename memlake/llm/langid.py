@@ -2,14 +2,16 @@
 
 A text's subwords are the n-grams (ORDERS bytes of UTF-8) of its lower-cased words, with one mark before and after each
 word; none reaches beyond its word. Each is hashed to a bucket with an embedding, the text's vector is their mean, and a
-softmax layer gives the languages. Embeddings and layer are trained by stochastic gradient descent in numpy, on SAMPLE
-labelled documents at most or about (chosen by a hash of the id, whole texts). A fifth of the sample sets the
-temperature of the softmax and the score below which a document is rejected: there, no more than REJECT of the rightly
-predicted documents fall below it.
+softmax layer gives the languages. Embeddings and layer are trained by stochastic gradient descent in numpy, on about
+SAMPLE labelled documents and SAMPLE_BYTES of text at most (whole texts, chosen by a hash of the id). A fifth of the
+sample sets the temperature of the softmax and the score below which a document is rejected: there, no more than REJECT
+of the rightly predicted documents fall below it.
 
 As the layer is linear, embedding and layer are multiplied once, and a text's scores are a mean of table rows. All texts
 of a batch are scored together, from one flat array of bytes.
-A text that is null or has no letter is ``und`` with score 0. Without any labelled row all texts are ``und``.
+A text that is null or has no letter (Unicode category L) is ``und`` with score 0. Without any labelled row all texts are
+``und``. Of languages with equal scores the first by name is taken. Repeated rows get equal results; in training each
+counts. Texts are scored whole; a very long one is scored alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,18 +29,25 @@ from .quality import held_out
 BUCKETS = 1 << 16
 WIDTH = 16
 ORDERS = (2, 3, 4, 5)
+#: Training takes about so many documents, and about so many bytes of text, at most.
 SAMPLE = 3000
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 5
 RATE = 0.5
 REJECT = 0.001
 AT_ONCE = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 #: Bytes that count as parts of words; all others are word boundaries, turned to spaces.
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode's category L stands in the text; numbers such as superscripts are none."""
+    return text is not None and any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order the bucket of every byte position (BUCKETS where no n-gram stands), and the texts' starts."""
     data = [b" " + t.lower().encode("utf-8", "surrogatepass") + b" " * max(ORDERS) for t in texts]
@@ -85,7 +94,7 @@ class Model:
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
-        known = [t is not None and LETTER.search(t) is not None for t in texts]
+        known = [has_letter(t) for t in texts]
         p = softmax(self.logits([t or "" for t in texts]) / self.temperature)
         best = p.argmax(axis=1)
         return [self.languages[b] if k else "und" for b, k in zip(best, known)], np.where(known, p.max(axis=1), 0.0).tolist()
@@ -105,7 +114,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
     r = np.random.default_rng(10)
     bags, ys = [], []
     for t, k in zip(texts, langs):
-        if LETTER.search(t):
+        if has_letter(t):
             grams = np.concatenate(subwords([t])[0])
             bags.append(np.unique(grams[grams < BUCKETS], return_counts=True))
             ys.append(target[k])
@@ -140,11 +149,14 @@ def train(texts: list[str], langs: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trains on documents with a language that are not held out; about *sample* of them if there are more."""
+    """Trains on documents with a language that are not held out; about *sample* of them if there are more.
+
+    The share of documents that is taken keeps both bounds, of rows and of bytes, as an expectation.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 5, 0))
-    total = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col, 5, 0)).count()
+    total, size = usable.agg(F.count("*"), F.sum(F.octet_length(text_col).cast("long"))).first()
     scale = 1 << 40
-    share = scale if total <= sample else sample * scale // total
+    share = min(scale, sample * scale // max(1, total), SAMPLE_BYTES * scale // max(1, size or 0))
     rows = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(scale)) < share).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(r["i"].encode()), r["i"]))
     return train([r["t"] for r in rows], [r["l"] for r in rows])
