@@ -15,13 +15,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .boosting import Boosted
 from .calibration import apply, isotonic
-from .common import map_texts
+from .common import is_free, map_texts, union_of
 
 #: Kinds in the order in which spans are listed; the first four have base rules.
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
@@ -172,8 +173,13 @@ def _example(r: np.random.Generator) -> tuple[str, tuple[int, int] | None]:
         s, cue, good = word() + pick("", ".", "_") + word(1, 5) + at + word(3) + dot + pick("com", "org", "net", "de", "example"), pick("", "mail ", "contact: ", "write to "), True
     elif kind == 1:
         s, cue, good = pick(f"{num(3)}-{num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0049 {num(3)} {num(6)}"), pick("phone ", "tel: ", "call ", "", "mobile "), True
-    elif kind == 2:
-        s, cue, good = pick(num(16), f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", "4" + num(15), "5" + num(15)), pick("", "", "card ", "visa: ", "paid with "), True
+    elif kind == 2:  # without a cue word, only a number with a right check digit is a card's
+        cue, d = pick("", "", "", "card ", "visa: ", "paid with "), pick("", "4", "5")
+        d += num(15 - len(d))
+        last = [str(k) for k in range(10) if luhn(d + str(k))][0] if r.random() < 0.5 else num(1)
+        d += last
+        good = bool(cue) or luhn(d)
+        s = pick(d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4)))
     elif kind == 3:
         s, cue, good = f"{r.integers(100, 666)}-{r.integers(10, 99)}-{num(4)}", pick("ssn ", "social security ", "", "ssn: "), True
     elif kind == 4:
@@ -247,15 +253,15 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], fitted
 
 
 def _apart(scored: list[tuple], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Greedily, best first, the spans that touch neither *taken* nor one chosen before."""
-    from bisect import bisect_left, insort
-
-    spans, chosen = sorted(taken), []
+    """Greedily, best first, the spans that meet neither *taken* nor one chosen before."""
+    starts, ends = union_of(taken)
+    chosen = []
     for _, a, b, kind in scored:
-        a, b = a, -b
-        i = bisect_left(spans, (b,))
-        if all(e <= a for _, e in spans[max(0, i - len(KINDS)) : i]):
-            insort(spans, (a, b))
+        b = -b
+        if is_free((starts, ends), a, b):
+            i = bisect_left(starts, a)
+            starts.insert(i, a)
+            ends.insert(i, b)
             chosen.append((kind, a, b))
     return sorted(chosen, key=lambda s: s[1])
 
