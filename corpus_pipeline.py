@@ -1,6 +1,10 @@
 """The corpus pipeline: language ID, quality, near-duplicates, secrets, packing.
 
-Every stage takes what its predecessor kept; all but the last return the columns of documents.
+Every stage takes what its predecessor kept; all but the last return the columns of documents, whatever further columns
+and names those have. What happens to odd rows: a null text, and one without a letter, goes with the language stage; an
+empty table passes as an empty table; rows repeated with id and text are copies, of which one stays; rows with an id of
+null are kept by the near-duplicate stage and packed each; equal scores share the fate of their threshold. Texts are
+taken whole, of any length.
 """
 
 from __future__ import annotations
@@ -10,10 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm import langid, minhash, packing, quality, secrets
-from memlake.llm.common import cut, table
+from memlake.llm.common import delete, table
 from memlake.llm.queries import tokenizer
+from memlake.session import shared_folder
+from memlake.sources.stores import exists
 
-#: Documents that score below this go. It is lower than the classifier's own cut, so that clean documents stay.
+#: Documents that score below this go. It is lower than the classifier's own cut, so that clean documents stay; README says what each keeps.
 QUALITY_FLOOR = 0.5
 #: The least similarity, in hundredths, of near-duplicates.
 NEAR_PERCENT = 80
@@ -51,12 +57,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    cut(spark.range(0))  # sets a checkpoint folder where the session has none
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over documents; each result is written below *folder* and read again, and its predecessor's goes.
+
+    *folder* is a new one in the shared folder of the session. A run that was stopped goes on after its last whole stage
+    if it is given the same folder again.
+    """
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    names = [name for name, _ in STAGES[:-1]]
+    last = max((i for i, name in enumerate(names) if exists(spark, f"{folder}/{name}/_SUCCESS")), default=-1)
+    docs = spark.read.parquet(f"{folder}/{names[last]}") if last >= 0 else table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES[last + 1 : -1], last + 1):
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if i:
+            delete(spark, f"{folder}/{names[i - 1]}")
     return STAGES[-1][1](spark, docs, sf_dir)
