@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, graph, halls, incremental, kg, lexical, memories, metrics, near_dup, search, summary, transcript
+from ..operators import classify, collection, context, entities as naming, graph, halls, haystack, incremental, kg, lexical, memories, metrics, near_dup, search, summary, transcript
 from ..sources import rooms
 from .tables import D, K, Q, V, drawers, entities, lexical_index, questions, read, triples, vectors
 
@@ -36,6 +36,15 @@ def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
+def _before(i: str, x: str, texts: list[str]) -> str:
+    q = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"CASE {i} % {len(texts)} " + " ".join(f"WHEN {k} THEN {q(t)}" for k, t in enumerate(texts)) + f" END || {x}"
+
+
+def _put_before(i, x, texts: list[str]):
+    return F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.col(i) % len(texts) + 1).cast("int")), F.col(x))
+
+
 SIX = lambda x: f"floor(({x}) * 1e6 + 0.5) / 1e6"
 WORDS = ["thereonti", "with", "ertion", "that"]
 QUESTION = ["thnt", "with", "die", "elle", "ertion"]
@@ -391,6 +400,69 @@ def room_soft_boost(s, d):
     return _reranked(_candidates(s, d, 50), F.when(F.col("room") == "src2", 0.8).otherwise(1.0))
 
 
+# --- haystacks -------------------------------------------------------------------------------------------------------
+
+#: What is asked of a question's own haystack, by the question's id.
+ASKING = [
+    "What did Anna say on 'thnt wh' and the ertion, 3 weeks ago?", "Can you remind me: you suggested \"is the\" and 'on th'", "Which elle was with that, last month and with that?", "When did I prefer it 10 days ago with Anna and Bob?",
+]
+#: What some documents state, so that there are preferences and names.
+STATED = ["I prefer quiet rooms by far. Anna met Bob. ", "", "I usually walk home, Anna said. "]
+HAY = f"""hq AS (SELECT qid, qe, {_before('qid // 50', "''", ASKING)} AS question FROM q), hs AS (SELECT hq.qid, v.id AS corpus_id, v.id AS position, {_before('v.id', 'document', STATED)} AS document, v.e, occurred_at FROM hq JOIN v ON v.label = (hq.qid // 50) % 10 JOIN d ON d.id = v.id)"""
+
+
+def _haystack(s, d):
+    v, q = vectors(s, d), questions(s, d).select("qid", "embedding")
+    asked = q.select("qid", "embedding", F.element_at(F.array(*map(F.lit, ASKING)), (F.expr("qid div 50") % len(ASKING) + 1).cast("int")).alias("question"), F.lit("2024-06-01").alias("asked_at"))
+    rows = v.join(q.select("qid", ((F.expr("qid div 50")) % 10).cast("int").alias("label")), "label").join(drawers(s, d).select("id", "document", "occurred_at"), "id")
+    return rows.select("qid", F.col("id").alias("corpus_id"), F.col("id").alias("position"), _put_before("position", "document", STATED).alias("document"), "embedding", "occurred_at"), asked
+
+
+@query(lambda: f"""WITH {D}, {V}, {Q}, {HAY}, r AS (SELECT qid, corpus_id, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_distance(e, qe), 12), position) AS n FROM hs JOIN hq USING (qid)),
+ z AS (SELECT qid, corpus_id, CASE WHEN n <= 10 THEN n END AS n FROM r) SELECT qid, corpus_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY n NULLS LAST, corpus_id) AS INTEGER) AS rank FROM z""")
+def haystack_raw(s, d):
+    return haystack.raw(*_haystack(s, d), 10)
+
+
+KW = "list_filter(regexp_extract_all(lower(question), '\\b[a-z]{3,}\\b'), lambda w: NOT list_contains({stop}, w))"
+PH = "list_filter([trim(p) FOR p IN regexp_extract_all(question, '''([^'']{3,60})''', 1) || regexp_extract_all(question, '\"([^\"]{3,60})\"', 1)], lambda p: len(p) >= 3)"
+NMS = "list_filter(list_distinct(regexp_extract_all(question, '\\b[A-Z][a-z]{2,15}\\b')), lambda w: NOT list_contains({not_names}, w))"
+HELD_SHARE = "CASE WHEN len({of}) > 0 THEN len(list_filter({of}, lambda p: contains(lower(document), lower(p)))) / CAST(len({of}) AS DOUBLE) ELSE 0 END"
+
+
+def _signals_sql() -> str:
+    lists = f"{KW.replace('{stop}', _list(haystack.STOP_WORDS))} AS kw, {PH} AS ph, {NMS.replace('{not_names}', _list(haystack.NOT_NAMES))} AS nm"
+    assistant = " OR ".join(f"contains(lower(question), '{x}')" for x in haystack.ASSISTANT)
+    return f"sg AS (SELECT *, {lists}, ({assistant}) AS asst, CASE (qid // 50) % {len(ASKING)} WHEN 0 THEN 21 WHEN 2 THEN 30 WHEN 3 THEN 10 END AS days, CASE (qid // 50) % {len(ASKING)} WHEN 0 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 2 END AS tol FROM hq)"
+
+
+@query(lambda: f"""WITH {D}, {V}, {Q}, {HAY}, {_signals_sql()},
+ pr AS (SELECT hs.*, list_filter({_pref_sql('document')}, lambda x: len(x) BETWEEN 5 AND 80) AS a FROM hs), pu AS (SELECT qid, corpus_id, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM pr), pf AS (SELECT qid, corpus_id, p, min(i) AS i FROM pu GROUP BY 1, 2, 3),
+ pk AS (SELECT qid, corpus_id, string_agg(p, '; ' ORDER BY i) AS t FROM (SELECT *, row_number() OVER (PARTITION BY qid, corpus_id ORDER BY i) AS n FROM pf) WHERE n <= 12 GROUP BY 1, 2),
+ al AS (SELECT *, FALSE AS made FROM hs UNION ALL SELECT hs.qid, hs.corpus_id, position + 1000000, 'User has mentioned: ' || t, e, occurred_at, TRUE FROM hs JOIN pk USING (qid, corpus_id)),
+ di AS (SELECT al.*, sg.* EXCLUDE (qid), round(list_cosine_distance(e, qe), 12) AS x FROM al JOIN sg USING (qid) WHERE NOT (asst AND made)), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, position) AS n FROM di) WHERE n <= 20),
+ o AS (SELECT *, abs(date_diff('day', DATE '2024-06-01' - CAST(days AS INTEGER), CAST(occurred_at AS DATE))) AS off FROM k),
+ w AS (SELECT qid, corpus_id, position, round(x * (1 - 0.30 * {HELD_SHARE.format(of='kw')}) * CASE WHEN asst THEN 1 - 0.60 * {HELD_SHARE.format(of='ph')} ELSE (1 - 0.40 * {HELD_SHARE.format(of='nm')}) * coalesce(CASE WHEN off <= tol THEN 0.6 WHEN off <= tol * 3 THEN 1 - 0.40 * (1 - (off - tol) / CAST(tol * 2 AS DOUBLE)) ELSE 1 END, 1) END, 9) AS score FROM o),
+ b AS (SELECT qid, corpus_id, min((score, position)) AS m FROM w GROUP BY 1, 2), every AS (SELECT DISTINCT qid, corpus_id FROM hs)
+ SELECT qid, corpus_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY m NULLS LAST, corpus_id) AS INTEGER) AS rank FROM every LEFT JOIN b USING (qid, corpus_id)""")
+def haystack_hybrid(s, d):
+    return haystack.hybrid(*_haystack(s, d), 20)
+
+
+@query(lambda: f"""WITH {D}, {V}, {Q}, {HAY}, {_signals_sql()}, di AS (SELECT hs.*, sg.* EXCLUDE (qid), list_filter(kw, lambda z: NOT list_contains([lower(y) FOR y IN nm], z)) AS pk, round(list_cosine_distance(e, qe), 12) AS x FROM hs JOIN sg USING (qid)),
+ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, position) AS n FROM di) WHERE n <= 15), w AS (SELECT qid, corpus_id, position, round(x * (1 - 0.50 * {HELD_SHARE.format(of='pk')}), 9) AS score FROM k)
+ SELECT * FROM (SELECT qid, corpus_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, position) AS INTEGER) AS rank FROM w) WHERE rank <= 5""")
+def haystack_predicates(s, d):
+    return haystack.by_predicates(*_haystack(s, d), 5)
+
+
+@query(lambda: f"""WITH {D}, {V}, {Q}, {HAY}, f AS (SELECT hs.*, list_reverse(e) AS fe, qe, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_distance(e, qe), 12), position) AS n FROM hs JOIN hq USING (qid)),
+ g AS (SELECT *, CASE WHEN n <= 5 THEN round(list_cosine_distance(fe, qe), 12) END AS y FROM f) SELECT qid, corpus_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY y NULLS LAST, position) AS INTEGER) AS rank FROM g""")
+def haystack_two_pass(s, d):
+    rows, asked = _haystack(s, d)
+    return haystack.two_pass(rows.withColumn("full_embedding", F.reverse("embedding")), asked)
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 RANKED = KNN.format(cond="id <> qid") + ", j AS (SELECT k.qid, k.rank, k.label = l.label AS rel FROM k JOIN v l ON l.id = k.qid WHERE rank <= 30)"
@@ -1038,15 +1110,6 @@ SAID = ["Anna said she was late.\nThanks Anna, hey Anna\nfor Anna:\n", "we built
 MORE = ["We decided on the api because it was important. I love it.\n# Plan of the week\n", 'fixed the broken thing; "it is a turning point for us all" he told\n', ""]
 
 
-def _before(i: str, x: str, texts: list[str]) -> str:
-    q = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    return f"CASE {i} % {len(texts)} " + " ".join(f"WHEN {k} THEN {q(t)}" for k, t in enumerate(texts)) + f" END || {x}"
-
-
-def _put_before(i, x, texts: list[str]):
-    return F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.col(i) % len(texts) + 1).cast("int")), F.col(x))
-
-
 def _ascii(x: str) -> str:
     """Lower case, other letters than ASCII spelt out, as the oracle's engine takes them for a word's end."""
     return f"array_to_string([CASE WHEN ch >= chr(128) AND regexp_matches(ch, '[\\p{{L}}\\p{{N}}]') THEN 'q' || unicode(ch) || 'q' ELSE ch END FOR ch IN string_split(lower({x}), '')], '')"
