@@ -7,6 +7,8 @@ labelled rows, counted in BINS, fit the isotonic map to the probability of label
 
 Null and empty texts have statistics of their own (all counts 0) and get a score like any other. A document whose label
 is null or missing is not learned from; repeated label rows count once each. With no labelled rows every score is 0.5.
+Equal statistics, repeated rows among them, get equal scores. Texts are read whole, of any length; an empty table gives
+no rows. Columns are taken by name and position, so others may have any names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ FEATURES = 192
 RIDGE = 1.0
 WIDTH = 4.0
 BINS = 512
+#: Partial sums that one task adds at a time.
+GROUP = 256
 SEED = 5
 #: A document counts as good from this score on.
 THRESHOLD = 0.7
@@ -103,7 +108,10 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def normal_equations(learned: DataFrame, map_of: Fourier) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'y over all rows of (stats, y): summed in each partition, then by matrix row."""
+    """X'X and X'y over all rows of (stats, y): summed in each partition, then by matrix row over GROUP partitions at a time.
+
+    A group of the first addition gets a row from each of about a GROUP-th of the partitions, one of the second GROUP rows.
+    """
     d = FEATURES + 1
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +122,15 @@ def normal_equations(learned: DataFrame, map_of: Fourier) -> tuple[np.ndarray, n
                 y = batch.column(batch.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(float)
                 total += np.concatenate([x, np.ones((len(x), 1))], axis=1)[:, :d].T @ np.column_stack([x, y])
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(d), type=pa.int32()), pa.array(total.tolist(), type=pa.list_(pa.float64()))], names=["row", "sums"])
+            own = TaskContext.get().partitionId() % GROUP
+            yield pa.RecordBatch.from_arrays([pa.array(range(d), type=pa.int32()), pa.array([own] * d, type=pa.int32()), pa.array(total.tolist(), type=pa.list_(pa.float64()))], names=["row", "part", "sums"])
 
     def added(table: pa.Table) -> pa.Table:
         sums = np.array(table.column("sums").to_pylist()).sum(axis=0)
-        return pa.table({"row": pa.array([table.column("row")[0].as_py()], type=pa.int32()), "sums": pa.array([sums.tolist()], type=pa.list_(pa.float64()))})
+        return table.slice(0, 1).set_column(2, "sums", pa.array([sums.tolist()], type=pa.list_(pa.float64())))
 
-    rows = learned.select("stats", "y").mapInArrow(summed, "row int, sums array<double>").groupBy("row").applyInArrow(added, "row int, sums array<double>").collect()
+    schema = "row int, part int, sums array<double>"
+    rows = learned.select("stats", "y").mapInArrow(summed, schema).groupBy("row", "part").applyInArrow(added, schema).groupBy("row").applyInArrow(added, schema).collect()
     total = np.zeros((d, d + 1))
     for r in rows:
         total[r["row"]] = r["sums"]
