@@ -21,7 +21,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts, rewrite_texts
+from .common import is_free, map_texts, rewrite_texts, union_of
 
 KINDS = ("assign", "access", "hex", "crf")
 EXAMPLES = 1000
@@ -36,6 +36,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Words at which an assignment can begin, and further cue words.
 NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 CUES = (*NAMES, b"bearer", b"credential", b"auth", b"private", b"access", b"sk_live", b"ghp_", b"xoxb", b"pwd")
+_CUE = re.compile(b"|".join(CUES))
+#: Bytes of text that are tagged together; a longer text alone.
+AT_ONCE = 1 << 18
 
 
 def base_spans(text: str, lowered: bytes | None = None) -> list[tuple[str, int, int]]:
@@ -67,6 +70,8 @@ _LENGTHS = np.zeros(64, dtype=np.int64)
 for _at in (2, 4, 6, 8, 10, 13, 16, 20, 28, 36, 50):
     _LENGTHS[_at:] += 1
 SHAPES, NEAR, CUE_STEPS, FILES = 12 * 64 + 8, 16, 8, 4
+#: How a neighbour that is a cue word counts, whatever its shape.
+CUE_NEAR = 12
 
 
 def tokenise(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,34 +107,37 @@ def tokenise(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return starts, ends, shape, near
 
 
-def cue_distance(lowered: bytes, starts: np.ndarray) -> np.ndarray:
-    """Tokens since the last cue word, from 1 up to CUE_STEPS - 1; 0 if it is further away."""
+def cue_distance(lowered: bytes, starts: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Tokens since the last cue word of the same text, from 1 up to CUE_STEPS - 1; 0 if it is further away."""
     out = np.zeros(len(starts), dtype=np.int64)
-    places = []
-    for w in CUES:
-        at = lowered.find(w)
-        while at >= 0:
-            places.append(at)
-            at = lowered.find(w, at + len(w))
+    places = [m.start() for m in _CUE.finditer(lowered)]
     if places:
         token = np.unique(np.searchsorted(starts, np.array(places), side="right") - 1)
         for step in range(CUE_STEPS - 1, 0, -1):
             to = token + step - 1
-            out[to[to < len(starts)]] = step
+            own = to < len(starts)
+            own[own] = text[to[own]] == text[token[own]]
+            out[to[own]] = step
     return out
 
 
-def codes(data: bytes, lowered: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, and a row of five feature codes for each token of a file."""
-    starts, ends, shape, near = tokenise(data)
+def codes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts joined by line ends: starts, ends, number of the text, and a row of five feature codes for each token."""
+    joined = b"\n".join(data)
+    starts, ends, shape, near = tokenise(joined)
+    text = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), starts, side="right")
     n = len(starts)
     if not n:
-        return starts, ends, np.zeros((0, 5), dtype=np.int64)
+        return starts, ends, text, np.zeros((0, 5), dtype=np.int64)
+    cue = cue_distance(joined.lower(), starts, text)
+    near = np.where(cue == 1, CUE_NEAR, near)
     before, after = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    before[1:], after[:-1] = near[:-1], near[1:]
-    marks = np.count_nonzero(shape >= 12 * 64) * 8 // n
+    same = text[1:] == text[:-1]
+    before[1:], after[:-1] = np.where(same, near[:-1], 0), np.where(same, near[1:], 0)
+    sizes, marked = np.bincount(text, minlength=len(data)), np.bincount(text[shape >= 12 * 64], minlength=len(data))
+    marks = np.minimum(marked * 8 // np.maximum(sizes, 1), FILES - 1)
     offsets = np.cumsum([0, SHAPES, NEAR, NEAR, CUE_STEPS])
-    return starts, ends, np.stack([shape, before, after, cue_distance(lowered, starts), np.full(n, min(marks, FILES - 1))], axis=1) + offsets
+    return starts, ends, text, np.stack([shape, before, after, cue, marks[text]], axis=1) + offsets
 
 
 FEATURES = SHAPES + 2 * NEAR + CUE_STEPS + FILES
@@ -223,15 +231,20 @@ def margin(trans: np.ndarray) -> float:
     return float(max((kept - through[:, None, :])[:, :, :INSIDE].max(), (kept[:, :, INSIDE] - through[:, None, BEGIN]).max() + onward))
 
 
-def decode(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Viterbi tags of a whole file; only the stretches in which a tag but outside is possible are walked."""
+def decode(score: np.ndarray, trans: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+    """Viterbi tags of whole texts (*text* numbers them); only the stretches in which a tag but outside is possible are walked."""
     lead = score[:, OUT] - np.maximum(score[:, BEGIN], score[:, INSIDE])
     swap = np.maximum(score[:, INSIDE] - score[:, BEGIN], 0)
     need = np.full(len(score), margin(trans))
     need[:-1] += swap[1:]
     open_ = lead <= need
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], open_.view(np.int8), [0]])))
-    return viterbi(score, trans, edges[::2], edges[1::2])
+    fresh = np.ones(len(score) + 1, dtype=bool)  # where another stretch or text begins
+    fresh[1:-1] = open_[1:] != open_[:-1]
+    if text is not None:
+        fresh[1:-1] |= text[1:] != text[:-1]
+    edges = np.flatnonzero(fresh)
+    walked = open_[edges[:-1]]
+    return viterbi(score, trans, edges[:-1][walked], edges[1:][walked])
 
 
 # --- training --------------------------------------------------------------------------------------------------------
@@ -274,8 +287,7 @@ def model() -> tuple[np.ndarray, np.ndarray]:
     rows, tags = [], []
     for _ in range(EXAMPLES):
         text, span = _example(r)
-        data = text.encode()
-        starts, ends, x = codes(data, data.lower())
+        starts, ends, _, x = codes([text.encode()])
         if span:
             span = tuple(len(text[:k].encode()) for k in span)
         rows.append(x[:60])
@@ -283,38 +295,46 @@ def model() -> tuple[np.ndarray, np.ndarray]:
     return fit_field(rows, tags)
 
 
-def tagged_spans(data: bytes, lowered: bytes, fitted: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Byte spans that the field tags as secrets, long enough and with lead enough."""
+def tagged_spans(texts: list[str], fitted: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[int, int]]]:
+    """Of each text the spans, in code points, that the field tags as secrets, long enough and with lead enough."""
     w, trans = fitted
-    starts, ends, x = codes(data, lowered)
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    starts, ends, text, x = codes(data)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if not len(starts):
-        return []
+        return out
     score = w[x[:, 0]]
     for k in range(1, 5):
         score = score + w[x[:, k]]
-    tags = decode(score, trans)
-    out = []
-    for b in np.flatnonzero(tags == BEGIN):
+    tags = decode(score, trans, text)
+    first = np.cumsum([0, *(len(d) + 1 for d in data)])
+    for b in np.flatnonzero(tags == BEGIN).tolist():
         e = b + 1
         while e < len(tags) and tags[e] == INSIDE and starts[e] == ends[e - 1]:
             e += 1
         own = score[b:e]
         if ends[e - 1] - starts[b] >= SHORTEST and (own[np.arange(e - b), tags[b:e]] - own[:, OUT]).mean() >= LEAD:
-            out.append((int(starts[b]), int(ends[e - 1])))
+            k = int(text[b])
+            out[k].append((int(starts[b] - first[k]), int(ends[e - 1] - first[k])))
+    for k, spans in enumerate(out):
+        if spans and len(data[k]) != len(texts[k]):
+            wide = np.cumsum((np.frombuffer(data[k], dtype=np.uint8) & 0xC0) == 0x80)
+            out[k] = [(a - int(wide[a - 1] if a else 0), b - int(wide[b - 1])) for a, b in spans]
     return out
 
 
-def find_spans(text: str | None, fitted: tuple[np.ndarray, np.ndarray]) -> tuple[list, list]:
-    """Base spans and added spans of one text, in code points."""
-    text = text or ""
-    data = text.encode("utf-8", "surrogatepass")
-    lowered = data.lower()
-    base = base_spans(text, lowered)
-    added = tagged_spans(data, lowered, fitted)
-    if added and len(data) != len(text):
-        wide = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) == 0x80)
-        added = [(a - int(wide[a - 1] if a else 0), b - int(wide[b - 1])) for a, b in added]
-    return base, [("crf", a, b) for a, b in added if all(b <= s or e <= a for _, s, e in base)]
+def find_spans(texts: list[str | None], fitted: tuple[np.ndarray, np.ndarray]) -> list[tuple[list, list]]:
+    """Base spans and added spans of each text, in code points. Added ones meet no base span."""
+    texts = [t or "" for t in texts]
+    group = np.cumsum([len(t) for t in texts]) // AT_ONCE
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        for text, tagged in zip(texts[a:b], tagged_spans(texts[a:b], fitted)):
+            base = base_spans(text)
+            taken = union_of((s, e) for _, s, e in base)
+            out.append((base, [("crf", s, e) for s, e in tagged if is_free(taken, s, e)]))
+    return out
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
@@ -327,7 +347,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fitted = model()
 
     def found(texts: list[str | None]) -> list:
-        both = [find_spans(t, fitted) for t in texts]
+        both = find_spans(texts, fitted)
         counts = [[sum(s[0] == k for s in base) for base, _ in both] for k in KINDS[:3]]
         return [*counts, [hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in both], [listed(b + a) for b, a in both]]
 
@@ -351,8 +371,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
 
     def mask(texts: list[str | None]) -> tuple[list[bool], list[str | None]]:
         out = []
-        for t in texts:
-            base, added = find_spans(t, fitted)
+        for t, (base, added) in zip(texts, find_spans(texts, fitted)):
             out.append(redacted(t, base + added) if base or added else t)
         return [True] * len(out), out
 
