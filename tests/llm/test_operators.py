@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -92,6 +94,7 @@ def test_media(docs, empty):
             p = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), sha(p), zlib.crc32(p[-64:]))
             assert media.load(media.store(p)) == p and r.media_sha256 == sha(media.store(p)) and r.caption == f"{len(b)} bytes"
+            assert r.position == int(bool(b.strip())) and r.media_bytes == len(media.store(p))
     assert media.document_media(docs).count() == docs.count()
     assert media.document_media(empty).count() == 0
     page = "<p>One <b>two</b></p><figure><img src='sha256:ab' alt='x'><figcaption>A  cap</figcaption></figure><script>no</script>tail<img src='u'>"
@@ -100,6 +103,27 @@ def test_media(docs, empty):
     assert media.parse_html(None) == []
 
 
+def test_media_is_stored_and_read_back(spark, docs, tmp_path):
+    stored = media.store_media(docs, str(tmp_path / "media"))
+    assert dict(stored.dtypes)["media"] == "binary" and stored.count() < docs.count()
+    back = {(r.digest, r.n_bytes): media.load(r.media) for r in stored.collect()}
+    for t in TEXTS:
+        p, n = media.payload_of(t)
+        assert back[sha(p), n] == p
+    described = {(r.digest, r.n_bytes): r for r in media.describe_media(stored).collect()}
+    assert set(described) == set(back) and all(r.payload_sha256 == r.digest for r in described.values())
+    parsed = {r.doc_id: r.segments for r in media.sequences(media.pages_of(docs, "doc_id", "text"), "doc_id", "html").collect()}
+    for i, t in enumerate(TEXTS):  # the sequence holds the whole text, in order, around the reference
+        assert " ".join(s.text for s in parsed[i] if s.kind == "text").split() == (t or "").split()
+        assert [s.position for s in parsed[i]] == list(range(len(parsed[i])))
+    pages = spark.createDataFrame([(1, "<p>a</p><img src='sha256:x' alt='c'><p>b</p>"), (2, None), (3, ""), (1, "<p>a</p>")], "page_id long, html string")
+    rows = sorted((r.page_id, r.position, r.kind, r.text or r.digest, r.caption) for r in media.segments(media.sequences(pages), "page_id").collect() if r.kind == "media" or r.page_id != 1)
+    assert rows == [(1, 1, "media", "x", "c")]
+    refs = media.references(media.sequences(pages), "page_id")
+    lost = media.resolve(refs, spark.createDataFrame([], "key string, n_bytes long")).collect()
+    assert [(r.key, r.n_bytes) for r in lost] == [("x", None)]
+
+
 def test_licences(docs, empty):
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     rows = licences.scan_licences(docs).collect()
@@ -115,9 +139,34 @@ def test_licences(docs, empty):
         assert set(labels) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     assert licences.scan_licences(empty).count() == 0
     index = licences.Index()
-    idf = dict.fromkeys(index.vocabulary, 1.0)
-    got = index.scan("Redistribution and use in source and binary forms, with or without modification, are permitted", index.anchors(idf), idf)
+    index.weigh(dict.fromkeys(index.vocabulary, 1.0))
+    got = index.scan("Redistribution and use in source and binary forms, with or without modification, are permitted")
     assert got[5] == "bsd" and got[4] == ""
+    assert index.scan("the use of the and in or")[5:] == ("", 0.0) and index.scan("under the mitt license")[5] == "" and index.scan("under the mit licence")[6] >= 0.5
+
+
+def test_licence_index_against_brute_force():
+    index, rng = licences.Index(), random.Random(12)
+    index.weigh({w: rng.random() for w in index.vocabulary})
+
+    def brute(words):
+        at = lambda p: [i for i in range(len(words)) if tuple(words[i : i + len(p)]) == p]
+
+        def stands(parts, end=None):
+            return not parts or any((end is None or end <= s <= end + licences.GAP) and stands(parts[1:], s + len(parts[0])) for s in at(parts[0]))
+
+        base = {p: at(p) for p in index.base}
+        labels = {v for p, v in index.base.items() if base[p]} | {label for label, parts in index.notices if stands(parts)}
+        return sorted(s for x in base.values() for s in x), ",".join(sorted(labels))
+
+    parts = [b" ".join(p).decode() for p in index.phrases] + ["x", "the", "license", "version", "2", "0", "x " * 13]
+    for _ in range(1500):
+        text = " ".join(rng.choice(parts) if rng.random() < 0.7 else rng.choice(sorted(index.vocabulary)).decode() for _ in range(rng.randrange(12)))
+        words = licences.words_of(text)
+        starts, labels = brute(words)
+        got = index.scan(text)
+        assert (got[0], got[1], got[2], got[3], got[5]) == (len(words), len(starts), min(starts, default=None), max(starts, default=None), labels)
+    assert index.scan("gnu general public license version 2 " * 20_000)[5] == "gpl-2"
 
 
 def test_secrets(docs, empty):
@@ -139,7 +188,7 @@ def test_secrets(docs, empty):
     found = missed = false = 0
     for _ in range(400):
         t, span = secrets._example(rng)
-        base, added = secrets.find_spans(t, model)
+        base, added = secrets.find_spans([t], model)[0]
         if span:
             hit = any(min(b, span[1]) - max(a, span[0]) > 0.7 * (span[1] - span[0]) for _, a, b in base + added)
             found, missed = found + hit, missed + (not hit)
@@ -154,6 +203,78 @@ def test_secrets(docs, empty):
         assert abs(value(secrets.decode(score, model[1])) - value(whole)) < 1e-9
 
 
+def test_viterbi_against_enumeration():
+    rng = np.random.default_rng(8)
+    trans = secrets.model()[1]
+    for _ in range(300):
+        n = int(rng.integers(1, 7))
+        score = rng.normal(0, 5, (n, 3))
+        value = lambda y: sum(score[i, t] for i, t in enumerate(y)) + trans[0, y[0]] + sum(trans[a, b] for a, b in zip(y, y[1:])) + trans[y[-1], 0]  # noqa: B023, E731
+        best = max(itertools.product(range(3), repeat=n), key=value)
+        assert abs(value(secrets.viterbi(score, trans, np.array([0]), np.array([n])).tolist()) - value(best)) < 1e-9
+        assert abs(value(secrets.decode(score, trans).tolist()) - value(best)) < 1e-9
+
+
+def test_texts_tagged_together_are_tagged_alone():
+    model, rng = secrets.model(), np.random.default_rng(31)
+    texts = [secrets._example(rng)[0] for _ in range(200)] + [None, "", "\n", "é" * 50, "password\n", "= sk_live_" + "a1B2" * 8]
+    assert secrets.find_spans(texts, model) == [secrets.find_spans([t], model)[0] for t in texts]
+
+
+def _corpus():
+    import pyarrow.parquet as pq
+
+    return [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+
+
+def test_added_spans_on_the_corpus():
+    """Precision and recall of what the methods add: spans planted in whole documents, and what is added without them."""
+    rng = np.random.default_rng(6)
+    model, texts = pii.model(), _corpus()
+    base = [pii.base_spans(t) for t in texts]
+    added = pii.added_spans(texts, base, model)
+    luhn = [all(k != "card" or pii.luhn(re.sub("[^0-9]", "", t[a:b])) for k, a, b in own) for t, own in zip(texts, added)]
+    assert sum(map(len, added)) <= 10 and all(luhn)
+    planted = ["write to jane (at) mail (dot) org", "ssn 123-45-6789", "iban DE44 1234 5678 9012 3456 78", "mobile 212-555-0187", "paid with 4111111111111112"]
+    hit = 0
+    for k in range(500):
+        t = texts[k]
+        at = t.find(" ", int(rng.integers(0, max(1, len(t) // 2)))) + 1
+        what = planted[k % 5]
+        with_it = f"{t[:at]}{what} {t[at:]}"
+        found = pii.added_spans([with_it], [pii.base_spans(with_it)], model)[0] + pii.base_spans(with_it)
+        hit += any(a >= at and b <= at + len(what) for _, a, b in found)
+    assert hit >= 0.9 * 500
+    field = secrets.model()
+    tagged = secrets.find_spans(texts, field)
+    assert sum(len(more) for _, more in tagged) <= 5
+    hit = 0
+    for k in range(500):
+        draw = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+        what = ["Authorization: Bearer " + draw(36), "ghp_" + draw(36), "key " + draw(40), "credential is " + draw(32)][k % 4]
+        t = texts[k]
+        at = t.find(" ", int(rng.integers(0, max(1, len(t) // 2)))) + 1
+        with_it = f"{t[:at]}{what} {t[at:]}"
+        hit += any(a >= at and b <= at + len(what) for part in secrets.find_spans([with_it], field)[0] for _, a, b in part)
+    assert hit >= 0.9 * 500
+
+
+def test_overlapping_candidates_and_ties():
+    text = "x" * 200
+    scored = [(-0.9, 10, -20, "card"), (-0.9, 10, -20, "phone"), (-0.8, 15, -30, "phone"), (-0.7, 20, -25, "ssn"), (-0.6, 95, -110, "phone")]
+    assert pii._apart(scored, [(0, 100), *((i, i + 3) for i in range(0, 100, 9))]) == []
+    assert pii._apart(sorted(scored), [(40, 50)]) == [("card", 10, 20), ("ssn", 20, 25), ("phone", 95, 110)]
+    assert pii.added_spans([text], [[]], pii.model()) == [[]]
+    many = " ".join(["password=" + "a1" * 8, "AKIA" + "Z" * 16, "0" * 40, "token: " + "b2" * 9] * 4000)
+    began = time.time()
+    base, _ = secrets.find_spans([many], secrets.model())[0]
+    assert len(base) == 16_000 and time.time() - began < 20
+
+
+def test_redaction_and_first_of_copies_of_nothing(empty):
+    assert secrets.redact_secrets(empty).count() == 0 and minhash.keep_first(empty).count() == 0 and langid.keep_identified(empty).count() == 0
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.score_quality(docs, labels).collect()
@@ -166,6 +287,56 @@ def test_quality(spark, docs, empty):
     assert calibration.apply(knots, values, np.array([-1.0, 1.5, 9])).tolist() == [0.0, 0.5, 1.0]
 
 
+def test_quality_against_dense_solution(spark):
+    """Normal equations of many partitions against one dense matrix; the whole model against its parts in numpy."""
+    rng = random.Random(11)
+    good = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(80)) + "."
+    bad = lambda: "|".join(rng.choice(["$$$", "!!!", "BUY", "123"]) for _ in range(60))
+    rows = [(i, (good if i % 3 else bad)()) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    labels = spark.createDataFrame([(i, int(bool(i % 3))) for i in range(600)], "doc_id long, quality int")
+    stats = quality.document_statistics(docs, "doc_id", "text")
+    x = np.array([quality.statistics(t) for _, t in rows])
+    y = np.array([float(bool(i % 3)) for i in range(600)])
+    fourier = quality.Fourier(x.mean(axis=0), x.std(axis=0))
+    a, b = quality.normal_equations(stats.withColumn("y", (F.col("doc_id") % 3 > 0).cast("double")), fourier)
+    z = fourier(x)
+    assert np.allclose(a, z.T @ z) and np.allclose(b, z.T @ y)
+    weights = np.linalg.solve(a + quality.RIDGE * np.eye(len(a)), b)
+    dense = np.linalg.lstsq(np.vstack([z, np.eye(z.shape[1]) * quality.RIDGE**0.5]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(weights, dense, atol=1e-6)
+    scored = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    held = [r for r in scored.values() if r.held_out]
+    assert len(held) > 100 and all(r.predicted == int(bool(r.doc_id % 3)) for r in held)
+    same = spark.createDataFrame([(1000, "same text"), (1001, "same text"), (1002, "und " * 300_000), (1003, None)], "doc_id long, text string")
+    tied = {r.doc_id: r.score for r in quality.score_quality(docs.unionByName(same), labels).collect()}
+    assert tied[1000] == tied[1001] and 0 <= tied[1002] <= 1 and 0 <= tied[1003] <= 1
+    kept = quality.keep_good(docs.unionByName(same), labels, 0.7)
+    assert {r.doc_id for r in kept.collect()} == {i for i, v in tied.items() if v >= 0.7}
+    assert quality.keep_good(docs.where("false"), labels, 0.7).count() == 0
+
+
+def test_quality_kernel_is_gaussian():
+    f = quality.Fourier(np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS))
+    x = np.random.default_rng(0).normal(size=(40, quality.STATISTICS)) * 0.8
+    z = f(x)[:, :-1]
+    true = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * quality.WIDTH**2))
+    assert np.abs(z @ z.T - true).mean() < 0.06
+
+
+def test_isotonic_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        x, w = np.sort(rng.choice(100, n, replace=False)).astype(float), rng.integers(1, 6, n).astype(float)
+        p = np.array([rng.integers(0, k + 1) for k in w], dtype=float)
+        fit = calibration.apply(*calibration.isotonic(x, p, w), x)
+        # The value at i of the best non-decreasing fit is the max over starts of the min over ends of the mean between.
+        mean = lambda a, b: p[a : b + 1].sum() / w[a : b + 1].sum()  # noqa: B023, E731
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(fit, want)
+
+
 def _components(n, links):
     parent = list(range(n))
 
@@ -207,8 +378,29 @@ def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(5)
     v = rng.normal(size=(200, 24)) * rng.choice([1e-3, 1, 50], (200, 1))
     unit, codes, scale, left = vectors.quantise(v)
-    rough = (codes.astype(float) @ codes.astype(float).T) * scale[:, None] * scale[None]
-    assert (np.abs(unit @ unit.T - rough) <= left[:, None] + (1 + left[:, None]) * left[None] + 1e-12).all()
+    rough, error = vectors.bounds((codes, scale, left), (codes, scale, left))
+    assert (np.abs(unit @ unit.T - rough) <= error + 1e-12).all()
+    sure, doubt = vectors.judged((codes, scale, left), (codes, scale, left), True, 0.3)
+    i, j = np.nonzero(doubt)
+    links = sure.copy()
+    links[i, j] = vectors.exact(v, v, i, j, 0.3)
+    assert (links == (np.tri(200, k=-1, dtype=bool) & (unit @ unit.T >= 0.3))).all() and 0 < doubt.sum() < 0.2 * 200 * 199 / 2
+
+
+def test_vectors_at_the_threshold_repeated_and_odd(spark):
+    at = lambda c: [c, (1 - c * c) ** 0.5]
+    long = np.random.default_rng(1).normal(size=3000)
+    rows = [(1, [1.0, 0.0], 1, "x"), (2, at(0.93), 1, "x"), (3, at(0.9299999), 1, "y"), (4, [2.0, 0.0], 1, None), (4, [2.0, 0.0], 1, None), (5, long.tolist(), 2, "z"), (6, (long * 3 + 1e-3).tolist(), 2, "z"), (7, [1e300, 1e300], 1, "w"), (8, [1e-300, 0.0], 1, "w"), (None, [1.0, 0.0], 1, "n")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, key string").withColumn("block", F.lit(5)).withColumn("rep", F.lit("r"))
+    u = {i: np.array(v) / np.abs(v).max() for i, v, _, _ in rows}
+    cos = lambda i, j: float(u[i] @ u[j] / np.sqrt((u[i] @ u[i]) * (u[j] @ u[j])))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
+    for i, _, label, _ in rows:
+        if i is not None:
+            near = sum(1 for j, _, other, _ in rows if j is not None and other == label and len(u[i]) == len(u[j]) and cos(i, j) >= 0.93) - 1
+            assert got[i][0] == near, i
+    assert got[2][1] == 1 and got[4][1] == 1 and got[8][1] == 1 and got[6][1] == 5 and got[None] == (0, None, True)
+    assert vectors.near_vectors(df).count() == len(rows)
 
 
 def test_components(spark):
@@ -259,29 +451,81 @@ def _check_packing(rows, texts):
 
 
 def test_packing(docs, empty):
-    known = docs.where("doc_id is not null")
-    rows = packing.pack(known, path("byte_bpe_50k.json")).collect()
-    assert {r.doc_id for r in rows} == set(range(len(TEXTS)))
-    _check_packing(rows, TEXTS)
+    rows = packing.pack(docs, path("byte_bpe_50k.json")).collect()
+    assert {r.doc_id for r in rows} == {None, *range(len(TEXTS))}
+    _check_packing(rows, {**dict(enumerate(TEXTS)), None: "no id but a text of some words"})
     assert packing.pack(empty, path("byte_bpe_50k.json")).count() == 0
 
 
-def test_packing_mixture():
-    totals = [50_000, 30_000, 20_000, 7]
-    layout = packing.Layout(totals)
-    given = layout.given(np.arange(layout.windows + 1))
-    assert given[-1].tolist() == totals and (np.diff(given, axis=0) >= 0).all()
-    share = np.array(totals) / layout.windows
-    assert (np.abs(np.diff(given, axis=0) - share) < 1).all()
+def _queue(spark, sizes):
+    """Packets of documents of so many tokens by source, as queued() gives them, in two parts."""
+    rows, passed = [], collections.Counter()
+    for i, (source, n) in enumerate(sizes):
+        part = i % 2
+        for start in range(0, n, packing.LENGTH):
+            rows.append((i, part, source, passed[part, source] + start, start, min(packing.LENGTH, n - start), n))
+        passed[part, source] += n
+    return spark.createDataFrame(rows, "id long, part int, source string, before long, start long, n long, doc_tokens long")
+
+
+def _shares(df):
+    out = collections.defaultdict(collections.Counter)
+    for r in df.groupBy("window", "source").agg(F.sum("n").alias("n")).collect():
+        out[r.window][r.source] += r.n
+    return out
+
+
+def test_packing_mixture(spark):
+    rng = random.Random(5)
+    sizes = [(s, rng.randrange(1, 3000)) for s, k in (("a", 300), ("b", 150), (None, 60), ("c", 1)) for _ in range(k)]
+    totals = collections.Counter()
+    for s, n in sizes:
+        totals[s] += n
+    every = sum(totals.values())
+    got = _shares(packing.windows(_queue(spark, sizes)))
+    assert sum((c for c in got.values()), collections.Counter()) == totals
+    sent = collections.Counter()
+    for w in range(max(got) + 1):  # what each source has sent up to a window is its share, up to one packet
+        sent += got[w]
+        for s in totals:
+            assert abs(sent[s] - min(1, (w + 1) * packing.WINDOW / every) * totals[s]) <= packing.LENGTH
+
+
+def test_packing_targets_and_emptied_queues(spark):
+    sizes = [("a", 900)] * 100 + [("b", 700)] * 300 + [(None, 500)] * 100 + [("c", 100)] * 500
+    got = _shares(packing.windows(_queue(spark, sizes), {"a": 0.5, None: 0.2}))
+    sent, n = collections.Counter(), {"a": 90_000, "b": 210_000, None: 50_000, "c": 50_000}
+    assert sum((c for c in got.values()), collections.Counter()) == n
+    for w in range(max(got) + 1):
+        sent += got[w]
+        if sent["a"] < n["a"] - packing.LENGTH:  # until the first queue is empty all targets hold
+            at = (w + 1) * packing.WINDOW
+            want = {"a": 0.5 * at, None: 0.2 * at, "b": 0.3 * at * 210 / 260, "c": 0.3 * at * 50 / 260}
+            assert all(abs(sent[s] - want[s]) <= packing.LENGTH for s in want)
+        else:
+            assert w == max(got) or abs(sum(got[w].values()) - packing.WINDOW) <= 3 * packing.LENGTH
+    for bad in ({"a": 1.0}, {"a": 0.0}, {"a": 0.6, "b": 0.6}):
+        with pytest.raises(ValueError, match="targets"):
+            packing.windows(_queue(spark, sizes), bad)
 
 
-def test_packing_by_hash_when_sources_are_many(docs):
-    old, packing.QUEUES = packing.QUEUES, 1
+def test_packing_of_many_sources(spark):
+    texts = {i: f"text number {i} " * (1 + i % 7) for i in range(3000)}
+    df = spark.createDataFrame([(i, t, f"site{i}") for i, t in texts.items()], "doc_id long, text string, source string").repartition(5)
+    old, packing.BROADCAST_ROWS, packing.BLOCK = (packing.BROADCAST_ROWS, packing.BLOCK), 10, 1
     try:
-        assert packing._queues(docs, "source") is None
-        _check_packing(packing.pack(docs.where("doc_id is not null"), path("byte_bpe_50k.json")).collect(), TEXTS)
+        _check_packing(packing.pack(df, path("byte_bpe_50k.json")).collect(), texts)
     finally:
-        packing.QUEUES = old
+        packing.BROADCAST_ROWS, packing.BLOCK = old
+    few = _shares(packing.windows(_queue(spark, [(f"site{i}", 60) for i in range(3000)])))
+    assert all(abs(sum(few[w].values()) - packing.WINDOW) < packing.WINDOW / 2 for w in range(max(few)))  # not all at once
+
+
+def test_packing_ids_equal_the_library():
+    t, own, r = tokenizers.Tokenizer.from_file(path("byte_bpe_50k.json")), packing.tokens(path("byte_bpe_50k.json")), random.Random(9)
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "B", "the ", " ", "\n", "\t", "'s", "1", "é", "😀", "!", "<|endoftext|>", "ｱ", "\u200b", "²"]) for _ in range(r.randrange(40)))
+        assert own(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def _shingles(t):
@@ -320,6 +564,96 @@ def test_minhash(spark, docs, empty):
     assert kept.count() == 13
 
 
+def _edits(n, seed=3):
+    """A group of copies of one text, each with 0 to 9 words changed."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(146)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in range(i % 10):
+            own[rng.randrange(146)] = f"x{i}_{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_minhash_rows_of_tiles_follow_the_group(spark, monkeypatch):
+    dealt, counts = minhash._tiles, []
+
+    def counting(*args):
+        out = dealt(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_tiles", counting)
+    for n in (200, 400, 800):
+        texts = _edits(n)
+        sets = [_shingles(t) for t in texts]
+        links = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+        reach = _components(n, links)
+        rows = minhash.near_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(reach))
+    tiles = [sum(counts[k : k + 2]) for k in range(0, 6, 2)]
+    assert tiles[1] < 2.5 * tiles[0] and tiles[2] < 2.5 * tiles[1]
+
+
+def test_minhash_of_ids_with_several_texts_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SET_BYTES", 5000)
+    texts = _edits(60) + _edits(40, seed=4)
+    rows = [(i % 90, t) for i, t in enumerate(texts)] * 2
+    sets = [_shingles(t) for t in texts]
+    same = [(i, j) for i in range(100) for j in range(i) if i % 90 == j % 90 or 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    reach = _components(100, same)
+    got = minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 200 and {(r.doc_id, r.component_id) for r in got} == {(i % 90, reach[i] % 90) for i in range(100)}
+    x = [np.sort(np.random.default_rng(k).choice(500, 200, replace=False)).astype(np.uint64) for k in range(30)]
+    i, j = np.tril_indices(30, -1)
+    assert minhash.shared(x, i, j).tolist() == [len(set(x[p]) & set(x[q])) for p, q in zip(i, j)]
+
+
+def test_langid_scores_against_brute_force():
+    """Every score is the mean over a text's subwords of their rows of the table, plus the bias."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdeé ñ12.") for _ in range(rng.randrange(2, 60))) + "ab" for _ in range(150)]
+    model = langid.train(texts, [["xx", "yy", "zz"][i % 3] for i in range(150)])
+
+    def bag(t):
+        out = []
+        for n in langid.ORDERS:
+            raw = b" " + t.lower().encode() + b" " * max(langid.ORDERS)
+            raw = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in raw)
+            for i in range(len(raw) - n + 1):
+                gram = raw[i : i + n]
+                if (n == 2 and gram != b"  ") or (n > 2 and b" " not in gram[1:-1] and not (gram[0] == gram[1] == 32)):
+                    h = gram[0] + 7
+                    for c in gram[1:]:
+                        h = (h * 0x9E3779B1 + c) & 0xFFFFFFFF
+                    out.append((((h ^ (h >> 15)) * 0x85EBCA77) & 0xFFFFFFFF) >> 16)
+        return out
+
+    for t in texts:
+        own = bag(t)
+        want = np.mean([model.table[:-1, g] for g in own], axis=0) + model.bias
+        assert np.allclose(model.logits([t])[0], want, atol=1e-4)
+    z = model.logits(texts) / model.temperature
+    langs, scores = model(texts)
+    assert langs == [model.languages[i] for i in z.argmax(axis=1)] and np.allclose(scores, langid.softmax(z).max(axis=1))
+    assert model([None, "", "²½", "Ⅷ", "_1"]) == (["und"] * 5, [0.0] * 5)
+    alone = [model.logits([t])[0] for t in texts[:20]] + [model.logits(["ab cd " * 200_000])[0]]
+    assert np.allclose(model.logits([*texts[:20], "ab cd " * 200_000]), alone, atol=1e-5)
+
+
+def test_langid_ties_repeats_and_odd_rows(spark):
+    rows = [(i, "same words here", ["xx", "yy"][i % 2]) for i in range(40)] + [(1, "same words here", "yy"), (None, "same words", "xx"), (50, None, "xx"), (51, "²½", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(9)).withColumn("rejected", F.lit("r"))
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id is not None and r.doc_id < 40}) == 1
+    assert {r.lang_pred for r in got if r.doc_id in (50, 51)} == {"und"}
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and not {50, 51} & {r.doc_id for r in kept.collect()}
+
+
 def test_langid(spark, docs, empty):
     rng = random.Random(6)
     kinds = {"xx": ["thing", "with", "that", "from"], "yy": ["ungen", "keit", "schön", "der"]}

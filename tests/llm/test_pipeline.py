@@ -1,6 +1,7 @@
 """The pipeline against its stages done one by one in plain Python, and the entry point."""
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 DIR = "/root/testdata/sf0.001"
@@ -55,3 +56,57 @@ def test_near_duplicates_from_080(spark):
     assert {r.doc_id for r in minhash.keep_first(df).collect()} == {0, 1, 2}
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, DIR).collect()} == {0, 1}
     assert [minhash.band_rows(p) for p in (85, 80)] == [5, 4]
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    odd = [(100001, None, "en", "s", None), (100002, "", None, None, 0), (100003, " ²½ 12 !", "en", "s", 8), (None, "A text without an id, of some plain words that mean little.", "en", "s", 60), (100004, docs.first().text + " und" * 50_000, None, None, 1)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.where("doc_id < 5"))
+    for name in ("key", "id", "n", "sig", "bands", "part", "score", "stats", "held_out", "comp", "bucket"):
+        rows = rows.withColumn(name, F.lit("clash"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DIR}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    now = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == rows.columns and now.count() > 0, name
+    kept = [r.doc_id for r in now.collect()]
+    assert len(kept) == len(set(kept)) and not {100001, 100002, 100003} & set(kept)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(kept)
+
+
+def test_empty_corpus(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_stopped_run_goes_on(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    folder, ran = str(tmp_path / "run"), []
+
+    def noted(name, stage, stop):
+        def call(*args):
+            ran.append(name)
+            if name == stop:
+                raise RuntimeError("lost")
+            return stage(*args)
+
+        return name, call
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(n, f, "near_duplicates") for n, f in stages])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, DIR, folder)
+    assert sorted(p.name for p in (tmp_path / "run").iterdir()) == ["quality"]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(n, f, None) for n, f in stages])
+    rows = corpus_pipeline.run(spark, DIR, folder).collect()
+    assert ran == ["language", "quality", "near_duplicates", "near_duplicates", "secrets", "packing"]
+    assert sorted(p.name for p in (tmp_path / "run").iterdir()) == ["secrets"]
+    assert len({r.doc_id for r in rows}) == len({r.doc_id for r in corpus_pipeline.run(spark, DIR).collect()})
