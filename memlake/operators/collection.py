@@ -81,6 +81,29 @@ def taxonomy(df: DataFrame, *levels: str) -> DataFrame:
     return df.groupBy(*[F.coalesce(level, F.lit("unknown")).alias(level) for level in levels]).agg(F.count("*").alias("n"))
 
 
+def histogram(df: DataFrame, outer: str = "wing", inner: str = "room") -> DataFrame:
+    """Counts by both levels, numbered within the outer one from the largest; equal ones by name."""
+    counted = taxonomy(df, outer, inner)
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy(outer).orderBy(F.col("n").desc(), inner)))
+
+
+def source_groups(df: DataFrame, least: int = 5, pattern: str | None = None, wing: str | None = None) -> DataFrame:
+    """(source_file, n) of sources with so many drawers at least, in a wing and with a pattern in their name if asked for."""
+    rows = df if wing is None else df.where(F.col("wing") == wing)
+    rows = rows if pattern is None else rows.where(F.contains(F.lower("source_file"), F.lit(pattern.lower())))
+    return rows.groupBy("source_file").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def top_sources(groups: DataFrame, k: int = 15) -> DataFrame:
+    return groups.orderBy(F.col("n").desc(), "source_file").limit(k)
+
+
+def export_stats(df: DataFrame) -> DataFrame:
+    """Rooms and drawers of each wing, as an export's index tells them."""
+    per_room = df.groupBy(F.coalesce("wing", F.lit("unknown")).alias("wing"), F.coalesce("room", F.lit("general")).alias("room")).agg(F.count("*").alias("n"))
+    return per_room.groupBy("wing").agg(F.count("*").alias("rooms"), F.sum("n").alias("drawers"))
+
+
 def unreadable(ids: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """Ids on record without a readable row: absent, or with a null document."""
     return ids.select(key).distinct().join(rows.where("document is not null").select(key), key, "left_anti")

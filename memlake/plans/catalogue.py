@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import checks, dates, embed, text
+from ..functions.vectors import normalised
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, graph, halls, haystack, incremental, kg, lexical, memories, metrics, near_dup, search, summary, transcript
-from ..sources import rooms
+from ..operators import classify, collection, context, entities as naming, graph, halls, haystack, incremental, ingest, kg, lexical, memories, metrics, near_dup, search, summary, transcript
+from ..sources import chats, projects, rooms
 from .tables import D, K, Q, V, drawers, entities, lexical_index, questions, read, triples, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1303,6 +1304,158 @@ def claims_stated(s, d):
     return rows.select("c_custkey", "c.subject", "c.predicate", "c.object")
 
 
+# --- intake ----------------------------------------------------------------------------------------------------------
+
+ROOMS = [{"name": "src3"}, {"name": "Prose", "keywords": ["ertion", "thnt"]}, {"name": "deutsch", "keywords": ["der", "die"]}, {"name": "f21", "keywords": []}]
+
+
+def _room_sql() -> str:
+    known = [(r["name"], [r["name"].lower(), *r.get("keywords", [])]) for r in ROOMS]
+    near = lambda x, w: f"(contains({x}, '{w}') OR contains('{w}', {x}))"
+    case = lambda rows: "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in rows) + " END"
+    folder = case([(" OR ".join(near("lower(z)", w) for w in words), name) for name, words in known])
+    stem = case([(near("stem", words[0]), name) for name, words in known])
+    score = lambda words: " + ".join(f"(len(low) - len(replace(low, '{w}', ''))) / {len(w)}" for w in words)
+    best = "greatest(" + ", ".join(score(words) for _, words in known) + ")"
+    counted = case([(f"{score(words)} = {best} AND {best} > 0", name) for name, words in known])
+    return f"""WITH {D}, p AS (SELECT id, wing || '/' || room || '/' || source_file || '.v' || chunk_index || '.md' AS path, lower(substring(document, 1, 2000)) AS low FROM d),
+ q AS (SELECT *, string_split(path, '/')[:-2] AS f, regexp_replace(lower(string_split(path, '/')[-1]), '(.)\\.[^.]*$', '\\1') AS stem FROM p)
+ SELECT id, coalesce(list_filter([{folder} FOR z IN f], lambda x: x IS NOT NULL)[1], {stem}, {counted}, 'general') AS told FROM q"""
+
+
+@query(lambda: _room_sql())
+def room_routed(s, d):
+    path = F.concat(F.col("wing"), F.lit("/"), F.col("room"), F.lit("/"), F.col("source_file"), F.lit(".v"), F.col("chunk_index"), F.lit(".md"))
+    return drawers(s, d).select("id", ingest.room_of(path, F.col("document"), ROOMS).alias("told"))
+
+
+@query(lambda: f"""WITH {D}, k AS (SELECT unnest(['License', 'the', 'MIT License', 'Der', 'nothing here']) AS name), w AS (SELECT id, regexp_extract_all(document, '{summary.WORD}') AS w, regexp_extract_all(substring(document, 1, {summary.WINDOW}), '{summary.WORD}') AS b FROM d),
+ m AS (SELECT id, name FROM w, k WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || name || ' ')), u AS (SELECT id, unnest(b) AS name FROM w),
+ o AS (SELECT id, name FROM u WHERE regexp_matches(name, '{summary.NAME}') AND len(name) > 2 AND NOT list_contains({_list(summary.NO_NAMES)}, name) GROUP BY 1, 2 HAVING count(*) >= 2), a AS (SELECT * FROM m UNION SELECT * FROM o),
+ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY name) AS n FROM a) SELECT id, string_agg(name, ';' ORDER BY name) AS entities FROM r WHERE n <= 25 GROUP BY 1""")
+def entity_metadata(s, d):
+    known = s.createDataFrame([("License",), ("the",), ("MIT License",), ("Der",), ("nothing here",)], "name string")
+    return ingest.names_of(drawers(s, d), known)
+
+
+@query(f"WITH {D}, i AS (SELECT id, id % 7 AS k FROM d), e AS (SELECT id, unnest([id, (id + k) % 1000, id + 100000000]) AS x, unnest([0, 1, 2]) AS place FROM i), f AS (SELECT id, x, min(place) AS place FROM e GROUP BY 1, 2) SELECT f.id AS index_id, place, CAST(x AS VARCHAR) AS drawer, document FROM f JOIN d ON d.id = x")
+def pointed_drawers(s, d):
+    lines = drawers(s, d).select("id", F.concat(F.lit("topic|A;B|→"), "id", F.lit(","), (F.col("id") + F.col("id") % 7) % 1000, F.lit("\nother||→"), F.col("id") + 100000000, F.lit(","), "id").alias("text"))
+    return ingest.pointed_drawers(lines, drawers(s, d))
+
+
+@query("SELECT page_id, 'wing_' || CASE page_id % 3 WHEN 0 THEN 'app' || page_id WHEN 1 THEN 'big_thing' ELSE 'sessions' END AS wing FROM pages")
+def transcript_wings(s, d):
+    k = F.col("page_id") % 3
+    path = F.when(k == 0, F.concat(F.lit("/home/x/.claude/projects/-home-x-dev-App"), "page_id", F.lit("/s.jsonl"))).when(k == 1, F.lit("C:\\\\data\\\\-Projects-Big thing\\\\s.jsonl")).otherwise(F.col("url"))
+    return read(s, d, "pages").select("page_id", ingest.wing_of_transcript(path).alias("wing"))
+
+
+FAULTY = ["", "../", "   ", "(", ""]
+
+
+@query(rf"""WITH p AS (SELECT doc_id, {_before('doc_id', "CASE WHEN doc_id % 5 = 2 THEN '' ELSE substring(text, 1, doc_id % 150) END", FAULTY)} AS v FROM documents), q AS (SELECT doc_id, v, regexp_replace(v, '^\s+|\s+$', '', 'g') AS t FROM p)
+ SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN len(t) > 128 THEN 'too long' WHEN contains(t, '..') OR contains(t, '/') OR contains(t, chr(92)) THEN 'path characters' WHEN NOT regexp_full_match(t, '[\p{{L}}\p{{N}}]|[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_ .''-]{{0,126}}[\p{{L}}\p{{N}}]') THEN 'characters' END AS name_fault,
+ CASE WHEN t = '' THEN 'empty' WHEN len(t) > 128 THEN 'too long' END AS value_fault, CASE WHEN t = '' THEN 'empty' WHEN len(v) > 100000 THEN 'too long' END AS content_fault FROM q""")
+def faults(s, d):
+    v = _put_before("doc_id", "__v", FAULTY)
+    rows = read(s, d, "documents").withColumn("__v", F.when(F.col("doc_id") % 5 == 2, "").otherwise(F.substring("text", F.lit(1), (F.col("doc_id") % 150).cast("int"))))
+    return rows.select("doc_id", checks.name_fault(v).alias("name_fault"), checks.value_fault(v).alias("value_fault"), checks.content_fault(v).alias("content_fault"))
+
+
+@query(f"WITH {D}, h AS (SELECT coalesce(wing, 'unknown') AS wing, coalesce(room, 'unknown') AS room, count(*) AS n FROM d GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY wing ORDER BY n DESC, room) AS INTEGER) AS rank FROM h")
+def status_histogram(s, d):
+    return collection.histogram(drawers(s, d))
+
+
+@query(f"WITH {D} SELECT source_file, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, source_file LIMIT 15")
+def dedup_top_sources(s, d):
+    return collection.top_sources(collection.source_groups(drawers(s, d)))
+
+
+@query(f"WITH {D} SELECT id FROM d ORDER BY id LIMIT 100")
+def page_clamped(s, d):
+    limit, offset = checks.page(5000, -3)
+    return collection.get(drawers(s, d), limit=limit, offset=offset).select("id")
+
+
+@query(f"WITH {K}, e AS (SELECT * FROM n WHERE id NOT LIKE 'k%') SELECT id, name FROM e UNION ALL SELECT DISTINCT object, object FROM t WHERE object NOT IN (SELECT id FROM e)")
+def kg_entities_made(s, d):
+    t, n = _kg(s, d)
+    return kg.with_entities(n.where("id not like 'k%'"), t)
+
+
+@query(f"WITH {K} SELECT subject, predicate, object, valid_from, 't_' || subject || '_' || predicate || '_' || object || '_' || substring(sha256(subject || '_' || predicate || '_' || object || coalesce(valid_from, '')), 1, 12) AS id FROM t")
+def kg_triple_ids(s, d):
+    return triples(s, d).select("subject", "predicate", "object", "valid_from", kg.triple_id(F.col("subject"), F.col("predicate"), F.col("object"), F.col("valid_from")).alias("id"))
+
+
+@query(f"WITH {V} SELECT id, {SIX('list_sum(list_transform(u, lambda x: x * x))')} AS length, {SIX('u[1]')} AS first FROM (SELECT id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v)")
+def normalised_vectors(s, d):
+    u = vectors(s, d).select("id", normalised(F.col("embedding")).alias("u"))
+    return u.select("id", r6(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)).alias("length"), r6(F.col("u")[0]).alias("first"))
+
+
+@query()
+def embedded_texts(s, d):
+    """Every text by the hashing embedder; no oracle, as it hashes with CRC-32."""
+    return embed.embed(drawers(s, d).select("id", "document")).select("id", "embedding")
+
+
+@query(f"WITH {D}, st AS (SELECT DISTINCT source_file FROM d WHERE (id // 5) % 3 = 0) SELECT id, source_file, document FROM d WHERE source_file NOT IN (SELECT * FROM st) UNION ALL SELECT id, source_file, upper(wing) FROM d WHERE source_file IN (SELECT * FROM st) AND chunk_index < 3")
+def reingested(s, d):
+    held = drawers(s, d).select("id", "source_file", "document")
+    new = drawers(s, d).where("chunk_index < 3").select("id", "source_file", F.upper("wing").alias("document"))
+    return incremental.reingest(held, new, drawers(s, d).where("(id div 5) % 3 = 0").select("source_file"))
+
+
+@query(f"WITH {D} SELECT source_file, CAST(min(id) AS DOUBLE) AS mtime, 2 AS version, CAST(count_if(len(document) > 400) AS BIGINT) AS n_chunks FROM d GROUP BY 1")
+def file_states(s, d):
+    rows = drawers(s, d)
+    return incremental.file_state(rows.groupBy("source_file").agg(F.min("id").cast("double").alias("mtime")), rows.where(F.length("document") > 400))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, text, sum(len(text)) OVER (PARTITION BY conv_id) AS size, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+ SELECT 'diary' || conv_id AS source_file, turn AS position FROM e WHERE conv_id % 4 = 3 OR (conv_id % 4 = 2 AND turn >= n - 1)""")
+def diary_news(s, d):
+    c = read(s, d, "conversations")
+    size = c.groupBy("conv_id").agg(F.sum(F.length("text")).alias("size"), F.count("*").alias("n"))
+    e = c.join(size, "conv_id").select("conv_id", F.concat(F.lit("diary"), "conv_id").alias("source_file"), "size", F.col("turn").alias("position"), "n")
+    old = F.col("conv_id") % 4
+    state = incremental.diary_state(e).join(e.select("source_file", "conv_id", "n").distinct(), "source_file").where(old < 3).select("source_file", F.when(old == 2, F.col("size") - 1).otherwise(F.col("size")).alias("size"), F.when(old == 2, F.col("n") - 1).otherwise(F.col("n")).alias("entry_count"))
+    return incremental.diary_news(e.drop("conv_id", "n"), state).select("source_file", "position")
+
+
+@query(f"WITH {D} SELECT coalesce(wing, 'unknown') AS wing, count(DISTINCT coalesce(room, 'general')) AS rooms, count(*) AS drawers FROM d GROUP BY 1")
+def export_stats(s, d):
+    return collection.export_stats(drawers(s, d))
+
+
+@query(f"WITH {D} SELECT source_file, string_agg(CAST(id AS VARCHAR), ',' ORDER BY chunk_index, id) AS drawer_ids, md5(string_agg(document, chr(10) || chr(10) ORDER BY chunk_index, id)) AS content FROM d WHERE wing = 'en' GROUP BY 1")
+def regrouped_sources(s, d):
+    return ingest.regrouped(drawers(s, d), "en").select("source_file", F.array_join("drawer_ids", ",").alias("drawer_ids"), F.md5("content").alias("content"))
+
+
+@query(f"WITH {D} SELECT CAST(id AS VARCHAR) AS id, document, wing, CAST(chunk_index AS VARCHAR) AS chunk_index FROM d WHERE id % 5 <> 4")
+def eav_join(s, d):
+    """Rows of ids and rows of their attributes, joined and turned."""
+    rows = drawers(s, d).selectExpr("id as row", "concat('', id) as embedding_id", "document", "wing", "chunk_index")
+    of = lambda key, column, value: rows.selectExpr("row as id", f"'{key}' as key", *[(f"cast({value} as {t}) as {c}" if c == column else f"cast(null as {t}) as {c}") for c, t in (("string_value", "string"), ("int_value", "bigint"), ("float_value", "double"), ("bool_value", "boolean"))])
+    attributes = of("chroma:document", "string_value", "document").unionByName(of("wing", "string_value", "wing")).unionByName(of("chunk_index", "int_value", "chunk_index")).unionByName(of("chroma:x", "string_value", "wing"))
+    out = projects.pivot_joined(rows.where("chunk_index <> 4").select(F.col("row").alias("id"), "embedding_id"), attributes)
+    return out.select("id", "document", F.col("metadata")["wing"].alias("wing"), F.col("metadata")["chunk_index"].alias("chunk_index"))
+
+
+@query("SELECT conv_id, CAST(count_if(role = 'user' AND turn % 4 <> 2) AS BIGINT) AS n FROM conversations GROUP BY 1 HAVING count_if(role = 'user' AND turn % 4 <> 2) > 0")
+def human_messages(s, d):
+    c = read(s, d, "conversations")
+    content = F.concat(F.when(F.col("turn") % 4 == 2, "<command-message>x</command-message> ").otherwise(""), F.col("text"))
+    plain = F.to_json(F.struct(F.struct("role", content.alias("content")).alias("message")))
+    event = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.concat("role", F.lit("_message")).alias("type"), content.alias("message")).alias("payload")))
+    lines = c.select(F.col("conv_id").cast("string").alias("source_file"), F.when(F.col("turn") % 2 == 0, plain).otherwise(event).alias("line"))
+    return chats.human_messages(lines).select(F.col("source_file").cast("long").alias("conv_id"), "n")
+
+
 # --- plain relational ------------------------------------------------------------------------------------------------
 
 

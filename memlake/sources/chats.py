@@ -55,6 +55,14 @@ def sweep_records(rows: DataFrame) -> DataFrame:
     return out.where(good).drop("kind")
 
 
+def human_messages(rows: DataFrame) -> DataFrame:
+    """(source_file, n): messages that a person wrote, in session logs and event logs; those that carry a command don't count."""
+    j = lambda p: F.get_json_object("line", p)
+    said = F.when(j("$.message.role") == "user", _block_text(j("$.message.content"))).when((j("$.type") == "event_msg") & (j("$.payload.type") == "user_message"), F.coalesce(j("$.payload.message"), F.lit("")))
+    kept = rows.select("source_file", said.alias("said")).where(F.col("said").isNotNull() & ~F.contains("said", F.lit("<command-message>")))
+    return kept.groupBy("source_file").agg(F.count("*").alias("n"))
+
+
 #: Lines shown of a shell's output at either end, matches shown, and characters of other results and of inputs.
 ENDS, MATCHES, RESULT, INPUT = 20, 20, 2048, 200
 BLOCK = "array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string>>"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash, strip
+from ..operators.collection import export_stats
 from . import ignore
 
 #: File types that are read, folders and files that are skipped, and the largest file in bytes.
@@ -117,12 +118,32 @@ def pivot_store(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(document.alias("document"), F.map_from_entries(pairs).alias("metadata"))
 
 
+def pivot_joined(ids: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(id, document, metadata) of a store that keeps its ids (id, embedding_id) apart; keys of the store's own are left out, and rows without a document."""
+    named = attributes.join(ids.select(F.col("id").alias("__id"), "embedding_id"), F.col("id") == F.col("__id")).withColumn("id", F.col("embedding_id")).drop("__id", "embedding_id")
+    kept = named.where("key = 'chroma:document' or key not like 'chroma:%'")
+    return pivot_store(kept).where("document <> ''")
+
+
+def _safe(name: Column) -> Column:
+    return F.regexp_replace(name, r'[/\\:*?"<>|]', "_")
+
+
 def export_markdown(drawers: DataFrame, path: str) -> None:
-    """Quoted drawers as text files by wing and room."""
-    safe = lambda c: F.regexp_replace(c, r'[/\\:*?"<>|]', "_")
-    quoted = F.array_join(F.transform(F.split("document", "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
-    value = F.concat(F.lit("## "), F.col("id").cast("string"), F.lit("\n\n"), quoted, F.lit("\n"))
-    drawers.select(safe(F.coalesce("wing", F.lit("unknown"))).alias("wing"), safe(F.coalesce("room", F.lit("general"))).alias("room"), value.alias("value")).write.mode("overwrite").partitionBy("wing", "room").text(path)
+    """Quoted drawers with a table of their origin, as text files by wing and room."""
+    quoted = F.array_join(F.transform(F.split(F.regexp_replace("document", "\n+$", ""), "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
+    told = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown")) if c in drawers.columns else F.lit("unknown")
+    rows = [F.concat(F.lit(f"| {name} | "), told(c), F.lit(" |\n")) for name, c in (("Source", "source_file"), ("Filed", "filed_at"), ("Added by", "added_by"))]
+    value = F.concat(F.lit("## "), F.col("id").cast("string"), F.lit("\n\n"), quoted, F.lit("\n\n| Field | Value |\n|-------|-------|\n"), *rows, F.lit("\n---\n"))
+    drawers.select(_safe(F.coalesce("wing", F.lit("unknown"))).alias("wing"), _safe(F.coalesce("room", F.lit("general"))).alias("room"), value.alias("value")).write.mode("overwrite").partitionBy("wing", "room").text(path)
+
+
+def export_index(drawers: DataFrame, path: str, date: str) -> None:
+    """A table of the wings with their numbers of rooms and drawers, as one text; there is a line for each wing."""
+    line = F.concat(F.lit("| ["), "wing", F.lit("]("), _safe(F.col("wing")), F.lit("/) | "), F.col("rooms"), F.lit(" | "), F.col("drawers"), F.lit(" |"))
+    lines = export_stats(drawers).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wing", line.alias("l")))), lambda x: x["l"]), "\n").alias("l"))
+    head = f"# Export — {date}\n\n| Wing | Rooms | Drawers |\n|------|-------|---------|\n"
+    lines.select(F.concat(F.lit(head), "l").alias("value")).write.mode("overwrite").text(path)
 
 
 def audit_log(operations: DataFrame, path: str, hidden: tuple[str, ...] = ("content", "document", "query", "text")) -> None:
