@@ -122,3 +122,38 @@ def wake_up(drawers: DataFrame, importance: str, k: int = 15, budget: int = 3200
     best = drawers.orderBy(F.col(importance).desc(), "id").limit(k).withColumn("line", preview(F.col("document"), 200))
     used = F.sum(F.length("line")).over(Window.orderBy(F.col(importance).desc(), "id").rowsBetween(Window.unboundedPreceding, 0))
     return best.withColumn("used", used).where(F.col("used") <= budget)
+
+
+def story(drawers: DataFrame, importance: str, k: int = 15, budget: int = 3200) -> DataFrame:
+    """The k most important drawers as lines by room, in one text (story): as many as fit the budget of characters.
+
+    Rooms go by name, drawers by importance; headings count, too. A line tells that there is more where the budget ends.
+    """
+    best = top(drawers, k, [F.col(importance).desc_nulls_last(), F.col("id")], rank="place")
+    flat = F.trim(F.replace(F.coalesce("document", F.lit("")), F.lit("\n"), F.lit(" ")))
+    short = F.when(F.length(flat) > 200, F.concat(F.substring(flat, 1, 197), F.lit("..."))).otherwise(flat)
+    source = F.element_at(F.split("source_file", "/"), -1)
+    line = F.concat(F.lit("  - "), short, F.when(F.coalesce("source_file", F.lit("")) != "", F.concat(F.lit("  ("), source, F.lit(")"))).otherwise(""))
+    room = F.coalesce("room", F.lit("general"))
+    by_room = Window.partitionBy("room").orderBy("place")
+    rows = best.select(room.alias("room"), "place", line.alias("line")).withColumn("head", F.when(F.row_number().over(by_room) == 1, F.concat(F.lit("\n["), "room", F.lit("]"))).otherwise(""))
+    rows = rows.withColumn("size", F.length("head") + F.length("line"))
+    every = Window.orderBy("room", "place")
+    used = rows.withColumn("used", F.sum("size").over(every.rowsBetween(Window.unboundedPreceding, 0)))
+    # The first line that doesn't fit ends the text; its room's heading stands already.
+    over = F.col("used") > budget
+    ended = used.withColumn("over", F.sum(over.cast("int")).over(every.rowsBetween(Window.unboundedPreceding, 0))).where("over <= 1")
+    shown = F.when(over, F.lit("  ... (more in a search)")).otherwise(F.col("line"))
+    text = F.array_sort(F.collect_list(F.struct("room", "place", F.when(F.col("head") != "", F.concat("head", F.lit("\n"), shown)).otherwise(shown).alias("t"))))
+    return ended.agg(F.concat(F.lit("## Essential story\n"), F.array_join(F.transform(text, lambda x: x["t"]), "\n")).alias("story"))
+
+
+def on_demand(drawers: DataFrame, wing: str | None = None, room: str | None = None, limit: int = 10) -> DataFrame:
+    """The first drawers by id of a wing, a room or both, each as a line."""
+    rows = drawers
+    for column, value in (("wing", wing), ("room", room)):
+        rows = rows if not value else rows.where(F.col(column) == value)
+    flat = F.trim(F.replace(F.coalesce("document", F.lit("")), F.lit("\n"), F.lit(" ")))
+    short = F.when(F.length(flat) > 300, F.concat(F.substring(flat, 1, 297), F.lit("..."))).otherwise(flat)
+    line = F.concat(F.lit("  ["), F.coalesce("room", F.lit("?")), F.lit("] "), short, F.when(F.coalesce("source_file", F.lit("")) != "", F.concat(F.lit("  ("), F.element_at(F.split("source_file", "/"), -1), F.lit(")"))).otherwise(""))
+    return rows.orderBy("id").limit(limit).select("id", line.alias("line"))

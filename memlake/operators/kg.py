@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_id, trigram_similarity
+from ..session import shared_folder
 from .entities import claims
 
 
@@ -166,6 +169,44 @@ def merge_entities(entities: DataFrame, triples: DataFrame, source: str, target:
     return entities.join(ids, "id", "left_anti").select(*merged.columns).unionByName(merged), rename(triples, source, target)
 
 
+def list_entities(entities: DataFrame, kind: str | None = None, limit: int = 100) -> DataFrame:
+    """Entities by id, of one type if asked for."""
+    rows = entities if kind is None else entities.where(F.col("type") == kind)
+    return rows.orderBy("id").limit(limit)
+
+
+def from_registry(registry: DataFrame) -> DataFrame:
+    """Entities (id, name, type, description) of a registry (name, kind, canonical, relationship, contexts); entries that only point to another are skipped."""
+    parts = F.array_compact(F.array(F.when(F.col("relationship") != "", F.concat(F.lit("relationship: "), "relationship")), F.when(F.size("contexts") > 0, F.concat(F.lit("context: "), F.array_join("contexts", ", ")))))
+    own = registry.where("canonical is null or canonical = ''")
+    return own.select(entity_id(F.col("name")).alias("id"), "name", F.col("kind").alias("type"), F.array_join(parts, "; ").alias("description"))
+
+
+def extract_triples(drawers: DataFrame, done: DataFrame, extractor: Callable[[list[str]], list[list[dict]]]) -> tuple[DataFrame, DataFrame]:
+    """Facts (subject, predicate, object, valid_from, source_drawer_id) of drawers not in *done* (id), and the ids done then.
+
+    *extractor* gives for each text of a batch a list of dicts; those without subject, predicate and object are left
+    out. Drawers without text are done without it. The two results come of one written table, so that each drawer is
+    taken once.
+    """
+    shared_folder(drawers.sparkSession)
+    fresh = drawers.select(F.col("id").cast("string").alias("id"), "document").join(done.select("id"), "id", "left_anti")
+
+    def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = [t or "" for t in frame.document]
+            some = [i for i, t in enumerate(texts) if t.strip()]
+            found: list[list[dict]] = [[] for _ in texts]
+            for i, facts in zip(some, extractor([texts[i] for i in some]) if some else []):
+                good = [f for f in facts if isinstance(f, dict) and all(isinstance(f.get(k), str) and f[k].strip() for k in ("subject", "predicate", "object"))]
+                found[i] = [{k: f.get(k) if isinstance(f.get(k), str) else None for k in ("subject", "predicate", "object", "valid_from")} for f in good]
+            yield pd.DataFrame({"id": frame.id, "facts": found})
+
+    held = fresh.mapInPandas(mapped, "id string, facts array<struct<subject:string,predicate:string,object:string,valid_from:string>>").checkpoint()
+    facts_ = held.select(F.col("id").alias("source_drawer_id"), F.inline("facts")).select("subject", "predicate", "object", "valid_from", "source_drawer_id")
+    return facts_, done.select("id").unionByName(held.select("id"))
+
+
 #: The predicate and the object's field for each kind of relation a fact sheet may name.
 RELATIONS = {"daughter": ("is_child_of", "parent"), "husband": ("is_partner_of", "partner"), "brother": ("is_sibling_of", "sibling"), "dog": ("is_pet_of", "owner")}
 INTERESTS_SINCE = "2025-01-01"

@@ -96,10 +96,18 @@ def fixed_chunks(docs: DataFrame, key: str = "id", text: str = "document", size:
     return docs.select(key, text).mapInPandas(mapped, f"{key} {kind}, chunk_index int, chunk string")
 
 
-def sessions(lines: DataFrame, header: str, key: str = "source_file", order: str = "line_no", text: str = "line") -> DataFrame:
-    """Numbers the sessions of files: each line that matches *header* begins one."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("session", F.count_if(F.rlike(text, F.lit(header))).over(w))
+def sessions(lines: DataFrame, header: str, key: str = "source_file", order: str = "line_no", text: str = "line", restored: str | None = None, within: int = 6) -> DataFrame:
+    """Numbers the sessions of files: each line that matches *header* begins one.
+
+    Unless a line that matches *restored* stands there or among the next ones, *within* lines in all: then an old
+    session is only shown again.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    begins = F.rlike(text, F.lit(header))
+    if restored is not None:
+        begins = begins & (F.max(F.rlike(text, F.lit(restored)).cast("int")).over(w.rowsBetween(0, within - 1)) == 0)
+    rows = lines.withColumn("__b", begins)
+    return rows.withColumn("session", F.count_if("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__b")
 
 
 #: Fixed value: what refusals say.

@@ -1456,6 +1456,44 @@ def human_messages(s, d):
     return chats.human_messages(lines).select(F.col("source_file").cast("long").alias("conv_id"), "n")
 
 
+_LINE = "'  - ' || CASE WHEN len(f) > 200 THEN substring(f, 1, 197) || '...' ELSE f END || '  (' || source_file || ')'"
+
+
+@query(f"""WITH {D}, b AS (SELECT *, trim(replace(document, chr(10), ' ')) AS f, row_number() OVER (ORDER BY n_chars DESC, id) AS place FROM d), l AS (SELECT coalesce(room, 'general') AS room, place, {_LINE} AS line FROM b WHERE place <= 15),
+ h AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY room ORDER BY place) = 1 THEN chr(10) || '[' || room || ']' ELSE '' END AS head FROM l), u AS (SELECT *, sum(len(head) + len(line)) OVER (ORDER BY room, place) AS used FROM h),
+ o AS (SELECT *, sum(CAST(used > 1500 AS INT)) OVER (ORDER BY room, place) AS ov FROM u), t AS (SELECT room, place, CASE WHEN used > 1500 THEN '  ... (more in a search)' ELSE line END AS s, head FROM o WHERE ov <= 1)
+ SELECT '## Essential story' || chr(10) || string_agg(CASE WHEN head <> '' THEN head || chr(10) ELSE '' END || s, chr(10) ORDER BY room, place) AS story FROM t""")
+def wake_up_story(s, d):
+    return context.story(drawers(s, d), "n_chars", 15, 1500)
+
+
+@query(f"WITH {D}, b AS (SELECT id, room, source_file, trim(replace(document, chr(10), ' ')) AS f FROM d WHERE wing = 'fr' AND room = 'src2' ORDER BY id LIMIT 10) SELECT id, '  [' || room || '] ' || CASE WHEN len(f) > 300 THEN substring(f, 1, 297) || '...' ELSE f END || '  (' || source_file || ')' AS line FROM b")
+def on_demand(s, d):
+    return context.on_demand(drawers(s, d), "fr", "src2")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, text, starts_with(text, 'T') AS h, contains(text, 'the') AS r FROM conversations), m AS (SELECT *, max(CAST(r AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS near FROM l)
+ SELECT conv_id, turn, CAST(count_if(h AND near = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS session FROM m""")
+def session_restores(s, d):
+    rows = transcript.sessions(read(s, d, "conversations"), "^T", "conv_id", "turn", "text", restored="the", within=2)
+    return rows.select("conv_id", "turn", "session")
+
+
+@query(f"WITH {V} SELECT id, name, type FROM (SELECT 'e' || id AS id, 'Entity ' || id AS name, CASE WHEN label < 5 THEN 'person' ELSE 'project' END AS type FROM v) WHERE type = 'person' ORDER BY id LIMIT 100")
+def entities_listed(s, d):
+    known = vectors(s, d).select(F.concat(F.lit("e"), "id").alias("id"), F.concat(F.lit("Entity "), "id").alias("name"), F.when(F.col("label") < 5, "person").otherwise("project").alias("type"))
+    return kg.list_entities(known, "person")
+
+
+@query("""SELECT replace(lower(c_name), ' ', '_') AS id, c_name AS name, 'person' AS type, CASE WHEN c_custkey % 2 = 0 THEN 'relationship: ' || c_mktsegment ELSE '' END || CASE WHEN c_custkey % 6 = 0 THEN '; ' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN 'context: home, n' || c_nationkey ELSE '' END AS description FROM customer WHERE c_custkey % 5 <> 0""")
+def entities_from_registry(s, d):
+    k = F.col("c_custkey")
+    rows = read(s, d, "customer").select(
+        F.col("c_name").alias("name"), F.lit("person").alias("kind"), F.when(k % 5 == 0, "Other").alias("canonical"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("relationship"), F.when(k % 3 == 0, F.array(F.lit("home"), F.concat(F.lit("n"), "c_nationkey"))).otherwise(F.array().cast("array<string>")).alias("contexts")
+    )
+    return kg.from_registry(rows)
+
+
 # --- plain relational ------------------------------------------------------------------------------------------------
 
 
