@@ -170,9 +170,14 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     return map_texts(docs, [id_col], text_col, made, [("key", "binary"), ("n", "long"), ("bands", "array<long>"), ("sig", "binary")]).withColumnRenamed(id_col, "id")
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it is counted to be small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of *df* whose id is among *ids* (a written table); broadcast only if there are few enough."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+    """Rows of *df* whose id is among *ids* (a written table)."""
+    return df.join(_few(ids), "id", "left_semi")
 
 
 def _both(pairs: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
@@ -230,8 +235,9 @@ def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
     placed = cut(placed)
     main = F.max(F.struct("n", -F.col("comp")))
     kinds = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("kinds"), (-main["col2"]).alias("main"))
-    found = cut(placed.join(kinds.where("kinds > 1").drop("kinds"), "bucket"))
-    drop(placed)
+    open_ = cut(kinds.where("kinds > 1").drop("kinds"))
+    found = cut(placed.join(_few(open_), "bucket"))
+    drop(placed, open_)
     return found
 
 
@@ -246,7 +252,8 @@ def _tiles(members: DataFrame, weight, room: int) -> DataFrame:
     fits = F.col("w0") + F.col("w1") <= room
     need = lambda w: F.ceil(F.col(w) / room).cast("int")
     sizes = sizes.select("bucket", F.when(fits, 1).otherwise(F.greatest(need("w0"), F.lit(1))).alias("outer"), F.when(fits, 0).otherwise(need("w1")).alias("inner"))
-    placed = members.join(sizes, "bucket")
+    # Members carry signatures or sets; where the sizes are broadcast, those aren't shuffled for them.
+    placed = members.join(_few(cut(sizes)), "bucket")
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     outer, inner = F.col("outer"), F.col("inner")
     block = F.when(out | (inner == 0), deal(outer)).otherwise(outer + deal(F.greatest(inner, F.lit(1))))
