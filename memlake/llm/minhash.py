@@ -241,22 +241,29 @@ def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
     return found
 
 
-def _tiles(members: DataFrame, weight, room: int) -> DataFrame:
-    """Rows (bucket, comp, main, ...) dealt to tiles (low, high) of blocks that weigh about *room*.
+def _blocks(members: DataFrame, weight, room: int) -> DataFrame:
+    """(bucket, outer, inner): blocks that weigh about *room* for what is outside the main component and for the main one.
 
-    Blocks from 0 to outer hold what is outside the main component and meet all blocks; the others hold the main
-    component and meet only the outer ones. A bucket that fits into one block is one tile.
+    A bucket that fits into one block is one tile.
     """
     out = F.col("comp") != F.col("main")
     sizes = members.groupBy("bucket").agg(F.sum(F.when(out, weight).otherwise(0)).alias("w0"), F.sum(F.when(out, 0).otherwise(weight)).alias("w1"))
     fits = F.col("w0") + F.col("w1") <= room
     need = lambda w: F.ceil(F.col(w) / room).cast("int")
-    sizes = sizes.select("bucket", F.when(fits, 1).otherwise(F.greatest(need("w0"), F.lit(1))).alias("outer"), F.when(fits, 0).otherwise(need("w1")).alias("inner"))
-    # Members carry signatures or sets; where the sizes are broadcast, those aren't shuffled for them.
-    placed = members.join(_few(cut(sizes)), "bucket")
+    return cut(sizes.select("bucket", F.when(fits, 1).otherwise(F.greatest(need("w0"), F.lit(1))).alias("outer"), F.when(fits, 0).otherwise(need("w1")).alias("inner")))
+
+
+def _tiles(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (bucket, comp, main, ...) dealt to tiles (low, high) of blocks.
+
+    Blocks from 0 to outer hold what is outside the main component and meet all blocks; the others hold the main
+    component and meet only the outer ones.
+    """
+    # Members carry signatures or sets; where the blocks are broadcast, those aren't shuffled for them.
+    placed = members.join(_few(blocks), "bucket")
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     outer, inner = F.col("outer"), F.col("inner")
-    block = F.when(out | (inner == 0), deal(outer)).otherwise(outer + deal(F.greatest(inner, F.lit(1))))
+    block = F.when((F.col("comp") != F.col("main")) | (inner == 0), deal(outer)).otherwise(outer + deal(F.greatest(inner, F.lit(1))))
     placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("block") < outer, outer + inner).otherwise(outer) - 1)))
     return placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "outer", "inner")
 
@@ -347,28 +354,32 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = cut(members.withColumn("comp", F.col("id")).withColumn("main", F.lit(None).cast("long")))
     while True:
         best = F.max(F.struct(F.coalesce(F.col("comp") != F.col("main"), F.lit(True)).alias("out"), "reach", (-F.col("id")).alias("low"), "comp")).alias("best")
-        leaders = left.groupBy("bucket").agg(best).select("bucket", (-F.col("best.low")).alias("leader"), F.col("best.comp").alias("leads"))
-        met = cut(left.join(leaders, "bucket").where("id != leader"))
+        # Written first, so that the members of a hot bucket stay where they are, or are split as a skewed join.
+        leaders = cut(left.groupBy("bucket").agg(best).select("bucket", (-F.col("best.low")).alias("leader"), F.col("best.comp").alias("leads")))
+        met = cut(left.join(_few(leaders), "bucket").where("id != leader"))
         pairs = cut(met.where("comp != leads").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
         links = _links(pairs, sketches, docs, id_col, text_col, percent)
         before, joined = joined, cut(components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), "a", "b"))
         old, left = left, _open(met, joined)
         fresh, size = links.count(), left.count()
-        drop(met, pairs, links, old, before)
+        drop(leaders, met, pairs, links, old, before)
         if fresh * STAR_SHARE <= size or not size:
             break
 
     if size:
         rows = cut(left.join(sketches, "id"))
         tile, key = "bucket long, id long, comp long, main long, n long, sig binary", ["bucket", "low", "high"]
-        hits = _tiles(rows, F.lit(1), BLOCK).groupBy(*key).applyInArrow(lambda t: _surviving(t, percent), tile)
+        blocks = _blocks(rows, F.lit(1), BLOCK)
+        hits = _tiles(rows, blocks).groupBy(*key).applyInArrow(lambda t: _surviving(t, percent), tile)
         hits = cut(hits.dropDuplicates(["bucket", "id", "sig"]))
+        drop(blocks)
         ends = cut(hits.select("id").distinct())
         sets = cut(_sets(docs, ends, id_col, text_col))
         full = hits.join(sets, "id").withColumn("weight", F.octet_length("members") + 4 * HASHES)
-        more = cut(_tiles(full, F.col("weight"), SET_BYTES).groupBy(*key).applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"))
+        blocks = _blocks(full, F.col("weight"), SET_BYTES)
+        more = cut(_tiles(full, blocks).groupBy(*key).applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"))
         joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
-        drop(rows, hits, ends, sets, more)
+        drop(rows, hits, ends, sets, blocks, more)
 
     known = cut(classes.join(joined, "id", "left").select("key", F.coalesce("component", "id").alias("component")))
     drop(classes, members, sketches, left)
