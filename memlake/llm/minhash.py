@@ -51,7 +51,8 @@ MISS = 1e-6
 STAR_SHARE = 10
 BLOCK = 1024
 SET_BYTES = 8 << 20
-BROADCAST_ROWS = 500_000
+#: Rows of a few numbers; the driver holds such a table several times while it is built and sent.
+BROADCAST_ROWS = 100_000
 
 _random = np.random.default_rng(9)
 _A = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
