@@ -117,7 +117,8 @@ def train(texts: list[str], langs: list[str]) -> Model:
     for t, k in zip(texts, langs):
         if has_letter(t):
             grams = np.concatenate(subwords([t])[0])
-            bags.append(np.unique(grams[grams < BUCKETS], return_counts=True))
+            grams, counts = np.unique(grams[grams < BUCKETS], return_counts=True)
+            bags.append((grams.astype(np.uint16), counts.astype(np.int32)))  # all bags stay on the driver until training ends
             ys.append(target[k])
     held = np.arange(len(ys)) % 5 == 4
     embed, layer, bias = r.normal(0, 0.1, (BUCKETS, WIDTH)), np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
