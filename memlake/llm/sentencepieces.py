@@ -27,6 +27,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import map_texts
 
@@ -284,7 +285,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """The rows with the text of their ids; null ids give a null text. Ids outside the vocabulary end the job."""
-    schema = rows.schema.add(into, "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
     at = rows.columns.index(ids_col)
 
     def mapped(batches):
