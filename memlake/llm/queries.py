@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licences, media, minhash, oracles, packing, pii, quality, secrets, sentencepieces, vectors
+from . import bpe, langid, licences, media, minhash, oracles, packing, pii, quality, secrets, sentencepieces, turns, vectors
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 # What exact rules fix, apart from what the methods add, so that SQL can say it, too.
 
 
@@ -86,7 +90,7 @@ def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pii, op2_media, op3_licences, op4_secrets, op5_quality, op6_vectors, op7_bpe, op8_packing, op9_minhash, op10_langid, op11_sentencepiece)
+    every = (op1_pii, op2_media, op3_licences, op4_secrets, op5_quality, op6_vectors, op7_bpe, op8_packing, op9_minhash, op10_langid, op11_sentencepiece, op12_turns)
     return {f.__name__: f for f in (*every, media_pages, pii_base, media_base, licence_base, secret_base)}
 
 
