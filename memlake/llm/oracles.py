@@ -75,4 +75,43 @@ MEDIA = f"""WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM docum
  h AS (SELECT *, unhex('52494646' || {_LE32('(36 + m)')} || '57415645666d7420' || '10000000' || '0100' || '0100' || '401f0000' || '401f0000' || '0100' || '0800' || '64617461' || {_LE32('m')}) || p AS media FROM p)
  SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(p) AS payload_sha256, octet_length(media) AS media_bytes, sha256(media) AS media_sha256 FROM h"""
 
-SQL = {"op6_vectors": VECTORS, "op9_minhash": DOCUMENTS, "pii_base": PII, "secret_base": SECRETS, "licence_base": LICENCES, "media_base": MEDIA}
+# Conversations: a shortest path over (row, state), whose values (c: cost, a: audit, r: repaired lines) are compared as they stand.
+
+_CRC = "xor(list_reduce([4294967295] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split({k}, '')], lambda c, b: list_reduce([xor(c, b)] || CAST(range(8) AS BIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
+
+
+def _edit(v: str, cost: str, letter: str, line: str | None = None, when: str = "TRUE") -> str:
+    return f"CASE WHEN {v} IS NOT NULL AND {when} THEN {{'c': {v}.c + {cost}, 'a': {v}.a || '{letter}', 'r': {v}.r{f' || [{line}]' if line else ''}}} END"
+
+
+def _states(x: str, *cells: list[str]) -> str:
+    return ", ".join(f"list_min([{', '.join(c)}]) AS {x}{i}" for i, c in enumerate(cells))
+
+
+_PUT = lambda v, *roles: _edit(v, str(5 * len(roles)), "I" * len(roles), ", ".join(f"'{r}:'" for r in roles))
+_INSERTED = _states("w", ["v0"], ["v1"], ["v2", *(_PUT(v, "user") for v in ("v0", "v1", "v3"))], ["v3", _PUT("v2", "assistant"), *(_PUT(v, "user", "assistant") for v in ("v0", "v1"))])
+_D = lambda v: _edit(v, "2", "D")
+_K = lambda v, role: _edit(v, "more", "K", "role || ':' || text", f"NOT gone AND left(role, 1) = '{role}'")
+_R = lambda v, role: _edit(v, "1 + more", "R", f"'{role}:' || text", "NOT gone")
+_EDITED = _states("v", [_D("w0")], [_D("w1"), _K("w0", "s")], [_D("w2"), *(e for v in ("w0", "w1", "w3") for e in (_K(v, "u"), _R(v, "user")))], [_D("w3"), _K("w2", "a"), _R("w2", "assistant")])
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+
+TURNS = f"""WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+ s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(k=_KEY)} % 20 AS fault FROM conversations),
+ d AS (SELECT k, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS again FROM s JOIN ids ON s.conv_id IS NOT DISTINCT FROM ids.conv_id WHERE fault <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, again) AS i FROM d),
+ f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS met,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS ends, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) || left(role, 1) AS pair FROM o),
+ g AS (SELECT k, i, role, text, blank OR met AS gone, CASE WHEN ends THEN 5 ELSE 0 END AS more FROM f),
+ p AS (SELECT k, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS v0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS v1, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS v2,
+  CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS v3 FROM ids
+  UNION ALL SELECT k, i, {_EDITED} FROM (SELECT p.k, g.i, role, text, gone, more, {_INSERTED} FROM p JOIN g ON g.k = p.k AND g.i = p.i + 1)),
+ n AS (SELECT k, count(i) AS n FROM ids LEFT JOIN g USING (k) GROUP BY 1),
+ e AS (SELECT k, list_min([w0, w3]) AS b FROM (SELECT p.k, {_INSERTED} FROM p JOIN n ON n.k = p.k AND n.n = p.i)),
+ c AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(met AND NOT blank) AS duplicate, count_if(ends AND NOT met AND NOT blank) AS truncated,
+  count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+ SELECT conv_id, {', '.join(f'CAST(coalesce({x}, 0) AS BIGINT) AS {x}' for x in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(array_to_string(b.r, chr(10))) AS repaired_sha256
+ FROM ids JOIN e USING (k) LEFT JOIN c USING (k)"""
+
+SQL = {"op12_turns": TURNS, "op6_vectors": VECTORS, "op9_minhash": DOCUMENTS, "pii_base": PII, "secret_base": SECRETS, "licence_base": LICENCES, "media_base": MEDIA}

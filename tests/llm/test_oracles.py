@@ -7,12 +7,12 @@ pytest.importorskip("public_tokenizers")
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op6_vectors", "op9_minhash", "pii_base", "secret_base", "licence_base", "media_base"])
+@pytest.mark.parametrize("name", ["op6_vectors", "op12_turns", "op9_minhash", "pii_base", "secret_base", "licence_base", "media_base"])
 def test_oracle(spark, name):
     from memlake.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     df = queries.queries()[name](spark, DIR)
     columns = sorted(df.columns)
