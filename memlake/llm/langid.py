@@ -106,20 +106,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str]) -> Model:
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text and their counts; none without a letter."""
+    if not has_letter(text):
+        return np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.int32)
+    grams = np.concatenate(subwords([text])[0])
+    grams, counts = np.unique(grams[grams < BUCKETS], return_counts=True)
+    return grams.astype(np.uint16), counts.astype(np.int32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model:
     """Stochastic gradient descent over documents in a fixed shuffled order, then calibration on every fifth."""
     languages = sorted(set(langs))
     if not languages:
         return Model(np.zeros((BUCKETS, 0)), np.zeros(0), [], 1.0, 0.0)
     target = {k: i for i, k in enumerate(languages)}
     r = np.random.default_rng(10)
-    bags, ys = [], []
-    for t, k in zip(texts, langs):
-        if has_letter(t):
-            grams = np.concatenate(subwords([t])[0])
-            grams, counts = np.unique(grams[grams < BUCKETS], return_counts=True)
-            bags.append((grams.astype(np.uint16), counts.astype(np.int32)))  # all bags stay on the driver until training ends
-            ys.append(target[k])
+    ys = [target[k] for b, k in zip(bags, langs) if len(b[0])]
+    bags = [b for b in bags if len(b[0])]
     held = np.arange(len(ys)) % 5 == 4
     embed, layer, bias = r.normal(0, 0.1, (BUCKETS, WIDTH)), np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
     own = np.flatnonzero(~held)
@@ -159,9 +163,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     total, size = usable.agg(F.count("*"), F.sum(F.octet_length(text_col).cast("long"))).first()
     scale = 1 << 40
     share = min(scale, sample * scale // max(1, total), SAMPLE_BYTES * scale // max(1, size or 0))
-    rows = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(scale)) < share).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(r["i"].encode()), r["i"]))
-    return train([r["t"] for r in rows], [r["l"] for r in rows])
+    chosen = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(scale)) < share).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+
+    def counted(texts: list[str | None]) -> list:
+        bags = [bag(t) for t in texts]
+        return [[g.tobytes() for g, _ in bags], [c.tobytes() for _, c in bags]]
+
+    # Texts stay on the executors; the driver gets six bytes for each distinct bucket of a text.
+    rows = map_texts(chosen, ["i", "l"], "t", counted, [("grams", "binary"), ("counts", "binary")]).collect()
+    rows = sorted(rows, key=lambda r: (zlib.crc32(r["i"].encode()), r["i"], r["l"], r["grams"], r["counts"]))
+    return train([(np.frombuffer(r["grams"], dtype=np.uint16), np.frombuffer(r["counts"], dtype=np.int32)) for r in rows], [r["l"] for r in rows])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
