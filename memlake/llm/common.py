@@ -36,14 +36,6 @@ def drop(*tables: DataFrame) -> None:
             delete(df.sparkSession, file.get())
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver collect what a finished round left, so that Spark's cleaner removes its broadcasts and shuffle files now.
-
-    The cleaner learns of them from the garbage collector only, which on its own first lets the heap grow to its limit.
-    """
-    spark._jvm.System.gc()
-
-
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -37,9 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, map_texts, mix64, release, word_hashes
-from .graph import components
-from .vectors import smallest_reachable
+from .common import cut, drop, map_texts, mix64, word_hashes
+from .graph import components, smallest_reachable
 
 SHINGLE = 5
 #: The least similarity in hundredths, if none is given; compared in whole numbers.
@@ -364,7 +363,6 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         old, left = left, _open(met, joined)
         fresh, size = links.count(), left.count()
         drop(leaders, met, pairs, links, old, before)
-        release(docs.sparkSession)
         if fresh * STAR_SHARE <= size or not size:
             break
 
@@ -382,7 +380,6 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         more = cut(_tiles(full, blocks).groupBy(*key).applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"))
         joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
         drop(rows, hits, ends, sets, blocks, more)
-        release(docs.sparkSession)
 
     known = cut(classes.join(joined, "id", "left").select("key", F.coalesce("component", "id").alias("component")))
     drop(classes, members, sketches, left)

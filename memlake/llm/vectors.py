@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop
-from .graph import components
+from .graph import components, smallest_reachable
 
 THRESHOLD = 0.93
 BLOCK = 1024
@@ -74,19 +74,6 @@ def exact(va: np.ndarray, vb: np.ndarray, i: np.ndarray, j: np.ndarray, threshol
     return keep
 
 
-def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node of its component."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _scaled(data: list[bytes]) -> np.ndarray:
     v = np.stack([np.frombuffer(x, dtype="<f8") for x in data])
     with np.errstate(all="ignore"):

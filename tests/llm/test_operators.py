@@ -407,8 +407,9 @@ def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)]
     reach = _components(600, links)
-    got = {r.id: r.component for r in graph.components(spark.createDataFrame(links + [(None, 3), (7, 7)], "a long, b long"), "a", "b").collect()}
-    assert got == {i: reach[i] for e in links if e[0] != e[1] for i in e}
+    for one_task in (0, graph.ONE_TASK):  # in rounds and in one task
+        got = {r.id: r.component for r in graph.components(spark.createDataFrame(links + [(None, 3), (7, 7)], "a long, b long"), "a", "b", one_task).collect()}
+        assert got == {i: reach[i] for e in links if e[0] != e[1] for i in e}
     assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
@@ -616,7 +617,7 @@ def test_langid_scores_against_brute_force():
     """Every score is the mean over a text's subwords of their rows of the table, plus the bias."""
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcdeé ñ12.") for _ in range(rng.randrange(2, 60))) + "ab" for _ in range(150)]
-    model = langid.train(texts, [["xx", "yy", "zz"][i % 3] for i in range(150)])
+    model = langid.train([langid.bag(t) for t in texts], [["xx", "yy", "zz"][i % 3] for i in range(150)])
 
     def bag(t):
         out = []
