@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(p)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at *path*; None if there is none, or none with a row yet. Any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def copy_new(rows: DataFrame, path: str, keys: list[str]) -> int:
     """Appends the rows whose keys the Parquet store at *path* lacks, and returns how many.
 
