@@ -77,23 +77,25 @@ def windows(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tu
     yield start, len(text)
 
 
-def fixed_chunks(docs: DataFrame, key: str = "id", text: str = "document", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(key, chunk_index, chunk): trimmed windows of the trimmed text, those of fewer than *least* characters left out.
+def fixed_chunks(docs: DataFrame, key: str = "id", text: str = "document", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, chunk_index, chunk): trimmed windows of the trimmed text, those of fewer than *least* characters left out.
 
     Each window depends on the one before, so this runs in Arrow batches of whole texts.
     """
     strip_ascii = lambda x: x.strip(" \t\n\v\f\r")
-    kind = docs.schema[key].dataType.simpleString()
+    own = [key, *keep]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
 
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for k, t in zip(frame.iloc[:, 0], (strip_ascii(t or "") for t in frame.iloc[:, 1])):
+            for *kept, t in frame.itertuples(index=False, name=None):
+                t = strip_ascii(t or "")
                 pieces = [p for p in (strip_ascii(t[a:b]) for a, b in windows(t, size, overlap)) if len(p) >= least]
-                rows += [(k, i, p) for i, p in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk"])
+                rows += [(*kept, i, p) for i, p in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=[*own, "chunk_index", "chunk"])
 
-    return docs.select(key, text).mapInPandas(mapped, f"{key} {kind}, chunk_index int, chunk string")
+    return docs.select(*own, text).mapInPandas(mapped, f"{kinds}, chunk_index int, chunk string")
 
 
 def sessions(lines: DataFrame, header: str, key: str = "source_file", order: str = "line_no", text: str = "line", restored: str | None = None, within: int = 6) -> DataFrame:
