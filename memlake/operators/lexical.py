@@ -4,23 +4,40 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
 from .collection import top
 
-#: Partitions of a written table of postings; a question reads only those of its terms.
-BUCKETS = 64
+#: Bytes of text for each bucket of an index, and the least and most buckets; a bucket has as many files as its bytes ask for.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 4096
+#: Distinct terms of questions up to which the index is read by literal buckets and terms; more of them are joined.
+LITERALS = 1000
 #: Rows of questions' terms up to which they are broadcast, by count.
 BROADCAST_ROWS = 100_000
 
 
+class Index(NamedTuple):
+    """A written index: postings and terms (bucket, term, df), both by bucket and sorted by term; rows, mean length, buckets."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    average: float
+    buckets: int
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def postings(docs: DataFrame, key: str = "id", text: str = "document") -> DataFrame:
-    """(bucket, term, key, tf, dl, first) for every distinct token of every text; one row with a null term for a text without any.
+    """(term, key, tf, dl, first) for every distinct token of every text; one row with a null term for a text without any.
 
     *first* marks one row of each text. A text's tokens are counted where it is read; nothing is shuffled. A null text counts as empty.
     """
@@ -41,48 +58,65 @@ def postings(docs: DataFrame, key: str = "id", text: str = "document") -> DataFr
             arrays = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(index, pa.int64())), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64()), pa.array(firsts, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["term", key, "tf", "dl", "first"])
 
-    made = docs.select(key, text).mapInArrow(counted, f"term string, `{key}` {id_type}, tf long, dl long, first boolean")
-    return made.select(_bucket(F.col("term")).alias("bucket"), "term", key, "tf", "dl", "first")
+    return docs.select(key, text).mapInArrow(counted, f"term string, `{key}` {id_type}, tf long, dl long, first boolean")
+
 
+def write_index(made: DataFrame, docs: DataFrame, folder: str, text: str = "document") -> None:
+    """Writes postings (term, ..., dl, first) and what is known of each term and of all texts below *folder*.
 
-def _bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    Tasks write by bytes: rebalancing splits the buckets of frequent words and joins those of rare ones.
+    """
+    spark = made.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, size // BUCKET_BYTES))
+
+    def write(rows: DataFrame, name: str) -> DataFrame:
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}")
+        return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema if f.name != 'bucket')}, bucket int").parquet(f"{folder}/{name}")
+
+    written = write(made.withColumn("bucket", F.coalesce(bucket_of(F.col("term"), buckets), F.lit(0))), "postings")
+    write(written.where("term IS NOT NULL").groupBy("bucket", "term").agg(F.count("*").alias("df")), "terms")
+    written.where("first").agg(F.count("*").alias("n"), F.avg("dl").alias("average")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/statistics")
 
 
 def build(docs: DataFrame, folder: str, key: str = "id", text: str = "document") -> None:
-    """Writes the postings of all texts, by bucket and sorted by term, and their statistics, one row, below *folder*."""
-    made = postings(docs, key, text)
-    # Salted by term and key, so that a word of every text is spread over tasks.
-    spread = made.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(4)))
-    spread.repartition("bucket", "__salt").drop("__salt").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    written = docs.sparkSession.read.parquet(f"{folder}/postings")
-    written.where("first").agg(F.count("*").alias("n"), F.avg("dl").alias("average")).write.parquet(f"{folder}/statistics")
+    """Writes the index of all texts below *folder*."""
+    write_index(postings(docs, key, text), docs, folder, text)
+
 
+def load(spark: SparkSession, folder: str) -> Index:
+    told = spark.read.parquet(f"{folder}/statistics").first()
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"), told["n"], told["average"] or 0.0, told["buckets"])
 
-def load(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/statistics")
+
+def asked_of(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """The index's postings and terms of the questions' terms (term, ...), and whether the questions are few enough to be broadcast.
+
+    Few distinct terms become literals, so that a scan opens their buckets only and skips row groups by term.
+    """
+    words = asked.groupBy(bucket_of(F.col("term"), index.buckets).alias("bucket"), "term").agg(F.count("*").alias("n"))
+    some = words.limit(LITERALS + 1).collect()
+    if len(some) <= LITERALS:
+        among = F.col("bucket").isin(sorted({r["bucket"] for r in some})) & F.col("term").isin(sorted({r["term"] for r in some if r["term"] is not None}))
+        return index.postings.where(among), index.terms.where(among), sum(r["n"] for r in some) <= BROADCAST_ROWS
+    return *(t.join(words.drop("n"), ["bucket", "term"], "left_semi") for t in (index.postings, index.terms)), False
 
 
-def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int | None = None, key: str = "id", k1: float = 1.5, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int | None = None, key: str = "id", k1: float = 1.5, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
     """(qid, key, bm25, rank): Okapi BM25 of every question (qid, terms) over the index; rows without a term are left out.
 
     The statistics are those of the whole index; *among* restricts the rows that may be found. Scores are ranked as
     rounded to six digits, then by key.
     """
-    rows, statistics = index
-    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")).withColumn("bucket", _bucket(F.col("term")))
-    words = asked.select("bucket", "term").distinct()
-    words = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
-    hit = rows.join(words, ["bucket", "term"])
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    hit, words, few = asked_of(index, asked)
     if among is not None:
         hit = hit.join(among.select(key), key, "left_semi")
-    n, average = F.col("n"), F.col("average")
-    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(df, "term").crossJoin(F.broadcast(statistics)).select("qid", "bucket", "term", idf.alias("idf"), average.alias("average"))
-    weights = F.broadcast(weights) if asked.count() <= BROADCAST_ROWS else weights
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("average")))
-    scored = hit.join(weights, ["bucket", "term"]).groupBy("qid", key).agg(F.sum(part).alias("bm25"))
+    idf = F.ln((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = asked.join(words.drop("bucket"), "term").select("qid", "term", idf.alias("idf"))
+    weights = F.broadcast(weights) if few else weights
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.average)))
+    scored = hit.join(weights, "term").groupBy("qid", key).agg(F.sum(part).alias("bm25"))
     if k is None:
         return scored
     return top(scored, k, [(F.floor(F.col("bm25") * 1e6 + 0.5)).desc(), F.col(key)], ["qid"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, overlap
 from ..functions.vectors import cosine_distance, norm
-from . import lexical
+from . import fulltext, lexical
 from .collection import fields_of, top
 from .where import compile_where
 
@@ -195,20 +195,22 @@ def rrf(branches: list[DataFrame], by: str = "qid", key: str = "id", k: int = 60
     return fused.withColumn("distance", 1.0 - F.least(F.col("rrf") / (2.0 / (k + 1)), F.lit(1.0)))
 
 
-def hybrid_query(rows: DataFrame, queries: DataFrame, index: tuple[DataFrame, DataFrame], k: int = 10, each: int = 50, where: dict | None = None, where_document: dict | None = None) -> DataFrame:
+def hybrid_query(rows: DataFrame, queries: DataFrame, index: lexical.Index, k: int = 10, each: int = 50, where: dict | None = None, where_document: dict | None = None, exact: bool = False) -> DataFrame:
     """The k best rows of every question by fusion of the vector and the lexical branch, both under the same filters.
 
-    *queries* hold qid, question and embedding; *index* is that of the rows' texts. Sums are ranked as rounded to nine
-    digits, then by id.
+    *queries* hold qid, question and embedding; *index* is that of the rows' texts. The lexical branch is BM25 of the
+    question's words, or, if *exact*, full text by an index with positions, which wants all words and knows phrases.
+    Sums are ranked as rounded to nine digits, then by id.
     """
     kept = rows.where(compile_where(where, where_document, fields_of(rows), rows["document"]))
-    asked = queries.select("qid", terms_of(F.col("question")).alias("terms"))
     filtered = kept if where or where_document else None
-    found = rrf([nearest(kept, queries, each), lexical.search(index, asked, each, among=filtered)])
+    asked = queries.select("qid", terms_of(F.col("question")).alias("terms"))
+    said = fulltext.search(index, queries, each, among=filtered) if exact else lexical.search(index, asked, each, among=filtered)
+    found = rrf([nearest(kept, queries, each), said])
     return top(found, k, [F.round("rrf", 9).desc(), F.col("id")], ["qid"]).join(kept.drop("embedding"), "id")
 
 
-def routed_search(rows: DataFrame, queries: DataFrame, index: tuple[DataFrame, DataFrame] | None, k: int = 10, max_distance: float = 0.0, where: dict | None = None, rerank=None) -> DataFrame:
+def routed_search(rows: DataFrame, queries: DataFrame, index: lexical.Index | None, k: int = 10, max_distance: float = 0.0, where: dict | None = None, rerank=None) -> DataFrame:
     """Fused search, or plain vector search without an index; then an optional rerank; then the bound on the distance.
 
     *rerank* takes the hits (with question) and returns them with a column ``rank`` of its own. Says by which method.

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import checks, dates, embed, text
 from ..functions.vectors import normalised
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, graph, halls, haystack, incremental, ingest, kg, lexical, memories, metrics, near_dup, search, summary, transcript
+from ..operators import classify, collection, context, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, kg, lexical, memories, metrics, near_dup, search, summary, transcript
 from ..sources import chats, projects, rooms
-from .tables import D, K, Q, V, drawers, entities, lexical_index, questions, read, triples, vectors
+from .tables import D, K, Q, V, drawers, entities, fulltext_index, lexical_index, questions, read, triples, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -300,6 +300,66 @@ def search_routed(s, d):
     return found.select("qid", "id", "rank", r6(F.col("rrf")).alias("rrf"), r6(F.col("distance")).alias("distance"), "search_method")
 
 
+#: Questions in the forms that full text knows, by the question's number; w are the words of its passage.
+FORMS = ["{1} {2}", '"{2} {3}"', "{1} {4} or {6}", "{1} -{3}", '{5} or "{1} {2}" -{6}']
+
+
+def _phrased(s, d):
+    w = F.regexp_extract_all("question", F.lit(fulltext.WORD), F.lit(0))
+
+    def form(f: str):
+        parts = f.replace("{", "\0{").replace("}", "\0").split("\0")
+        return F.concat(*[F.coalesce(F.get(w, int(p[1:]) - 1), F.lit("")) if p.startswith("{") else F.lit(p) for p in parts if p])
+
+    return questions(s, d).select("qid", F.element_at(F.array(*map(form, FORMS)), (F.expr("qid div 50") % len(FORMS) + 1).cast("int")).alias("question"), "embedding")
+
+
+def _fulltext_sql() -> str:
+    """Parses, matches, and enumerates all stretches from an occurrence's start to one's end."""
+    word = f"'{fulltext.WORD}'"
+    form = lambda f: " || ".join(f"coalesce(w[{p[1:]}], '')" if p.startswith("{") else f"'{p}'" for p in f.replace("{", "\0{").replace("}", "\0").split("\0") if p)
+    stems = "w"
+    for pattern, put in fulltext.stem_rules("\\{}"):
+        stems = f"regexp_replace({stems}, '{pattern}', '{put}')"
+    stems = f"CASE WHEN regexp_matches(w, '^[a-z]{{3,}}$') THEN {stems} ELSE w END"
+    stop = ", ".join(f"'{x}'" for x in fulltext.STOP)
+    return f"""{D}, {Q}, fw AS (SELECT qid, regexp_extract_all(question, {word}) AS w FROM q), fq AS (SELECT qid, CASE qid // 50 % {len(FORMS)} {' '.join(f'WHEN {i} THEN {form(f)}' for i, f in enumerate(FORMS))} END AS question FROM fw),
+ p0 AS (SELECT qid, regexp_extract_all(lower(question), '-?"[^"]*"?|[^\\s"]+') AS ps FROM fq), p1 AS (SELECT qid, unnest(ps) AS part, generate_subscripts(ps, 1) AS item FROM p0),
+ p2 AS (SELECT *, count_if(part = 'or') OVER (PARTITION BY qid ORDER BY item) AS grp FROM p1), p3 AS (SELECT qid, grp, item, regexp_matches(part, '^-.') AS neg, regexp_extract_all(part, {word}) AS ws FROM p2 WHERE part <> 'or'),
+ p4 AS (SELECT qid, grp, item, neg, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM p3), p5 AS (SELECT *, min(pos) OVER i AS low, max(pos) OVER i AS high, count(*) OVER i AS size FROM p4 WHERE w NOT IN ({stop}) WINDOW i AS (PARTITION BY qid, item)),
+ ask AS (SELECT qid, grp, item, neg, pos - low AS off, high - low AS span, size, {stems} AS term FROM p5),
+ t0 AS (SELECT id, regexp_extract_all(lower(document), {word}) AS ws FROM d), t1 AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM t0), t2 AS (SELECT w, {stems} AS term FROM (SELECT DISTINCT w FROM t1 WHERE w NOT IN ({stop}))),
+ lex AS (SELECT id, pos, term FROM t1 JOIN t2 USING (w) WHERE term IN (SELECT term FROM ask)),
+ hit AS (SELECT qid, grp, item, neg, off, span, size, id, pos, pos - off AS s FROM ask JOIN lex USING (term)),
+ occ AS (SELECT qid, grp, item, neg, id, s, s + span AS e FROM hit GROUP BY qid, grp, item, neg, id, s, span, size HAVING count(DISTINCT off) = size),
+ want AS (SELECT qid, grp, count(DISTINCT item) AS n FROM ask WHERE NOT neg GROUP BY 1, 2),
+ gm AS (SELECT qid, grp, id, n FROM occ JOIN want USING (qid, grp) GROUP BY ALL HAVING count(DISTINCT item) FILTER (NOT neg) = n AND count_if(neg) = 0),
+ oc AS (SELECT occ.*, n FROM occ JOIN gm USING (qid, grp, id)),
+ ca AS (SELECT DISTINCT a.qid, a.grp, a.id, a.n, a.s AS p, b.e AS q FROM oc a JOIN oc b ON a.qid = b.qid AND a.grp = b.grp AND a.id = b.id AND a.s <= b.e AND (a.n > 1 OR a.e = b.e)),
+ cv AS (SELECT ca.qid, ca.id, p, q FROM ca JOIN oc o ON o.qid = ca.qid AND o.grp = ca.grp AND o.id = ca.id AND o.s >= p AND o.e <= q GROUP BY ca.qid, ca.grp, ca.id, ca.n, p, q HAVING count(DISTINCT o.item) = ca.n),
+ mn AS (SELECT DISTINCT * FROM cv WHERE NOT EXISTS (SELECT 1 FROM cv x WHERE x.qid = cv.qid AND x.id = cv.id AND x.p >= cv.p AND x.q <= cv.q AND (x.p > cv.p OR x.q < cv.q))),
+ ps AS (SELECT DISTINCT qid, id, pos FROM hit JOIN (SELECT DISTINCT qid, grp, item, id FROM occ WHERE NOT neg) USING (qid, grp, item, id)),
+ cw AS (SELECT mn.qid, mn.id, p, q, 0.1::DOUBLE / (2 + q - p - count(pos)) AS z FROM mn JOIN ps ON ps.qid = mn.qid AND ps.id = mn.id AND pos BETWEEN p AND q GROUP BY 1, 2, 3, 4),
+ ft AS (SELECT qid, id, count(*) AS covers, sum(z) AS s FROM cw GROUP BY 1, 2)"""
+
+
+@query(lambda: f"WITH {_fulltext_sql()} SELECT qid, id, covers, {SIX('s')} AS density FROM ft")
+def fulltext_match(s, d):
+    """All texts that match a question, for every question."""
+    return fulltext.match(fulltext_index(s, d), _phrased(s, d)).withColumn("density", r6(F.col("density")))
+
+
+@query(lambda: f"WITH {_fulltext_sql()}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY floor(s * 1e6 + 0.5) DESC, id) AS rank FROM ft) SELECT qid, id, CAST(rank AS INTEGER) AS rank, {SIX('s')} AS density FROM k WHERE rank <= 20")
+def fulltext_rank(s, d):
+    return fulltext.search(fulltext_index(s, d), _phrased(s, d), 20).select("qid", "id", "rank", r6(F.col("density")).alias("density"))
+
+
+@query(lambda: KNN.format(cond="id IN (SELECT id FROM d WHERE wing = 'en')").replace(f"{V}, {Q}", f"{V}, {_fulltext_sql()}", 1) + ", bm AS (SELECT * FROM ft)" + FUSE.format(cond="wing = 'en'").replace(", wing, document", ""))
+def rrf_fulltext(s, d):
+    """Fusion with full text in place of BM25."""
+    return search.hybrid_query(_embedded(s, d), _phrased(s, d), fulltext_index(s, d), where={"wing": "en"}, exact=True).select("qid", "id", "rank", r6(F.col("rrf")).alias("rrf"), r6(F.col("distance")).alias("distance"))
+
+
 SRC = "'f' || CAST({id} // 5 AS VARCHAR)"
 #: Index rows point to a source in no relation to their vector.
 LINE = "'f' || CAST(({id} * 3) % 100 AS VARCHAR)"

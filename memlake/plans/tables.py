@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lexical
+from ..operators import fulltext, lexical
 from ..session import shared_folder
 
 
@@ -53,19 +53,29 @@ Q = """q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qe, coalesce(b
 _indexes: dict[tuple, str] = {}
 
 
-def lexical_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Postings of all drawers, built by the first query of a session that needs them; another one if the table's files change."""
+def _index(spark: SparkSession, sf_dir: str, kind) -> lexical.Index:
+    """An index of all drawers, built by the first query of a session that needs it; another one if the table's files change."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     status, content = system.getFileStatus(path), system.getContentSummary(path)
-    key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), content.getLength())
+    key = (kind.__name__, spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), content.getLength())
     if key not in _indexes:
-        folder = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
-        lexical.build(drawers(spark, sf_dir), folder)
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        kind.build(drawers(spark, sf_dir), folder)
         _indexes[key] = folder
     return lexical.load(spark, _indexes[key])
 
 
+def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """Postings for BM25."""
+    return _index(spark, sf_dir, lexical)
+
+
+def fulltext_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """Postings with positions of stems."""
+    return _index(spark, sf_dir, fulltext)
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event is a fact about its user until the user's next event of the type."""
     from pyspark.sql import Window
