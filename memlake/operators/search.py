@@ -51,8 +51,19 @@ def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.mapInArrow(packed, f"ids array<{id_type}>, dims int, data binary")
 
 
+def tame(m: np.ndarray) -> np.ndarray:
+    """The vectors, those scaled whose squares would leave the range of doubles; directions stay."""
+    most = np.abs(m).max(axis=1)
+    wild = (most > 1e150) | (most < 1e-150)
+    if wild.any():
+        m = m.copy()
+        m[wild] /= most[wild][:, None]
+    return m
+
+
 def _best(questions: np.ndarray, rows: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Question, row and distance of the k nearest rows of each question; of equal distances the first rows."""
+    questions, rows = tame(questions), tame(rows)
     scale = np.sqrt((questions**2).sum(axis=1))[:, None] * np.sqrt((rows**2).sum(axis=1))[None]
     d = np.round(1.0 - (questions @ rows.T) / scale, 12)
     if same is not None:
@@ -67,17 +78,34 @@ def _best(questions: np.ndarray, rows: np.ndarray, k: int, same: np.ndarray | No
     return q[keep], r[keep], x[keep]
 
 
+def best_of(questions: np.ndarray, rows: np.ndarray, asked: pa.Array, ids: pa.Array, k: int, others: bool) -> Iterator[list[pa.Array]]:
+    """Question ids, row ids and distances of the k nearest rows of each question, by blocks of questions; with *others* a row of the question's own id doesn't count."""
+    for at in range(0, len(questions), BLOCK):
+        few = asked.slice(at, BLOCK)
+        same = None
+        if others:
+            place = pc.index_in(few, ids).fill_null(-1).to_numpy(zero_copy_only=False)
+            same = np.zeros((len(few), len(ids)), dtype=bool)
+            same[np.flatnonzero(place >= 0), place[place >= 0]] = True
+        a, b, d = _best(questions[at : at + BLOCK], rows, k, same)
+        yield [few.take(pa.array(a)), ids.take(pa.array(b)), pa.array(d)]
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "id", others: bool = False) -> DataFrame:
     """(qid, key, distance, rank): the exact k nearest rows of every question by (cosine distance, key).
 
     Both sides are packed to matrices, so a task multiplies blocks and returns k rows for each question and batch.
-    Packed questions are broadcast up to BROADCAST_BYTES, by count; more of them meet the rows block by block, too.
+    Packed questions, or else packed rows, are broadcast up to BROADCAST_BYTES, by count; beyond, blocks meet blocks.
     With *others* a row whose key is the question's id does not count. Distances are rounded to 12 digits, so that equal
     vectors are ties wherever they stand.
     """
     q = _packed(queries, "qid", vector).select(F.col("ids").alias("qids"), F.col("dims").alias("qdims"), F.col("data").alias("qdata"))
-    size = queries.agg(F.sum(F.size(vector).cast("long") * 8)).first()[0] or 0
-    q = F.broadcast(q) if size <= BROADCAST_BYTES else q
+    own = _packed(rows, key, vector)
+    small = lambda df: (df.agg(F.sum(F.size(vector).cast("long") * 8)).first()[0] or 0) <= BROADCAST_BYTES
+    if small(queries):
+        q = F.broadcast(q)
+    elif small(rows):
+        own = F.broadcast(own)
     q_type, r_type = queries.schema["qid"].dataType.simpleString(), rows.schema[key].dataType.simpleString()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,19 +114,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embeddin
                 ids, dims, data, qids, qdims, qdata = (batch.column(c) for c in range(6))
                 if dims[i].as_py() == qdims[i].as_py():
                     m, n = (np.frombuffer(x[i].as_py(), dtype=np.float64).reshape(-1, dims[i].as_py()) for x in (data, qdata))
-                    own, asked = ids[i].values, qids[i].values
-                    for at in range(0, len(n), BLOCK):
-                        few = asked.slice(at, BLOCK)
-                        same = (pc.index_in(few, own), np.arange(len(few))) if others else None
-                        mask = None
-                        if same is not None:
-                            place = same[0].fill_null(-1).to_numpy(zero_copy_only=False)
-                            mask = np.zeros((len(few), len(own)), dtype=bool)
-                            mask[same[1][place >= 0], place[place >= 0]] = True
-                        a, b, d = _best(n[at : at + BLOCK], m, k, mask)
-                        yield pa.RecordBatch.from_arrays([few.take(pa.array(a)), own.take(pa.array(b)), pa.array(d)], names=["qid", key, "distance"])
-
-    found = _packed(rows, key, vector).crossJoin(q).mapInArrow(met, f"qid {q_type}, `{key}` {r_type}, distance double")
+                    for part in best_of(n, m, qids[i].values, ids[i].values, k, others):
+                        yield pa.RecordBatch.from_arrays(part, names=["qid", key, "distance"])
+
+    found = own.crossJoin(q).mapInArrow(met, f"qid {q_type}, `{key}` {r_type}, distance double")
     return top(found, k, [F.col("distance"), F.col(key)], ["qid"])
 
 
@@ -309,22 +328,56 @@ def best_chunk(chunks: DataFrame, terms: list[str], source: str = "source_file",
 def nearest_centroid(rows: DataFrame, group: str = "label", vector: str = "embedding", key: str = "id", least: float = 0.3) -> DataFrame:
     """Label of the centroid most similar to each row; null below the least similarity. Ties go to the smallest label.
 
-    Centroids are one row per label; they are broadcast, as labels are categories.
+    Centroids are one row per label. Rows whose vector has no direction have neither label nor similarity.
     """
     parts = rows.select(group, F.posexplode(vector).alias("i", "v")).groupBy(group, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    centres = parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("__c"))
-    c = F.broadcast(centres.select(F.col(group).alias("wing"), "__c"))
-    scored = rows.join(c).withColumn("similarity", 1.0 - cosine_distance(F.col(vector), F.col("__c")))
-    best = top(scored, 1, [F.col("similarity").desc(), F.col("wing")], [key])
-    return best.select(key, F.when(F.col("similarity") >= least, F.col("wing")).alias("wing"), "similarity")
+    centres = parts.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("wing")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias(vector))
+    found = nearest(centres, rows.select(F.col(key).alias("qid"), vector), 1, vector, "wing").select(F.col("qid").alias(key), "wing", (1.0 - F.col("distance")).alias("similarity"))
+    return rows.select(key).join(found, key, "left").select(key, F.when(F.col("similarity") >= least, F.col("wing")).alias("wing"), "similarity")
+
+
+#: Rows of a block of near_pairs; a tile holds two blocks.
+PAIR_BLOCK = 1024
 
 
 def near_pairs(rows: DataFrame, threshold: float, group: str = "label", vector: str = "embedding", key: str = "id") -> DataFrame:
-    """Pairs within a group whose distance is below the threshold."""
-    n = rows.select(F.col(key).alias("a"), F.col(group).alias("g"), F.col(vector).alias("va")).withColumn("na", norm(F.col("va")))
-    m = n.select(F.col("a").alias("b"), F.col("g").alias("h"), F.col("va").alias("vb"), F.col("na").alias("nb"))
-    pairs = n.join(m, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")))
-    return pairs.withColumn("distance", cosine_distance(F.col("va"), F.col("vb"), F.col("na"), F.col("nb"))).where(F.col("distance") < threshold).select("g", "a", "b", "distance")
+    """(g, a, b, distance): pairs within a group whose cosine distance is below the threshold, a before b.
+
+    A group of any size is dealt to blocks of about PAIR_BLOCK rows by a hash; each pair of blocks is a matrix product in
+    a task of its own, which returns the near pairs only. Vectors without direction are near to nothing.
+    """
+    own = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = own.groupBy("g").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    dealt = own.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    g_type, k_type = own.schema["g"].dataType.simpleString(), own.schema["id"].dataType.simpleString()
+
+    def near(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        block, low, high = tile.column("block").to_numpy(), tile.column("low")[0].as_py(), tile.column("high")[0].as_py()
+        lists = tile.column("v").combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends: list[tuple] = []
+        for dims in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(sizes == dims)
+            m = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            good = np.isfinite(m).all(axis=1) & m.any(axis=1)
+            at, m = at[good], tame(m[good])
+            m = m / np.sqrt((m**2).sum(axis=1))[:, None]
+            x, y = np.flatnonzero(block[at] == low), np.flatnonzero(block[at] == high)
+            d = 1.0 - m[x] @ m[y].T
+            i, j = np.nonzero(d < threshold)
+            keep = x[i] < y[j] if low == high else np.ones(len(i), dtype=bool)
+            ends.append((at[x[i[keep]]], at[y[j[keep]]], d[i[keep], j[keep]]))
+        p, q, d = (np.concatenate([e[k] for e in ends]) if ends else np.zeros(0, dtype=np.int64) for k in range(3))
+        ids = tile.column("id").combine_chunks()
+        a, b = ids.take(pa.array(p, pa.int64())), ids.take(pa.array(q, pa.int64()))
+        swap = pc.greater(a, b)
+        g = pa.repeat(tile.column("g")[0], len(a)) if len(a) else tile.column("g").combine_chunks().slice(0, 0)
+        out = pa.table({"g": g, "a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "distance": pa.array(d, pa.float64())})
+        return out.filter(pc.not_equal(out.column("a"), out.column("b")))
+
+    return tiles.select("g", "id", "v", "block", "low", "high").groupBy("g", "low", "high").applyInArrow(near, f"g {g_type}, a {k_type}, b {k_type}, distance double")
 
 
 def route_rooms(summaries: DataFrame, keywords: list[str], rooms: int | None = None) -> DataFrame:

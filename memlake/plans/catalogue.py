@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import checks, dates, embed, text
 from ..functions.vectors import normalised
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, kg, lexical, memories, metrics, near_dup, search, summary, transcript
+from ..operators import classify, collection, context, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, memories, metrics, near_dup, search, summary, transcript
 from ..sources import chats, projects, rooms
-from .tables import D, K, Q, V, drawers, entities, fulltext_index, lexical_index, questions, read, triples, vectors
+from .tables import D, K, Q, V, drawers, entities, fulltext_index, lexical_index, questions, read, triples, vector_lists, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,6 +149,13 @@ def knn_multi_query(s, d):
     return search.knn(v, _queries(v), 5).select("qid", "id", "rank", r6(F.col("distance")).alias("distance"))
 
 
+@query(KNN.format(cond="id <> qid") + f" SELECT qid, id, CAST(rank AS INTEGER) AS rank, {SIX('x')} AS distance FROM k WHERE rank <= 10")
+def knn_pruned(s, d):
+    """Exact nearest rows by inverted lists."""
+    found, _ = inverted.knn(vector_lists(s, d), _queries(vectors(s, d)), 10, others=True)
+    return found.select("qid", "id", "rank", r6(F.col("distance")).alias("distance"))
+
+
 @query(KNN.format(cond="label = 5") + f" SELECT qid, id, {SIX('x')} AS distance FROM k WHERE rank <= 8 AND x <= 1.1")
 def knn_filtered(s, d):
     v = vectors(s, d)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, lexical
+from ..operators import fulltext, inverted, lexical
 from ..session import shared_folder
 
 
@@ -53,27 +53,32 @@ Q = """q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qe, coalesce(b
 _indexes: dict[tuple, str] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str, kind) -> lexical.Index:
-    """An index of all drawers, built by the first query of a session that needs it; another one if the table's files change."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+def _index(spark: SparkSession, sf_dir: str, kind, of=drawers, name: str = "documents") -> str:
+    """The folder of an index, built by the first query of a session that needs it; another one if the table's files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     status, content = system.getFileStatus(path), system.getContentSummary(path)
     key = (kind.__name__, spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), content.getLength())
     if key not in _indexes:
         folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        kind.build(drawers(spark, sf_dir), folder)
+        kind.build(of(spark, sf_dir), folder)
         _indexes[key] = folder
-    return lexical.load(spark, _indexes[key])
+    return _indexes[key]
 
 
 def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """Postings for BM25."""
-    return _index(spark, sf_dir, lexical)
+    return lexical.load(spark, _index(spark, sf_dir, lexical))
 
 
 def fulltext_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """Postings with positions of stems."""
-    return _index(spark, sf_dir, fulltext)
+    return lexical.load(spark, _index(spark, sf_dir, fulltext))
+
+
+def vector_lists(spark: SparkSession, sf_dir: str) -> inverted.Lists:
+    """Inverted lists of all vectors."""
+    return inverted.load(spark, _index(spark, sf_dir, inverted, vectors, "embeddings"))
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
