@@ -64,30 +64,47 @@ NEAR = 2
 MOST = {"person": 15, "project": 10, "uncertain": 8}
 
 
-def signals(docs: DataFrame, names: DataFrame, key: str = "id", text: str = "document", patterns: dict[str, list[str]] = ENGLISH) -> DataFrame:
+def signals(docs: DataFrame, names: DataFrame, key: str = "id", text: str = "document", patterns: dict[str, list[str]] = ENGLISH, lang: Column | None = None, languages: dict[str, tuple[dict[str, list[str]], str]] | None = None) -> DataFrame:
     """(word, one count for each kind of signal) over the documents that hold a name of *names* (word).
 
-    Documents meet names by their own capitalised words, an equality join; patterns then run on such pairs alone. A
-    pronoun counts once for each line that holds the name. Names without a document have no row.
+    Documents meet names by their own capitalised words, an equality join; the names of a document come together before
+    its text is fetched, once, and patterns run over them within the row. A pronoun counts once for each line that holds
+    the name. Names without a document have no row. With *languages* (tag: patterns by kind, pronouns) a text is read by
+    the patterns of its tag *lang*; *patterns* are those of all others.
     """
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}])(\p{Lu}\p{Ll}+)"), 1))
-    met = docs.select(key, F.explode(words).alias("word")).join(names.select("word").distinct(), "word")
-    pairs = met.join(docs.select(key, F.col(text).alias("__t")), key)
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}])(\p{Lu}\p{M}*[\p{Ll}\p{M}]+)"), 1))
+    tag = F.lit("") if lang is None else F.coalesce(lang, F.lit(""))
+    met = docs.select(key, F.explode(words).alias("word")).join(names.select("word").distinct(), "word").groupBy(key).agg(F.collect_set("word").alias("__names"))
+    rows = met.join(docs.select(key, F.col(text).alias("__t"), tag.alias("__tag")), key)
+    every = [(None, (patterns, PRONOUNS)), *(languages or {}).items()]
 
-    def count(template: str, flags: str) -> Column:
+    def count(template: str, flags: str, word: Column) -> Column:
         head, *rest = template.split("{name}")
         parts = [F.lit(flags + head)]
         for r in rest:
-            parts += [F.col("word"), F.lit(r)]
+            parts += [word, F.lit(r)]
         return F.regexp_count("__t", F.concat(*parts))
 
-    counts = {k: reduce(lambda a, b: a + b, [count(t, "(?imU)" if k == "dialogue" else "(?iU)") for t in ts]) for k, ts in patterns.items()}
+    def by_tag(made: list[tuple[str | None, Column]]) -> Column:
+        (_, otherwise), *others = made
+        return reduce(lambda a, b: F.when(F.col("__tag") == b[0], b[1]).otherwise(a), others, otherwise)
+
+    def kind_of(kind: str, word: Column) -> Column:
+        flags = "(?imU)" if kind == "dialogue" else "(?iU)"
+        return by_tag([(k, reduce(lambda a, b: a + b, [count(t, flags, word) for t in own[kind]], F.lit(0))) for k, (own, _) in every])
+
     lines = F.split("__t", "\n")
-    has = lambda x: F.contains(F.lower(x), F.lower(F.col("word")))
-    flags = F.transform(lines, lambda x: F.rlike(x, F.lit("(?iU)" + PRONOUNS)))
-    near = F.filter(F.transform(lines, lambda x, i: F.struct(has(x).alias("a"), F.exists(F.slice(F.col("__p"), F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR)) + NEAR + 1), lambda y: y).alias("b"))), lambda x: x["a"] & x["b"])
-    each = pairs.withColumn("__p", flags).select("word", *[c.alias(k) for k, c in counts.items()], F.size(near).alias("pronoun"))
-    return each.groupBy("word").agg(*[F.sum(k).alias(k) for k in POINTS])
+    flagged = lambda p: F.transform(lines, lambda x: F.rlike(x, F.lit("(?iU)" + p)))
+    flags = by_tag([(k, flagged(p)) for k, (_, p) in every])
+    near = F.transform("__p", lambda _, i: F.exists(F.slice(F.col("__p"), F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR)) + NEAR + 1), lambda y: y))
+
+    def pronouns(word: Column) -> Column:
+        low = F.lower(word)
+        return F.size(F.filter(F.arrays_zip("__l", "__near"), lambda x: x["__near"] & F.contains(x["__l"], low)))
+
+    told = rows.withColumn("__p", flags).withColumns({"__near": near, "__l": F.transform(lines, lambda x: F.lower(x))})
+    each = told.select(F.explode(F.transform("__names", lambda w: F.struct(w.alias("word"), *[(pronouns(w) if k == "pronoun" else kind_of(k, w)).cast("long").alias(k) for k in POINTS]))).alias("s"))
+    return each.select("s.*").groupBy("word").agg(*[F.sum(k).alias(k) for k in POINTS])
 
 
 def classify(candidates: DataFrame, of: DataFrame) -> DataFrame:

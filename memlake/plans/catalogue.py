@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, dates, embed, text
 from ..functions.vectors import normalised
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, memories, metrics, near_dup, search, summary, transcript
+from ..operators import classify, collection, context, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, locales, memories, metrics, near_dup, search, summary, transcript
 from ..sources import chats, projects, rooms
 from .tables import D, K, Q, V, drawers, entities, fulltext_index, lexical_index, questions, read, triples, vector_lists, vectors
 
@@ -1199,6 +1199,68 @@ NAMES_SQL = f"""p AS (SELECT conv_id, turn, {_before('conv_id', 'text', SAID)} A
  g AS (SELECT name AS word, {_counts()}, sum(len(list_filter(l, lambda x, i: contains(lower(x), lower(word)) AND len(list_filter(l[greatest(i - 2, 1):i + 2], lambda y: regexp_matches(y, '(?i){naming.PRONOUNS}'))) > 0))) AS pronoun FROM m GROUP BY 1)"""
 
 
+def _locale_sql() -> str:
+    """Names by maximal runs of word characters, and by runs of capitalised words with nothing but space between."""
+    inside = locales.INSIDE
+    of = lambda pick: "CASE lang " + " ".join(f"WHEN '{k}' THEN {pick(v)}" for k, v in locales.LOCALES.items() if k != "en") + f" ELSE {pick(locales.LOCALES['en'])} END"
+    cap = lambda v: f"'{v.candidate.split('{')[0]}+'"
+    return f"""WITH {D}, x AS (SELECT id, CASE WHEN wing IN ({', '.join(f"'{k}'" for k in locales.LOCALES)}) THEN wing ELSE 'en' END AS lang, regexp_extract_all(coalesce(document, ''), '[{inside}]+|[^{inside}]+') AS l FROM d),
+ t AS (SELECT id, lang, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM x),
+ k AS (SELECT *, regexp_full_match(w, {of(cap)}) AS cap, regexp_full_match(w, {of(lambda v: f"'{v.candidate}'")}) AS one, regexp_full_match(w, '[ \t\n\x0B\f\r]+') AS gap, list_contains({of(lambda v: _list(v.stop))}, lower(w)) AS stop FROM (SELECT DISTINCT lang, w FROM t)),
+ u AS (SELECT id, i, lang, w, cap, one, gap, stop FROM t JOIN k USING (lang, w)),
+ v AS (SELECT *, cap AND coalesce(lag(gap) OVER o AND lag(cap, 2) OVER o, FALSE) AS goes_on FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+ y AS (SELECT *, sum(CASE WHEN cap AND NOT goes_on THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS run, max(CASE WHEN cap THEN i END) OVER (PARTITION BY id ORDER BY i) AS last FROM v),
+ z AS (SELECT lang, id, run, string_agg(w, '' ORDER BY i) AS word FROM (SELECT *, max(CASE WHEN cap THEN i END) OVER (PARTITION BY id, run) AS high, min(CASE WHEN cap THEN i END) OVER (PARTITION BY id, run) AS low FROM y) WHERE i BETWEEN low AND high GROUP BY 1, 2, 3 HAVING count_if(cap) > 1 AND count_if(stop) = 0),
+ n AS (SELECT lang, w AS word FROM u WHERE NOT stop AND one UNION ALL SELECT lang, word FROM z)
+ SELECT lang, word, count(*) AS n FROM n GROUP BY 1, 2 HAVING count(*) >= 3"""
+
+
+@query(lambda: _locale_sql())
+def locale_candidates(s, d):
+    """Names that stand three times or more in the texts of a language, one and several words long."""
+    return locales.candidates(drawers(s, d), lang="wing")
+
+
+#: Sentences in the language of a text, put before it by its id.
+SAID_BY = {
+    "en": ["Hey Marta, thanks!\nMarta said he knows Orbit.\nimport Orbit\n", "Marta wrote to Orbit. She laughed.\nOrbit v2 is out\n"],
+    "de": ["Marta sagte, dass sie kommt.\nhallo Marta, danke Marta\n", "installiert Orbit jetzt\nOrbit v3 läuft, Marta weiß es\n"],
+    "fr": ["Marta a dit oui.\nbonjour Marta, elle rit\n", "le projet Orbit avance, Marta aime Orbit\n"],
+    "es": ["Marta dijo que sí.\nhola Marta, ella\n", "el proyecto Orbit, Marta quiere Orbit\n"],
+}
+
+
+def _said_by_sql() -> str:
+    q = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return "CASE wing " + " ".join(f"WHEN '{k}' THEN CASE id % 2 WHEN 0 THEN {q(a)} ELSE {q(b)} END" for k, (a, b) in SAID_BY.items()) + " ELSE '' END"
+
+
+def _locale_signals_sql() -> str:
+    def one(kind: str, t: str) -> str:
+        body = (("(?im)" if kind == "dialogue" else "(?i)") + t).replace("'", "''").replace("{name}", "' || word || '")
+        return f"len(regexp_extract_all(t, '{body}'))"
+
+    def plain(t: str) -> str:
+        return "".join(c if c < "\x80" else f"q{ord(c)}q" for c in t.lower() if True) if any(c >= "\x80" for c in t) else t
+
+    kinds = [k for k in naming.POINTS if k != "pronoun"]
+    of = lambda pick: "CASE lang " + " ".join(f"WHEN '{k}' THEN {pick(v)}" for k, v in locales.LOCALES.items() if k != "en") + f" ELSE {pick(locales.LOCALES['en'])} END"
+    counts = ", ".join("sum(" + of(lambda v, k=k: "(" + " + ".join(one(k, plain(t)) for t in v.signals[k]) + ")") + f") AS {k}" for k in kinds)
+    return f"""WITH {D}, p AS (SELECT id, coalesce(wing, '') AS lang, {_said_by_sql()} || coalesce(document, '') AS x FROM d), o AS (SELECT id, lang, {_ascii('x')} AS t FROM p),
+ m AS (SELECT o.*, word, string_split(t, chr(10)) AS l FROM o, (VALUES ('marta'), ('orbit')) n(word) WHERE list_contains(regexp_extract_all((SELECT x FROM p WHERE p.id = o.id), '(?:^|[^\\p{{L}}])(\\p{{Lu}}\\p{{M}}*[\\p{{Ll}}\\p{{M}}]+)', 1), upper(word[1]) || word[2:]))
+ SELECT upper(word[1]) || word[2:] AS word, {counts}, sum({of(lambda v: f"len(list_filter(l, lambda x, i: contains(x, word) AND len(list_filter(l[greatest(i - 2, 1):i + 2], lambda y: regexp_matches(y, '(?i){plain(v.pronouns)}'))) > 0))")}) AS pronoun FROM m GROUP BY 1"""
+
+
+@query(lambda: _locale_signals_sql())
+def locale_signals(s, d):
+    """Signals of two names, each text read by the patterns of its language."""
+    first = [F.when(F.col("wing") == k, F.when(F.col("id") % 2 == 0, a).otherwise(b)) for k, (a, b) in SAID_BY.items()]
+    rows = drawers(s, d).select("id", "wing", F.concat(F.coalesce(*first, F.lit("")), F.coalesce("document", F.lit(""))).alias("document"))
+    named = s.createDataFrame([("Marta",), ("Orbit",)], "word string")
+    by = {k: (v.signals, v.pronouns) for k, v in locales.LOCALES.items() if k != "en"}
+    return naming.signals(rows, named, lang=F.col("wing"), languages=by)
+
+
 @query(f"WITH {NAMES_SQL} SELECT word, dialogue, action, pronoun, addressed, verb, versioned, code FROM g")
 def entity_signals(s, d):
     rows = read(s, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), _put_before("conv_id", "text", SAID).alias("document"))
