@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import entity_id, preview
 from . import kg
 from .collection import newest, top
+from .names import known_names
 from .search import search_memories
 
 
@@ -17,8 +18,6 @@ NO_NAMES = [
     "about", "tell", "show", "find", "search", "look", "get", "give", "list", "any", "all", "some", "most", "last", "first", "recent", "new", "old", "other", "know", "known", "remember", "recall", "much", "many",
     "this", "that", "these", "those", "with", "from", "into", "for", "and", "but", "not", "also", "just", "only", "very", "more", "less", "then", "than", "here", "there",
 ]
-#: Words of the longest name that is looked for.
-LONGEST = 5
 #: A capitalised word that opens neither the question nor a sentence, and one that opens the question.
 INNER = r"(?<!\.\s)(?<!^)\b([A-Z][a-z]+)\b"
 OPENING = r"^([A-Z][a-z]+)\b"
@@ -29,14 +28,12 @@ def question_names(questions: DataFrame, entities: DataFrame) -> DataFrame:
 
     Known entities come first, by name: those whose words stand in the question one after another, whatever the case
     and what separates them. Then capitalised words within sentences, then the first word, if they are no common words.
-    Names are found by equality of word groups, so neither side is broadcast nor met pair by pair.
+    Names may have any number of words.
     """
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    named = entities.where("name <> ''").select("name", F.array_join(words(F.col("name")), " ").alias("__g")).distinct()
+    named = entities.where("name <> ''").select("name", words(F.col("name")).alias("__g"))
     asked = questions.select("qid", "question", words(F.col("question")).alias("__w"))
-    group = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("__w"), i, n), " "))
-    groups = F.array_distinct(F.flatten(F.array(*[group(n) for n in range(1, LONGEST + 1)])))
-    known = asked.select("qid", F.explode(groups).alias("__g")).join(named, "__g").select("qid", "name", F.lit(0).alias("kind"), F.lit(0).alias("at"))
+    known = known_names(asked, "__w", "qid", named, "__g").select("qid", "name", F.lit(0).alias("kind"), F.lit(0).alias("at"))
     found = lambda p: F.regexp_extract_all("question", F.lit(p), 1)
     capitals = [asked.select("qid", F.posexplode(found(p)).alias("at", "name")).select("qid", "name", F.lit(k).alias("kind"), "at") for k, p in ((1, INNER), (2, OPENING))]
     other = capitals[0].unionByName(capitals[1]).where(~F.lower("name").isin(NO_NAMES))

@@ -192,7 +192,9 @@ WORD_CONTEXTS = [
 ]
 
 
-def _contexts(word: Column, context: Column, templates: list[str]) -> Column:
+def contexts(word: Column, context: Column, templates: list[str]) -> Column:
+    """How many of the templates a word (lower-cased, like its context) stands in."""
+
     def met(template: str) -> Column:
         head, tail = template.split("{name}")
         return F.rlike(context, F.concat(F.lit("(?U)" + head), F.lit(r"\Q"), word, F.lit(r"\E" + tail))).cast("int")
@@ -213,7 +215,7 @@ def lookup(words: DataFrame, registry: DataFrame) -> DataFrame:
     low = F.lower("word")
     met = words.withColumn("low", low).join(best, "low", "left")
     context = F.lower(F.coalesce("context", F.lit("")))
-    met = met.withColumn("__n", _contexts(F.col("low"), context, NAME_CONTEXTS)).withColumn("__w", _contexts(F.col("low"), context, WORD_CONTEXTS))
+    met = met.withColumn("__n", contexts(F.col("low"), context, NAME_CONTEXTS)).withColumn("__w", contexts(F.col("low"), context, WORD_CONTEXTS))
     unsure = F.coalesce((F.col("r.kind") == "person") & F.col("r.ambiguous"), F.lit(False)) & (context != "") & (F.col("__n") != F.col("__w"))
     name = unsure & (F.col("__n") > F.col("__w"))
     kind = F.when(unsure & ~name, "concept").otherwise(F.coalesce("r.kind", F.lit("unknown")))

@@ -78,8 +78,9 @@ def with_preferences(haystack: DataFrame, texts: str = "document") -> DataFrame:
     A made-up document has the vector of its original, as vectors are made elsewhere; it stands behind all real ones.
     """
     told = haystack.withColumn("__p", preferences(F.col(texts))).where(F.size("__p") > 0)
-    made = told.withColumn("document", F.concat(F.lit("User has mentioned: "), F.array_join("__p", "; "))).withColumn("position", F.col("position") + 1_000_000).drop("__p")
-    return haystack.unionByName(made)
+    behind = haystack.groupBy("qid").agg((F.max("position") + 1).alias("__n"))
+    made = told.join(behind, "qid").withColumn("document", F.concat(F.lit("User has mentioned: "), F.array_join("__p", "; "))).withColumn("position", F.col("position") + F.col("__n"))
+    return haystack.unionByName(made.select(*haystack.columns))
 
 
 def near(haystack: DataFrame, questions: DataFrame, k: int, vector: str = "embedding") -> DataFrame:

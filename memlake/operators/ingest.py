@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .collection import top
+from .names import known_names
 from .summary import NAME, NO_NAMES, WINDOW, WORD
 
 #: Characters of a text in which keywords of rooms are counted; names told of a drawer.
@@ -48,19 +49,15 @@ def room_of(path: Column, content: Column, rooms: list[dict]) -> Column:
     return F.coalesce(F.try_element_at(told, F.lit(1)), by_stem, by_words, F.lit(GENERAL))
 
 
-def names_of(docs: DataFrame, known: DataFrame, key: str = "id", text: str = "document", longest: int = 4) -> DataFrame:
+def names_of(docs: DataFrame, known: DataFrame, key: str = "id", text: str = "document") -> DataFrame:
     """(key, entities): the names told of each text, in alphabetical order, joined by semicolons, at most 25.
 
-    Known names (name) whose words stand in the text one after another, case and all; and capitalised words met twice or
-    more at the text's beginning that are no common ones. Known names are found by equality of word groups. Texts
-    without a name have none.
+    Known names (name), of any number of words, that stand in the text one word after another, case and all; and
+    capitalised words met twice or more at the text's beginning that are no common ones. Texts without a name have none.
     """
     words = lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
     rows = docs.select(key, F.coalesce(text, F.lit("")).alias("__t"), words(F.coalesce(text, F.lit(""))).alias("__w"))
-    group = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("__w"), i, n), " "))
-    groups = F.array_distinct(F.flatten(F.array(*[group(n) for n in range(1, longest + 1)])))
-    forms = known.where("name <> ''").select("name", F.array_join(words(F.col("name")), " ").alias("__g")).distinct()
-    met = rows.select(key, F.explode(groups).alias("__g")).join(forms, "__g").select(key, "name")
+    met = known_names(rows, "__w", key, known.where("name <> ''").select("name", words(F.col("name")).alias("__g")), "__g")
     begun = rows.select(key, F.explode(words(F.substring("__t", 1, WINDOW))).alias("name")).where(F.rlike("name", F.lit(NAME)) & (F.length("name") > 2) & ~F.col("name").isin(NO_NAMES))
     often = begun.groupBy(key, "name").agg(F.count("*").alias("n")).where("n >= 2").select(key, "name")
     kept = top(met.unionByName(often).distinct(), MOST_NAMES, [F.col("name")], [key])

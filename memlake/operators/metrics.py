@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, tokens
+from ..functions.text import normalised_answer, strip, tokens
 
 
 def recall(ranked: DataFrame, k: int) -> DataFrame:
@@ -32,6 +32,17 @@ def token_f1(pairs: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
     return sums.select(*key, F.when(F.col("c") > 0, 2.0 * F.col("c") / (F.col("x") + F.col("y"))).otherwise(0.0).alias("f1"))
 
 
+def answer_f1(pairs: DataFrame, predicted: str, truth: str, key: list[str]) -> DataFrame:
+    """(key, f1): F1 of the words of two answers, both normalised, as multisets; 1 if both are empty, 0 if one is. Null counts as empty."""
+    words = lambda c: F.filter(F.split(normalised_answer(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
+    rows = pairs.select(*key, words(F.col(predicted)).alias("__p"), words(F.col(truth)).alias("__t"))
+    each = rows.select(*key, F.size("__p").alias("p"), F.size("__t").alias("t"), F.explode_outer(F.array_distinct("__p")).alias("w"), "__p", "__t")
+    times = lambda words: F.size(F.filter(words, lambda x: x == F.col("w")))
+    sums = each.withColumn("c", F.coalesce(F.least(times("__p"), times("__t")), F.lit(0))).groupBy(*key, "p", "t").agg(F.sum("c").alias("c"))
+    f1 = F.when((F.col("p") == 0) | (F.col("t") == 0), (F.col("p") == F.col("t")).cast("double")).when(F.col("c") == 0, 0.0).otherwise(2.0 * F.col("c") / (F.col("p") + F.col("t")))
+    return sums.select(*key, f1.alias("f1"))
+
+
 def kendall_tau(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     """Tau of two rankings (qid, id, rank) over the items that both hold; the lists are top-k reports."""
     both = a.select("qid", key, F.col("rank").alias("ra")).join(b.select("qid", key, F.col("rank").alias("rb")), ["qid", key])

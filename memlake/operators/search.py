@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import logging
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import TOKEN, overlap
 from ..functions.vectors import cosine_distance, norm
@@ -18,6 +24,8 @@ from . import fulltext, lexical
 from .collection import fields_of, top
 from .where import compile_where
 
+_log = logging.getLogger(__name__)
+_TOKEN = regex.compile(TOKEN)
 #: Boost by the rank of the best index row of a source, and the distance up to which it counts.
 BOOSTS = (0.40, 0.25, 0.15, 0.08, 0.04)
 BOOST_DISTANCE = 1.5
@@ -229,19 +237,59 @@ def hybrid_query(rows: DataFrame, queries: DataFrame, index: lexical.Index, k: i
     return top(found, k, [F.round("rrf", 9).desc(), F.col("id")], ["qid"]).join(kept.drop("embedding"), "id")
 
 
-def routed_search(rows: DataFrame, queries: DataFrame, index: lexical.Index | None, k: int = 10, max_distance: float = 0.0, where: dict | None = None, rerank=None) -> DataFrame:
-    """Fused search, or plain vector search without an index; then an optional rerank; then the bound on the distance.
-
-    *rerank* takes the hits (with question) and returns them with a column ``rank`` of its own. Says by which method.
+def routed_search(rows: DataFrame, queries: DataFrame, index: lexical.Index | None, k: int = 10, max_distance: float = 0.0, where: dict | None = None, scorer: Callable[[str, list[str]], list[float]] | None = None) -> DataFrame:
+    """Fused search, or plain vector search if there is no index or it can't be read; then a rerank if a scorer is given;
+    then the bound on the distance. *search_method* says for each question by what.
     """
-    hits = knn(rows, queries, k, where=where) if index is None else hybrid_query(rows, queries, index, k, where=where)
-    method = "vector" if index is None else "hybrid"
-    if rerank is not None:
-        hits, method = rerank(hits.join(queries.select("qid", "question"), "qid")), method + "+rerank"
-    hits = hits.withColumn("search_method", F.lit(method))
+    hits, method = None, F.lit("hybrid")
+    if index is not None:
+        try:
+            hits = hybrid_query(rows, queries, index, k, where=where)
+        except (AnalysisException, SparkRuntimeException) as e:  # an index that is gone or of another kind
+            _log.warning("fused search failed, by vectors alone: %s", str(e).split("\n")[0])
+    if hits is None:
+        hits, method = knn(rows, queries, k, where=where), F.lit("vector")
+    if scorer is not None:
+        hits = rerank(hits, queries, scorer)
+        method = F.concat(method, F.when(F.col("reranked"), "+rerank").otherwise(""))
+    hits = hits.withColumn("search_method", method)
     return hits.where(F.col("distance") <= max_distance) if max_distance > 0 else hits
 
 
+def overlap_scores(question: str, texts: list[str]) -> list[float]:
+    """A scorer without a model: the question's tokens that a text holds, each the heavier the fewer of the texts hold it."""
+    asked = set(_TOKEN.findall(question.lower()))
+    held = [asked & set(_TOKEN.findall((t or "").lower())) for t in texts]
+    df = Counter(w for own in held for w in own)
+    return [sum(math.log(1 + len(texts) / df[w]) for w in own) for own in held]
+
+
+def rerank(hits: DataFrame, queries: DataFrame, scorer: Callable[[str, list[str]], list[float]] = overlap_scores, text: str = "document", by: str = "rank") -> DataFrame:
+    """The hits (qid, id, ...) ranked anew by a scorer that sees a question and all its candidates' texts at once.
+
+    Candidates of a question, which are a top-k report, are one Arrow group. Scores go by size, rounded to nine digits,
+    then by the rank before. If the scorer fails for a question, or doesn't give a number for each text, that question
+    keeps its order and *reranked* is false.
+    """
+    met = hits.join(queries.select("qid", "question"), "qid")
+    schema = T.StructType([f for f in met.schema.fields if f.name not in (by, "question")] + [T.StructField(by, T.IntegerType()), T.StructField("reranked", T.BooleanType())])
+    names = [f.name for f in schema]
+
+    def scored(group: pa.Table) -> pa.Table:
+        group = group.sort_by(by)
+        try:
+            scores = [round(float(x), 9) for x in scorer(group.column("question")[0].as_py() or "", [t or "" for t in group.column(text).to_pylist()])]
+            good = len(scores) == group.num_rows and all(map(math.isfinite, scores))
+        except Exception:  # a scorer is the caller's code; the fused order stands, and says so
+            good = False
+        order = sorted(range(group.num_rows), key=lambda i: -scores[i]) if good else range(group.num_rows)
+        out = group.take(pa.array(list(order), pa.int64())).drop_columns([by, "question"])
+        out = out.append_column(by, pa.array(range(1, out.num_rows + 1), pa.int32())).append_column("reranked", pa.array([good] * out.num_rows))
+        return out.select(names)
+
+    return met.groupBy("qid").applyInArrow(scored, schema)
+
+
 def boost(hits: DataFrame, index_hits: DataFrame, source: str = "source_file") -> DataFrame:
     """Effective distance: a source's best index row of the same question lowers it by rank.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, dates, embed, text
 from ..functions.vectors import normalised
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, locales, memories, metrics, near_dup, search, summary, transcript
+from ..operators import classify, collection, context, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, locales, memories, metrics, near_dup, registry, search, summary, transcript
 from ..sources import chats, projects, rooms
 from .tables import D, K, Q, V, drawers, entities, fulltext_index, lexical_index, questions, read, triples, vector_lists, vectors
 
@@ -367,13 +367,24 @@ def rrf_fulltext(s, d):
     return search.hybrid_query(_embedded(s, d), _phrased(s, d), fulltext_index(s, d), where={"wing": "en"}, exact=True).select("qid", "id", "rank", r6(F.col("rrf")).alias("rrf"), r6(F.col("distance")).alias("distance"))
 
 
+@query(lambda: KNN.format(cond="id IN (SELECT id FROM d WHERE wing = 'en')").replace("WITH ", f"WITH {D}, ", 1) + f", {ASKS}, {BMALL}" + FUSE.format(cond="wing = 'en'").replace("SELECT qid, id, CAST(n AS INTEGER) AS rank", ", g AS (SELECT qid, id, n, document FROM o JOIN d USING (id) WHERE n <= 30), "
+ f"gt AS (SELECT DISTINCT qid, id, unnest({SPLIT.format(x='document')}) AS t FROM g), gh AS (SELECT qid, id, t, count(*) OVER (PARTITION BY qid, t) AS c FROM gt JOIN tq USING (qid, t)), gn AS (SELECT qid, count(*) AS n_all FROM g GROUP BY 1), "
+ "gs AS (SELECT qid, id, sum(ln(1 + n_all / CAST(c AS DOUBLE))) AS s FROM gh JOIN gn USING (qid) GROUP BY 1, 2) SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(s, 0), 9) DESC, n) AS INTEGER) AS rank, TRUE AS reranked FROM g LEFT JOIN gs USING (qid, id) --"))
+def reranked(s, d):
+    """Fused hits of every question, put in order by a scorer that sees a question's candidates together."""
+    asked = questions(s, d)
+    hits = search.hybrid_query(_embedded(s, d), asked, lexical_index(s, d), 30, where={"wing": "en"})
+    return search.rerank(hits, asked).select("qid", "id", "rank", "reranked")
+
+
 SRC = "'f' || CAST({id} // 5 AS VARCHAR)"
 #: Index rows point to a source in no relation to their vector.
-LINE = "'f' || CAST(({id} * 3) % 100 AS VARCHAR)"
+LINE = "'f' || CAST(({id} * 3) % (SELECT greatest(count(*) // 5, 1) FROM documents) AS VARCHAR)"
 
 
 def _index(s, d):
-    return vectors(s, d).withColumn("source_file", F.concat(F.lit("f"), (F.col("id") * 3) % 100))
+    sources = max(1, read(s, d, "documents").count() // 5)  # rows point to all of them
+    return vectors(s, d).withColumn("source_file", F.concat(F.lit("f"), (F.col("id") * 3) % sources))
 
 
 BOOST = f"""i0 AS (SELECT qid, {LINE.format(id='id')} AS sf, list_cosine_distance(e, qe) AS x, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_distance(e, qe), id) AS r FROM v, q),
@@ -677,6 +688,26 @@ def kg_similar_entities(s, d):
     return kg.similar_names(c, "Customer#000000012").withColumn("similarity", r6(F.col("similarity")))
 
 
+PLAIN = "regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g')"
+
+
+def _answer_sql() -> str:
+    words = lambda x: f"list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(replace({PLAIN.format(x=x)}, ',', ''), '\\b(a|an|the|and)\\b', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r\\x1c-\\x1f]+', ' ', 'g'), '[!-/:-@\\[-`{{-~]', '', 'g')), ' '), lambda w: w <> '')".replace("{{", "{")
+    return f"""WITH p AS (SELECT a.conv_id, a.turn, {words('a.text')} AS x, {words('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+ c AS (SELECT *, list_sum([least(len(list_filter(x, lambda z: z = w)), len(list_filter(y, lambda z: z = w))) FOR w IN list_distinct(x)]) AS c FROM p)
+ SELECT conv_id, turn, {SIX('CASE WHEN len(x) = 0 OR len(y) = 0 THEN CAST(len(x) = len(y) AS DOUBLE) WHEN c = 0 THEN 0 ELSE 2.0::DOUBLE * c / (len(x) + len(y)) END')} AS f1 FROM c"""
+
+
+@query(lambda: _answer_sql())
+def answer_f1(s, d):
+    """F1 of normalised answers: what a user says and what is answered, without letters beyond ASCII, whose words engines bound differently."""
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
+    c = read(s, d, "conversations")
+    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), plain("text").alias("y"))
+    pairs = c.where("role = 'user'").select("conv_id", "turn", plain("text").alias("x")).join(b, ["conv_id", "turn"])
+    return metrics.answer_f1(pairs, "x", "y", ["conv_id", "turn"]).withColumn("f1", r6(F.col("f1")))
+
+
 NAMES = "nm AS (SELECT DISTINCT substring(c_name, 10) AS name FROM customer)"
 
 
@@ -1267,16 +1298,58 @@ def entity_signals(s, d):
     return naming.signals(rows, classify.entity_candidates(rows))
 
 
-@query(f"""WITH {NAMES_SQL}, z AS (SELECT c.word, c.n, 3 * dialogue + 2 * action + 2 * pronoun + 4 * addressed AS ps, 2 * verb + 3 * versioned + 3 * code AS js, CAST(dialogue > 0 AS INT) + CAST(action > 0 AS INT) + CAST(pronoun > 0 AS INT) + CAST(addressed > 0 AS INT) AS k FROM c JOIN g USING (word)),
+TYPES_SQL = f"""WITH {NAMES_SQL}, z AS (SELECT c.word, c.n, 3 * dialogue + 2 * action + 2 * pronoun + 4 * addressed AS ps, 2 * verb + 3 * versioned + 3 * code AS js, CAST(dialogue > 0 AS INT) + CAST(action > 0 AS INT) + CAST(pronoun > 0 AS INT) + CAST(addressed > 0 AS INT) AS k FROM c JOIN g USING (word)),
  y AS (SELECT *, CASE WHEN ps + js = 0 THEN NULL ELSE ps / CAST(ps + js AS DOUBLE) END AS r FROM z)
  SELECT word, n, ps AS person_score, js AS project_score, CASE WHEN r IS NULL THEN 'uncertain' WHEN r >= 0.7 THEN CASE WHEN k >= 2 AND ps >= 5 THEN 'person' ELSE 'uncertain' END WHEN r <= 0.3 THEN 'project' ELSE 'uncertain' END AS type,
- floor(CASE WHEN r IS NULL THEN least(0.4, n / 50.0) WHEN r >= 0.7 THEN CASE WHEN k >= 2 AND ps >= 5 THEN least(0.99, 0.5 + r * 0.5) ELSE 0.4 END WHEN r <= 0.3 THEN least(0.99, 0.5 + (1 - r) * 0.5) ELSE 0.5 END * 100 + 0.5) / 100 AS confidence FROM y""")
+ floor(CASE WHEN r IS NULL THEN least(0.4, n / 50.0) WHEN r >= 0.7 THEN CASE WHEN k >= 2 AND ps >= 5 THEN least(0.99, 0.5 + r * 0.5) ELSE 0.4 END WHEN r <= 0.3 THEN least(0.99, 0.5 + (1 - r) * 0.5) ELSE 0.5 END * 100 + 0.5) / 100 AS confidence FROM y"""
+
+
+@query(TYPES_SQL)
 def entity_types(s, d):
     rows = read(s, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), _put_before("conv_id", "text", SAID).alias("document"))
     candidates = classify.entity_candidates(rows)
     return naming.classify(candidates, naming.signals(rows, candidates))
 
 
+@query(f"WITH t AS ({TYPES_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY confidence DESC, n DESC, word) AS rank FROM t) SELECT word, n, person_score, project_score, type, confidence, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= CASE type WHEN 'person' THEN 15 WHEN 'project' THEN 10 ELSE 8 END")
+def entity_report(s, d):
+    return naming.report(entity_types(s, d))
+
+
+def _batch_sql(k: int) -> str:
+    return TYPES_SQL.replace("AS t FROM conversations)", f"AS t FROM conversations WHERE conv_id % 2 = {k})", 1)
+
+
+@query(lambda: f"""WITH a AS ({_batch_sql(0)}), b AS ({_batch_sql(1)}), seed AS (SELECT 'Max' AS name, 'person' AS kind, ['Maxwell'] AS alias UNION ALL SELECT 'Maxwell', 'person', ['Max'] UNION ALL SELECT 'Orbit', 'project', []),
+ l AS (SELECT word, confidence, n, 1 AS batch FROM a WHERE type = 'person' AND confidence >= 0.75 AND word NOT IN (SELECT name FROM seed)), m AS (SELECT word, confidence, n FROM b WHERE type = 'person' AND confidence >= 0.75 AND word NOT IN (SELECT name FROM seed UNION SELECT word FROM l))
+ SELECT name, kind, array_to_string(alias, ',') AS alias, 1.0::DOUBLE AS confidence, 'onboarding' AS source, name = 'Max' AS ambiguous, CAST(0 AS BIGINT) AS seen FROM seed
+ UNION ALL SELECT word, 'person', '', confidence, 'learned', word = 'Ben', n FROM (SELECT word, confidence, n FROM l UNION ALL SELECT * FROM m)""")
+def registry_learned(s, d):
+    """A registry told of two names and a project, then shown the conversations in two batches, the second one twice."""
+    rows = read(s, d, "conversations").select("conv_id", F.concat_ws("/", "conv_id", "turn").alias("id"), _put_before("conv_id", "text", SAID).alias("document"))
+    common = s.createDataFrame([("max",), ("BEN",)], "word string")
+    known = registry.seeded(s.createDataFrame([("Maxwell", "Max")], "name string, alias string"), s.createDataFrame([("Orbit",)], "name string"), common)
+    for batch in (0, 1, 1):
+        known = registry.learned(known, rows.where(F.col("conv_id") % 2 == batch), common)
+    return known.withColumn("alias", F.array_join("alias", ","))
+
+
+@query(lambda: f"""WITH {D}, w AS (SELECT id, regexp_extract_all(lower(document), '[\\p{{L}}\\p{{N}}_]+') AS w, document FROM d), q AS (SELECT id AS qid, ' ' || array_to_string(w, ' ') || ' ' AS t FROM w WHERE id % 50 = 0),
+ r AS (SELECT id, array_to_string(w[1:1 + id // 25 % 4], ' ') AS name, array_to_string(w[5:6 + id // 25 % 5], ' ') AS alias FROM w WHERE id % 25 = 0 AND len(w) > 0), f AS (SELECT name, name AS form FROM r UNION SELECT name, alias FROM r WHERE alias <> '' UNION SELECT alias, name FROM r WHERE alias <> '')
+ SELECT DISTINCT qid, name FROM q JOIN f ON contains(t, ' ' || form || ' ')""")
+def people_in_question(s, d):
+    """The people of a registry that texts speak of: names and aliases of one to six words, taken from other texts."""
+    words = F.regexp_extract_all(F.lower("document"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    part = lambda a, n: F.array_join(F.slice("w", F.lit(a), n), " ")
+    rows = drawers(s, d).where("id % 25 = 0").select("id", words.alias("w")).where("size(w) > 0")
+    step = F.expr("id div 25").cast("int")
+    told = rows.select(part(1, step % 4 + 1).alias("name"), part(5, step % 5 + 2).alias("alias"))
+    none = s.createDataFrame([], "word string")
+    known = registry.seeded(told, s.createDataFrame([], "name string"), none)
+    asked = drawers(s, d).where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("document").alias("question"))
+    return registry.people_in(asked, known)
+
+
 def _first_codes_sql(x: str, words: dict[str, str]) -> str:
     pos = {v: "CASE " + " ".join(f"WHEN contains(lower({x}), '{k}') THEN {i}" for i, (k, w) in enumerate(words.items()) if w == v) + " END" for v in dict.fromkeys(words.values())}
     pairs = ", ".join(f"{{'p': {e}, 'v': '{v}'}}" for v, e in pos.items())
@@ -1458,18 +1531,23 @@ def room_routed(s, d):
     return drawers(s, d).select("id", ingest.room_of(path, F.col("document"), ROOMS).alias("told"))
 
 
-@query(lambda: f"""WITH {D}, k AS (SELECT unnest(['License', 'the', 'MIT License', 'Der', 'nothing here']) AS name), w AS (SELECT id, regexp_extract_all(document, '{summary.WORD}') AS w, regexp_extract_all(substring(document, 1, {summary.WINDOW}), '{summary.WORD}') AS b FROM d),
+@query(lambda: f"""WITH {D}, w AS (SELECT id, regexp_extract_all(document, '{summary.WORD}') AS w, regexp_extract_all(substring(document, 1, {summary.WINDOW}), '{summary.WORD}') AS b FROM d),
+ k AS (SELECT unnest(['License', 'the', 'MIT License', 'Der', 'nothing here']) AS name UNION SELECT array_to_string(w[1:1 + id // 50 % 8], ' ') FROM w WHERE id % 50 = 0 AND len(w) > 0),
  m AS (SELECT id, name FROM w, k WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || name || ' ')), u AS (SELECT id, unnest(b) AS name FROM w),
  o AS (SELECT id, name FROM u WHERE regexp_matches(name, '{summary.NAME}') AND len(name) > 2 AND NOT list_contains({_list(summary.NO_NAMES)}, name) GROUP BY 1, 2 HAVING count(*) >= 2), a AS (SELECT * FROM m UNION SELECT * FROM o),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY name) AS n FROM a) SELECT id, string_agg(name, ';' ORDER BY name) AS entities FROM r WHERE n <= 25 GROUP BY 1""")
 def entity_metadata(s, d):
+    """Some known names, and the first one to eight words of some texts."""
+    words = F.slice(F.regexp_extract_all("document", F.lit(summary.WORD), F.lit(0)), F.lit(1), (F.expr("id div 50") % 8 + 1).cast("int"))
+    begun = drawers(s, d).where("id % 50 = 0").select(F.array_join(words, " ").alias("name"))
     known = s.createDataFrame([("License",), ("the",), ("MIT License",), ("Der",), ("nothing here",)], "name string")
-    return ingest.names_of(drawers(s, d), known)
+    return ingest.names_of(drawers(s, d), known.union(begun).distinct())
 
 
-@query(f"WITH {D}, i AS (SELECT id, id % 7 AS k FROM d), e AS (SELECT id, unnest([id, (id + k) % 1000, id + 100000000]) AS x, unnest([0, 1, 2]) AS place FROM i), f AS (SELECT id, x, min(place) AS place FROM e GROUP BY 1, 2) SELECT f.id AS index_id, place, CAST(x AS VARCHAR) AS drawer, document FROM f JOIN d ON d.id = x")
+@query(f"WITH {D}, i AS (SELECT id, id % 7 AS k FROM d), e AS (SELECT id, unnest([id, (id + k) % (SELECT count(*) FROM documents), id + 100000000]) AS x, unnest([0, 1, 2]) AS place FROM i), f AS (SELECT id, x, min(place) AS place FROM e GROUP BY 1, 2) SELECT f.id AS index_id, place, CAST(x AS VARCHAR) AS drawer, document FROM f JOIN d ON d.id = x")
 def pointed_drawers(s, d):
-    lines = drawers(s, d).select("id", F.concat(F.lit("topic|A;B|→"), "id", F.lit(","), (F.col("id") + F.col("id") % 7) % 1000, F.lit("\nother||→"), F.col("id") + 100000000, F.lit(","), "id").alias("text"))
+    n = read(s, d, "documents").count()
+    lines = drawers(s, d).select("id", F.concat(F.lit("topic|A;B|→"), "id", F.lit(","), (F.col("id") + F.col("id") % 7) % n, F.lit("\nother||→"), F.col("id") + 100000000, F.lit(","), "id").alias("text"))
     return ingest.pointed_drawers(lines, drawers(s, d))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,content:string>>"
@@ -32,18 +32,21 @@ def session_memory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return asked, out.where("document <> ''")
 
 
-def dialogs(spark: SparkSession, path: str, sessions: int = 40) -> tuple[DataFrame, DataFrame]:
+def dialogs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Questions (qid, question, answer, category, evidence) and haystacks by turn (qid, corpus_id, position, document, session, date).
 
-    Each entry holds a conversation with fields session_1, session_1_date_time and so on, and questions of its own.
+    Each entry holds a conversation with fields session_1, session_1_date_time and so on, as many as there are, and
+    questions of its own. A turn's position is its place among all turns of the conversation.
     """
-    fields = ", ".join(f"session_{i}: {DIALOG}, session_{i}_date_time: string" for i in range(1, sessions + 1))
-    rows = _read(spark, path, f"sample_id string, conversation struct<{fields}>, qa array<struct<question:string,answer:string,category:int,evidence:array<string>>>")
+    rows = _read(spark, path, "sample_id string, conversation map<string,string>, qa array<struct<question:string,answer:string,category:int,evidence:array<string>>>")
     asked = rows.select("sample_id", F.posexplode("qa").alias("n", "q")).select(F.concat_ws("/", "sample_id", "n").alias("qid"), "sample_id", "q.*")
-    every = F.array(*[F.struct(F.lit(i).alias("session"), F.col(f"conversation.session_{i}_date_time").alias("date"), F.col(f"conversation.session_{i}").alias("turns")) for i in range(1, sessions + 1)])
-    each = rows.select("sample_id", F.explode(every).alias("s")).where("s.turns is not null").select("sample_id", "s.session", "s.date", F.posexplode("s.turns").alias("at", "t"))
+    fields = rows.select("sample_id", "conversation", F.explode("conversation").alias("name", "value"))
+    number = F.regexp_extract("name", r"^session_([0-9]+)$", 1)
+    held = fields.where(number != "").select("sample_id", number.cast("int").alias("session"), F.try_element_at("conversation", F.concat("name", F.lit("_date_time"))).alias("date"), F.from_json("value", DIALOG).alias("turns"))
+    each = held.where("turns IS NOT NULL").select("sample_id", "session", "date", F.posexplode("turns").alias("at", "t"))
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("session", "at")) - 1
     text = F.concat("t.speaker", F.lit(' said, "'), "t.text", F.lit('"'))
-    turns = each.select("sample_id", F.coalesce("t.dia_id", F.concat(F.lit("D"), "session", F.lit(":?"))).alias("corpus_id"), (F.col("session") * 100_000 + F.col("at")).alias("position"), text.alias("document"), "session", "date")
+    turns = each.select("sample_id", F.coalesce("t.dia_id", F.concat(F.lit("D"), "session", F.lit(":?"))).alias("corpus_id"), place.alias("position"), text.alias("document"), "session", "date")
     return asked.drop("sample_id"), asked.select("qid", "sample_id").join(turns, "sample_id").drop("sample_id")
 
 

@@ -26,6 +26,23 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("source_file"), F.col("value").alias("content"))
 
 
+#: Kinds of files that hold conversations, what side files end in, and the largest file that is read.
+KINDS, SIDE, LARGEST = (".txt", ".md", ".json", ".jsonl"), ".meta.json", 500 * 1024 * 1024
+
+
+def conversation_files(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, content) of the files below a path that may be conversations: by kind, without side files, files in
+    folders of tools, and files too large. Others aren't opened, as the conditions are on what the listing knows.
+    """
+    from .projects import SKIPPED
+
+    file = F.col("_metadata.file_path")
+    low, folders = F.lower(file), F.split(file, "/")
+    known = reduce(lambda a, b: a | b, [F.endswith(low, F.lit(k)) for k in KINDS])
+    good = known & ~F.endswith(low, F.lit(SIDE)) & (F.col("_metadata.file_size") <= LARGEST) & ~F.exists(F.slice(folders, 1, F.size(folders) - 1), lambda x: x.isin(*SKIPPED))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).where(good).select(file.alias("source_file"), F.col("value").alias("content"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, line_no, line). Numbers follow the file's order; a file is one group."""
     content = files(spark, path)
@@ -297,12 +314,12 @@ QUOTED = 3
 
 
 def normalise(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, conversation, document) of every file below a path: chat exports as transcripts, all else as it is.
+    """(source_file, conversation, document) of every file below a path that may be one: chat exports as transcripts, all else as it is.
 
     A file with three quoted lines or more is a transcript already. Others that look like JSON are tried as session log,
     event log, web export, message tree and channel; the first that gives a conversation of two messages counts.
     """
-    content = files(spark, path)
+    content = conversation_files(spark, path)
     quoted = F.size(F.filter(F.split("content", "\n"), lambda x: F.startswith(strip(x), F.lit(">")))) >= QUOTED
     jsonlike = F.rlike(F.lower("source_file"), F.lit(r"\.jsonl?$")) | F.substring(strip(F.col("content")), 1, 1).isin("{", "[")
     tried = content.where(~quoted & jsonlike & (strip(F.col("content")) != ""))

@@ -27,11 +27,19 @@ def test_session_memory(spark, tmp_path):
 
 def test_dialogs(spark, tmp_path):
     entry = {"sample_id": "c1", "conversation": {"session_1": [{"speaker": "A", "dia_id": "D1:1", "text": "hi"}], "session_1_date_time": "May", "session_2": [{"speaker": "B", "text": "yo"}]}, "qa": [{"question": "q?", "answer": "x", "category": 2, "evidence": ["D1:1"]}, {"question": "r?", "category": 1}]}
-    asked, hay = benchmarks.dialogs(spark, put(tmp_path / "b.json", [entry]), 5)
+    asked, hay = benchmarks.dialogs(spark, put(tmp_path / "b.json", [entry]))
     assert {r.qid: (r.question, r.evidence) for r in asked.collect()} == {"c1/0": ("q?", ["D1:1"]), "c1/1": ("r?", None)}
     assert [(r.corpus_id, r.document) for r in hay.where("qid = 'c1/0'").orderBy("position").collect()] == [("D1:1", 'A said, "hi"'), ("D2:?", 'B said, "yo"')]
 
 
+def test_dialogs_of_any_number_of_sessions(spark, tmp_path):
+    many = {f"session_{i}": [{"speaker": "A", "dia_id": f"D{i}:{k}", "text": "x"} for k in range(3)] for i in range(1, 61)} | {"session_60_date_time": "June", "speaker_a": "A", "session_x": "no"}
+    _, hay = benchmarks.dialogs(spark, put(tmp_path / "b.json", [{"sample_id": "c", "conversation": many, "qa": [{"question": "q"}]}]))
+    rows = hay.orderBy("position").collect()
+    assert [r.corpus_id for r in rows] == [f"D{i}:{k}" for i in range(1, 61) for k in range(3)] and [r.position for r in rows] == list(range(180))
+    assert rows[-1].date == "June" and rows[-1].session == 60 and rows[0].date is None
+
+
 def test_evidence_and_multiple_choice(spark, tmp_path):
     item = {"question": "q", "conversations": [{"messages": [{"speaker": "u", "text": "one"}]}, {"messages": [{"speaker": "a", "text": "two"}]}], "message_evidences": [{"text": "two"}]}
     asked, hay = benchmarks.evidence(spark, put(tmp_path / "e.json", {"evidence_items": [item, item]}))
@@ -117,6 +125,6 @@ def test_signals_of_a_question(spark):
 def test_preferences_stand_behind_and_count_once(spark):
     hay = spark.createDataFrame([(1, "s1", 0, "I prefer tea in the morning", [1.0, 0.0], "2024-01-01"), (1, "s2", 1, "nothing", [0.9, 0.1], "2024-01-02"), (1, "s3", 2, "far", [0.0, 1.0], None)], "qid long, corpus_id string, position int, document string, embedding array<double>, occurred_at string")
     asked = spark.createDataFrame([(1, "what tea?", [1.0, 0.05], "2024-02-01")], "qid long, question string, embedding array<double>, asked_at string")
-    assert haystack.with_preferences(hay).where("position >= 1000000").first().document == "User has mentioned: tea in the morning"
+    assert haystack.with_preferences(hay).orderBy(F.col("position").desc()).first().document == "User has mentioned: tea in the morning"
     for mode in (haystack.hybrid, haystack.raw):
         assert [(r["rank"], r.corpus_id) for r in mode(hay, asked, 2).orderBy("rank").collect()] == [(1, "s1"), (2, "s2"), (3, "s3")]
