@@ -16,7 +16,7 @@ PREFERENCES, ASSISTANT, EVENTS, FACTS, GENERAL = "preferences", "assistant", "ev
 SESSION_SIGNALS = {
     PREFERENCES: ["i prefer", "i usually", "i've been having trouble", "i've been feeling", "i've been struggling", "i want to", "i'm worried", "i've been thinking", "i've been considering", "lately i", "recently i", "i tend to"],
     ASSISTANT: ["i suggest", "i recommend", "here are", "you might want to", "option 1", "option 2", "1.", "2.", "3.", "first,", "second,", "you could try", "i would recommend", "my recommendation"],
-    EVENTS: "milestone graduation promotion anniversary birthday moved started finished completed launched opened achieved won accepted hired married born".split(),
+    EVENTS: ["milestone", "graduation", "promotion", "anniversary", "birthday", "moved", "started", "finished", "completed", "launched", "opened", "achieved", "won", "accepted", "hired", "married", "born"],
     FACTS: ["degree", "major", "university", "college", "job", "position", "role", "company", "city", "country", "street", "born in", "grew up", "studied", "works at", "lives in", "years old", "salary", "budget"],
 }
 LEAST = {PREFERENCES: 1, ASSISTANT: 2, EVENTS: 1, FACTS: 2}
@@ -25,7 +25,7 @@ QUESTION_SIGNALS = {
     ASSISTANT: ["you suggested", "you told me", "you mentioned", "you said", "you recommended", "you provided", "you listed", "you gave", "remind me what you", "you came up with", "you explained"],
     PREFERENCES: ["i've been having trouble", "i've been feeling", "i prefer", "i usually", "battery", "nostalgic", "reunion", "lately", "recently been", "struggling with"],
     EVENTS: ["milestone", "when did", "what happened", "achievement", "ago", "last week", "last month", "last year", "four weeks", "three months"],
-    FACTS: "degree study graduate major job work live born city country company school".split(),
+    FACTS: ["degree", "study", "graduate", "major", "job", "work", "live", "born", "city", "country", "company", "school"],
 }
 TARGETS = {ASSISTANT: [ASSISTANT, GENERAL], PREFERENCES: [PREFERENCES, GENERAL], EVENTS: [EVENTS, FACTS, GENERAL], FACTS: [FACTS, GENERAL]}
 #: Factors of distance for the first hall, the other ones, and rows that the first pass found; rows it keeps.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import checks, dates, embed, text
 from ..functions.vectors import normalised
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, locales, memories, metrics, near_dup, registry, search, summary, transcript
-from ..sources import chats, projects, rooms
+from ..operators import classify, collection, context, derived, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, locales, memories, metrics, near_dup, registry, search, summary, transcript
+from ..session import shared_folder
+from ..sources import chats, projects, records, rooms
 from .tables import D, K, Q, V, drawers, entities, fulltext_index, lexical_index, questions, read, triples, vector_lists, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -971,6 +973,16 @@ def fixed_chunks(s, d):
     return transcript.fixed_chunks(drawers(s, d))
 
 
+@query(lambda: _chunks_sql())
+def records_through_source(s, d):
+    """All texts written as JSON lines and read back as records through the data source."""
+    folder = f"{shared_folder(s)}/records-{uuid.uuid4().hex}"
+    drawers(s, d).select(F.to_json(F.struct(F.col("id").cast("string").alias("source_file"), "document")).alias("value")).write.text(folder)
+    s.dataSource.register(records.RecordSource)
+    rows = s.read.format("memlake_records").option("path", folder).option("adapter", "lines").load()
+    return rows.select(F.col("source_file").cast("long").alias("id"), "chunk_index", F.col("document").alias("chunk"))
+
+
 # --- classification --------------------------------------------------------------------------------------------------
 
 HALLS = {"emotions": ["that", "hate", "ande"], "memory": ["thnt", "with"], "technical": ["ertion", "die", "der"]}
@@ -1381,6 +1393,19 @@ def summary_lines(s, d):
     return _compressed(s, d).select("id", "summary")
 
 
+@query(lambda: ORACLES["summary_lines"])
+def summaries_refreshed(s, d):
+    """The compressed table, first of other rows (some changed, some lacking, some more), then brought up to date."""
+    folder = f"{shared_folder(s)}/summaries-{uuid.uuid4().hex}"
+    rows = drawers(s, d).withColumn("document", _put_before("id", "document", MORE))
+    before = rows.where("id % 11 <> 0").withColumn("document", F.when(F.col("id") % 7 == 0, F.upper("document")).otherwise(F.col("document")))
+    more = rows.where("id % 13 = 0").withColumn("id", F.col("id") + 10_000_000_000)
+    make = lambda df: summary.compress(df).select("id", "summary")
+    derived.refresh(before.unionByName(more), folder, make)
+    derived.refresh(rows, folder, make)
+    return derived.current(s.read.parquet(folder), "id")
+
+
 def _tokens_sql(x: str) -> str:
     t = TRIM.format(x=x)
     return rf"CAST(sum(greatest(1, CAST(floor(CASE WHEN {t} = '' THEN 0 ELSE len(string_split_regex({t}, '\s+')) END * 1.3::DOUBLE) AS INTEGER))) AS BIGINT)"
