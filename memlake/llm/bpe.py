@@ -7,7 +7,7 @@ by binary search over the sorted pair keys, anew only beside a merge. Words with
 
 Decoding joins the token strings with a space, as the file names no decoder.
 Null counts as empty: no tokens, empty decoded text. Texts are read whole. Strings of special tokens in a text become
-their ids. Repeated rows give repeated results. An empty table gives no rows. A round merges one pair kind of a word, so
+their ids. Repeated rows give repeated results. An empty table gives no rows. The input's other columns may have any names. A round merges one pair kind of a word, so
 the time of a single word grows faster than its letters: 80,000 of them take about a second, 320,000 about six.
 """
 

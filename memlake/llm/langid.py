@@ -11,7 +11,8 @@ As the layer is linear, embedding and layer are multiplied once, and a text's sc
 of a batch are scored together, from one flat array of bytes.
 A text that is null or has no letter (Unicode category L) is ``und`` with score 0. Without any labelled row all texts are
 ``und``. Of languages with equal scores the first by name is taken. Repeated rows get equal results; in training each
-counts. Texts are scored whole; a very long one is scored alone. An empty table gives no rows.
+counts. Texts are scored whole; a very long one is scored alone. An empty table gives no rows. The input's other columns
+may have any names.
 """
 
 from __future__ import annotations

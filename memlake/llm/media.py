@@ -11,7 +11,7 @@ The join is done on the descriptors (a digest and some numbers), not on the byte
 
 Null texts count as empty; repeated texts share one descriptor; a page without media has only text structs;
 a reference whose digest is unknown stays, with null payload columns. Rows repeat as often as they come; an empty table
-gives no rows. A very long text is one payload, stored whole.
+gives no rows. A very long text is one payload, stored whole. The input's other columns may have any names.
 """
 
 from __future__ import annotations

@@ -22,7 +22,10 @@ exactly on their full sets.
 
 So all candidate pairs are looked at but those whose ends are linked already, and pairs are never written out.
 Empty and null texts (no words) have no shingles, link with nothing, and are kept. A text of fewer words than 5 is one
-shingle. Repeated rows are copies of each other. An id of null is in no component but its own.
+shingle. Repeated rows are copies of each other. An id of null is in no component but its own. Texts are taken whole, a
+very long one alone. Of leaders that share equally much the smallest id leads. An empty table gives no rows; the input's
+other columns may have any names. Of rows with one id and other texts, all are compared, and ``keep_first`` keeps each
+text of a kept id once.
 """
 
 from __future__ import annotations

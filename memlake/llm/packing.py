@@ -20,7 +20,7 @@ once and go with their packets in the shuffle by block; a block's size depends n
 beginnings of the queues' parts, one for each (partition, source), are broadcast only if counted to be at most
 BROADCAST_ROWS; else they are joined by shuffle.
 
-Null texts count as empty: one token, the end mark. A source of null has a queue. Repeated rows, with an id of null too,
+Null texts count as empty: one token, the end mark. The input's other columns may have any names. A source of null has a queue. Repeated rows, with an id of null too,
 are packed each. An empty table gives no rows. The order within a queue follows the input's partitions, so sequence ids
 depend on how the input is split into files; all else in this docstring does not.
 """

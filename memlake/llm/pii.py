@@ -8,6 +8,8 @@ overlapping candidates the likeliest stays.
 
 The trees are fitted on EXAMPLES generated sentences with known spans, from a fixed seed, so every run has one model.
 Null and empty texts have no spans. Repeated rows give repeated results. Texts are read whole; offsets are code points.
+Of overlapping candidates of equal likelihood the one that begins first stays, then the longer one. An empty table gives
+no rows. The input's other columns may have any names.
 """
 
 from __future__ import annotations

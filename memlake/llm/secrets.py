@@ -10,6 +10,8 @@ back, the best path goes through "outside", so the chain falls apart there and o
 
 The field is fitted by gradient ascent on EXAMPLES generated lines with known secrets, from a fixed seed.
 Null and empty texts have no spans. Repeated rows give repeated results. Texts are read whole; offsets are code points.
+Of tags with equal scores the first in the order outside, begin, inside is taken. An empty table gives no rows. The
+input's other columns may have any names; where a text is masked its length is told anew, also if it was null.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ tile, so rows follow the classes and not the links. Those stars are joined to co
 
 Vectors link only within one label and one dimension. A vector that is null, zero or holds nulls or non-finite
 components, and one whose label or id is null, links with nothing and is its own component. Rows that share an id are
-one node of the components; each is counted as a vector. Ties at the threshold count as links.
+one node of the components; each is counted as a vector. Ties at the threshold count as links. An empty table gives no
+rows; the input's other columns may have any names.
 """
 
 from __future__ import annotations
