@@ -142,6 +142,47 @@ def hybrid(haystack: DataFrame, questions: DataFrame, k: int = 50, made_up: bool
     return append_unseen(ranked, haystack.join(questions.select("qid"), "qid", "left_semi"))
 
 
+#: Weights of keywords that are no names, of quoted phrases and of names in dialogs; rooms that a question opens.
+DIALOG = {"keyword": 0.0, "predicate": 0.50, "quoted": 0.60, "named": 0.20}
+OPENED = 3
+
+
+def dialog_hybrid(haystack: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """3k fetched by distance, ordered by keywords that are no names, quoted phrases and names, cut to k."""
+    return first_seen(weighed(near(haystack, questions, 3 * k), **DIALOG)).where(F.col("rank") <= k)
+
+
+def dialog_sessions(haystack: DataFrame, summaries: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """Like dialog_hybrid, among the sessions whose summary (qid, corpus_id, summary) holds most of the question's keywords.
+
+    A third of a question's sessions are opened, k at least, the last by id among equals; 2k rows are fetched from them.
+    """
+    q = questions.select("qid", "question")
+    told = summaries.join(q, "qid").select("qid", "corpus_id", held(F.coalesce("summary", F.lit("")), predicates(F.col("question"))).alias("s"))
+    order = Window.partitionBy("qid").orderBy(F.col("s").desc(), F.col("corpus_id").desc())
+    placed = told.withColumn("__r", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy("qid")))
+    opened = placed.where(F.col("__r") <= F.greatest(F.lit(k), F.floor(F.col("__n") / 3))).select("qid", "corpus_id")
+    kept = haystack.join(opened, ["qid", "corpus_id"], "left_semi")
+    return first_seen(weighed(near(kept, questions, 2 * k), **DIALOG)).where(F.col("rank") <= k)
+
+
+def dialog_rooms(haystack: DataFrame, summaries: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """Like dialog_hybrid, among the rooms (haystack has *room*) whose summaries (qid, room, summary) hold most of the question's keywords.
+
+    OPENED rooms, the last by name among equals; all of them if none holds a keyword. All rows of the rooms are looked at.
+    """
+    q = questions.select("qid", "question")
+    texts = summaries.groupBy("qid", "room").agg(F.array_join(F.array_sort(F.collect_list("summary")), " ").alias("t"))
+    told = texts.join(q, "qid").select("qid", "room", held(F.col("t"), predicates(F.col("question"))).alias("s"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s").desc(), F.col("room").desc()))
+    placed = told.withColumn("__r", place).withColumn("__best", F.max("s").over(Window.partitionBy("qid")))
+    opened = placed.where((F.col("__r") <= OPENED) | (F.col("__best") == 0)).select("qid", "room")
+    kept = haystack.join(opened, ["qid", "room"], "left_semi")
+    asked = questions.select("qid", "question", F.col("embedding").alias("__q"))
+    every = kept.join(asked, "qid").withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.col("__q")), 12)).where("distance is not null").drop("__q")
+    return first_seen(weighed(every, **DIALOG)).where(F.col("rank") <= k)
+
+
 def by_predicates(haystack: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """3k fetched by distance, ordered by the keywords that are no names, cut to k."""
     scored = weighed(near(haystack, questions, 3 * k), keyword=0.0, predicate=PREDICATE)

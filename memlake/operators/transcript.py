@@ -168,3 +168,12 @@ def session_names(lines: DataFrame, people: list[str], key: str = "source_file",
     name = F.concat(stem, F.lit("__"), when, F.lit("_"), persons, F.lit("_"), subject, F.lit(".txt"))
     clean = F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w.\-]", "_"), "_+", "_")
     return of.where(F.col("n_lines") >= SHORTEST_SESSION).select(key, "session", "n_lines", clean.alias("name"))
+
+
+def write_sessions(lines: DataFrame, names: DataFrame, path: str, key: str = "source_file", order: str = "line_no", text: str = "line") -> None:
+    """Writes the lines of each session that has a name (key, session, name) as text files below ``<path>/name=<name>``, in order.
+
+    Lines come from rows that sessions() has numbered. A session is one file; a rerun replaces what is there.
+    """
+    kept = lines.join(names.select(key, "session", "name"), [key, "session"])
+    kept.repartition("name").sortWithinPartitions("name", key, "session", order).select("name", F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").text(path)

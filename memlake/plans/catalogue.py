@@ -537,6 +537,41 @@ def haystack_predicates(s, d):
     return haystack.by_predicates(*_haystack(s, d), 5)
 
 
+#: Signals of every document of every haystack; y is its distance lowered as dialogs are weighed.
+DIALOGS = f"""di AS (SELECT hs.*, sg.* EXCLUDE (qid), list_filter(kw, lambda z: NOT list_contains([lower(y) FOR y IN nm], z)) AS pk, round(list_cosine_distance(e, qe), 12) AS x FROM hs JOIN sg USING (qid)),
+ dw AS (SELECT *, round(x * (1 - 0.50 * {HELD_SHARE.format(of='pk')}) * (1 - 0.60 * {HELD_SHARE.format(of='ph')}) * (1 - 0.20 * {HELD_SHARE.format(of='nm')}), 9) AS y FROM di)"""
+
+
+def _dialog_sql(opened: str, fetched: str) -> str:
+    return f"""WITH {D}, {V}, {Q}, {HAY}, {_signals_sql()}, {DIALOGS}, {opened}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, position) AS n FROM op) WHERE {fetched})
+ SELECT * FROM (SELECT qid, corpus_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY y, position) AS INTEGER) AS rank FROM k) WHERE rank <= 5"""
+
+
+@query(lambda: _dialog_sql("op AS (SELECT * FROM dw)", "n <= 15"))
+def haystack_dialog(s, d):
+    return haystack.dialog_hybrid(*_haystack(s, d), 5)
+
+
+SAYS_SHARE = HELD_SHARE.replace("document", "substring(document, 1, 300)")
+
+
+@query(lambda: _dialog_sql(f"""ss AS (SELECT qid, corpus_id, {SAYS_SHARE.format(of='pk')} AS s FROM dw), sr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, corpus_id DESC) AS r, count(*) OVER (PARTITION BY qid) AS c FROM ss),
+ op AS (SELECT dw.* FROM dw JOIN sr USING (qid, corpus_id) WHERE r <= greatest(5, c // 3))""", "n <= 10"))
+def haystack_sessions(s, d):
+    """Dialogs by sessions, whose summaries are their texts' beginnings."""
+    rows, asked = _haystack(s, d)
+    return haystack.dialog_sessions(rows, rows.select("qid", "corpus_id", F.substring("document", 1, 300).alias("summary")), asked, 5)
+
+
+@query(lambda: _dialog_sql(f"""rt AS (SELECT qid, 'r' || corpus_id % 7 AS room, string_agg(substring(document, 1, 60), ' ' ORDER BY substring(document, 1, 60)) AS document, any_value(pk) AS pk FROM dw GROUP BY 1, 2), rs AS (SELECT qid, room, {HELD_SHARE.format(of='pk')} AS s FROM rt),
+ rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, room DESC) AS r, max(s) OVER (PARTITION BY qid) AS m FROM rs), op AS (SELECT dw.* FROM dw JOIN rr ON rr.qid = dw.qid AND rr.room = 'r' || dw.corpus_id % 7 WHERE r <= 3 OR m = 0)""", "TRUE"))
+def haystack_rooms(s, d):
+    """Dialogs by rooms, whose summaries are the beginnings of what is in them."""
+    rows, asked = _haystack(s, d)
+    rows = rows.withColumn("room", F.concat(F.lit("r"), F.col("corpus_id") % 7))
+    return haystack.dialog_rooms(rows, rows.select("qid", "room", F.substring("document", 1, 60).alias("summary")), asked, 5)
+
+
 @query(lambda: f"""WITH {D}, {V}, {Q}, {HAY}, f AS (SELECT hs.*, list_reverse(e) AS fe, qe, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_distance(e, qe), 12), position) AS n FROM hs JOIN hq USING (qid)),
  g AS (SELECT *, CASE WHEN n <= 5 THEN round(list_cosine_distance(fe, qe), 12) END AS y FROM f) SELECT qid, corpus_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY y NULLS LAST, position) AS INTEGER) AS rank FROM g""")
 def haystack_two_pass(s, d):

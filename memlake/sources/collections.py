@@ -9,35 +9,47 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import checked_name
 from ..operators.ingest import latest, with_provenance
-from .stores import _at, exists
+from .stores import _at, exists, read_if_there
 
 
 def _folder(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{checked_name(name, 'collection')}"
 
 
-def create(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """A new empty collection, or the one that is there."""
+def _told(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/_embedders/{checked_name(name, 'collection')}"
+
+
+def create(spark: SparkSession, root: str, name: str, schema: str, embedder: str | None = None) -> DataFrame:
+    """A new empty collection, or the one that is there; *embedder* names what makes its vectors, and is kept."""
     if not exists(spark, _folder(root, name)):
+        if embedder is not None:  # told first, so that no collection is without it
+            spark.createDataFrame([(embedder,)], "embedder string").coalesce(1).write.mode("overwrite").parquet(_told(root, name))
         spark.createDataFrame([], schema).write.parquet(_folder(root, name))
-    return get(spark, root, name)
+    return get(spark, root, name, embedder)
 
 
-def get(spark: SparkSession, root: str, name: str) -> DataFrame:
+def get(spark: SparkSession, root: str, name: str, embedder: str | None = None) -> DataFrame:
+    """The collection; vectors of another embedder than the one that was told can't be compared, so asking with it fails."""
     if not exists(spark, _folder(root, name)):
         raise LookupError(f"no collection {name}")
+    told = read_if_there(spark, _told(root, name)) if embedder is not None else None
+    if told is not None and (own := told.first()["embedder"]) != embedder:
+        raise ValueError(f"collection {name} holds vectors of {own}, not of {embedder}")
     return spark.read.parquet(_folder(root, name))
 
 
 def delete(spark: SparkSession, root: str, name: str) -> bool:
     """Whether there was one."""
+    store, told = _at(spark, _told(root, name))
+    store.delete(told, True)
     store, p = _at(spark, _folder(root, name))
     return store.delete(p, True)
 
 
 def listed(spark: SparkSession, root: str) -> list[str]:
     store, p = _at(spark, root)
-    return sorted(f.getPath().getName() for f in store.listStatus(p) if f.isDirectory()) if store.exists(p) else []
+    return sorted(f.getPath().getName() for f in store.listStatus(p) if f.isDirectory() and not f.getPath().getName().startswith("_")) if store.exists(p) else []
 
 
 class Adapter(ABC):
