@@ -36,7 +36,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 12
     assert set(e.oracle_sql()) <= set(names)
 
 
