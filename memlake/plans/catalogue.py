@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, dates, embed, text
 from ..functions.vectors import normalised
 from ..functions.text import overlap, r6
-from ..operators import classify, collection, context, derived, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, locales, memories, metrics, near_dup, registry, search, summary, transcript
+from ..operators import classify, collection, context, derived, entities as naming, fulltext, graph, halls, haystack, incremental, ingest, inverted, kg, lexical, locales, memories, metrics, near_dup, registry, search, summary, transcript, zettel
 from ..session import shared_folder
 from ..sources import chats, projects, records, rooms
 from .tables import D, K, Q, V, drawers, entities, fulltext_index, lexical_index, questions, read, triples, vector_lists, vectors
@@ -1441,6 +1441,62 @@ def summaries_refreshed(s, d):
     return derived.current(s.read.parquet(folder), "id")
 
 
+#: What notes quote, by the document's number; their people with their codes, and their feelings with theirs.
+QUOTED_IN_NOTES = ["She said: I remember the quiet sea. ", "\"The old harbour town\" and 'we trust the real one'. ", "", "('never to forget it') \"short\" "]
+NOTE_PEOPLE = [(["Ana", "Bob Ray"], ["ANA1", "BOB"]), ([], []), (["gandalf bot", "Zoe Lind"], ["ZOE"])]
+NOTE_FEELINGS = [(["joy", "raw_grief", "strange", "joyful"], "joy+grief+stra"), (["anger", "rage", "love", "hope", "peace"], "rage+love+hope"), ([], ""), (["warmth"], "warmth")]
+NOTE_CODES = {"Ana": "ANA1", "bob": "BOB"}
+
+
+def _notes_sql() -> str:
+    pick = lambda n, values: f"CASE id % {n} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+    rx = lambda p: "'" + p.replace("'", "''") + "'"
+    moving = " + ".join(f"CAST(contains(lower(q), '{w}') AS INTEGER)" for w in zettel.MOVING)
+    return f"""WITH {D}, n AS (SELECT id, id // 5 AS k, {_before('id', "coalesce(document, '')", QUOTED_IN_NOTES)} AS content, CASE WHEN id % 3 = 0 THEN 'genesis of it' ELSE '' END AS label, CASE WHEN id % 4 = 0 THEN 'core and pivot' ELSE '' END AS notes,
+  'Doc ' || id || CASE WHEN id % 2 = 0 THEN ' - ' || substring(coalesce(document, ''), 1, 60) ELSE '' END AS title, {pick(3, [_list(c) + '::VARCHAR[]' for _, c in NOTE_PEOPLE])} AS codes, {pick(4, [f"'{c}'" for _, c in NOTE_FEELINGS])} AS feel,
+  regexp_extract_all(coalesce(document, ''), '[a-z]{{4,}}')[1:2] AS topics, wing FROM d),
+ m AS (SELECT id, content || ' ' || label || ' ' || notes AS t FROM n), f AS (SELECT id, {' || '.join(f"regexp_extract_all(t, {rx(p)}, 1)" for p in zettel.QUOTES)} AS qs FROM m),
+ u AS (SELECT id, regexp_replace(unnest(qs), '^\\s+|\\s+$', '', 'g') AS q, generate_subscripts(qs, 1) AS i FROM f), w AS (SELECT *, 2 * CAST(regexp_matches(q, '^\\p{{Lu}}') AS INTEGER) + 2 * ({moving}) + CAST(len(q) > 20 AS INTEGER) - 2 * CAST(regexp_matches(q, '^(The|This|She) ') AS INTEGER) AS s FROM u WHERE len(q) >= 8),
+ b AS (SELECT id, q FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, i) AS r FROM w) WHERE r = 1),
+ z AS (SELECT n.*, coalesce(b.q, substring(CASE WHEN contains(title, ' - ') THEN substring(title, strpos(title, ' - ') + 3) ELSE '' END, 1, 45)) AS quote,
+  array_to_string(list_filter([CASE WHEN n.id % 5 = 0 THEN 'ORIGIN' END, CASE WHEN n.id % 6 = 0 THEN 'SENSITIVE' END, CASE WHEN n.id % 4 = 0 THEN 'CORE' END, CASE WHEN n.id % 3 = 0 THEN 'GENESIS' END, CASE WHEN n.id % 4 = 0 THEN 'PIVOT' END], lambda x: x IS NOT NULL), '+') AS flags FROM n LEFT JOIN b ON b.id = n.id),
+ l AS (SELECT k, id, id || ':' || CASE WHEN len(codes) > 0 THEN array_to_string(codes, '+') ELSE '???' END || '|' || CASE WHEN len(topics) > 0 THEN array_to_string(topics, '_') ELSE 'misc' END || CASE WHEN quote <> '' THEN '|"' || quote || '"' ELSE '' END || '|' || CAST((id % 10) / 10.0::DOUBLE AS VARCHAR)
+  || CASE WHEN feel <> '' THEN '|' || feel ELSE '' END || CASE WHEN flags <> '' THEN '|' || flags ELSE '' END AS line FROM z),
+ e AS (SELECT k, list_sort(list_distinct(flatten(list(codes)))) AS every FROM n GROUP BY 1), g AS (SELECT k, string_agg(line, chr(10) ORDER BY id) AS lines, min(id) AS low, max(id) AS high FROM l GROUP BY 1),
+ o AS (SELECT k, 'n' || k || '|' || CASE WHEN len(every) > 0 THEN array_to_string(every[1:3], '+') ELSE '???' END || '|day ' || low % 7 || '|' || 'Notes ' || k || CASE WHEN k % 2 = 0 THEN chr(10) || 'ARC:joy->fear' ELSE '' END || chr(10) || lines || chr(10) || 'T:' || low || '<->' || high || '|' || CASE WHEN k % 2 = 0 THEN 'same wing' ELSE substring('a label of more than thirty letters', 1, 30) END AS encoded FROM g JOIN e USING (k)),
+ s AS (SELECT k, encoded, string_split(regexp_replace(encoded, '^\\s+|\\s+$', '', 'g'), chr(10)) AS ls FROM o)
+ SELECT k, encoded, coalesce(string_split(list_filter(ls, lambda x: NOT starts_with(x, 'ARC:') AND NOT starts_with(x, 'T:') AND contains(x, '|') AND NOT contains(string_split(x, '|')[1], ':'))[-1], '|')[4], '') AS title, len(list_filter(ls, lambda x: NOT starts_with(x, 'ARC:') AND NOT starts_with(x, 'T:') AND contains(x, '|') AND contains(string_split(x, '|')[1], ':'))) AS notes, len(list_filter(ls, lambda x: starts_with(x, 'T:'))) AS links, CASE WHEN k % 2 = 0 THEN 'joy->fear' ELSE '' END AS arc FROM s"""
+
+
+@query(lambda: _notes_sql())
+def notes_encoded(s, d):
+    """Notes made of all documents, a file for every five, written as lines and taken apart again. A quote that goes over a
+    line's end is two lines when read, of which the second may count as a header, as lines alone tell what is what."""
+    array = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    by = lambda n, values: F.element_at(F.array(*values), (F.col("id") % n + 1).cast("int"))
+    body = F.coalesce("document", F.lit(""))
+    note = F.struct(
+        F.concat(F.lit("z-"), "id").alias("id"),
+        F.concat(F.lit("Doc "), "id", F.when(F.col("id") % 2 == 0, F.concat(F.lit(" - "), F.substring(body, 1, 60))).otherwise("")).alias("title"),
+        F.concat(by(len(QUOTED_IN_NOTES), list(map(F.lit, QUOTED_IN_NOTES))), body).alias("content"),
+        F.when(F.col("id") % 3 == 0, "genesis of it").alias("origin_label"),
+        F.when(F.col("id") % 4 == 0, "core and pivot").alias("notes"),
+        by(3, [array(p) for p, _ in NOTE_PEOPLE]).alias("people"),
+        F.regexp_extract_all(body, F.lit("[a-z]{4,}"), F.lit(0)).alias("topics"),
+        ((F.col("id") % 10) / 10.0).alias("emotional_weight"),
+        by(4, [array(t) for t, _ in NOTE_FEELINGS]).alias("emotional_tone"),
+        (F.col("id") % 5 == 0).alias("origin_moment"),
+        F.when(F.col("id") % 6 == 0, "Maximum care").alias("sensitivity"),
+        F.concat(F.lit("day "), F.col("id") % 7).alias("date_context"),
+    )
+    k = F.expr("id div 5")
+    tunnel = F.struct(F.concat(F.lit("z-"), F.min("id")).alias("from"), F.concat(F.lit("z-"), F.max("id")).alias("to"), F.when(F.first("k") % 2 == 0, "same wing: more of it").otherwise("a label of more than thirty letters").alias("label"))
+    grouped = drawers(s, d).withColumn("k", k).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("id", note.alias("z")))).alias("zs"), F.array(tunnel).alias("tunnels"))
+    files = grouped.select("k", F.concat(F.lit("n"), "k", F.lit("-Notes "), "k", F.lit(".txt")).alias("source_file"), F.when(F.col("k") % 2 == 0, "joy->fear").alias("emotional_arc"), F.transform("zs", lambda x: x["z"]).alias("zettels"), "tunnels")
+    told = zettel.decode(zettel.encode(files, NOTE_CODES, ["gandalf"]))
+    return told.select("k", "encoded", "header.title", F.size("notes").alias("notes"), F.size("links").alias("links"), "arc")
+
+
 def _tokens_sql(x: str) -> str:
     t = TRIM.format(x=x)
     return rf"CAST(sum(greatest(1, CAST(floor(CASE WHEN {t} = '' THEN 0 ELSE len(string_split_regex({t}, '\s+')) END * 1.3::DOUBLE) AS INTEGER))) AS BIGINT)"

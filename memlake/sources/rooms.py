@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names of folders by the room they stand for.
@@ -52,3 +53,28 @@ def from_names(paths: DataFrame) -> DataFrame:
     rooms = met.groupBy("room").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.col("n").desc(), "room").limit(MOST_ROOMS)
     general = paths.sparkSession.createDataFrame([("general", 0)], "room string, n long")
     return rooms.unionByName(general.join(rooms.limit(1).select(F.lit(1).alias("x")), F.lit(True), "left_anti"))
+
+
+def project_config(spark: SparkSession, folder: str, names: tuple[str, ...] = ("rooms.yaml", "rooms.yml")) -> dict:
+    """A project's wing and rooms (name, description, keywords): those of the first of the YAML files that is there, which
+    ``ingest.room_of`` takes; without one the folder's name and one general room. What a file lacks is filled in; a file
+    that isn't a mapping is an error.
+    """
+    general = {"name": "general", "description": "All project files", "keywords": ["general"]}
+    wing = folder.rstrip("/").rsplit("/", 1)[-1]
+    for name in names:
+        try:
+            text = spark.read.text(f"{folder.rstrip('/')}/{name}", wholetext=True).first()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
+        import yaml  # asked for only where a project has such a file
+
+        told = yaml.safe_load(text["value"] if text else "") or {}
+        if not isinstance(told, dict):
+            raise ValueError(f"{name} of {folder} is no mapping")
+        rooms = [r if isinstance(r, dict) else {"name": str(r)} for r in told.get("rooms") or []]
+        rooms = [{"name": str(r["name"]), "description": str(r.get("description", "")), "keywords": [str(k) for k in r.get("keywords") or []]} for r in rooms if r.get("name")]
+        return {"wing": str(told.get("wing") or wing), "rooms": rooms or [general]}
+    return {"wing": wing, "rooms": [general]}
