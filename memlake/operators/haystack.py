@@ -117,9 +117,9 @@ def append_unseen(ranked: DataFrame, haystack: DataFrame) -> DataFrame:
     return ranked.unionByName(rest.join(seen, "qid", "left").select("qid", "corpus_id", place.alias("rank")))
 
 
-def raw(haystack: DataFrame, questions: DataFrame, k: int = 50) -> DataFrame:
-    """By distance alone."""
-    return append_unseen(first_seen(near(haystack, questions, k).withColumn("score", F.col("distance"))), haystack)
+def raw(haystack: DataFrame, questions: DataFrame, k: int = 50, vector: str = "embedding") -> DataFrame:
+    """By distance alone; *vector* may be that of all that was said in a session, or of its compressed text."""
+    return append_unseen(first_seen(near(haystack, questions, k, vector).withColumn("score", F.col("distance"))), haystack)
 
 
 def two_pass(haystack: DataFrame, questions: DataFrame, full_vector: str = "full_embedding", k: int = FIRST_PASS) -> DataFrame:

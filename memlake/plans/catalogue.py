@@ -505,6 +505,14 @@ def haystack_raw(s, d):
     return haystack.raw(*_haystack(s, d), 10)
 
 
+@query(lambda: f"""WITH {D}, {V}, {Q}, {HAY}, r AS (SELECT qid, corpus_id, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_distance(list_reverse(e), qe), 12), position) AS n FROM hs JOIN hq USING (qid)),
+ z AS (SELECT qid, corpus_id, CASE WHEN n <= 10 THEN n END AS n FROM r) SELECT qid, corpus_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY n NULLS LAST, corpus_id) AS INTEGER) AS rank FROM z""")
+def haystack_full(s, d):
+    """The plain ranking by the vectors of all that was said."""
+    rows, asked = _haystack(s, d)
+    return haystack.raw(rows.withColumn("full_embedding", F.reverse("embedding")), asked, 10, "full_embedding")
+
+
 KW = "list_filter(regexp_extract_all(lower(question), '\\b[a-z]{3,}\\b'), lambda w: NOT list_contains({stop}, w))"
 PH = "list_filter([trim(p) FOR p IN regexp_extract_all(question, '''([^'']{3,60})''', 1) || regexp_extract_all(question, '\"([^\"]{3,60})\"', 1)], lambda p: len(p) >= 3)"
 NMS = "list_filter(list_distinct(regexp_extract_all(question, '\\b[A-Z][a-z]{2,15}\\b')), lambda w: NOT list_contains({not_names}, w))"

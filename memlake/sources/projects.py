@@ -23,6 +23,8 @@ SKIPPED = [
 SKIPPED_FILES = (".gitignore", "package-lock.json")
 LARGEST = 500 * 1024 * 1024
 LISTED = "path string, size long, mtime double"
+#: Tasks that walk the folders of a project at most.
+MOST_TASKS = 1000
 
 
 #: Stores that the listing reads itself; the default is the local one.
@@ -52,11 +54,33 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     if not _direct(path):
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         return rows.select(_below(spark, path).alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
-    store, root = fs.FileSystem.from_uri(_uri(path))
-    found = store.get_file_info(fs.FileSelector(root, recursive=True))
-    local = isinstance(store, fs.LocalFileSystem)
-    rows = [(os.path.relpath(f.path, root), f.size, f.mtime.timestamp()) for f in found if f.type == fs.FileType.File and not (local and os.path.islink(f.path))]
-    return spark.createDataFrame(rows, LISTED)
+    uri = _uri(path)
+
+    def level(store: fs.FileSystem, root: str, folder: str) -> tuple[list[tuple], list[str]]:
+        """The files and the folders right in a folder, by their paths below the root."""
+        local = isinstance(store, fs.LocalFileSystem)
+        found = store.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/")))
+        name = lambda f: f"{folder}/{f.base_name}".lstrip("/")
+        files = [(name(f), f.size, f.mtime.timestamp()) for f in found if f.type == fs.FileType.File and not (local and os.path.islink(f.path))]
+        return files, [name(f) for f in found if f.type == fs.FileType.Directory]
+
+    def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(uri)
+        for frame in frames:
+            open_ = list(frame.folder)
+            while open_:
+                files, more = level(store, root, open_.pop())
+                open_ += more
+                if files:
+                    yield pd.DataFrame(files, columns=["path", "size", "mtime"])
+
+    # The driver lists one level; each folder there is walked by a task, a folder at a time.
+    files, folders = level(*fs.FileSystem.from_uri(uri), "")
+    top = spark.createDataFrame(files, LISTED)
+    if not folders:
+        return top
+    dealt = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), MOST_TASKS), "folder")
+    return top.unionByName(dealt.mapInPandas(walked, LISTED))
 
 
 def _read(files: DataFrame, path: str) -> DataFrame:
