@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.vectors import cosine_distance
+from ..functions.vectors import packed_distance
 from .classify import preferences
 from .collection import top
 
@@ -86,7 +86,7 @@ def with_preferences(haystack: DataFrame, texts: str = "document") -> DataFrame:
 def near(haystack: DataFrame, questions: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
     """The k documents of each question's haystack that are nearest to it, by (distance, position)."""
     q = questions.select("qid", "question", F.col("embedding").alias("__q"), *[c for c in ("asked_at",) if c in questions.columns])
-    met = haystack.join(q, "qid").withColumn("distance", F.round(cosine_distance(F.col(vector), F.col("__q")), 12)).where("distance is not null")
+    met = haystack.join(q, "qid").withColumn("distance", F.round(packed_distance(F.col(vector), F.col("__q")), 12)).where("distance is not null")
     return top(met, k, [F.col("distance"), F.col("position")], ["qid"]).drop("__q")
 
 
@@ -179,7 +179,7 @@ def dialog_rooms(haystack: DataFrame, summaries: DataFrame, questions: DataFrame
     opened = placed.where((F.col("__r") <= OPENED) | (F.col("__best") == 0)).select("qid", "room")
     kept = haystack.join(opened, ["qid", "room"], "left_semi")
     asked = questions.select("qid", "question", F.col("embedding").alias("__q"))
-    every = kept.join(asked, "qid").withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.col("__q")), 12)).where("distance is not null").drop("__q")
+    every = kept.join(asked, "qid").withColumn("distance", F.round(packed_distance(F.col("embedding"), F.col("__q")), 12)).where("distance is not null").drop("__q")
     return first_seen(weighed(every, **DIALOG)).where(F.col("rank") <= k)
 
 

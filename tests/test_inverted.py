@@ -90,3 +90,14 @@ def test_greedy_removal_of_many_rows(spark):
         if len(t) >= near_dup.SHORTEST and not any(1 - u @ w < near_dup.DISTANCE for _, w in kept):
             kept.append((i, u))
     assert sorted(r.id for r in near_dup.greedy(df).where("kept").collect()) == sorted(i for i, _ in kept)
+
+
+def test_distances_by_batches(spark):
+    from memlake.functions.vectors import cosine_distance, packed_distance
+
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=6).tolist(), r.normal(size=6).tolist()) for i in range(50)] + [(60, [0.0] * 6, [1.0] * 6), (61, None, [1.0]), (62, [1.0, 2.0], [2.0, 4.0]), (63, [1.0], [1.0, 2.0]), (64, [1.0, None], [1.0, 2.0]), (65, [], [])]
+    df = spark.createDataFrame(rows, "id long, a array<double>, b array<double>").repartition(3)
+    got = {x.id: (x.p, x.c) for x in df.select("id", packed_distance(F.col("a"), F.col("b")).alias("p"), F.when(F.size("a") == F.size("b"), cosine_distance(F.col("a"), F.col("b"))).alias("c")).collect()}
+    assert all(p is None for i, (p, _) in got.items() if i in (60, 61, 63, 64, 65)) and abs(got[62][0]) < 1e-12
+    assert all(abs(p - c) < 1e-12 for i, (p, c) in got.items() if i < 50)
