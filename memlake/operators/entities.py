@@ -78,20 +78,26 @@ def signals(docs: DataFrame, names: DataFrame, key: str = "id", text: str = "doc
     rows = met.join(docs.select(key, F.col(text).alias("__t"), tag.alias("__tag")), key)
     every = [(None, (patterns, PRONOUNS)), *(languages or {}).items()]
 
-    def count(template: str, flags: str, word: Column) -> Column:
+    flags_of = lambda kind: "(?imU)" if kind == "dialogue" else "(?iU)"
+
+    def count(kind: str, i: int, template: str, word: Column) -> Column:
         head, *rest = template.split("{name}")
-        parts = [F.lit(flags + head)]
+        parts = [F.lit(flags_of(kind) + head)]
         for r in rest:
             parts += [word, F.lit(r)]
-        return F.regexp_count("__t", F.concat(*parts))
+        return F.when(F.col(f"__may_{kind}")[i], F.regexp_count("__t", F.concat(*parts))).otherwise(0)
 
     def by_tag(made: list[tuple[str | None, Column]]) -> Column:
         (_, otherwise), *others = made
         return reduce(lambda a, b: F.when(F.col("__tag") == b[0], b[1]).otherwise(a), others, otherwise)
 
     def kind_of(kind: str, word: Column) -> Column:
-        flags = "(?imU)" if kind == "dialogue" else "(?iU)"
-        return by_tag([(k, reduce(lambda a, b: a + b, [count(t, flags, word) for t in own[kind]], F.lit(0))) for k, (own, _) in every])
+        return by_tag([(k, reduce(lambda a, b: a + b, [count(kind, i, t, word) for i, t in enumerate(own[kind])], F.lit(0))) for k, (own, _) in every])
+
+    def may(kind: str) -> Column:
+        """For each template of a kind whether it matches with any word for the name: patterns of a name are tried only then."""
+        generic = lambda t: F.rlike("__t", F.lit(flags_of(kind) + t.replace("{name}", r"[\p{L}\p{M}]+")))
+        return by_tag([(k, F.array(*map(generic, own[kind])).cast("array<boolean>")) for k, (own, _) in every])
 
     lines = F.split("__t", "\n")
     flagged = lambda p: F.transform(lines, lambda x: F.rlike(x, F.lit("(?iU)" + p)))
@@ -102,7 +108,7 @@ def signals(docs: DataFrame, names: DataFrame, key: str = "id", text: str = "doc
         low = F.lower(word)
         return F.size(F.filter(F.arrays_zip("__l", "__near"), lambda x: x["__near"] & F.contains(x["__l"], low)))
 
-    told = rows.withColumn("__p", flags).withColumns({"__near": near, "__l": F.transform(lines, lambda x: F.lower(x))})
+    told = rows.withColumns({"__p": flags} | {f"__may_{k}": may(k) for k in POINTS if k != "pronoun"}).withColumns({"__near": near, "__l": F.transform(lines, lambda x: F.lower(x))})
     each = told.select(F.explode(F.transform("__names", lambda w: F.struct(w.alias("word"), *[(pronouns(w) if k == "pronoun" else kind_of(k, w)).cast("long").alias(k) for k in POINTS]))).alias("s"))
     return each.select("s.*").groupBy("word").agg(*[F.sum(k).alias(k) for k in POINTS])
 

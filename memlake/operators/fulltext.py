@@ -57,10 +57,13 @@ def stem_rules(put: str) -> list[tuple[str, str]]:
     return [(p, "".join(put.format(i) for i in range(1, n + 1)) + tail) for p, n, tail in STEMS]
 
 
+_RULES = [(re.compile(pattern), put) for pattern, put in stem_rules("\\g<{}>")]
+
+
 def stem(word: str) -> str:
-    if len(word) >= SHORT and word.isascii() and word.isalpha():
-        for pattern, put in stem_rules("\\g<{}>"):
-            word = re.sub(pattern, put, word)
+    if word[-1:] in ("s", "d", "g", "y") and len(word) >= SHORT and word.isascii() and word.isalpha():  # no rule ends in another letter
+        for pattern, put in _RULES:
+            word = pattern.sub(put, word)
     return word
 
 
