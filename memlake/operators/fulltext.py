@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .collection import top
-from .lexical import Index, asked_of, write_index
+from .lexical import PIECE, Index, alike, asked_of, for_all, write_index
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -50,6 +50,8 @@ STEMS = [
 ]
 #: Words of fewer letters stay as they are.
 SHORT = 3
+#: Words whose stems a task keeps.
+KNOWN = 200_000
 
 
 def stem_rules(put: str) -> list[tuple[str, str]]:
@@ -81,13 +83,14 @@ def postings(docs: DataFrame, key: str = "id", text: str = "document") -> DataFr
         stop, known = set(STOP), {}
         for batch in batches:
             index, terms, positions, lengths, firsts = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                words = word.findall((t or "").lower())
+            held = 0
+            for i, t in enumerate(batch.column(1)):
+                words = word.findall((t.as_py() or "").lower())
                 found: dict[str, list[int]] = {}
                 for at, w in enumerate(words, 1):
                     if w not in stop:
                         if w not in known:
-                            if len(known) > 1_000_000:
+                            if len(known) > KNOWN:
                                 known.clear()
                             known[w] = stem(w)
                         found.setdefault(known[w], []).append(at)
@@ -97,8 +100,11 @@ def postings(docs: DataFrame, key: str = "id", text: str = "document") -> DataFr
                 positions += list(found.values()) or [[]]
                 lengths += [len(words)] * n
                 firsts += [True] + [False] * (n - 1)
-            arrays = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(index, pa.int64())), pa.array(positions, pa.list_(pa.int32())), pa.array(lengths, pa.int64()), pa.array(firsts, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["term", key, "positions", "dl", "first"])
+                held += len(words) + 1
+                if held >= PIECE or i == batch.num_rows - 1:
+                    arrays = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(index, pa.int64())), pa.array(positions, pa.list_(pa.int32())), pa.array(lengths, pa.int64()), pa.array(firsts, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["term", key, "positions", "dl", "first"])
+                    index, terms, positions, lengths, firsts, held = [], [], [], [], [], 0
 
     return docs.select(key, text).mapInArrow(counted, f"term string, `{key}` {id_type}, positions array<int>, dl long, first boolean")
 
@@ -154,12 +160,18 @@ def density(found: list[tuple[int, int]], positions: list[int]) -> float:
 
 def match(index: Index, queries: DataFrame, key: str = "id", among: DataFrame | None = None) -> DataFrame:
     """(qid, key, covers, density) of the texts that match a question (qid, question); *among* restricts the texts."""
+    forms, same = alike(queries.select("qid", "question"), "question")
+    return for_all(_matched(index, forms, key, among), same)
+
+
+def _matched(index: Index, queries: DataFrame, key: str, among: DataFrame | None) -> DataFrame:
+    """Questions of different words matched. Postings are dealt by text once, before they meet the questions; what follows stays there."""
     asked = parsed(queries)
     hit, _, few = asked_of(index, asked)
     if among is not None:
         hit = hit.join(among.select(key), key, "left_semi")
     terms = F.broadcast(asked) if few else asked
-    met = hit.select("term", key, "positions").join(terms, "term")
+    met = hit.select("term", key, "positions").repartition(key).join(terms, "term")
     starts = F.transform("positions", lambda p: p - F.col("offset"))
     # A phrase is met where the shifted positions of all its lexemes agree; rows of one text and phrase are as few as its lexemes.
     items = met.groupBy("qid", "grp", "item", "negated", "size", "span", key).agg(F.collect_list(starts).alias("__s"), F.flatten(F.collect_list("positions")).alias("positions")).where(F.size("__s") == F.col("size"))
@@ -187,4 +199,5 @@ def match(index: Index, queries: DataFrame, key: str = "id", among: DataFrame |
 
 def search(index: Index, queries: DataFrame, k: int, key: str = "id", among: DataFrame | None = None) -> DataFrame:
     """(qid, key, covers, density, rank): the k best matches of every question by density, rounded to six digits, then by key."""
-    return top(match(index, queries, key, among), k, [F.floor(F.col("density") * 1e6 + 0.5).desc(), F.col(key)], ["qid"])
+    forms, same = alike(queries.select("qid", "question"), "question")
+    return for_all(top(_matched(index, forms, key, among), k, [F.floor(F.col("density") * 1e6 + 0.5).desc(), F.col(key)], ["qid"]), same)

@@ -18,8 +18,10 @@ from .collection import top
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 4096
 #: Distinct terms of questions up to which the index is read by literal buckets and terms; more of them are joined.
 LITERALS = 1000
-#: Rows of questions' terms up to which they are broadcast, by count.
+#: Rows of questions' terms, or of questions, up to which they are broadcast, by count.
 BROADCAST_ROWS = 100_000
+#: Postings, and positions in them, of a batch that a task of the build holds, about; one text's stay together.
+PIECE = 100_000
 
 
 class Index(NamedTuple):
@@ -47,16 +49,18 @@ def postings(docs: DataFrame, key: str = "id", text: str = "document") -> DataFr
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, terms, tfs, lengths, firsts = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                found = Counter(token.findall((t or "").lower()))
+            for i, t in enumerate(batch.column(1)):
+                found = Counter(token.findall((t.as_py() or "").lower()))
                 n = max(1, len(found))
                 index += [i] * n
                 terms += list(found) or [None]
                 tfs += list(found.values()) or [0]
                 lengths += [sum(found.values())] * n
                 firsts += [True] + [False] * (n - 1)
-            arrays = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(index, pa.int64())), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64()), pa.array(firsts, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["term", key, "tf", "dl", "first"])
+                if len(terms) >= PIECE or i == batch.num_rows - 1:
+                    arrays = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(index, pa.int64())), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64()), pa.array(firsts, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["term", key, "tf", "dl", "first"])
+                    index, terms, tfs, lengths, firsts = [], [], [], [], []
 
     return docs.select(key, text).mapInArrow(counted, f"term string, `{key}` {id_type}, tf long, dl long, first boolean")
 
@@ -102,13 +106,27 @@ def asked_of(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame, bool
     return *(t.join(words.drop("n"), ["bucket", "term"], "left_semi") for t in (index.postings, index.terms)), False
 
 
+def alike(queries: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, *by*): one question for all of the same words, the one with the smallest id; and (qid, form) that leads from each question to it."""
+    first = queries.groupBy(by).agg(F.min("qid").alias("form"))
+    same = queries.join(first, queries[by].eqNullSafe(first[by])).select("qid", "form").distinct()
+    return first.select(F.col("form").alias("qid"), by), F.broadcast(same) if same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else same
+
+
+def for_all(found: DataFrame, same: DataFrame) -> DataFrame:
+    """What was found for one question of each wording, for all of them."""
+    return found.withColumnRenamed("qid", "form").join(same, "form").select(*found.columns)
+
+
 def search(index: Index, queries: DataFrame, k: int | None = None, key: str = "id", k1: float = 1.5, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
     """(qid, key, bm25, rank): Okapi BM25 of every question (qid, terms) over the index; rows without a term are left out.
 
     The statistics are those of the whole index; *among* restricts the rows that may be found. Scores are ranked as
-    rounded to six digits, then by key.
+    rounded to six digits, then by key. Questions of the same terms are scored once. Postings are dealt by text before
+    they meet the questions, so what is shuffled doesn't grow with the questions, and each task passes k rows a question.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    forms, same = alike(queries.select("qid", F.array_sort(F.array_distinct("terms")).alias("terms")).where("terms IS NOT NULL"), "terms")
+    asked = forms.select("qid", F.explode("terms").alias("term"))
     hit, words, few = asked_of(index, asked)
     if among is not None:
         hit = hit.join(among.select(key), key, "left_semi")
@@ -116,7 +134,7 @@ def search(index: Index, queries: DataFrame, k: int | None = None, key: str = "i
     weights = asked.join(words.drop("bucket"), "term").select("qid", "term", idf.alias("idf"))
     weights = F.broadcast(weights) if few else weights
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.average)))
-    scored = hit.join(weights, "term").groupBy("qid", key).agg(F.sum(part).alias("bm25"))
+    scored = hit.select("term", key, "tf", "dl").repartition(key).join(weights, "term").groupBy("qid", key).agg(F.sum(part).alias("bm25"))
     if k is None:
-        return scored
-    return top(scored, k, [(F.floor(F.col("bm25") * 1e6 + 0.5)).desc(), F.col(key)], ["qid"])
+        return for_all(scored, same)
+    return for_all(top(scored, k, [(F.floor(F.col("bm25") * 1e6 + 0.5)).desc(), F.col(key)], ["qid"]), same)
