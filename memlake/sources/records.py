@@ -13,6 +13,7 @@ an earlier time isn't passed over; what takes longer to turn up isn't seen.
 
 from __future__ import annotations
 
+import io
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -31,10 +32,10 @@ def _text(path: str, data: bytes) -> Iterator[tuple[str, str]]:
     yield path, data.decode("utf-8", "replace")
 
 
-def _lines(path: str, data: bytes) -> Iterator[tuple[str, str]]:
-    for line in data.decode("utf-8", "replace").split("\n"):
+def _lines(path: str, data: bytes | io.BufferedIOBase) -> Iterator[tuple[str, str]]:
+    for line in io.BytesIO(data) if isinstance(data, bytes) else data:
         try:
-            record = json.loads(line)
+            record = json.loads(line.decode("utf-8", "replace"))
         except ValueError:
             continue
         if isinstance(record, dict) and isinstance(record.get("document"), str):
@@ -43,6 +44,8 @@ def _lines(path: str, data: bytes) -> Iterator[tuple[str, str]]:
 
 #: How a file becomes records, by name. A subclass of RecordSource in a module of its own may add to it.
 ADAPTERS: dict[str, Callable[[str, bytes], Iterator[tuple[str, str]]]] = {"text": _text, "lines": _lines}
+#: Adapters that read an open file piece by piece, so that a file of any size passes a task's memory by lines.
+STREAMED = (_lines,)
 
 
 def store_of(path: str):
@@ -91,12 +94,12 @@ class _Reader:
         store, _ = store_of(self.path)
         for path, _, mtime in partition.files:
             with store.open_input_stream(path) as f:
-                data = f.read()
-            for source, document in self.parse(path, data):
-                text = document.strip(_WHITE)
-                pieces = (text[a:b].strip(_WHITE) for a, b in windows(text, CHUNK, OVERLAP))
-                for i, piece in enumerate(p for p in pieces if len(p) >= LEAST):
-                    yield source, i, piece, mtime
+                data = io.BufferedReader(f, 1 << 20) if self.parse in STREAMED else f.read()
+                for source, document in self.parse(path, data):
+                    text = document.strip(_WHITE)
+                    pieces = (text[a:b].strip(_WHITE) for a, b in windows(text, CHUNK, OVERLAP))
+                    for i, piece in enumerate(p for p in pieces if len(p) >= LEAST):
+                        yield source, i, piece, mtime
 
 
 class BatchReader(_Reader, DataSourceReader):
