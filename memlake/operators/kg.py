@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_id, trigram_similarity
@@ -113,16 +113,21 @@ def confusable(mentioned: DataFrame, registry: DataFrame, most: int = 2) -> Data
     """Registered names within a small edit distance of a mentioned one, of which the text says nothing itself.
 
     *mentioned* holds (name) or (id, name) for many texts. Names that can be that near share one of the keys of their
-    deletions: all strings that up to *most* deletions leave. So pairs are found by equality of keys and checked then.
+    deletions: all strings that up to *most* deletions leave. So pairs are found by equality of keys and checked then,
+    once for each distinct name, however many texts mention it. What a text says itself is looked up only for texts of
+    several names, as a name isn't near itself.
     """
     by = [c for c in mentioned.columns if c != "name"]
     keys = lambda x: reduce(lambda a, _: F.array_distinct(F.flatten(F.transform(a, lambda y: F.concat(F.array(y), F.transform(F.sequence(F.lit(1), F.greatest(F.length(y), F.lit(1))), lambda i: F.concat(F.substring(y, F.lit(1), i - 1), F.substring(y, i + 1, F.length(y)))))))), range(most), F.array(F.lower(x)))
-    m = mentioned.select(*by, F.col("name").alias("mention")).distinct()
+    m = mentioned.select(*by, F.col("name").alias("mention"))
     r = registry.select(F.col("name").alias("candidate")).distinct()
-    pairs = m.select(*by, "mention", F.explode(keys("mention")).alias("__k")).join(r.select("candidate", F.explode(keys("candidate")).alias("__k")), "__k").drop("__k").distinct()
+    pairs = m.select("mention").distinct().select("mention", F.explode(keys("mention")).alias("__k")).join(r.select("candidate", F.explode(keys("candidate")).alias("__k")), "__k").drop("__k").distinct()
     near = pairs.withColumn("distance", F.levenshtein(F.lower("mention"), F.lower("candidate"))).where(F.col("distance").between(1, most))
-    own = mentioned.select(*by, F.col("name").alias("candidate")).distinct()
-    return near.join(own, [*by, "candidate"], "left_anti").select(*by, "mention", "candidate", "distance")
+    if not by:
+        return near.join(m.select(F.col("mention").alias("candidate")).distinct(), "candidate", "left_anti").select("mention", "candidate", "distance")
+    own = m.repartition(*by).distinct().withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
+    told = [own.where(c).join(near, "mention").select(*by, "mention", "candidate", "distance") for c in ("__n = 1", "__n > 1")]
+    return told[0].unionByName(told[1].join(own.where("__n > 1").select(*by, F.col("mention").alias("candidate")), [*by, "candidate"], "left_anti").select(*told[0].columns))
 
 
 def check_text(texts: DataFrame, triples: DataFrame, registry: DataFrame, today: str) -> DataFrame:
@@ -143,7 +148,7 @@ def check_text(texts: DataFrame, triples: DataFrame, registry: DataFrame, today:
     words = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_#-]+"), 0))).alias("low"))
     mentioned = words.join(registry.select(F.lower("name").alias("low"), "name"), "low").select("id", "name")
     alike = confusable(mentioned, registry).select("id", F.lit("similar_name").alias("kind"), F.concat("mention", F.lit(": did you mean "), "candidate", F.lit("? (edit distance "), "distance", F.lit(")")).alias("detail"))
-    return wrong.unionByName(old).unionByName(alike).distinct()
+    return wrong.unionByName(old).distinct().unionByName(alike)  # the last are distinct as they are
 
 
 def add_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
