@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: The longest name and content; what a name consists of, and that it begins and ends with a letter or digit.
 LONGEST_NAME, LONGEST_CONTENT = 128, 100_000
@@ -25,17 +25,17 @@ def _refused(value: Column, longest: int, path: bool, shape: bool) -> Column:
 
 def name_fault(value: Column) -> Column:
     """Why a wing's, room's or entity's name is refused: empty, too long, path characters, null bytes, characters."""
-    return _refused(strip(value), LONGEST_NAME, True, True)
+    return let(strip(value), lambda x: _refused(x, LONGEST_NAME, True, True))
 
 
 def value_fault(value: Column) -> Column:
     """Why an end of a fact is refused; these may hold any marks."""
-    return _refused(strip(value), LONGEST_NAME, False, False)
+    return let(strip(value), lambda x: _refused(x, LONGEST_NAME, False, False))
 
 
 def content_fault(value: Column) -> Column:
     """Why a content is refused. Its length counts with white space."""
-    return F.when(F.coalesce(strip(value), F.lit("")) == "", "empty").when(F.length(value) > LONGEST_CONTENT, "too long").when(F.contains(value, F.lit("\0")), "null bytes")
+    return F.when(~F.rlike(F.coalesce(value, F.lit("")), F.lit(r"\S")), "empty").when(F.length(value) > LONGEST_CONTENT, "too long").when(F.contains(value, F.lit("\0")), "null bytes")
 
 
 def checked_name(value: object, field: str = "name") -> str:
