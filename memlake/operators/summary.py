@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
+from heapq import nsmallest
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, strip
@@ -106,15 +110,14 @@ HEADER = r"(?m)^#{1,3}\s+(.{5,60})$"
 
 def _codes(text: Column, words: dict[str, str], most: int = 3) -> Column:
     """The distinct codes of the keywords that the lower-cased text holds, in the table's order."""
-    low = F.lower(text)
-    found = F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in words.items()])
+    found = let(F.lower(text), lambda low: F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in words.items()]))
     return F.slice(F.array_distinct(F.array_compact(found)), 1, most)
 
 
 def names(text: Column, known: dict[str, str] | None = None) -> Column:
     """Codes of known names in the text, else the first three letters of up to three capitalised words after the first word."""
     words = F.split(strip(text), r"\s+")
-    clean = F.transform(F.slice(words, 2, 1 << 30), lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
+    clean = F.transform(F.filter(F.slice(words, 2, 1 << 30), lambda w: F.rlike(w, F.lit("[A-Z]"))), lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
     name = lambda w: F.rlike(w, F.lit("^[A-Z][a-z]+$")) & ~F.lower(w).isin(FILLER)
     guessed = F.slice(F.array_distinct(F.transform(F.filter(clean, name), lambda w: F.upper(F.substring(w, 1, 3)))), 1, 3)
     told = {k.lower(): v for k, v in (known or {}).items() if not k.islower()}
@@ -128,25 +131,34 @@ def key_sentence(text: Column) -> Column:
     parts = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: strip(s)), lambda s: F.length(s) > 10)
 
     def score(s: Column) -> Column:
-        low, n = F.lower(s), F.length(s)
-        words = reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") * 2 for w in DECISIVE])
+        n = F.length(s)
+        words = let(F.lower(s), lambda low: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") * 2 for w in DECISIVE]))
         return words + F.when(n < 40, 2).when(n < 80, 1).when(n > 150, -2).otherwise(0)
 
     best = F.array_max(F.transform(parts, lambda s, i: F.struct(score(s).alias("score"), (-i).alias("i"), s.alias("s"))))["s"]
     return let(best, lambda b: F.when(F.length(b) > 55, F.concat(F.substring(b, 1, 52), F.lit("..."))).otherwise(F.coalesce(b, F.lit(""))))
 
 
-def topics(docs: DataFrame, key: str = "id", text: str = "document", most: int = 3) -> DataFrame:
-    """(key, topics): the words that weigh most, the first among equals.
+def topics(text: Column, most: int = 3) -> Column:
+    """The words of a text that weigh most, the first among equals.
 
     A word weighs its count, plus two for each time that it is capitalised and for each time that it holds an
-    underscore, a hyphen or a later capital. Counts are summed before they are shuffled.
+    underscore, a hyphen or a later capital. A text is counted within its row, so neither words nor texts are shuffled.
     """
-    words = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(TOPIC_WORD), 0)).alias("i", "w"))
-    weight = 1 + 2 * F.rlike("w", F.lit("^[A-Z]")).cast("int") + 2 * F.rlike("w", F.lit("[_-]|^.+[A-Z]")).cast("int")
-    counted = words.select(key, F.lower("w").alias("w"), "i", weight.alias("x")).where(~F.col("w").isin(FILLER)).groupBy(key, "w").agg(F.sum("x").alias("x"), F.min("i").alias("i"))
-    first = top(counted, most, [F.col("x").desc(), F.col("i")], [key])
-    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "w"))), lambda t: t["w"]).alias("topics"))
+    word, marked, filler = re.compile(TOPIC_WORD), re.compile("[_-]|^.+[A-Z]"), frozenset(FILLER)
+
+    def heaviest(t: str | None) -> list[str]:
+        weights: dict[str, int] = {}  # in the order of the words' first places
+        for w, n in Counter(word.findall(t or "")).items():
+            low = w.lower()
+            if low not in filler:
+                weights[low] = weights.get(low, 0) + n * (1 + 2 * ("A" <= w[0] <= "Z") + 2 * bool(marked.search(w)))
+        return nsmallest(most, weights, key=lambda w: -weights[w])
+
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(heaviest)
+
+    return F.pandas_udf(counted, "array<string>")(text)
 
 
 def compress(docs: DataFrame, key: str = "id", text: str = "document", known: dict[str, str] | None = None) -> DataFrame:
@@ -155,12 +167,12 @@ def compress(docs: DataFrame, key: str = "id", text: str = "document", known: di
     Rows with a source_file or wing get a line before it: wing, room, occurred_at and the file's name. Null texts count as empty.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.join(topics(docs, key, text), key, "left")
-    part = lambda a, sep, otherwise: F.when(F.size(a) > 0, F.array_join(a, sep)).otherwise(otherwise)
+    rows = docs.withColumn("__topics", topics(body))
+    part = lambda x, sep, otherwise: let(x, lambda a: F.when(F.size(a) > 0, F.array_join(a, sep)).otherwise(otherwise))
     sentence = let(key_sentence(body), lambda s: F.when(s != "", F.concat(F.lit('"'), s, F.lit('"'))))
     fields = [
         F.concat(F.lit("0:"), part(names(body, known), "+", F.lit("???"))),
-        part(F.coalesce("topics", F.array().cast("array<string>")), "_", F.lit("misc")),
+        part(F.col("__topics"), "_", F.lit("misc")),
         sentence,
         part(_codes(body, FEELINGS), "+", F.lit(None)),
         part(_codes(body, FLAGS), "+", F.lit(None)),
@@ -169,7 +181,7 @@ def compress(docs: DataFrame, key: str = "id", text: str = "document", known: di
     some = lambda x: F.when(x == "", F.lit("?")).otherwise(x)
     stem = F.regexp_replace(F.element_at(F.split(has("source_file"), "/"), -1), r"(?<=.)\.[^.]*$", "")
     head = F.when((has("source_file") != "") | (has("wing") != ""), F.concat_ws("|", some(has("wing")), some(has("room")), some(has("occurred_at")), some(stem)))
-    return rows.withColumn("summary", F.concat_ws("\n", head, F.concat_ws("|", *fields))).drop("topics")
+    return rows.withColumn("summary", F.concat_ws("\n", head, F.concat_ws("|", *fields))).drop("__topics")
 
 
 def estimated_tokens(text: Column) -> Column:
