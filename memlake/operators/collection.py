@@ -71,6 +71,12 @@ def top(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None,
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def among(df: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
+    """The rows that have the values of the columns of *keys*; if those are few, they go to the rows, so that no row is shuffled for it."""
+    keys = keys.distinct()
+    return df.join(F.broadcast(keys) if small else keys, keys.columns, "left_semi")
+
+
 def newest(df: DataFrame, k: int, by: str, tie: str = "id") -> DataFrame:
     """The k newest rows, nulls last."""
     return df.orderBy(F.col(by).desc_nulls_last(), tie).limit(k)
