@@ -4,8 +4,9 @@ Vectors are scaled to length 1, where the squared Euclidean distance is twice th
 k-means on SAMPLE vectors at most, chosen by a hash of the key; every vector then goes to its nearest centre's list,
 and a list's radius is the largest distance to its centre. By the triangle inequality no row of a list is nearer to a
 question than the distance to the centre less the radius. A question first reads the lists nearest to it that hold k
-rows; the distance of the k-th is a bound, and of the other lists those within it are read. So results are those of a scan
-of all rows, whatever the centres; these decide how much is read only.
+rows; the distance of the k-th is a bound, and all lists within it are read. So results are those of a scan
+of all rows, whatever the centres; these decide how much is read only. Questions meet rows in packed blocks, each of which
+goes to a task once, not once for each list; a task works out which of its lists each question of a block reads.
 
 Vectors that are null, zero or hold nulls or non-finite components are in no list. Vectors of several lengths are
 clustered apart. Rows that repeat a key are rows of their own.
@@ -22,12 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .collection import top
-from .search import BROADCAST_BYTES, best_of
+from .search import BLOCK, best_of
 
 #: Vectors that k-means sees at most, the bytes of a list that its number aims at, and the most lists of an index.
 SAMPLE, LIST_BYTES, MOST_LISTS = 20_000, 64 << 20, 4096
 ROUNDS = 12
+#: Bytes of all packed questions up to which they are broadcast, and of one block of them.
+QUESTION_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
 #: Added to every bound, so that rounding can't hide a row.
 SLACK = 1e-6
 
@@ -49,12 +53,16 @@ def _units(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, dict[int, n
         m = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
         good = np.isfinite(m).all(axis=1) & m.any(axis=1)
         sizes[own[~good]] = 0
-        m = m[good]
-        m = m / np.abs(m).max(axis=1)[:, None]
-        units[dims] = m / np.sqrt((m**2).sum(axis=1))[:, None]
+        units[dims] = _scaled(m[good])
     return sizes, units
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Vectors of length 1."""
+    m = m / np.abs(m).max(axis=1)[:, None]
+    return m / np.sqrt((m**2).sum(axis=1))[:, None]
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of unit vectors."""
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
@@ -64,8 +72,9 @@ def kmeans(vectors: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centres of unit vectors, from evenly spread first ones; a centre without vectors stays where it is."""
     lists = min(lists, len(vectors))
     centres = vectors[np.linspace(0, len(vectors) - 1, lists).astype(int)].copy()
+    step = max(1, (1 << 20) // max(1, lists))
     for _ in range(rounds):
-        near = np.concatenate([(vectors[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(vectors), 4096)])
+        near = np.concatenate([(vectors[i : i + step] @ centres.T).argmax(axis=1) for i in range(0, len(vectors), step)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, vectors)
         size = np.sqrt((sums**2).sum(axis=1))
@@ -110,12 +119,16 @@ def build(rows: DataFrame, folder: str, key: str = "id", vector: str = "embeddin
     spark = rows.sparkSession
     written = spark.read.schema(f"id {id_type}, vector array<double>, away double, list int").parquet(f"{folder}/rows")
     radii = written.groupBy("list").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
-    known = spark.createDataFrame([(first[d] + i, d, c.tolist()) for d, m in centres.items() for i, c in enumerate(m)], "list int, dims int, centre array<double>")
+    numbered = [(first[d] + i, d, c) for d, m in centres.items() for i, c in enumerate(m)]
+    numbers, dims, vectors = zip(*numbered) if numbered else ((), (), ())
+    known = spark.createDataFrame(pa.table({"list": pa.array(numbers, pa.int32()), "dims": pa.array(dims, pa.int32()), "centre": pa.array(vectors, pa.list_(pa.float64()))}))
     known.join(radii, "list").write.parquet(f"{folder}/centres")
 
 
 def load(spark: SparkSession, folder: str, id_type: str = "long") -> Lists:
-    centres = [(r["list"], r["dims"], np.array(r["centre"]), r["radius"], r["n"]) for r in spark.read.parquet(f"{folder}/centres").collect()]
+    held = spark.read.parquet(f"{folder}/centres").select("list", "dims", "radius", "n", "centre").toArrow()
+    numbers, dims, radii, n = (held.column(c).to_pylist() for c in range(4))
+    centres = [(*x[:2], c.values.to_numpy(), *x[2:]) for x, c in zip(zip(numbers, dims, radii, n), held.column(4))]
     rows = spark.read.schema(f"id {id_type}, vector array<double>, away double, list int").parquet(f"{folder}/rows")
     return Lists(rows, sorted(centres, key=lambda c: c[0]))
 
@@ -124,74 +137,128 @@ def _by_dims(centres: list) -> dict[int, tuple[np.ndarray, ...]]:
     return {dims: tuple(np.array(x) for x in zip(*[(i, c, r, n) for i, d, c, r, n in centres if d == dims])) for dims in {c[1] for c in centres}}
 
 
-def _chosen(index: Lists, queries: DataFrame, pick) -> DataFrame:
-    """(list, qid, vector) of the lists that *pick* (distances less radii, sizes, bounds) takes for each question (qid, embedding, bound)."""
+def _reach(units: np.ndarray, centres: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """How far each question's nearest centres are whose lists hold k rows."""
+    d = _distances(units, centres)
+    order = np.argsort(d, axis=1, kind="stable")
+    last = np.minimum((np.cumsum(n[order], axis=1) < k).sum(axis=1), d.shape[1] - 1)
+    rows = np.arange(len(d))
+    return d[rows, order[rows, last]]
+
+
+def _blocks(index: Lists, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(qids, dims, data, most): questions (qid, embedding, bound) of a length packed together, each with how far off it reads.
+
+    That is its bound, or with *k* the distance of the centres whose lists hold k rows.
+    """
     held = _by_dims(index.centres)
     types = queries.schema["qid"].dataType.simpleString()
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, units = _units(batch.column(1))
             bounds = batch.column(2).to_numpy(zero_copy_only=False)
             for dims, m in units.items():
-                if dims in held and len(m):
-                    ids, centres, radii, n = held[dims]
-                    at = np.flatnonzero(sizes == dims)
-                    least = np.maximum(_distances(m, centres) - radii[None] - SLACK, 0.0)
-                    q, which = np.nonzero(pick(least, n, bounds[at]))
-                    take = pa.array(at[q])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[which], pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], names=["list", "qid", "vector"])
+                if dims not in held:
+                    continue
+                _, centres, _, n = held[dims]
+                at = np.flatnonzero(sizes == dims)
+                per = max(1, BLOCK_BYTES // (8 * dims))
+                for low in range(0, len(m), per):
+                    own = pa.array(at[low : low + per])
+                    ids, data = batch.column(0).take(own), batch.column(1).take(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    if k is None:
+                        most = np.where(np.isnan(x := bounds[at[low : low + per]]), np.inf, x)
+                    else:
+                        most = np.concatenate([_reach(m[i : i + BLOCK], centres, n, k) for i in range(low, min(low + per, len(m)), BLOCK)])
+                    of = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                    yield pa.RecordBatch.from_arrays([of(ids), pa.array([dims], pa.int32()), pa.array([data.tobytes()], pa.binary()), of(pa.array(most, pa.float64()))], names=["qids", "dims", "data", "most"])
 
     rows = queries.select("qid", F.col("embedding").cast("array<double>"), F.col("bound").cast("double")).where("qid IS NOT NULL AND embedding IS NOT NULL")
-    return rows.mapInArrow(chosen, f"list int, qid {types}, vector array<double>")
+    return rows.mapInArrow(packed, f"qids array<{types}>, dims int, data binary, most array<double>")
+
 
+def _matrix(data: pa.Scalar, dims: int) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), dtype=np.float64).reshape(-1, dims)
 
-def _enough(k: int, others: bool):
-    """The nearest lists that hold k rows (one more if a question's own row doesn't count)."""
 
-    def pick(least: np.ndarray, n: np.ndarray, _: np.ndarray) -> np.ndarray:
-        order = np.argsort(least, axis=1, kind="stable")
-        before = np.cumsum(n[order], axis=1) - n[order]
-        out = np.zeros(least.shape, dtype=bool)
-        np.put_along_axis(out, order, before < k + others, axis=1)
-        return out
+def _read(units: np.ndarray, centres: np.ndarray, radii: np.ndarray, most: np.ndarray, balls: bool) -> np.ndarray:
+    """Whether each question reads each list: its ball, or else its centre, is no farther than *most*."""
+    return _distances(units, centres) - (radii[None] if balls else 0.0) - SLACK <= most[:, None]
 
-    return pick
 
+def _pairs(index: Lists, blocks: DataFrame, balls: bool) -> DataFrame:
+    """(qid, list) of what questions read."""
+    held = _by_dims(index.centres)
+    types = blocks.schema["qids"].dataType.elementType.simpleString()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qids, dims, data, most = (batch.column(c)[i] for c in range(4))
+                numbers, centres, radii, _ = held[dims.as_py()]
+                m, most = _matrix(data, dims.as_py()), most.values.to_numpy()
+                for low in range(0, len(m), BLOCK):
+                    q, which = np.nonzero(_read(_scaled(m[low : low + BLOCK]), centres, radii, most[low : low + BLOCK], balls))
+                    yield pa.RecordBatch.from_arrays([qids.values.take(pa.array(q + low)), pa.array(numbers[which], pa.int32())], names=["qid", "list"])
 
-def _within(least: np.ndarray, _: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return least <= np.where(np.isnan(bounds), np.inf, bounds)[:, None]
+    return blocks.mapInArrow(pairs, f"qid {types}, list int")
 
 
-def _met(index: Lists, asked: DataFrame, k: int, others: bool) -> DataFrame:
-    """(qid, id, distance): of each question and list asked for (list, qid, vector) the k nearest rows of every batch."""
-    names = [r["list"] for r in asked.select("list").distinct().collect()]  # at most all lists
-    rows = index.rows.where(F.col("list").isin(names))
-    size = asked.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0
-    q_type, r_type = asked.schema["qid"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+def _met(index: Lists, blocks: DataFrame, balls: bool, k: int, others: bool) -> DataFrame:
+    """(qid, id, distance): of each list that a question reads the k nearest rows of every batch; with *balls* those within its bound."""
+    held = _by_dims(index.centres)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers of the lists that a block reads, and as -1 its bytes."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dims, data, most = (batch.column(c)[i] for c in range(3))
+                numbers, centres, radii, _ = held[dims.as_py()]
+                m, most = _matrix(data, dims.as_py()), most.values.to_numpy()
+                read = np.zeros(len(numbers), dtype=bool)
+                for low in range(0, len(m), BLOCK):
+                    read |= _read(_scaled(m[low : low + BLOCK]), centres, radii, most[low : low + BLOCK], balls).any(axis=0)
+                found = numbers[read]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(np.zeros(len(found), dtype=np.int64), m.nbytes))], names=["list", "size"])
+
+    size = {r["list"]: r["size"] for r in blocks.select("dims", "data", "most").mapInArrow(told, "list int, size long").groupBy("list").agg(F.sum("size").alias("size")).collect()}  # at most all lists
+    rows = index.rows.where(F.col("list").isin([x for x in size if x >= 0]))
+    q_type, r_type = blocks.schema["qids"].dataType.elementType.simpleString(), rows.schema["id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0).to_numpy(zero_copy_only=False)
-            for one in np.unique(lists).tolist():
-                at = pa.array(np.flatnonzero(lists == one))
-                keys, vectors = batch.column(1).take(at), batch.column(2).take(at)
-                dims = pc.list_value_length(vectors)[0].as_py()
+            batch = batch.take(pc.sort_indices(batch, sort_keys=[("list", "ascending"), ("id", "ascending")]))
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for dims in np.unique(sizes).tolist():
+                own = pa.array(np.flatnonzero(sizes == dims))
+                lists, ids, vectors = (batch.column(c).take(own) for c in range(3))
+                of = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 data = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([one], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([dims], pa.int32()), pa.array([data], pa.binary())], names=["list", "ids", "dims", "data"])
+                yield pa.RecordBatch.from_arrays([of(lists), of(ids), pa.array([dims], pa.int32()), pa.array([data], pa.binary())], names=["lists", "ids", "rdims", "rdata"])
 
-    left = rows.select("list", "id", "vector").mapInArrow(packed, f"list int, ids array<{r_type}>, dims int, data binary")
-    right = asked.select("list", "qid", "vector").mapInArrow(packed, f"list int, ids array<{q_type}>, dims int, data binary")
-    right = right.select("list", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
-    both = left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, "list").select("ids", "dims", "data", "qids", "qdata")
+    left = rows.select("list", "id", "vector").mapInArrow(packed, f"lists array<int>, ids array<{r_type}>, rdims int, rdata binary")
+    both = left.crossJoin(F.broadcast(blocks) if size.get(-1, 0) <= QUESTION_BYTES else blocks)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, dims, data, qids, qdata = (batch.column(c)[i] for c in range(5))
-                m, n = (np.frombuffer(x.as_py(), dtype=np.float64).reshape(-1, dims.as_py()) for x in (data, qdata))
-                for part in best_of(n, m, qids.values, ids.values, k, others):
-                    yield pa.RecordBatch.from_arrays(part, names=["qid", "id", "distance"])
+                lists, ids, rdims, rdata, qids, dims, data, most = (batch.column(c)[i] for c in range(8))
+                if dims.as_py() != rdims.as_py():
+                    continue
+                m, n, most = _matrix(rdata, dims.as_py()), _matrix(data, dims.as_py()), most.values.to_numpy()
+                numbers, centres, radii, _ = held[dims.as_py()]
+                which, starts = np.unique(lists.values.to_numpy(), return_index=True)
+                at = np.searchsorted(numbers, which)
+                read = _read(_scaled(n), centres[at], radii[at], most, balls)
+                parts = []
+                for j, (low, high) in enumerate(zip(starts, np.append(starts[1:], len(m)))):
+                    q = np.flatnonzero(read[:, j])
+                    # The bound is the Euclidean distance of unit vectors, the root of twice the cosine distance.
+                    limits = most[q] ** 2 / 2 if balls else None
+                    parts += best_of(n[q], m[low:high], qids.values.take(pa.array(q)), ids.values.slice(low, high - low), k, others, limits)
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*parts)], names=["qid", "id", "distance"])
 
     return both.mapInArrow(met, f"qid {q_type}, id {r_type}, distance double")
 
@@ -203,13 +270,12 @@ def knn(index: Lists, queries: DataFrame, k: int, others: bool = False) -> tuple
     """
     order = [F.col("distance"), F.col("id")]
     rows = queries.select("qid", "embedding", F.lit(None).cast("double").alias("bound"))
-    first = _chosen(index, rows, _enough(k, others))
-    found = _met(index, first, k, others)
+    first = _blocks(index, rows, k + others)
     # The k-th distance so far bounds the rest; cosine distance d is a Euclidean one of the root of 2 d.
-    kth = top(found, k, order, ["qid"]).groupBy("qid").agg(F.sqrt(2 * F.greatest(F.max("distance"), F.lit(0.0)) + F.lit(1e-9)).alias("bound"), F.count("*").alias("n"))
+    kth = top(_met(index, first, False, k, others), k, order, ["qid"]).groupBy("qid").agg(F.sqrt(2 * F.greatest(F.max("distance"), F.lit(0.0)) + F.lit(1e-9)).alias("bound"), F.count("*").alias("n"))
     bounds = kth.select("qid", F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
-    again = rows.drop("bound").join(bounds, "qid", "left")
-    rest = _chosen(index, again, _within).join(first.select("list", "qid"), ["list", "qid"], "left_anti")
-    every = found.unionByName(_met(index, rest, k, others))
-    visited = first.select("qid", "list").unionByName(rest.select("qid", "list"))
-    return top(every, k, order, ["qid"]), visited
+    shared_folder(queries.sparkSession)
+    again = _blocks(index, rows.drop("bound").join(bounds, "qid", "left")).checkpoint()  # used by several jobs
+    begun = _pairs(index, first, False)
+    visited = begun.unionByName(_pairs(index, again, True).join(begun, ["qid", "list"], "left_anti"))
+    return top(_met(index, again, True, k, others), k, order, ["qid"]), visited

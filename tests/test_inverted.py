@@ -53,6 +53,32 @@ def test_random_vectors_and_one_list(spark, tmp_path):
     both(spark, rows, tmp_path, 5, others=True)
 
 
+def test_a_question_is_sent_once_and_not_once_for_each_list(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(0, i, r.normal(size=8).tolist()) for i in range(900)]  # no clusters, so nearly all lists are read
+    sent, plain = [], F.broadcast
+
+    def spy(df):
+        columns = [c for c, kind in df.dtypes if kind == "binary"]
+        sent.append(sum(df.agg(F.sum(F.length(c))).first()[0] or 0 for c in columns))
+        return plain(df)
+
+    monkeypatch.setattr(inverted.F, "broadcast", spy)
+    index, asked, visited = both(spark, rows, tmp_path, 10, lists=30, others=True)
+    assert visited.count() > 20 * asked.count()
+    assert 0 < max(sent) <= asked.count() * 8 * 8
+
+
+def test_blocks_that_are_not_broadcast_and_equal_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "QUESTION_BYTES", -1)
+    monkeypatch.setattr(inverted, "BLOCK_BYTES", 8 * 8 * 20)  # 20 questions
+    r = np.random.default_rng(7)
+    hot = r.normal(size=8).tolist()
+    rows = [(0, i, hot if i % 2 else r.normal(size=8).tolist()) for i in range(400)] + [(0, 7, hot)] * 30 + odd_rows()
+    both(spark, rows, tmp_path, 5, lists=12, others=True, some="id % 25 = 0 or id in (7, 11) or id > 9000")
+    both(spark, rows, tmp_path, 40, lists=12, some="id % 25 = 0 or id = 11 or id > 9000")
+
+
 def test_an_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     inverted.build(none, str(tmp_path / "lists"))
