@@ -30,8 +30,8 @@ from .search import BLOCK, best_of
 #: Vectors that k-means sees at most, the bytes of a list that its number aims at, and the most lists of an index.
 SAMPLE, LIST_BYTES, MOST_LISTS = 20_000, 64 << 20, 4096
 ROUNDS = 12
-#: Bytes of all packed questions up to which they are broadcast, and of one block of them.
-QUESTION_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+#: Bytes of all packed questions up to which they are broadcast, of one block of them, and of a task's share of more.
+QUESTION_BYTES, BLOCK_BYTES, SHARE_BYTES = 8 << 20, 4 << 20, 32 << 20
 #: Added to every bound, so that rounding can't hide a row.
 SLACK = 1e-6
 
@@ -238,7 +238,9 @@ def _met(index: Lists, blocks: DataFrame, balls: bool, k: int, others: bool) ->
                 yield pa.RecordBatch.from_arrays([of(lists), of(ids), pa.array([dims], pa.int32()), pa.array([data], pa.binary())], names=["lists", "ids", "rdims", "rdata"])
 
     left = rows.select("list", "id", "vector").mapInArrow(packed, f"lists array<int>, ids array<{r_type}>, rdims int, rdata binary")
-    both = left.crossJoin(F.broadcast(blocks) if size.get(-1, 0) <= QUESTION_BYTES else blocks)
+    whole = size.get(-1, 0)
+    # In a product each partition of questions reads all rows anew, so there are few.
+    both = left.crossJoin(F.broadcast(blocks) if whole <= QUESTION_BYTES else blocks.coalesce(1 + whole // SHARE_BYTES))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,13 +271,13 @@ def knn(index: Lists, queries: DataFrame, k: int, others: bool = False) -> tuple
     With *others* a row whose id is the question's doesn't count. Distances and ties are those of ``search.nearest``.
     """
     order = [F.col("distance"), F.col("id")]
+    shared_folder(queries.sparkSession)
     rows = queries.select("qid", "embedding", F.lit(None).cast("double").alias("bound"))
-    first = _blocks(index, rows, k + others)
+    first = _blocks(index, rows, k + others).checkpoint()  # both are used by several jobs
     # The k-th distance so far bounds the rest; cosine distance d is a Euclidean one of the root of 2 d.
     kth = top(_met(index, first, False, k, others), k, order, ["qid"]).groupBy("qid").agg(F.sqrt(2 * F.greatest(F.max("distance"), F.lit(0.0)) + F.lit(1e-9)).alias("bound"), F.count("*").alias("n"))
     bounds = kth.select("qid", F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
-    shared_folder(queries.sparkSession)
-    again = _blocks(index, rows.drop("bound").join(bounds, "qid", "left")).checkpoint()  # used by several jobs
+    again = _blocks(index, rows.drop("bound").join(bounds, "qid", "left")).checkpoint()
     begun = _pairs(index, first, False)
     visited = begun.unionByName(_pairs(index, again, True).join(begun, ["qid", "list"], "left_anti"))
     return top(_met(index, again, True, k, others), k, order, ["qid"]), visited
